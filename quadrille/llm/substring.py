@@ -18,6 +18,8 @@ from ._common import WORD, hashes, tasks, text_words, window_hashes
 WINDOW = 13
 #: Rows of a slice of documents, and slices told apart by bounds on doc_id; further ones by even parts between bounds.
 SLICE_ROWS, BOUNDS = 2048, 512
+#: Bounds of a reference that is broadcast as suffix automata.
+SHARD_WORDS, REFERENCE_BYTES = 200_000, 8 << 20
 _WORD = re.compile(WORD)
 
 
@@ -136,6 +138,123 @@ def marked(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return rows.select("doc_id", "text", *extra, "_slice").groupBy("_slice").cogroup(back.groupBy("_slice")).applyInArrow(remove, schema)
 
 
+class SuffixAutomaton:
+    """All runs of words of a reference shard: a state is a set of runs that end in the same places.
+
+    moves: (state << 32 | word) to state; link: a state's longest run that ends elsewhere too; length: its longest run.
+    Documents of the shard are entered one after the other, so no run goes from one to the next.
+    """
+
+    def __init__(self, documents: list[list[int]]):
+        self.moves: dict[int, int] = {}
+        self.link, self.length = [-1], [0]
+        out: list[list[int]] = [[]]  # the words that leave each state
+        for words in documents:
+            last = 0
+            for w in words:
+                last = self._enter(last, w, out)
+
+    def _state(self, length: int, link: int, words: list[int], like: int, out: list[list[int]]) -> int:
+        made = len(self.link)
+        self.link.append(link)
+        self.length.append(length)
+        out.append(list(words))
+        for w in words:
+            self.moves[made << 32 | w] = self.moves[like << 32 | w]
+        return made
+
+    def _enter(self, last: int, w: int, out: list[list[int]]) -> int:
+        moves, link, length = self.moves, self.link, self.length
+        known = moves.get(last << 32 | w)
+        if known is not None and length[known] == length[last] + 1:
+            return known
+        made = -1 if known is not None else self._state(length[last] + 1, 0, [], 0, out)
+        at = last
+        while made >= 0 and at >= 0 and at << 32 | w not in moves:
+            moves[at << 32 | w] = made
+            out[at].append(w)
+            at = link[at]
+        if at < 0:
+            return made
+        target = moves[at << 32 | w]
+        if length[target] != length[at] + 1:
+            twin = self._state(length[at] + 1, link[target], out[target], target, out)
+            link[target] = twin
+            while at >= 0 and moves.get(at << 32 | w) == target:
+                moves[at << 32 | w] = twin
+                at = link[at]
+            target = twin
+        if made < 0:
+            return target
+        link[made] = target
+        return made
+
+
+def matching(automaton: tuple[dict[int, int], list[int], list[int]], words: list[int]) -> list[int]:
+    """For each place the length of the longest run that ends there and is in the shard."""
+    moves, link, length = automaton
+    state = size = 0
+    out = []
+    for w in words:
+        after = moves.get(state << 32 | w)
+        while after is None and state > 0:
+            state = link[state]
+            size = length[state]
+            after = moves.get(state << 32 | w)
+        if after is None:
+            size = 0
+        else:
+            state, size = after, size + 1
+        out.append(size)
+    return out
+
+
+def without_reference(docs: DataFrame, reference: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Documents without the maximal spans of `window` words or more that the reference texts (text) have; n_removed is added.
+
+    The reference is cut into shards of SHARD_WORDS words at most, or one text; the suffix automaton of each is broadcast and all
+    documents are streamed through all of them. For references up to REFERENCE_BYTES, such as benchmarks; a larger one raises
+    ValueError. Null texts have no words; a text without such spans stays as it is.
+    """
+    size = reference.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    if size > REFERENCE_BYTES:
+        raise ValueError(f"a reference of {size} bytes; {REFERENCE_BYTES} can be broadcast")
+    number: dict[str, int] = {}
+    shards, held = [[]], 0
+    for r in reference.select("text").filter("text is not null").distinct().toLocalIterator():
+        words = [number.setdefault(w, len(number) + 1) for w in _WORD.findall(r["text"])]
+        if held and held + len(words) > SHARD_WORDS:
+            shards.append([])
+            held = 0
+        shards[-1].append(words)
+        held += len(words)
+    made = [(a.moves, a.link, a.length) for a in map(SuffixAutomaton, shards)]
+    shared = docs.sparkSession.sparkContext.broadcast((number, made))
+    kept = [c for c in docs.columns if c != "n_removed"]
+    schema = docs.select(*kept).withColumn("n_removed", F.lit(0).cast("long")).schema
+
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, automata = shared.value
+        for batch in batches:
+            texts, gone_in = batch.column("text").to_pylist(), []
+            for i, text in enumerate(texts):
+                words = [known.get(w, 0) for w in _WORD.findall(text or "")]
+                gone = np.zeros(len(words) + 1, np.int64)
+                for automaton in automata:
+                    sizes = np.array(matching(automaton, words), np.int64)
+                    ends = np.flatnonzero(sizes >= window)
+                    np.add.at(gone, ends - sizes[ends] + 1, 1)
+                    np.add.at(gone, ends + 1, -1)
+                hit = np.cumsum(gone[:-1]) > 0
+                gone_in.append(int(hit.sum()))
+                if gone_in[-1]:
+                    texts[i] = _cut(text, hit)
+            cols = [pa.array(texts, batch.schema.field(c).type) if c == "text" else batch.column(c) for c in kept]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(gone_in, pa.int64())], [*kept, "n_removed"])
+
+    return docs.select(*kept).mapInArrow(remove, schema)
+
+
 def _whole(column: pa.ChunkedArray) -> pa.Array:
     chunks = column.cast(pa.large_string()).chunks
     return pa.concat_arrays(chunks) if chunks else pa.array([], pa.large_string())

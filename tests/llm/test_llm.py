@@ -379,6 +379,23 @@ def test_substring_edges(spark, odd, none):
     assert substring.cleaned(none).count() == 0
 
 
+def test_suffix_automaton(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    for _ in range(40):
+        ref = [rng.integers(1, 4, rng.integers(0, 25)).tolist() for _ in range(3)]
+        a = substring.SuffixAutomaton(ref)
+        doc = rng.integers(0, 4, 40).tolist()
+        runs = {tuple(r[i:j]) for r in ref for i in range(len(r)) for j in range(i + 1, len(r) + 1)}
+        want = [max((n for n in range(i + 2) if n == 0 or tuple(doc[i + 1 - n : i + 1]) in runs), default=0) for i in range(len(doc))]
+        assert substring.matching((a.moves, a.link, a.length), doc) == want
+    monkeypatch.setattr(substring, "SHARD_WORDS", 20)
+    passages = [words(30, i) for i in range(4)]
+    docs = spark.createDataFrame([(1, " ".join(words(5, 9) + passages[2][:13] + words(4, 10))), (2, " ".join(passages[0][3:15])), (3, None), (4, " ".join(passages[1]))], "doc_id long, text string")
+    ref = spark.createDataFrame([(" ".join(p),) for p in passages] + [(None,)], "text string")
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in substring.without_reference(docs, ref).collect()}
+    assert got[1] == (" ".join(words(5, 9) + words(4, 10)), 13) and got[2][1] == 0 and got[3] == (None, 0) and got[4] == ("", 30)
+
+
 # ---- 9: toxicity
 
 
