@@ -13,6 +13,8 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Sampling keys are cut into so many bins a source; only the bin that holds a source's budget is sorted.
 BINS = 1024
+#: Documents of a source that are tried, in order, to fill what is missing at the end.
+FILL = 64
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -53,8 +55,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     A source with target T and size S is taken whole floor(T / S) times; the rest R is sampled without
     replacement after Efraimidis and Spirakis: a document's key is an exponential variate, made from a digest of
     seed and doc_id, over its quality weight; in ascending order of key, documents are taken while the sum of their
-    sizes is within R. One more, whose size is nearest to what is still missing, may follow, so that
-    whole documents come near the target.
+    sizes is within R. Of the next FILL that are no larger than what is still missing, those that still fit follow in the
+    same order, so that whole documents come near the target.
 
     Sums per source and key bin are pre-aggregated; the budget's bin is found on those sums and only that bin is
     sorted, so no task gets a whole source. Nulls: a null text has size 0; null sources are one source, last in
@@ -63,7 +65,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     """
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     rows = written(
-        docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), (-F.log(u) / quality(F.col("text"))).alias("key")), "mix-sizes"
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size"), (-F.log(u) / quality(F.col("text"))).alias("key")), "mix-sizes"
     ).withColumn("bin", F.least(F.lit(BINS - 1), F.floor((1 - F.exp(-F.col("key"))) * BINS)).cast("int"))
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
 
@@ -88,27 +90,28 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     order = Window.partitionBy("source").orderBy("key", "doc_id", "size").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     at_edge = held.filter(F.col("bin") == F.col("edge")).withColumn("sum", F.col("before") + F.sum("size").over(order))
     cut = at_edge.filter(F.col("sum") <= F.col("budget")).groupBy("source").agg(F.max(F.struct("key", "doc_id", "size")).alias("last"), F.max("sum").alias("got"))
-    # What is missing, and the document after the cut that fills it best.
+    # What is missing, and the documents after the cut that fill it.
     gaps = plan.filter("budget > 0").join(cut.withColumnRenamed("source", "c"), same("s", "c"), "left").select(
         "s", F.col("edge").alias("e"), "last", (F.col("budget") - F.coalesce("got", "before", F.lit(0))).alias("gap")
     )
     after = (F.col("bin") > F.col("e")) | ((F.col("bin") == F.col("e")) & (F.col("last").isNull() | (F.struct("key", "doc_id", "size") > F.col("last"))))
-    extra = (
-        rows.join(gaps, same("source", "s"))
-        .filter(after & (F.col("size") < 2 * F.col("gap")))
-        .groupBy("source", "gap", "key", "doc_id", "size")
-        .agg(F.abs(F.col("gap") - F.sum("size")).alias("off"))
-        .filter("off < gap")
-        .groupBy("source")
-        .agg(F.min(F.struct("off", "key", "doc_id", "size")).alias("x"))
+    # Repeated rows are one candidate of their sizes' sum.
+    fitting = rows.join(gaps, same("source", "s")).filter(after & F.col("size").between(1, F.col("gap"))).groupBy("source", "gap", "key", "doc_id", "size").agg(F.sum("size").alias("all"))
+    first = fitting.filter("all <= gap").withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("key", "doc_id", "size"))).filter(F.col("n") <= FILL)
+    taken = F.aggregate(
+        F.array_sort(F.collect_list(F.struct("key", "doc_id", "size", "all"))),
+        F.struct(F.col("gap").alias("left"), F.array().cast("array<struct<key:double,doc_id:bigint,size:bigint>>").alias("got")),
+        lambda acc, x: F.when(x["all"] <= acc["left"], F.struct((acc["left"] - x["all"]).alias("left"), F.concat(acc["got"], F.array(F.struct(x["key"].alias("key"), x["doc_id"].alias("doc_id"), x["size"].alias("size")))).alias("got"))).otherwise(acc),
+        lambda acc: acc["got"],
     )
+    extra = first.groupBy("source", "gap").agg(taken.alias("x"))
     chosen = plan.select("s", "source_size", "target", "epochs", "budget", "edge").join(
         cut.select(F.col("source").alias("c"), "last"), same("s", "c"), "left"
-    ).join(extra.select(F.col("source").alias("x_s"), F.struct("x.key", "x.doc_id", "x.size").alias("x")), same("s", "x_s"), "left").drop("c", "x_s")
+    ).join(extra.select(F.col("source").alias("x_s"), "x"), same("s", "x_s"), "left").drop("c", "x_s")
     me = F.struct("key", "doc_id", "size")
     part = (
         (F.col("budget") > 0)
-        & ((F.col("bin") < F.coalesce("edge", F.lit(BINS))) | F.coalesce((F.col("bin") == F.col("edge")) & (me <= F.col("last")), F.lit(False)) | F.coalesce(me == F.col("x"), F.lit(False)))
+        & ((F.col("bin") < F.coalesce("edge", F.lit(BINS))) | F.coalesce((F.col("bin") == F.col("edge")) & (me <= F.col("last")), F.lit(False)) | F.coalesce(F.array_contains("x", me), F.lit(False)))
     )
     return rows.join(chosen, same("source", "s")).select(
         "doc_id", "source", "size", "source_size", "target", "epochs", (F.col("size") * (F.col("epochs") + part.cast("int"))).cast("long").alias("taken")
