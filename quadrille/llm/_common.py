@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,37 +13,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import written  # noqa: F401
+
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text handled at a time inside a Python worker; a longer single document is handled alone.
 SLICE_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    Named by ``spark.checkpoint.dir``. Where that is unset a temporary folder is made,
-    which is allowed only when driver and executors are one process.
-    """
-    sc = spark.sparkContext
-    known = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if known:
-        return known
-    if not sc.master.startswith("local[") and sc.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="shared-")
-    sc.setCheckpointDir(f"file://{made}")
-    return f"file://{made}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: lineage ends there, and lost executors lose none of it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def dropped(df: DataFrame) -> None:
     """Removes the files of a table made by written(), once nothing reads it any more."""
     jvm, spark = df.sparkSession._jvm, df.sparkSession
@@ -56,6 +33,12 @@ def tasks(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def worker_cache(name: str) -> dict:
+    """A dict that lives as long as the Python worker, over all its tasks; what it holds must follow from its key."""
+    held = sys.modules.setdefault("_worker_caches", types.ModuleType("_worker_caches"))
+    return held.__dict__.setdefault(name, {})
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
