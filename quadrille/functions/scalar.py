@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: States of a site: A, C, G, T in either case; whatever else is a gap, which is a value and not null.
@@ -24,6 +24,14 @@ def states(seq: Column) -> Column:
     return F.transform(F.split(seq, ""), lambda b: state(b).cast("tinyint"))
 
 
+def state_counts(rows: DataFrame, column: str, *keep: str) -> DataFrame:
+    """(keep, state, n): how often each state occurs in a sequence, without making a row a site."""
+    found = [F.regexp_count(column, F.lit(f"[{c}{c.lower()}]")) for c in STATES]
+    gaps = F.length(column) - sum(found[1:], found[0])
+    each = F.array(*(F.struct(F.lit(k).alias("state"), n.cast("long").alias("n")) for k, n in enumerate([*found, gaps])))
+    return rows.select(*keep, F.explode(each).alias("s")).select(*keep, "s.*").filter("n > 0")
+
+
 def pattern(*s: Column) -> Column:
     """Site pattern of four states, 0 to 255."""
     a, b, c, d = s

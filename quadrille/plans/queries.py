@@ -44,9 +44,9 @@ WITH_SPLITS = f"WITH {fixtures.WEIGHTS}, {fixtures.splits_sql('weights')}"
   FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents WHERE text <> '')) GROUP BY ALL"""
 )
 def encode_sites(spark, sf_dir):
-    """Documents as sequences: how often each state occurs."""
+    """Documents as sequences: how often each state occurs, counted in place."""
     d = fixtures.table(spark, sf_dir, "documents").filter("text <> ''")
-    return d.select("doc_id", F.explode(F.split("text", "")).alias("ch")).groupBy("doc_id", scalar.state(F.col("ch")).alias("state")).agg(F.count("*").alias("n"))
+    return scalar.state_counts(d, "text", "doc_id")
 
 
 @query(
