@@ -44,7 +44,7 @@ def searched(counts_p: DataFrame, quads: DataFrame, quadripartition: bool = Fals
 def searched_3f1a(counts_p: DataFrame, quads: DataFrame) -> DataFrame:
     """The same by four steps, each of which holds three taxa of the best quartet so far and changes the fourth within its part."""
     rows = _placed(counts_p, quads, True)
-    by_code = [F.element_at(F.map_from_arrays(F.array("c0", "c1", "c2", "c3"), F.array("q0", "q1", "q2", "q3")), F.lit(c)) for c in (1, 2, 4, 8)]
+    by_code = [F.get(F.array("q0", "q1", "q2", "q3"), F.array_position(F.array("c0", "c1", "c2", "c3"), F.lit(c)).cast("int") - 1) for c in (1, 2, 4, 8)]
     rows = rows.select("branch", "p_tree", "p_star", "q0", "q1", "q2", "q3", "n0", "n1", "n2", *(x.alias(f"x{i}") for i, x in enumerate(by_code)))
     best = rows.groupBy("branch").agg(F.min(F.struct("x0", "x1", "x2", "x3")).alias("s")).select("branch", "s.*")
     for i in range(4):

@@ -30,10 +30,11 @@ def phylip_rows(lines: DataFrame) -> DataFrame:
     parts = F.split(F.trim("value"), r"\s+", 2)
     seq = F.regexp_replace(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), r"\s", "")
     count = F.count("*").over(Window.partitionBy("n_taxa"))
-    checked = F.when(count == F.col("n_taxa"), F.col("n_taxa")).otherwise(F.raise_error(F.concat(F.lit("rows differ from the header: "), count.cast("string"))).cast("int"))
+    # The check is part of the name, which no reader drops.
+    taxon = F.when(count == F.col("n_taxa"), F.get(parts, F.lit(0))).otherwise(F.raise_error(F.concat(F.lit("rows differ from the header: "), count.cast("string"))).cast("string"))
     return rows.select(
-        (F.row_number().over(Window.partitionBy("n_taxa").orderBy("n")) - 1).alias("taxon_id"), F.get(parts, F.lit(0)).alias("taxon"),
-        F.rpad(F.substring(seq, F.lit(1), F.col("n_sites")), F.col("n_sites"), F.lit("-")).alias("seq"), checked.alias("n_taxa"), "n_sites",
+        (F.row_number().over(Window.partitionBy("n_taxa").orderBy("n")) - 1).alias("taxon_id"), taxon.alias("taxon"),
+        F.rpad(F.substring(seq, F.lit(1), F.col("n_sites")), F.col("n_sites"), F.lit("-")).alias("seq"), "n_taxa", "n_sites",
     )
 
 
