@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,17 +15,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import lists_of, slices, tasks
+from ._common import lists_of, slices, tasks, worker_cache
 
 #: Fixed values of the format. Frequencies of a segment add up to 1 << SCALE; a lane's state stays in [1 << 31, 1 << 63)
 #: and moves 32-bit words; a block of BLOCK ids is dealt to LANES lanes in turn.
 SCALE, LOW, BLOCK, LANES = 20, 31, 16384, 32
 #: A segment, which shares one frequency table, ends with the document that brings it to so many ids.
 SEGMENT = 2 << 20
-#: Words whose ids a worker remembers.
-KNOWN = 400_000
+#: Words whose ids a worker remembers, over all its tasks: some 200 bytes each.
+KNOWN = 1_000_000
 #: Unicode's white space, as in a regular expression's class.
 SPACES = "\\x09-\\x0d\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+#: A piece of its own at the end of a word; it and the letters are spelled as themselves.
+ENDINGS = frozenset(",.;:!?")
 #: How byte-level pre-tokenisers cut a text.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 FORMAT = "part int, seq long, n_docs long, n_tokens long, doc_ids binary, lengths binary, symbols binary, freqs binary, block_words binary, block_crcs binary, states binary, words binary"
@@ -161,8 +163,8 @@ class Tokenizer:
         pre = spec.get("pre_tokenizer") or {}
         self.by_word = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True) and not spec.get("normalizer") and not spec.get("truncation")
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.known: dict[bytes, list[int]] = {}
-        self.pieces: dict[str, list[int]] = {}
+        #: Words and pieces, with their ids as 32-bit numbers.
+        self.known: dict[bytes, bytes] = {}
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(printable)]
         #: The characters that byte-level models write bytes as: themselves where printable, else from U+0100 on.
@@ -208,30 +210,39 @@ class Tokenizer:
             out[body & of_whole] = np.concatenate([np.asarray(x, np.int64) for x in rest])
         return out, starts
 
-    def _word(self, word: bytes) -> list[int]:
+    def _piece(self, piece: bytes) -> bytes:
+        spelled = piece.decode("latin-1").translate(self.written)
+        return self._spelled(piece, spelled)
+
+    def _spelled(self, piece: bytes, spelled: str) -> bytes:
+        ids = self.known[piece] = array("I", [t.id for t in self.tk.model.tokenize(spelled)]).tobytes()
+        return ids
+
+    def _word(self, word: bytes) -> bytes:
         """By pieces that are remembered; beyond Latin letters, whose classes any two Unicode versions share, by the library's own."""
-        text, pieces, out = word.decode(), self.pieces, []
-        if not text.isascii() and max(text) > "\u024f":
-            return self._encode([text])[0]
-        for piece in PIECES.findall(text):
-            ids = pieces.get(piece)
-            if ids is None:
-                spelled = piece.encode().decode("latin-1").translate(self.written)
-                ids = pieces[piece] = [t.id for t in self.tk.model.tokenize(spelled)]
-            out += ids
-        return out
+        known, text = self.known, word.decode()
+        start = text[:1] == " "
+        if text.isascii():
+            body = text[start:]
+            mark = self.written[32] if start else ""
+            if body.isalpha():
+                return self._spelled(word, mark + body)
+            if body[-1:] in ENDINGS and body[:-1].isalpha():
+                return (known.get(word[:-1]) or self._spelled(word[:-1], mark + body[:-1])) + (known.get(word[-1:]) or self._spelled(word[-1:], body[-1]))
+        elif max(text) > "\u024f":
+            return array("I", self._encode([text])[0]).tobytes()
+        pieces = [p.encode() for p in PIECES.findall(text)]
+        return b"".join([known.get(p) or self._piece(p) for p in pieces])
 
     def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         known = self.known
-        if new := [w for w in words if w not in known]:
-            if len(known) + len(new) > KNOWN:
-                known.clear()
-                self.pieces.clear()
-                new = list(dict.fromkeys(words))
-            known.update(zip(new, map(self._word, new)))
-        got = [known[w] for w in words]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        return np.fromiter(chain.from_iterable(got), np.int64, sizes.sum()), sizes
+        if len(known) > KNOWN:
+            known.clear()
+        got = [known.get(w) for w in words]
+        for i, ids in enumerate(got):
+            if ids is None:
+                got[i] = known[words[i]] = self._word(words[i])
+        return np.frombuffer(b"".join(got), np.uint32).astype(np.int64), np.fromiter(map(len, got), np.int64, len(got)) // 4
 
 
 def encoded(docs: DataFrame, tokenizer_path: str, end: int | None = 0) -> DataFrame:
@@ -257,7 +268,9 @@ def encoded(docs: DataFrame, tokenizer_path: str, end: int | None = 0) -> DataFr
 
         for batch in batches:
             for some in slices(batch, "text"):
-                tokenizer = tokenizer or Tokenizer(blob.value)
+                if tokenizer is None:
+                    cache, key = worker_cache("tokenizers"), hash(blob.value)
+                    tokenizer = cache[key] = cache.get(key) or Tokenizer(blob.value)
                 ids, starts = tokenizer.ids(pc.fill_null(some.column("text"), "").cast(pa.large_string()), end)
                 # The null doc_id is kept as the least long.
                 kept.append((ids.astype(np.uint32), np.diff(starts).astype("<i8"), np.asarray(pc.fill_null(some.column("doc_id").cast(pa.int64()), -(1 << 63))).astype("<i8")))
