@@ -29,7 +29,7 @@ def block_weights(blocks: DataFrame, site_rows: DataFrame, kernel: bool = True)
 
 def weighted_splits(weights: DataFrame, config: Config) -> DataFrame:
     """Splits of block weights under the configured aggregation."""
-    w = splits.top1(weights) if config.quartformer_top1_only else weights
+    w = splits.top1(weights) if config.top1_only else weights
     if config.aggregate_mode == "batch_only":
         w = w.withColumn("batch", F.floor(F.col("block_id") / config.infer_batch_size))
     return splits.to_splits(splits.aggregated(w, config.aggregate_mode, "batch" if config.aggregate_mode == "batch_only" else "block_id"))

@@ -156,7 +156,7 @@ class Config:
     quartet_assembler: str = "qfm"
     qmc_iter_limit: int = 1
     aggregate_mode: str = "full"
-    quartformer_top1_only: bool = False
+    top1_only: bool = False
     infer_batch_size: int = 4
     compute_branch_support: bool = False
     metric: str = "rf"
@@ -179,5 +179,8 @@ class Config:
             flat |= v if isinstance(v, dict) else {k: v}
         if "run_mode" in flat:
             flat.setdefault("quartet_assembler", flat["run_mode"])
+        # Options may have a scorer's name before them.
         known = {f.name for f in fields(cls)}
+        for k in [k for k in flat if k.endswith("_top1_only")]:
+            flat.setdefault("top1_only", flat[k])
         return cls(**{k: v for k, v in flat.items() if k in known and v is not None})
