@@ -17,9 +17,12 @@ from ._common import dropped, hashes, lists_of, mixed, slices, text_words, windo
 WORDS, SIMILAR = 5, 0.8
 #: Bands of rows: texts of similarity 0.8 share a band with probability 1 - (1 - 0.8**5)**32, all but 3 in a million.
 BANDS, ROWS = 32, 5
-#: All pairs of a bucket of up to so many texts are verified. In larger buckets texts are verified against the first one; where that
-#: fails for any, the bucket is parted by second bands, then third ones, and at last text by text.
-SMALL, LEVELS = 24, 2
+#: In a bucket that verified links don't join and of up to so many texts, pairs are verified one by one; in a larger one, block by block.
+FEW = 8
+#: Texts and bytes of a block, and texts from which on a bucket is first parted by second bands.
+BLOCK, BLOCK_BYTES, HUGE = 512, 16 << 20, 32_768
+#: A pair whose signatures agree in less than this share of places is not verified: 0.8 is over five standard errors above it.
+HOPELESS = 0.62
 
 
 def signatures(elements: np.ndarray, counts: np.ndarray, starts: np.ndarray, m: int) -> np.ndarray:
@@ -91,7 +94,7 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> (doc_id, digest, bands): 64-bit band keys, none for texts without words."""
+    """(doc_id, text) -> (doc_id, digest, bands, signature): 64-bit band keys and 16 bits of each place; none for texts without words."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,9 +108,12 @@ def sketched(docs: DataFrame) -> DataFrame:
                 sizes = np.zeros(part.num_rows, np.int64)
                 sizes[some] = BANDS
                 keys = lists_of(band.reshape(-1).view(np.int64), np.concatenate([[0], np.cumsum(sizes)]), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digest, pa.binary()), keys], ["doc_id", "digest", "bands"])
+                short = np.full(part.num_rows, b"", object)
+                short[some] = [x.tobytes() for x in (mixed(bits.reshape(len(some), BANDS * ROWS)) >> np.uint64(48)).astype("<u2")]
+                cols = [part.column("doc_id"), pa.array(digest, pa.binary()), keys, pa.array(short.tolist(), pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "digest", "bands", "signature"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch, "doc_id long, digest binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch, "doc_id long, digest binary, bands array<long>, signature binary")
 
 
 def _bags(docs: DataFrame) -> DataFrame:
@@ -140,61 +146,160 @@ def similarity(a: bytes, b: bytes) -> float:
     return shared / total if total else 0.0
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b) -> (a, b, similar). Texts of the documents in pairs are joined to both sides."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    bags = written(_bags(docs.join(needed, "doc_id")), "near-bags")
+def _agreeing(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """The pairs whose signatures agree in HOPELESS of their places or more."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(batch.num_rows, BANDS * ROWS) for c in ("sig_a", "sig_b"))
+            near = pa.array((a == b).sum(1) >= HOPELESS * BANDS * ROWS, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(near), batch.column("b").filter(near)], ["a", "b"])
+
+    left = members.select(F.col("doc_id").alias("a"), F.col("signature").alias("sig_a"))
+    right = members.select(F.col("doc_id").alias("b"), F.col("signature").alias("sig_b"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(compare, "a long, b long")
+
+
+def _verified(pairs: DataFrame, members: DataFrame, bags: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose bags are SIMILAR or more."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column("bag_a").to_pylist(), batch.column("bag_b").to_pylist()
             close = pa.array([similarity(x, y) >= SIMILAR for x, y in zip(a, b)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), close], ["a", "b", "similar"])
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(close), batch.column("b").filter(close)], ["a", "b"])
 
+    some = written(_agreeing(pairs, members), "near-pairs")
     left = bags.select(F.col("doc_id").alias("a"), F.col("bag").alias("bag_a"))
     right = bags.select(F.col("doc_id").alias("b"), F.col("bag").alias("bag_b"))
-    found = written(pairs.join(left, "a").join(right, "b").select("a", "b", "bag_a", "bag_b").mapInArrow(verify, "a long, b long, similar boolean"), "near-links")
-    dropped(bags)
+    found = written(some.join(left, "a").join(right, "b").select("a", "b", "bag_a", "bag_b").mapInArrow(verify, "a long, b long"), "near-links")
+    dropped(some)
     return found
 
 
-def links(members: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b): verified links between texts. members: doc_id, bands; docs: doc_id, text, with distinct doc_ids.
+def linked(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, class_id) of the members that have a link. members: doc_id, bands, signature; docs: doc_id, text, with distinct doc_ids.
 
-    Of every bucket the first document is verified against all others, which aggregation finds without a bucket ever
-    meeting in one task. Of small buckets all pairs are. A large bucket in which any link to the first fails is parted: its members
-    meet again under each pair of bands, where similar texts still meet often and others hardly, and so on for LEVELS; then
-    those that failed go on without the first, until none is left, so no member is ever dropped unverified.
+    Every member of a bucket is verified against the bucket's first, which aggregation finds without a bucket ever meeting in one
+    task. What the links found so far join is a class, and a bucket within one class has nothing more to tell. In the others all
+    pairs of different classes are verified: one by one if the bucket has FEW members; else the members are dealt to blocks, each pair
+    of blocks is one task, and a task returns only links that join classes. A HUGE bucket is parted first: its members meet again
+    under each pair of bands, where similar texts still meet often and others hardly. So no pair that meets in a bucket stays
+    unverified unless other links join it or its signatures rule it out, and what is written grows with the rows, not with their square.
     """
-    done: DataFrame | None = None
     rows = members.select(F.col("doc_id").alias("b"), F.explode("bands").alias("key"))
-    level = 0
+    edges: DataFrame | None = None
+    joined: DataFrame | None = None
+    bags: DataFrame | None = None
+    parted = False
     while True:
-        buckets = rows.groupBy("key").agg(F.min("b").alias("a"), F.count("*").alias("n")).filter("n > 1")
+        buckets = rows.groupBy("key").agg(F.min("b").alias("first"), F.count("*").alias("n")).filter("n > 1")
         held = written(rows.join(buckets, "key"), "near-held")
-        small = held.filter(F.col("n") <= SMALL)
-        pairs = held.filter("a < b").select("a", "b").union(
-            small.select("key", F.col("b").alias("a")).join(small.select("key", "b"), "key").filter("a < b").select("a", "b")
-        ).distinct()
-        new = pairs if done is None else pairs.join(done, ["a", "b"], "left_anti")
-        checked = _verified(written(new, "near-pairs"), docs)
-        done = checked if done is None else written(done.union(checked), "near-done")
-        large = held.filter((F.col("n") > SMALL) & (F.col("a") < F.col("b")))
-        failed = large.join(done.filter("not similar").select("a", "b"), ["a", "b"])
-        if level < LEVELS:
-            mixed_keys = failed.select("key").distinct()
-            inside = held.join(mixed_keys, "key").select("key", "b")
-            rows = written(
-                inside.join(members, inside["b"] == members["doc_id"]).select("b", F.explode("bands").alias("band"), "key").filter("band <> key").select("b", F.xxhash64(F.least("key", "band"), F.greatest("key", "band")).alias("key")).distinct(),
-                "near-rows",
-            )
-        else:
-            # Without the first, which all of them failed against.
-            rows = written(failed.select("b", F.xxhash64("key", "a").alias("key")).distinct(), "near-rows")
+        if bags is None:
+            needed = held.select(F.col("b").alias("doc_id")).distinct()
+            bags = written(_bags(docs.join(needed, "doc_id", "left_semi")), "near-bags")
+        pairs = held.filter("first < b").select(F.col("first").alias("a"), "b").distinct()
+        if joined is not None:
+            pairs = _apart(pairs, joined)
+        edges, joined = _more(edges, _verified(pairs, members, bags))
+        of = held.filter("n > 2").join(joined.withColumnRenamed("doc_id", "b"), "b", "left").select("key", "b", F.coalesce("class_id", "b").alias("class_id"), "n")
+        open_ = of.groupBy("key").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).filter("lo < hi").select("key")
+        rest = written(of.join(open_, "key"), "near-rest")
         dropped(held)
-        level += 1
+        few = rest.filter(F.col("n") <= FEW).select("key", F.col("b").alias("x"), F.col("class_id").alias("cx"))
+        other = few.select("key", F.col("x").alias("y"), F.col("cx").alias("cy"))
+        pairs = few.join(other, "key").filter("x < y and cx <> cy").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+        found = _verified(pairs, members, bags)
+        huge = (F.col("n") > HUGE) & F.lit(not parted)
+        found = written(found.union(_joining(rest.filter((F.col("n") > FEW) & ~huge), bags)), "near-links")
+        # A huge bucket's members meet again under its key and each of their other bands.
+        again = rest.filter(huge).select("key", "b").join(members.select(F.col("doc_id").alias("b"), "bands"), "b").select("b", "key", F.explode("bands").alias("band")).filter("band <> key")
+        rows = written(again.select("b", F.xxhash64(F.least("key", "band"), F.greatest("key", "band")).alias("key")).distinct(), "near-rows")
+        edges, joined = _more(edges, found)
+        dropped(rest)
+        parted = True
         if rows.isEmpty():
-            return done.filter("similar").select("a", "b")
+            dropped(bags)
+            return joined
+
+
+def _joining(rest: DataFrame, bags: DataFrame) -> DataFrame:
+    """(key, b, class_id) -> (a, b): links that join classes, from all pairs of different classes within each bucket.
+
+    A bucket's members are dealt to blocks of about BLOCK texts and BLOCK_BYTES bytes; a group is a pair of blocks.
+    """
+    sized = rest.join(bags.select(F.col("doc_id").alias("b"), "bag"), "b").select("key", "b", "class_id", "bag")
+    sizes = rest.join(bags.select(F.col("doc_id").alias("b"), F.octet_length("bag").alias("bytes")), "b").groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    own = sized.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = own.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "b", "class_id", "bag")
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, labels, block = (np.asarray(table.column(c)) for c in ("b", "class_id", "block"))
+        order = np.argsort(ids)
+        ids, labels, block = ids[order], labels[order], block[order]
+        unpacked = [_unpacked(x) for x in table.column("bag").take(pa.array(order)).to_pylist()]
+        shared, weight = overlaps(unpacked)
+        total = weight[:, None] + weight[None, :]
+        near = (shared >= SIMILAR * (total - shared)) & (labels[:, None] != labels[None, :])
+        if table.column("lo")[0] != table.column("hi")[0]:
+            near &= block[:, None] != block[None, :]
+        label = {c: c for c in labels.tolist()}
+
+        def top(c: int) -> int:
+            while label[c] != c:
+                label[c] = c = label[label[c]]
+            return c
+
+        out = []
+        for i, j in np.argwhere(np.triu(near, 1)).tolist():
+            x, y = top(int(labels[i])), top(int(labels[j]))
+            if x != y:
+                label[max(x, y)] = min(x, y)
+                out.append((ids[i], ids[j]))
+        a, b = zip(*out) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return cells.groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long")
+
+
+def overlaps(bags: list[tuple[np.ndarray, np.ndarray | None]], columns: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """(sums of the lesser counts of all pairs of bags, each bag's own sum). A shingle of count c stands for c of count 1."""
+    n = len(bags)
+    size = [len(x) for x, _ in bags]
+    shingle = np.concatenate([np.empty(0, np.uint64), *(x for x, _ in bags)])
+    count = np.concatenate([np.empty(0, np.int64), *(np.ones(len(x), np.int64) if c is None else c for x, c in bags)])
+    of = np.repeat(np.arange(n), size)
+    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    key, of = np.repeat(shingle, count), np.repeat(of, count)
+    key = mixed(key + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    weight = np.bincount(of, minlength=n)
+    _, place, often = np.unique(key, return_inverse=True, return_counts=True)
+    # A shingle of one text overlaps with none.
+    place = np.where(often > 1, np.cumsum(often > 1) - 1, -1)[place]
+    of, place = of[place >= 0], place[place >= 0]
+    order = np.argsort(place, kind="stable")
+    of, place = of[order], place[order]
+    shared = np.zeros((n, n), np.float32)
+    width = int(place[-1]) + 1 if len(place) else 0
+    for start in range(0, width, columns):
+        lo, hi = np.searchsorted(place, [start, start + columns])
+        x = np.zeros((n, min(columns, width - start)), np.float32)
+        x[of[lo:hi], place[lo:hi] - start] = 1
+        shared += x @ x.T
+    np.fill_diagonal(shared, weight)
+    return shared.astype(np.int64), weight
+
+
+def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """The pairs that are not in one class yet."""
+    x, y = (joined.select(F.col("doc_id").alias(c), F.col("class_id").alias(f"c{c}")) for c in "ab")
+    return pairs.join(x, "a", "left").join(y, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
+def _more(edges: DataFrame | None, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(all links so far, the classes they make)."""
+    every = found if edges is None else edges.union(found)
+    return every, classes(every)
 
 
 def classes(edges: DataFrame) -> DataFrame:
@@ -231,16 +336,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = written(sketched(some), "near-sketches")
-    own = sketches.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("digest", "bands")).alias("s")).select("doc_id", "s.*")
+    own = sketches.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("digest", "bands", "signature")).alias("s")).select("doc_id", "s.*")
     own = written(own, "near-own")
     real = own.filter(F.length("digest") > 0)
-    firsts = real.groupBy("digest").agg(F.min("doc_id").alias("copy_of"))
+    # Written, so that the joins below deal both sides anew and a digest of very many copies can be split.
+    firsts = written(real.groupBy("digest").agg(F.min("doc_id").alias("copy_of")), "near-firsts")
     copies = written(own.join(firsts, "digest", "left").select("doc_id", "digest", F.coalesce("copy_of", "doc_id").alias("copy_of")), "near-copies")
-    members = written(own.join(firsts, (own["doc_id"] == firsts["copy_of"]) & (own["digest"] == firsts["digest"])).select("doc_id", "bands"), "near-members")
+    members = written(own.join(firsts, (own["doc_id"] == firsts["copy_of"]) & (own["digest"] == firsts["digest"])).select("doc_id", "bands", "signature"), "near-members")
     dropped(sketches)
     dropped(own)
     texts = some.filter("doc_id is not null and text is not null").join(members.select("doc_id"), "doc_id", "left_semi")
-    found = classes(links(members, texts))
+    found = linked(members, texts)
     found = found.withColumnRenamed("doc_id", "copy_of")
     return copies.join(found, "copy_of", "left").select("doc_id", F.coalesce("class_id", "copy_of").alias("class_id"), "copy_of")
 

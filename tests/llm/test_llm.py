@@ -234,13 +234,23 @@ def test_classes_against_brute_force(spark):
     assert dict(zip(got.doc_id, got.class_id)) == {d: find(d) for d in texts}
 
 
-@pytest.mark.parametrize("few", [1, 8])
-def test_large_buckets_lose_no_link(spark, monkeypatch, few):
-    """A chain of texts, each like the next but not like the first, in common buckets."""
-    monkeypatch.setattr(neardup, "FEW", few)
-    monkeypatch.setattr(neardup, "BANDS", 6)
-    monkeypatch.setattr(neardup, "ROWS", 2)
-    monkeypatch.setattr(neardup, "HOPELESS", 0.0)
+def test_overlaps():
+    rng = np.random.default_rng(1)
+    bags = []
+    for _ in range(30):
+        x = np.unique(rng.integers(0, 60, 25)).astype(np.uint64)
+        bags.append((x, rng.integers(1, 5, len(x)) if rng.random() < 0.7 else None))
+    shared, weight = neardup.overlaps(bags, 7)
+    count = [collections.Counter(dict(zip(x.tolist(), (c if c is not None else np.ones(len(x), int)).tolist()))) for x, c in bags]
+    assert (shared == [[sum((a & b).values()) for b in count] for a in count]).all() and weight.tolist() == [sum(a.values()) for a in count]
+    assert neardup.overlaps([])[0].shape == (0, 0)
+
+
+@pytest.mark.parametrize("few, block, huge", [(1, 4, 1 << 20), (1, 512, 10), (64, 512, 1 << 20)])
+def test_large_buckets_lose_no_link(spark, monkeypatch, few, block, huge):
+    """A chain of texts, each like the next but not like the first, in common buckets: pair by pair, by blocks, parted."""
+    for name, value in (("FEW", few), ("BLOCK", block), ("HUGE", huge), ("BANDS", 6), ("ROWS", 2), ("HOPELESS", 0.0)):
+        monkeypatch.setattr(neardup, name, value)
     base, texts = words(300, 7, 5000), {}
     for k in range(30):
         base = base[4:] + [f"n{k}_{i}" for i in range(4)]
