@@ -17,7 +17,7 @@ FIT_ROWS = 8192
 #: Trees, and sample rows up to which a node is a leaf.
 TREES, LEAF = 12, 24
 #: A query's search goes on until the leaves it has met hold this share of a tree's sample rows, counted over all trees.
-SHARE = 2.4
+SHARE = 1.5
 
 
 @dataclass
