@@ -94,7 +94,8 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> (doc_id, digest, bands, signature): 64-bit band keys and 16 bits of each place; none for texts without words."""
+    """(doc_id, text) -> (doc_id, digest, bands, signature, size): 64-bit band keys, 16 bits of each place, none for texts without words;
+    size is the number of distinct shingles."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,10 +111,10 @@ def sketched(docs: DataFrame) -> DataFrame:
                 keys = lists_of(band.reshape(-1).view(np.int64), np.concatenate([[0], np.cumsum(sizes)]), pa.int64())
                 short = np.full(part.num_rows, b"", object)
                 short[some] = [x.tobytes() for x in (mixed(bits.reshape(len(some), BANDS * ROWS)) >> np.uint64(48)).astype("<u2")]
-                cols = [part.column("doc_id"), pa.array(digest, pa.binary()), keys, pa.array(short.tolist(), pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "digest", "bands", "signature"])
+                cols = [part.column("doc_id"), pa.array(digest, pa.binary()), keys, pa.array(short.tolist(), pa.binary()), pa.array(np.diff(starts), pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "digest", "bands", "signature", "size"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch, "doc_id long, digest binary, bands array<long>, signature binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch, "doc_id long, digest binary, bands array<long>, signature binary, size long")
 
 
 def _bags(docs: DataFrame) -> DataFrame:
@@ -178,7 +179,7 @@ def _verified(pairs: DataFrame, members: DataFrame, bags: DataFrame) -> DataFram
 
 
 def linked(members: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id) of the members that have a link. members: doc_id, bands, signature; docs: doc_id, text, with distinct doc_ids.
+    """(doc_id, class_id) of the members that have a link. members: doc_id, bands, signature, size; docs: doc_id, text, with distinct doc_ids.
 
     Every member of a bucket is verified against the bucket's first, which aggregation finds without a bucket ever meeting in one
     task. What the links found so far join is a class, and a bucket within one class has nothing more to tell. In the others all
@@ -187,7 +188,7 @@ def linked(members: DataFrame, docs: DataFrame) -> DataFrame:
     under each pair of bands, where similar texts still meet often and others hardly. So no pair that meets in a bucket stays
     unverified unless other links join it or its signatures rule it out, and what is written grows with the rows, not with their square.
     """
-    rows = members.select(F.col("doc_id").alias("b"), F.explode("bands").alias("key"))
+    rows = members.select(F.col("doc_id").alias("b"), "size", F.explode("bands").alias("key"))
     edges: DataFrame | None = None
     joined: DataFrame | None = None
     bags: DataFrame | None = None
@@ -202,7 +203,7 @@ def linked(members: DataFrame, docs: DataFrame) -> DataFrame:
         if joined is not None:
             pairs = _apart(pairs, joined)
         edges, joined = _more(edges, _verified(pairs, members, bags))
-        of = held.filter("n > 2").join(joined.withColumnRenamed("doc_id", "b"), "b", "left").select("key", "b", F.coalesce("class_id", "b").alias("class_id"), "n")
+        of = held.filter("n > 2").join(joined.withColumnRenamed("doc_id", "b"), "b", "left").select("key", "b", F.coalesce("class_id", "b").alias("class_id"), "n", "size")
         open_ = of.groupBy("key").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).filter("lo < hi").select("key")
         rest = written(of.join(open_, "key"), "near-rest")
         dropped(held)
@@ -213,8 +214,8 @@ def linked(members: DataFrame, docs: DataFrame) -> DataFrame:
         huge = (F.col("n") > HUGE) & F.lit(not parted)
         found = written(found.union(_joining(rest.filter((F.col("n") > FEW) & ~huge), bags)), "near-links")
         # A huge bucket's members meet again under its key and each of their other bands.
-        again = rest.filter(huge).select("key", "b").join(members.select(F.col("doc_id").alias("b"), "bands"), "b").select("b", "key", F.explode("bands").alias("band")).filter("band <> key")
-        rows = written(again.select("b", F.xxhash64(F.least("key", "band"), F.greatest("key", "band")).alias("key")).distinct(), "near-rows")
+        again = rest.filter(huge).select("key", "b", "size").join(members.select(F.col("doc_id").alias("b"), "bands"), "b").select("b", "size", "key", F.explode("bands").alias("band")).filter("band <> key")
+        rows = written(again.select("b", "size", F.xxhash64(F.least("key", "band"), F.greatest("key", "band")).alias("key")).distinct(), "near-rows")
         edges, joined = _more(edges, found)
         dropped(rest)
         parted = True
@@ -224,13 +225,14 @@ def linked(members: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _joining(rest: DataFrame, bags: DataFrame) -> DataFrame:
-    """(key, b, class_id) -> (a, b): links that join classes, from all pairs of different classes within each bucket.
+    """(key, b, class_id, size) -> (a, b): links that join classes, from all pairs of different classes within each bucket.
 
     A bucket's members are dealt to blocks of about BLOCK texts and BLOCK_BYTES bytes; a group is a pair of blocks.
     """
-    sized = rest.join(bags.select(F.col("doc_id").alias("b"), "bag"), "b").select("key", "b", "class_id", "bag")
-    sizes = rest.join(bags.select(F.col("doc_id").alias("b"), F.octet_length("bag").alias("bytes")), "b").groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    own = sized.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sizes = rest.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") * 12 / BLOCK_BYTES)).cast("int").alias("blocks"))
+    dealt = rest.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+    sized = dealt.join(bags.select(F.col("doc_id").alias("b"), "bag"), "b")
+    own = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = own.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "b", "class_id", "bag")
 
     def compare(table: pa.Table) -> pa.Table:
@@ -336,13 +338,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = written(sketched(some), "near-sketches")
-    own = sketches.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("digest", "bands", "signature")).alias("s")).select("doc_id", "s.*")
+    own = sketches.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("digest", "bands", "signature", "size")).alias("s")).select("doc_id", "s.*")
     own = written(own, "near-own")
     real = own.filter(F.length("digest") > 0)
     # Written, so that the joins below deal both sides anew and a digest of very many copies can be split.
     firsts = written(real.groupBy("digest").agg(F.min("doc_id").alias("copy_of")), "near-firsts")
     copies = written(own.join(firsts, "digest", "left").select("doc_id", "digest", F.coalesce("copy_of", "doc_id").alias("copy_of")), "near-copies")
-    members = written(own.join(firsts, (own["doc_id"] == firsts["copy_of"]) & (own["digest"] == firsts["digest"])).select("doc_id", "bands", "signature"), "near-members")
+    members = written(own.join(firsts, (own["doc_id"] == firsts["copy_of"]) & (own["digest"] == firsts["digest"])).select("doc_id", "bands", "signature", "size"), "near-members")
     dropped(sketches)
     dropped(own)
     texts = some.filter("doc_id is not null and text is not null").join(members.select("doc_id"), "doc_id", "left_semi")
