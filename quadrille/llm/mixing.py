@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +15,6 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Sampling keys are cut into so many bins a source; only the bin that holds a source's budget is sorted.
 BINS = 1024
-#: Documents of a source that are tried, in order, to fill what is missing at the end.
-FILL = 64
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -54,68 +54,66 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
 
     A source with target T and size S is taken whole floor(T / S) times; the rest R is sampled without
     replacement after Efraimidis and Spirakis: a document's key is an exponential variate, made from a digest of
-    seed and doc_id, over its quality weight; in ascending order of key, documents are taken while the sum of their
-    sizes is within R. Of the next FILL that are no larger than what is still missing, those that still fit follow in the
-    same order, so that whole documents come near the target.
-
-    Sums per source and key bin are pre-aggregated; the budget's bin is found on those sums and only that bin is
-    sorted, so no task gets a whole source. Nulls: a null text has size 0; null sources are one source, last in
-    order; a null doc_id has the key of an empty string. Repeated rows are documents of their own and stay together in order.
-    An empty table gives an empty result. Documents of size 0 are taken 0 words.
+    seed and doc_id, over its quality weight; in ascending order of key, each document is taken that is no larger than what is
+    still missing, until no document left is, so that whole documents come near the target.
+
+    This goes in rounds. In a round documents larger than the gap are set aside, for they can never fit again, and the others are
+    taken up to the first that overshoots it. Sums per source and key bin are pre-aggregated; the bin of that document is
+    found on those sums and only that bin is sorted, so no task gets a whole source. The next round goes on after
+    that document with what is then missing; a few rounds are usual, and there are never more than documents that overshoot. Nulls: a
+    null text has size 0; null sources are one source, last in order; a null doc_id has the key of an empty string.
+    Repeated rows are documents of their own and are all taken or none. An empty table gives an empty result. Documents of
+    size 0 are taken 0 words.
     """
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    rows = written(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size"), (-F.log(u) / quality(F.col("text"))).alias("key")), "mix-sizes"
-    ).withColumn("bin", F.least(F.lit(BINS - 1), F.floor((1 - F.exp(-F.col("key"))) * BINS)).cast("int"))
+    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size"), (-F.log(u) / quality(F.col("text"))).alias("key"))
+    # Repeated rows are one row of their sizes' sum.
+    rows = written(each.groupBy("source", "doc_id", "size", "key").agg(F.count("*").alias("copies")).withColumn("all", F.col("size") * F.col("copies")), "mix-sizes").withColumn(
+        "bin", F.least(F.lit(BINS - 1), F.floor((1 - F.exp(-F.col("key"))) * BINS)).cast("int")
+    )
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
 
-    bins = written(rows.groupBy("source", "bin").agg(F.sum("size").alias("size")), "mix-bins")
-    wanted = targets(bins.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    plan = wanted.withColumn("epochs", F.coalesce(F.floor(F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size"))), F.lit(0)).cast("int")).withColumn(
-        "budget", F.floor(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")
-    )
-    up = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = bins.withColumn("sum", F.sum("size").over(up))
-    edge = (
-        sums.join(plan.select(F.col("source").alias("s"), "budget"), same("source", "s"))
-        .filter(F.col("sum") > F.col("budget"))
-        .groupBy("source")
-        .agg(F.min_by(F.struct("bin", (F.col("sum") - F.col("size")).alias("before")), "bin").alias("edge"))
-        .select(F.col("source").alias("s"), "edge.*")
-    )
-    plan = written(plan.join(edge.withColumnRenamed("bin", "edge"), same("source", "s"), "left").drop("s").withColumnRenamed("source", "s"), "mix-plan")
-
-    held = rows.join(plan, same("source", "s")).drop("s")
-    # Repeated rows are peers in this frame: all of them are taken or none.
-    order = Window.partitionBy("source").orderBy("key", "doc_id", "size").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    at_edge = held.filter(F.col("bin") == F.col("edge")).withColumn("sum", F.col("before") + F.sum("size").over(order))
-    cut = at_edge.filter(F.col("sum") <= F.col("budget")).groupBy("source").agg(F.max(F.struct("key", "doc_id", "size")).alias("last"), F.max("sum").alias("got"))
-    # What is missing, and the documents after the cut that fill it.
-    gaps = plan.filter("budget > 0").join(cut.withColumnRenamed("source", "c"), same("s", "c"), "left").select(
-        "s", F.col("edge").alias("e"), "last", (F.col("budget") - F.coalesce("got", "before", F.lit(0))).alias("gap")
-    )
-    after = (F.col("bin") > F.col("e")) | ((F.col("bin") == F.col("e")) & (F.col("last").isNull() | (F.struct("key", "doc_id", "size") > F.col("last"))))
-    # Repeated rows are one candidate of their sizes' sum.
-    fitting = rows.join(gaps, same("source", "s")).filter(after & F.col("size").between(1, F.col("gap"))).groupBy("source", "gap", "key", "doc_id", "size").agg(F.sum("size").alias("all"))
-    first = fitting.filter("all <= gap").withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("key", "doc_id", "size"))).filter(F.col("n") <= FILL)
-    taken = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("key", "doc_id", "size", "all"))),
-        F.struct(F.col("gap").alias("left"), F.array().cast("array<struct<key:double,doc_id:bigint,size:bigint>>").alias("got")),
-        lambda acc, x: F.when(x["all"] <= acc["left"], F.struct((acc["left"] - x["all"]).alias("left"), F.concat(acc["got"], F.array(F.struct(x["key"].alias("key"), x["doc_id"].alias("doc_id"), x["size"].alias("size")))).alias("got"))).otherwise(acc),
-        lambda acc: acc["got"],
-    )
-    extra = first.groupBy("source", "gap").agg(taken.alias("x"))
-    chosen = plan.select("s", "source_size", "target", "epochs", "budget", "edge").join(
-        cut.select(F.col("source").alias("c"), "last"), same("s", "c"), "left"
-    ).join(extra.select(F.col("source").alias("x_s"), "x"), same("s", "x_s"), "left").drop("c", "x_s")
-    me = F.struct("key", "doc_id", "size")
-    part = (
-        (F.col("budget") > 0)
-        & ((F.col("bin") < F.coalesce("edge", F.lit(BINS))) | F.coalesce((F.col("bin") == F.col("edge")) & (me <= F.col("last")), F.lit(False)) | F.coalesce(F.array_contains("x", me), F.lit(False)))
+    wanted = targets(rows.groupBy("source").agg(F.sum("all").alias("source_size")), weights, most)
+    epochs = F.coalesce(F.floor(F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size"))), F.lit(0)).cast("int")
+    plan = wanted.withColumn("epochs", epochs).select(F.col("source").alias("s"), "source_size", "target", "epochs", F.floor(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long").alias("gap"))
+    me = F.struct("bin", "key", "doc_id", "size")
+    place = "struct<bin:int,key:double,doc_id:bigint,size:bigint>"
+    # Spans: what each round took, which is all of `most` or less after one document and before another; null is no bound.
+    plan = written(plan.withColumn("at", F.lit(None).cast(place)).withColumn("spans", F.array().cast(f"array<struct<after:{place},before:{place},most:bigint>>")), "mix-plan")
+    while not plan.filter("gap > 0").isEmpty():
+        plan = written(_round(rows, plan, me, same), "mix-plan")
+
+    inside = lambda x: (F.col("all") <= x["most"]) & F.coalesce(me > x["after"], F.lit(True)) & F.coalesce(me < x["before"], F.lit(True))
+    times = F.col("epochs") + F.exists("spans", inside).cast("int")
+    return (
+        rows.join(plan, same("source", "s"))
+        .withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+        .select("doc_id", "source", "size", "source_size", "target", "epochs", (F.col("size") * times).cast("long").alias("taken"))
     )
-    return rows.join(chosen, same("source", "s")).select(
-        "doc_id", "source", "size", "source_size", "target", "epochs", (F.col("size") * (F.col("epochs") + part.cast("int"))).cast("long").alias("taken")
+
+
+def _round(rows: DataFrame, plan: DataFrame, me: Column, same: Callable[[str, str], Column]) -> DataFrame:
+    """The plan after one more round: a span for each source that has a gap, and the gap and place that remain."""
+    open_ = plan.filter("gap > 0").select("s", "gap", "at")
+    fitting = rows.join(open_, same("source", "s")).filter(F.col("all").between(1, F.col("gap")) & (F.col("at").isNull() | (me > F.col("at"))))
+    up = Window.partitionBy("s").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = fitting.groupBy("s", "gap", "bin").agg(F.sum("all").alias("size")).withColumn("sum", F.sum("size").over(up))
+    edge = written(
+        sums.filter(F.col("sum") > F.col("gap")).groupBy("s").agg(F.min_by(F.struct("bin", (F.col("sum") - F.col("size")).alias("before")), "bin").alias("e")).select(F.col("s").alias("e_s"), F.col("e.bin").alias("edge"), "e.before"),
+        "mix-edge",
     )
+    order = Window.partitionBy("s").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at_edge = fitting.join(edge, same("s", "e_s") & (F.col("bin") == F.col("edge"))).withColumn("sum", F.col("before") + F.sum("all").over(order))
+    over = F.col("sum") > F.col("gap")
+    cut = at_edge.groupBy("s", "before").agg(F.min(F.when(over, me)).alias("next"), F.max(F.when(~over, F.col("sum"))).alias("got"))
+    cut = cut.select(F.col("s").alias("c"), "next", F.coalesce("got", "before").alias("got"))
+    took = F.array(F.struct(F.col("at").alias("after"), F.col("next").alias("before"), F.col("gap").alias("most")))
+    return plan.join(cut, same("s", "c"), "left").select(
+        "s", "source_size", "target", "epochs",
+        F.when(F.col("next").isNotNull(), F.col("gap") - F.col("got")).otherwise(0).alias("gap"),
+        F.col("next").alias("at"),
+        F.when(F.col("gap") > 0, F.concat("spans", took)).otherwise(F.col("spans")).alias("spans"),
+    )
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:

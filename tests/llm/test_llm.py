@@ -311,6 +311,26 @@ def test_mix(spark):
     assert copies.columns == docs.columns and copies.count() == int((got.taken // got["size"]).sum())
 
 
+def test_mix_fills_whole_gap(spark):
+    """A very long document at the cut ends nothing: what a walk in order of key takes, document by document, is taken."""
+    key = lambda i: -math.log((int(hashlib.md5(f"mix-1:{i}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52))
+    order = sorted(range(300), key=key)
+    long_ids = [i for i in range(1000, 5000) if key(order[20]) < key(i) < key(order[30])][:1]
+    # One of the copies of a repeated row doesn't fit alone.
+    b = [(i, 5000, 1) for i in long_ids] + [(i, 15 + i % 11, 1 + (i % 50 == 0)) for i in range(300)]
+    rows = [(i, "wort " * n, "en", "b", 1) for i, n, k in b for _ in range(k)] + [(9000 + i, "wort " * 50, "en", "a", 1) for i in range(100)]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS)).toPandas()
+    got = got[got.source == "b"]
+    size = collections.Counter({"a": 5000, "b": sum(n * k for _, n, k in b)})
+    left, want = math.floor(target_of(size)["b"]), set()
+    for i, n, k in sorted(b, key=lambda x: key(x[0])):
+        if n * k <= left:
+            left -= n * k
+            want.add(i)
+    assert set(got[got.taken > 0].doc_id) == want and len(got) == sum(k for _, _, k in b) and (got.epochs == 0).all()
+    assert sum(key(order[30]) < key(i) for i in want) > 64
+
+
 def test_mix_edges(spark, odd, none):
     got = mixing.mix(odd).toPandas()
     assert len(got) == odd.count() and (got[got["size"] == 0].taken == 0).all()
