@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +16,6 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 SUPPORT, PAGES, CONFIDENCE = 0.002, 10, 0.6
 #: A rule is dropped unless its confidence beats that of every shorter rule within it by so much.
 GAIN = 0.02
-#: Tokens a URL; a URL of more is tokenised whole, but itemsets are mined from the first so many distinct ones in order of name.
-MINED_TOKENS = 24
-BAD = "label:bad"
 
 
 def host_of(url: Column) -> Column:
@@ -42,18 +39,40 @@ def tokens(host: Column, path: Column) -> Column:
 def mined(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """Association rules (rule_id, antecedent, size, confidence) whose consequent is a bad label.
 
-    pages: page_id, url. labels: doc_id, quality (0: bad); a page has the label of the same id. Spark's FP-growth counts
-    over all labelled pages. The number of frequent items, and so of rules, is bounded by tokens a page / support.
+    pages: page_id, url. labels: doc_id, quality (0: bad); a page has the label of the same id. All labelled pages and all
+    their tokens count. The rules are those that FP-growth and the prune by GAIN leave, mined by levels, since FP-growth makes all
+    subsets of tokens that go together, 2 ** 30 for a host of 30 labels. An itemset that as many pages have as one of its
+    parts is never a rule, for the part has its confidence; nor is one with a part whose confidence no longer rule can beat by
+    GAIN. Both hold for all larger itemsets too, so none is made from these. The number of itemsets of a level is bounded by
+    itemsets a page / support.
     """
     bad = labels.filter("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     seen = pages.filter("url is not null").join(bad, F.col("page_id") == F.col("doc_id")).select(
-        tokens(host_of(F.col("url")), path_of(F.col("url"))).alias("items"), (F.col("quality") == 0).alias("bad")
+        tokens(host_of(F.col("url")), path_of(F.col("url"))).alias("items"), (F.col("quality") == 0).cast("long").alias("bad")
     )
-    baskets = seen.select(F.concat(F.slice(F.array_sort("items"), 1, MINED_TOKENS), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
-    baskets = written(baskets, "url-baskets")
-    least = min(1.0, max(support, PAGES / max(1, baskets.count())))
-    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=confidence).fit(baskets)
-    found = model.associationRules.filter(F.col("consequent") == F.array(F.lit(BAD))).select(F.array_sort("antecedent").alias("antecedent"), "confidence", F.size("antecedent").alias("size"))
+    seen = written(seen.groupBy(F.array_sort("items").alias("items")).agg(F.count("*").alias("n"), F.sum("bad").alias("bad")), "url-baskets")
+    total = seen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    need = max(1, math.ceil(min(1.0, max(support, PAGES / max(1, total))) * total))
+    counted = lambda sets: sets.groupBy("set").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).filter(F.col("bad") >= need)
+    rated = lambda sets: sets.withColumn("confidence", F.col("bad") / F.col("n")).withColumn("open", (F.col("confidence") < confidence) | (F.col("confidence") + GAIN < 1))
+
+    level = written(rated(counted(seen.select(F.explode(F.transform("items", lambda t: F.array(t))).alias("set"), "n", "bad"))), "url-sets")
+    # Baskets of tokens that may be in a longer rule, with the itemsets of the level that each has.
+    own = F.broadcast(level.filter("open").select(F.col("set")[0].alias("token")))
+    kept = seen.withColumn("id", F.monotonically_increasing_id()).select("id", "n", "bad", F.explode("items").alias("token")).join(own, "token")
+    baskets = kept.groupBy("id", "n", "bad").agg(F.array_sort(F.collect_list("token")).alias("kept")).groupBy("kept").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    held = written(baskets.withColumn("set", F.explode(F.transform("kept", lambda t: F.array(t)))), "url-held")
+    found = level
+    while not held.isEmpty():
+        longer = held.withColumn("token", F.explode(F.filter("kept", lambda t: t > F.element_at("set", -1)))).select("kept", "n", "bad", F.concat("set", F.array("token")).alias("set"))
+        sets = counted(longer)
+        parts = sets.withColumn("part", F.explode(F.transform("set", lambda t: F.array_remove("set", t))))
+        shorter = F.broadcast(level.filter("open").select(F.col("set").alias("part"), F.col("n").alias("of")))
+        free = parts.join(shorter, "part").groupBy("set", "n", "bad").agg(F.count("*").alias("parts"), F.min("of").alias("of")).filter((F.col("parts") == F.size("set")) & (F.col("of") > F.col("n")))
+        level = written(rated(free.select("set", "n", "bad")), "url-sets")
+        found = found.union(level)
+        held = written(longer.join(F.broadcast(level.filter("open").select("set")), "set", "left_semi"), "url-held")
+    found = found.filter(F.col("confidence") >= confidence).select(F.col("set").alias("antecedent"), "confidence", F.size("set").alias("size"))
     short, long = found.alias("a"), found.alias("b")
     covered = long.join(
         short,

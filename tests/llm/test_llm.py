@@ -136,6 +136,40 @@ def test_mined_rules(spark):
         assert (r.verdict == "block") == any(s <= have for s in sets)
 
 
+def test_mined_rules_of_long_urls(spark):
+    """Tokens late in the alphabet count however many a URL has, also where very many go together."""
+    label = lambda tag, n: ".".join(f"{tag}{k:02d}" for k in range(n))
+    urls_of = [(f"http://{label(f'u{i}x', 26)}/{'bad' if i % 2 else 'good'}/z", i % 2) for i in range(80)]
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(urls_of)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1 - b, 0) for i, (_, b) in enumerate(urls_of)], "doc_id long, quality int, toxic int")
+    assert [tuple(r["antecedent"]) for r in urls.mined(pages, labels).collect()] == [("p:bad",)]
+    assert {(r["page_id"] % 2, r["verdict"]) for r in urls.filtered(spark, pages, labels).collect()} == {(1, "block"), (0, "allow")}
+    # 30 labels of one host go together on bad pages and, but for the last, on good ones; nothing longer than needed is mined.
+    rows = [(f"http://{label('c', 30)}/x", 0)] * 30 + [(f"http://{label('c', 29)}/x", 1)] * 15 + [("http://c29/y", 1)] * 15
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, q, 0) for i, (_, q) in enumerate(rows)], "doc_id long, quality int, toxic int")
+    got = {tuple(r["antecedent"]): r["confidence"] for r in urls.mined(pages, labels).collect()}
+    every = [f"h:c{k:02d}" for k in range(29)] + ["p:x"]
+    assert got == {(t,): 30 / 45 for t in [*every, "h:c29"]} | {tuple(sorted((t, "h:c29"))): 1.0 for t in every}
+
+
+def test_mined_rules_against_all_itemsets(spark):
+    rng = np.random.default_rng(8)
+    baskets = [([t for t in "abcdef" if rng.random() < 0.5], bool(rng.random() < 0.4)) for _ in range(300)]
+    baskets = [(x, bad or {"a", "c"} <= set(x) and rng.random() < 0.7) for x, bad in baskets]
+    pages = spark.createDataFrame([(i, "http:///" + "/".join(x)) for i, (x, _) in enumerate(baskets)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0 if bad else 1, 0) for i, (_, bad) in enumerate(baskets)], "doc_id long, quality int, toxic int")
+    rules = {}
+    for k in range(1, 7):
+        for s in itertools.combinations("abcdef", k):
+            has = [bad for x, bad in baskets if set(s) <= set(x)]
+            if sum(has) >= 10 and sum(has) / len(has) >= 0.6:
+                rules[s] = sum(has) / len(has)
+    want = {s: c for s, c in rules.items() if not any(set(r) < set(s) and d + urls.GAIN >= c for r, d in rules.items())}
+    got = {tuple(t[2:] for t in r["antecedent"]): r["confidence"] for r in urls.mined(pages, labels).collect()}
+    assert got == want and max(map(len, want)) > 1
+
+
 # ---- 3: SentencePiece
 
 
