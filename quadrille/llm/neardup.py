@@ -185,13 +185,15 @@ def linked(members: DataFrame, docs: DataFrame) -> DataFrame:
     task. What the links found so far join is a class, and a bucket within one class has nothing more to tell. In the others all
     pairs of different classes are verified: one by one if the bucket has FEW members; else the members are dealt to blocks, each pair
     of blocks is one task, and a task returns only links that join classes. A HUGE bucket is parted first: its members meet again
-    under each pair of bands, where similar texts still meet often and others hardly. So no pair that meets in a bucket stays
+    under each pair of bands, where similar texts still meet often and others hardly, and what the links found there leave open
+    goes to blocks like other buckets. So no pair that meets in a bucket stays
     unverified unless other links join it or its signatures rule it out, and what is written grows with the rows, not with their square.
     """
     rows = members.select(F.col("doc_id").alias("b"), "size", F.explode("bands").alias("key"))
     edges: DataFrame | None = None
     joined: DataFrame | None = None
     bags: DataFrame | None = None
+    late: DataFrame | None = None
     parted = False
     while True:
         buckets = rows.groupBy("key").agg(F.min("b").alias("first"), F.count("*").alias("n")).filter("n > 1")
@@ -203,9 +205,7 @@ def linked(members: DataFrame, docs: DataFrame) -> DataFrame:
         if joined is not None:
             pairs = _apart(pairs, joined)
         edges, joined = _more(edges, _verified(pairs, members, bags))
-        of = held.filter("n > 2").join(joined.withColumnRenamed("doc_id", "b"), "b", "left").select("key", "b", F.coalesce("class_id", "b").alias("class_id"), "n", "size")
-        open_ = of.groupBy("key").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).filter("lo < hi").select("key")
-        rest = written(of.join(open_, "key"), "near-rest")
+        rest = written(_open(held.filter("n > 2").select("key", "b", "n", "size"), joined), "near-rest")
         dropped(held)
         few = rest.filter(F.col("n") <= FEW).select("key", F.col("b").alias("x"), F.col("class_id").alias("cx"))
         other = few.select("key", F.col("x").alias("y"), F.col("cx").alias("cy"))
@@ -217,13 +217,24 @@ def linked(members: DataFrame, docs: DataFrame) -> DataFrame:
         again = rest.filter(huge).select("key", "b", "size").join(members.select(F.col("doc_id").alias("b"), "bands"), "b").select("b", "size", "key", F.explode("bands").alias("band")).filter("band <> key")
         rows = written(again.select("b", "size", F.xxhash64(F.least("key", "band"), F.greatest("key", "band")).alias("key")).distinct(), "near-rows")
         edges, joined = _more(edges, found)
+        if not parted:
+            late = written(rest.filter(huge).select("key", "b", "n", "size"), "near-late")
         dropped(rest)
         parted = True
         if rows.isEmpty():
+            if not late.isEmpty():
+                edges, joined = _more(edges, written(_joining(written(_open(late, joined), "near-rest"), bags), "near-links"))
             dropped(bags)
             return joined
 
 
+def _open(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """(key, b, n, size) -> (key, b, class_id, n, size) of the buckets that aren't within one class."""
+    of = rows.join(joined.withColumnRenamed("doc_id", "b"), "b", "left").select("key", "b", F.coalesce("class_id", "b").alias("class_id"), "n", "size")
+    open_ = of.groupBy("key").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).filter("lo < hi").select("key")
+    return of.join(open_, "key")
+
+
 def _joining(rest: DataFrame, bags: DataFrame) -> DataFrame:
     """(key, b, class_id, size) -> (a, b): links that join classes, from all pairs of different classes within each bucket.
 

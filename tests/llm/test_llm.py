@@ -293,6 +293,16 @@ def test_large_buckets_lose_no_link(spark, monkeypatch, few, block, huge):
     assert set(got.class_id) == {0}
 
 
+def test_huge_bucket_verifies_pairs_without_second_band(spark, monkeypatch):
+    for name, value in (("FEW", 2), ("BLOCK", 2), ("HUGE", 4)):
+        monkeypatch.setattr(neardup, name, value)
+    texts = {i: " ".join(words(60, 50 + i, 5000)) for i in range(6)}
+    texts[4] = texts[3] + " more"
+    members = spark.createDataFrame([(i, [7, 100 + i], bytes(2 * neardup.BANDS * neardup.ROWS), 60) for i in texts], "doc_id long, bands array<long>, signature binary, size long")
+    got = neardup.linked(members, spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {(r["doc_id"], r["class_id"]) for r in got.collect()} == {(3, 3), (4, 3)}
+
+
 def test_near_duplicates_edges(spark, odd, none):
     got = neardup.near_duplicates(odd).toPandas().set_index("doc_id")
     assert got.class_id.to_dict() == {d: d for d in range(1, 7)}
