@@ -34,9 +34,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, and the ids of each document with the source spans of their pieces."""
-    done = spm.encoded(docs, public_tokenizers.path("piece_bpe_32k.model"), decode=False, keep=("lang", "source"))
-    return done.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "begins", "ends")
+    """doc_id, lang, source, the ids of each document with the source spans of their pieces, and a digest of the text decoded from them."""
+    done = spm.encoded(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=("lang", "source"))
+    return done.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "begins", "ends", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -616,6 +616,14 @@ def test_op3_op8_op10(spark, sf_dir):
         start += len(ids)
 
 
+def test_pipeline_decodes(spark, odd):
+    import corpus_pipeline as p
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=SPM)
+    want = sorted(hashlib.sha256(sp.decode(sp.encode(r["text"] or "")).encode()).hexdigest() for r in odd.collect())
+    assert sorted(r["decoded_sha256"] for r in p.tokenised(spark, odd, "").collect()) == want
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as p
 
