@@ -400,7 +400,7 @@ def gene_tree_factors(spark, sf_dir):
 def block_design(spark, sf_dir):
     """Blocks of 24 over all customers' nations and regions, 30 taxa."""
     n = fixtures.table(spark, sf_dir, "nation").count() + fixtures.table(spark, sf_dir, "region").count()
-    return design.design(spark, n, 2.5).select("block_id", F.explode("members").alias("taxon"))
+    return design.design(spark, n).select("block_id", F.explode("members").alias("taxon"))
 
 
 @query(f"{WITH_SPLITS} SELECT * FROM splits")

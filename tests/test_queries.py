@@ -36,3 +36,10 @@ def test_entry(spark):
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).columns == ["a", "b", "c", "d", "w"]
+
+
+def test_block_design_holds_all_taxa(spark, sf_dir):
+    import __spark_entry__
+
+    rows = __spark_entry__.queries()["block_design"](spark, sf_dir).collect()
+    assert {r["taxon"] for r in rows} == set(range(30)) and len({r["block_id"] for r in rows}) == 3
