@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from ..sources.tables import written  # noqa: F401
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text handled at a time inside a Python worker; a longer single document is handled alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def dropped(df: DataFrame) -> None:
@@ -39,6 +40,32 @@ def worker_cache(name: str) -> dict:
     return held.__dict__.setdefault(name, {})
 
 
+def released() -> None:
+    """Gives memory that this worker has freed back to the system: workers outlive tasks, and Spark keeps several."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f for mapInArrow; freed memory is given back after each of its batches and at the end of the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def passed() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch
+                del batch
+                released()
+
+        try:
+            yield from f(passed())
+        finally:
+            released()
+
+    return run
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

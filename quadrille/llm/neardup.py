@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import dropped, hashes, lists_of, mixed, slices, text_words, window_hashes, written
+from ._common import dropped, hashes, lists_of, mixed, slices, text_words, tidy, window_hashes, written
 
 #: Words a shingle, and weighted Jaccard similarity from which two texts are linked.
 WORDS, SIMILAR = 5, 0.8
@@ -114,7 +114,7 @@ def sketched(docs: DataFrame) -> DataFrame:
                 cols = [part.column("doc_id"), pa.array(digest, pa.binary()), keys, pa.array(short.tolist(), pa.binary()), pa.array(np.diff(starts), pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "digest", "bands", "signature", "size"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch, "doc_id long, digest binary, bands array<long>, signature binary, size long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(sketch), "doc_id long, digest binary, bands array<long>, signature binary, size long")
 
 
 def _bags(docs: DataFrame) -> DataFrame:
@@ -128,7 +128,7 @@ def _bags(docs: DataFrame) -> DataFrame:
                 blobs = [elements[a:b].tobytes() + (b"" if (counts[a:b] == 1).all() else b"\1" + counts[a:b].astype("<u4").tobytes()) for a, b in zip(starts, starts[1:])]
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "bag": pa.array(blobs, pa.binary())})
 
-    return docs.mapInArrow(bag, "doc_id long, bag binary")
+    return docs.mapInArrow(tidy(bag), "doc_id long, bag binary")
 
 
 def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray | None]:
@@ -158,7 +158,7 @@ def _agreeing(pairs: DataFrame, members: DataFrame) -> DataFrame:
 
     left = members.select(F.col("doc_id").alias("a"), F.col("signature").alias("sig_a"))
     right = members.select(F.col("doc_id").alias("b"), F.col("signature").alias("sig_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(compare, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(tidy(compare), "a long, b long")
 
 
 def _verified(pairs: DataFrame, members: DataFrame, bags: DataFrame) -> DataFrame:
@@ -173,7 +173,7 @@ def _verified(pairs: DataFrame, members: DataFrame, bags: DataFrame) -> DataFram
     some = written(_agreeing(pairs, members), "near-pairs")
     left = bags.select(F.col("doc_id").alias("a"), F.col("bag").alias("bag_a"))
     right = bags.select(F.col("doc_id").alias("b"), F.col("bag").alias("bag_b"))
-    found = written(some.join(left, "a").join(right, "b").select("a", "b", "bag_a", "bag_b").mapInArrow(verify, "a long, b long"), "near-links")
+    found = written(some.join(left, "a").join(right, "b").select("a", "b", "bag_a", "bag_b").mapInArrow(tidy(verify), "a long, b long"), "near-links")
     dropped(some)
     return found
 

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import struct
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -12,12 +12,12 @@ import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from ._common import lists_of, slices
+from ._common import lists_of, slices, tidy, worker_cache
 
 #: The mark that stands for a space in pieces.
 SPACE = "▁"
-#: Words whose ids a worker remembers.
-KNOWN = 200_000
+#: Bytes that the words whose ids a worker remembers may take, and what one takes besides its letters and ids.
+KNOWN_BYTES, WORD_BYTES = 24 << 20, 200
 
 
 def _fields(blob: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -98,14 +98,14 @@ class Normalizer:
 
     def _copied(self, text: bytes) -> tuple[bytes, np.ndarray]:
         if not text:
-            return b"", np.zeros(1, np.int64)
+            return b"", np.zeros(1, np.int32)
         b = np.frombuffer(text, np.uint8)
-        at = np.arange(len(b))
+        at = np.arange(len(b), dtype=np.int32)
         first = np.maximum.accumulate(np.where((b & 0xC0) != 0x80, at, 0))
         source = np.repeat(first, np.where(b == 32, 3, 1))
         start = [0, 0, 0] if self.dummy_prefix else []
         mark = SPACE.encode()
-        return mark * self.dummy_prefix + text.replace(b" ", mark), np.concatenate([start, source, [len(b)]]).astype(np.int64)
+        return mark * self.dummy_prefix + text.replace(b" ", mark), np.concatenate([np.array(start, np.int32), source, np.array([len(b)], np.int32)])
 
     def _prefix(self, text: bytes, at: int) -> tuple[bytes, int]:
         if (hit := self.map.longest(text, at)) is not None:
@@ -124,7 +124,7 @@ class Normalizer:
                     break
                 at += size
         if at >= len(text):
-            return b"", np.zeros(1, np.int64)
+            return b"", np.zeros(1, np.int32)
         if self.dummy_prefix:
             out += mark
             source += [at] * len(mark)
@@ -146,7 +146,7 @@ class Normalizer:
             while out.endswith(mark):
                 end = source[len(out) - len(mark)]
                 del out[-len(mark) :], source[-len(mark) :]
-        return bytes(out), np.array([*source, end], np.int64)
+        return bytes(out), np.array([*source, end], np.int32)
 
 
 class Codec:
@@ -162,7 +162,9 @@ class Codec:
         self.unknown, self.end = self.sp.unk_id(), self.sp.eos_id()
         # Where no piece runs over the start of a mark, words that a single space parts are encoded each for itself.
         self.by_word = self.normalize.plain and self.normalize.dummy_prefix and not any(SPACE in p.lstrip(SPACE) for p in pieces)
-        self.known: dict[bytes, list[int]] = {}
+        #: Words, with their ids as 32-bit numbers, and what they take.
+        self.known: dict[bytes, bytes] = {}
+        self.held = 0
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, start of each text among them with the end added), with the end id after each."""
@@ -199,14 +201,14 @@ class Codec:
     def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         known = self.known
         if new := [w for w in words if w not in known]:
-            if len(known) + len(new) > KNOWN:
+            if self.held > KNOWN_BYTES:
                 known.clear()
-                new = words
+                new, self.held = words, 0
             for w, x in zip(new, self.sp.encode([w.decode() for w in new], num_threads=1)):
-                known[w] = x
+                known[w] = ids = array("i", x).tobytes()
+                self.held += len(w) + len(ids) + WORD_BYTES
         got = [known[w] for w in words]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        return np.fromiter(chain.from_iterable(got), np.int64, sizes.sum()), sizes
+        return np.frombuffer(b"".join(got), np.int32).astype(np.int64), np.fromiter(map(len, got), np.int64, len(got)) // 4
 
     def spans(self, text: bytes, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first, last) source byte offsets of each id's piece; the end id has the empty span at the end.
@@ -236,20 +238,21 @@ def encoded(docs: DataFrame, model_path: str, decode: bool = True, keep: tuple[s
 
     A null text counts as empty: its only id is the end id. Texts of any length are encoded whole. Rows are
     handled one by one, so nulls in other columns, repeated rows and empty tables need no rule; no shuffle. Columns
-    of docs other than doc_id, text and keep are dropped, so their names can't clash.
+    of docs other than doc_id, text and keep are dropped, and those of keep that are named like a new one are replaced.
     """
     with open(model_path, "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
-    extra = [c for c in keep if c not in ("doc_id", "text")]
+    made = ("doc_id", "text", "ids", "begins", "ends", "decoded")
+    extra = [c for c in keep if c not in made]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     held = ["doc_id", *extra]
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in held) + ", ids array<int>, begins array<int>, ends array<int>" + ", decoded string" * decode
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = None
         for batch in batches:
             for part in slices(batch, "text"):
-                codec = codec or Codec(model.value)
+                codecs, key = worker_cache("codecs"), hash(model.value)
+                codec = codecs[key] = codecs.get(key) or Codec(model.value)
                 texts = pc.fill_null(part.column("text"), "").cast(pa.large_string())
                 ids, starts = codec.ids(texts)
                 spans = [codec.spans(t, ids[a:b]) for t, a, b in zip(texts.cast(pa.large_binary()).to_pylist(), starts, starts[1:])]
@@ -259,4 +262,4 @@ def encoded(docs: DataFrame, model_path: str, decode: bool = True, keep: tuple[s
                     cols.append(pa.array([codec.sp.decode(ids[a:b].tolist()) for a, b in zip(starts, starts[1:])], pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, [*held, "ids", "begins", "ends", *["decoded"] * decode])
 
-    return docs.select(*held, "text").mapInArrow(encode, schema)
+    return docs.select(*held, "text").mapInArrow(tidy(encode), schema)

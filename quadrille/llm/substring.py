@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WORD, hashes, tasks, text_words, window_hashes
+from ._common import WORD, hashes, tasks, text_words, tidy, window_hashes
 
 #: Words a window.
 WINDOW = 13
@@ -97,7 +97,7 @@ def marked(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         yield pa.RecordBatch.from_pydict({"_slice": pa.array(each, pa.int32()), "hashes": pa.array(blobs, pa.binary())})
 
     sent = rows.select("doc_id", "text", *extra, "_slice").groupBy("_slice").applyInArrow(send, "part int, slice int, hashes binary")
-    back = sent.repartitionById(parts, F.col("part")).mapInArrow(meet, "_slice int, hashes binary")
+    back = sent.repartitionById(parts, F.col("part")).mapInArrow(tidy(meet), "_slice int, hashes binary")
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     held = ["doc_id", "text", *extra]
@@ -252,7 +252,7 @@ def without_reference(docs: DataFrame, reference: DataFrame, window: int = WINDO
             cols = [pa.array(texts, batch.schema.field(c).type) if c == "text" else batch.column(c) for c in kept]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(gone_in, pa.int64())], [*kept, "n_removed"])
 
-    return docs.select(*kept).mapInArrow(remove, schema)
+    return docs.select(*kept).mapInArrow(tidy(remove), schema)
 
 
 def _whole(column: pa.ChunkedArray) -> pa.Array:

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import lists_of, slices, tasks, worker_cache
+from ._common import lists_of, slices, tasks, tidy, worker_cache
 
 #: Fixed values of the format. Frequencies of a segment add up to 1 << SCALE; a lane's state stays in [1 << 31, 1 << 63)
 #: and moves 32-bit words; a block of BLOCK ids is dealt to LANES lanes in turn.
@@ -23,7 +23,7 @@ SCALE, LOW, BLOCK, LANES = 20, 31, 16384, 32
 #: A segment, which shares one frequency table, ends with the document that brings it to so many ids.
 SEGMENT = 2 << 20
 #: Words whose ids a worker remembers, over all its tasks: some 200 bytes each.
-KNOWN = 1_000_000
+KNOWN = 400_000
 #: Unicode's white space, as in a regular expression's class.
 SPACES = "\\x09-\\x0d\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 #: A piece of its own at the end of a word; it and the letters are spelled as themselves.
@@ -282,7 +282,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, end: int | None = 0) -> DataFr
 
     order = (F.col("doc_id"), F.col("_h"))
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_h")).repartitionByRange(tasks(docs.sparkSession), *order).sortWithinPartitions(*order)
-    return rows.select("doc_id", "text").mapInArrow(encode, FORMAT)
+    return rows.select("doc_id", "text").mapInArrow(tidy(encode), FORMAT)
 
 
 SCHEMA = pa.schema([(n, {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[k]) for n, k in (x.split() for x in FORMAT.split(", "))])
@@ -317,7 +317,7 @@ def decoded(files: DataFrame, ids: bool = True) -> DataFrame:
                     out["ids"] = lists_of(values, starts, pa.int32())
                 yield pa.RecordBatch.from_pydict(out)
 
-    rows = files.mapInArrow(decode, "doc_id long, part int, seq long, local long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids)
+    rows = files.mapInArrow(tidy(decode), "doc_id long, part int, seq long, local long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids)
     return rows.join(begin, ["part", "seq"]).select(
         "doc_id", (F.col("offset") + F.col("at") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * ids
     )

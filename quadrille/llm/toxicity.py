@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import slices, text_words, written
+from ._common import slices, text_words, tidy, worker_cache, written
 
 #: Labels are learned from so many rows at most, those of the smallest hash of doc_id; the only bound on what is learned from.
 TRAIN_ROWS = 20_000
@@ -30,8 +30,8 @@ ONE_EDIT, TWO_EDITS = 5, 10
 CONTEXT = 12
 #: At this score a document is predicted toxic.
 THRESHOLD = 0.3
-#: Words whose class a worker remembers.
-KNOWN = 500_000
+#: Words whose class a worker remembers, and states of the automaton that it keeps.
+KNOWN, STATES = 100_000, 50_000
 OPEN, CLOSE, BOTH = "“«„‹", "”»‟›", '"'
 _RUN = re.compile(r"[^\W_]+")
 
@@ -134,28 +134,33 @@ class Model:
     innocent: set[str] = field(default_factory=set)
     weights: np.ndarray = field(default_factory=lambda: np.zeros(7))
 
-    def __post_init__(self):
-        self.trie, self.known = None, {}
-
-    def __getstate__(self):
-        return self.__dict__ | {"trie": None, "known": {}}
-
-    def word_class(self, word: bytes) -> int:
-        known = self.known.get(word)
-        if known is None:
-            self.trie = self.trie or Trie(self.words, self.stems)
-            classes = [0 if (c := self.trie.match(r)) == 2 and r in self.innocent else c for r in runs(word.decode())]
-            known = 1 if 1 in classes else max(classes, default=0)
-            if len(self.known) > KNOWN:
-                self.known.clear()
-            self.known[word] = known
-        return known
+    def held(self) -> tuple[Trie, dict[bytes, int]]:
+        """The trie and the words classed so far. A worker keeps those of one model, over all its tasks."""
+        cache, key = worker_cache("toxicity"), hash((frozenset(self.words), frozenset(self.stems), frozenset(self.innocent)))
+        if key not in cache or len(cache[key][0].members) > STATES:
+            cache.clear()
+            cache[key] = Trie(self.words, self.stems), {}
+        return cache[key]
+
+    def word_classes(self, words: list[bytes]) -> list[int]:
+        """0 none, 1 a term, 2 a misspelt term, for each word."""
+        trie, known = self.held()
+        if len(known) > KNOWN:
+            known.clear()
+        out = []
+        for word in words:
+            found = known.get(word)
+            if found is None:
+                classes = [0 if (c := trie.match(r)) == 2 and r in self.innocent else c for r in runs(word.decode())]
+                found = known[word] = 1 if 1 in classes else max(classes, default=0)
+            out.append(found)
+        return out
 
     def features(self, texts: pa.Array) -> np.ndarray:
         """Per text: terms, misspelt terms and quoted ones, as counts (logarithm) and as present; and a constant."""
         starts, codes, words = text_words(texts)
         each = words.to_pylist()
-        kind = np.fromiter(map(self.word_class, each), np.int64, len(each))
+        kind = np.array(self.word_classes(each), np.int64)
         hits = np.flatnonzero(kind[codes]) if len(codes) else np.empty(0, np.int64)
         owner = np.searchsorted(starts, hits, "right") - 1
         counts = np.zeros((len(starts) - 1, 3))
@@ -208,7 +213,7 @@ def _term_counts(train: DataFrame) -> DataFrame:
                 bad = np.array(toxics, bool)
                 yield pa.RecordBatch.from_pydict({"term": pa.array(terms, pa.string()), "stem": pa.array(stems, pa.bool_()), "bad": pa.array(np.where(bad, n, 0)), "clean": pa.array(np.where(bad, 0, n))})
 
-    return train.mapInArrow(count, "term string, stem boolean, bad long, clean long").groupBy("term", "stem").agg(F.sum("bad").alias("bad"), F.sum("clean").alias("clean"))
+    return train.mapInArrow(tidy(count), "term string, stem boolean, bad long, clean long").groupBy("term", "stem").agg(F.sum("bad").alias("bad"), F.sum("clean").alias("clean"))
 
 
 def learned(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
@@ -237,12 +242,12 @@ def learned(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
     def innocent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                _, _, each = text_words(part.column("text"))
-                got = {r for w in each.to_pylist() if near.word_class(w) == 2 for r in runs(w.decode()) if near.trie.match(r) == 2}
+                each, (trie, _) = text_words(part.column("text"))[2].to_pylist(), near.held()
+                got = {r for w, c in zip(each, near.word_classes(each)) if c == 2 for r in runs(w.decode()) if trie.match(r) == 2}
                 yield pa.RecordBatch.from_pydict({"word": pa.array(sorted(got), pa.string())})
 
     clean_texts = train.filter("toxic = 0")
-    words_of = lambda texts: {r["word"] for r in texts.select("text").mapInArrow(innocent, "word string").distinct().collect()}
+    words_of = lambda texts: {r["word"] for r in texts.select("text").mapInArrow(tidy(innocent), "word string").distinct().collect()}
     half = words_of(clean_texts.filter(~other))
     tried = Model(words, stems, half)
 
@@ -253,7 +258,7 @@ def learned(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
                 yield pa.RecordBatch.from_pydict({"y": part.column("toxic").cast(pa.int32())} | {f"x{i}": pa.array(x[:, i]) for i in range(x.shape[1])})
 
     names = [f"x{i}" for i in range(7)]
-    seen = train.filter((F.col("toxic") > 0) | other).mapInArrow(features, "y int, " + ", ".join(f"{n} double" for n in names)).groupBy("y", *names).count().toPandas()
+    seen = train.filter((F.col("toxic") > 0) | other).mapInArrow(tidy(features), "y int, " + ", ".join(f"{n} double" for n in names)).groupBy("y", *names).count().toPandas()
     # Each clean text of the half that is used stands for two.
     toxic = (seen["y"] > 0).to_numpy()
     model.weights = _fit(seen[names].to_numpy(), toxic.astype(float), seen["count"].to_numpy() * np.where(toxic, 1.0, 2.0))
@@ -285,7 +290,7 @@ def _chosen(uses: dict[tuple[str, bool], int], train: DataFrame, bad: int) -> tu
                 got = sorted(runs & words) + sorted({f"{r[:k]}*" for r in runs for k in STEMS if r[:k] in stems})
                 yield pa.RecordBatch.from_pydict({"terms": pa.array([got], pa.list_(pa.string()))})
 
-    texts = [set(r["terms"]) for r in train.filter("toxic > 0").select("text").mapInArrow(having, "terms array<string>").collect()] if uses else []
+    texts = [set(r["terms"]) for r in train.filter("toxic > 0").select("text").mapInArrow(tidy(having), "terms array<string>").collect()] if uses else []
     name = lambda t: f"{t[0]}*" if t[1] else t[0]
     total = {name(t): n for t, n in uses.items()}
     taken = {t for t, n in total.items() if n >= max(LEAST + 1, SHARE * bad)}
@@ -342,4 +347,4 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.scores(pc.fill_null(part.column("text"), "")), pa.float64())], [*part.schema.names, "score"])
 
     schema = kept.withColumn("score", F.lit(0.0)).schema
-    return kept.mapInArrow(score, schema).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return kept.mapInArrow(tidy(score), schema).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
