@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import n_words, written
+from ._common import WORD, n_words, written
 
 #: Weights that the sources take in turn, in order of name.
 WEIGHTS = (5, 2, 1)
 #: No source, and so no document, is taken more often than this.
 MOST = 3
-#: Sampling keys are cut into so many bins a source; only the bin that holds a source's budget is sorted.
-BINS = 1024
+#: Keys are placed on a line of 1 << PLACES points, and a source's points are cut into 1 << STEP bins, again and again, until the bin
+#: that holds the source's cut has at most EDGE rows; only that bin is sorted.
+PLACES, STEP, EDGE = 50, 10, 1 << 17
+#: Sources up to which the plan, a short row for each, is broadcast; beyond, it is joined by shuffle.
+PLANNED = 1 << 16
+#: Copies of one document that one task writes.
+CHUNK = 256
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -46,7 +49,60 @@ def quality(text: Column) -> Column:
     """A document's sampling weight: the share of letters among characters that aren't white space, 0.05 at least."""
     solid = F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", ""))
     marks = F.length(F.regexp_replace(text, r"[\x20\x09-\x0D\p{L}]+", ""))
-    return F.greatest(F.lit(0.05), F.coalesce(F.round(1 - marks / F.when(solid > 0, solid), 3), F.lit(0.05)))
+    return F.greatest(F.lit(0.05), F.coalesce((solid - marks) / F.when(solid > 0, solid), F.lit(0.05)))
+
+
+def _measured(text: Column, doc_id: Column, seed: str) -> tuple[Column, Column]:
+    """(size, key): words, and an Efraimidis-Spirakis key, an exponential variate over the quality weight."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit(""))))
+    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+    return n_words(text), -F.log(u) / quality(text)
+
+
+def _point(key: Column) -> Column:
+    """A key's place on the line: in order of key, from 0 up to 1 << PLACES."""
+    return F.floor(key / (1 + key) * float(1 << PLACES)).cast("long")
+
+
+#: A row's place in its source's order.
+ME = ("key", "doc_id", "size")
+
+
+def _plan(rows: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    """(source, doc_id, size, key, copies) -> a row for each source: s, source_size, target, epochs, cut, left.
+
+    Rows before `cut` are in the sampled part; the rows at it have `left` words in it; without a cut no row is.
+    """
+    line = rows.withColumn("all", F.col("size") * F.col("copies")).withColumn("point", _point(F.col("key")))
+    wanted = targets(line.groupBy("source").agg(F.sum("all").alias("source_size")), weights, most)
+    epochs = F.coalesce(F.floor(F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size"))), F.lit(0)).cast("int")
+    gap = F.floor(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")
+    plan = written(wanted.withColumn("epochs", epochs).select(F.col("source").alias("s"), "source_size", "target", "epochs", gap.alias("gap")), "mix-plan")
+    joined = _by_source(plan)
+    # Cuts: for each source the bin, as the first bits of its points, that holds the cut, and the words before it.
+    cuts = plan.filter("gap > 0").select("s", "gap", F.lit(0).cast("long").alias("bin"), F.lit(0).cast("long").alias("before"))
+    shift = PLACES
+    while shift > 0:
+        shift -= STEP
+        inside = joined(line, cuts).filter(F.shiftright("point", shift + STEP) == F.col("bin"))
+        sums = inside.groupBy("s", "gap", "before", F.shiftright("point", shift).alias("bin")).agg(F.sum("all").alias("words"), F.count("*").alias("n"))
+        up = Window.partitionBy("s").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+        placed = sums.withColumn("before", F.col("before") + F.coalesce(F.sum("words").over(up), F.lit(0)))
+        found = placed.filter(F.col("before") + F.col("words") >= F.col("gap")).groupBy("s", "gap").agg(F.min_by(F.struct("bin", "before", "n"), "bin").alias("e"))
+        cuts = written(found.select("s", "gap", "e.bin", "e.before", "e.n"), "mix-cuts")
+        if cuts.filter(F.col("n") > EDGE).isEmpty():
+            break
+    order = Window.partitionBy("s").orderBy(*ME).rowsBetween(Window.unboundedPreceding, -1)
+    edge = joined(line, cuts).filter(F.shiftright("point", shift) == F.col("bin")).withColumn("left", F.col("gap") - F.col("before") - F.coalesce(F.sum("all").over(order), F.lit(0)))
+    cut = edge.filter(F.col("left").between(1, F.col("all"))).groupBy("s").agg(F.min(F.struct(*ME, "left")).alias("c"))
+    cut = cut.select(F.col("s").alias("c_s"), F.struct(*(F.col(f"c.{x}").alias(x) for x in ME)).alias("cut"), "c.left")
+    return written(plan.join(cut, F.col("s").eqNullSafe(F.col("c_s")), "left").select("s", "source_size", "target", "epochs", "cut", "left"), "mix-plan")
+
+
+def _by_source(plan: DataFrame):
+    """A join of rows with a table of the plan's sources; broadcast if these are few, so that a large source isn't dealt to one task."""
+    few = plan.count() <= PLANNED
+    return lambda rows, other: rows.join(F.broadcast(other) if few else other, F.col("source").eqNullSafe(F.col("s")))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = "mix-1") -> DataFrame:
@@ -54,74 +110,49 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
 
     A source with target T and size S is taken whole floor(T / S) times; the rest R is sampled without
     replacement after Efraimidis and Spirakis: a document's key is an exponential variate, made from a digest of
-    seed and doc_id, over its quality weight; in ascending order of key, each document is taken that is no larger than what is
-    still missing, until no document left is, so that whole documents come near the target.
-
-    This goes in rounds. In a round documents larger than the gap are set aside, for they can never fit again, and the others are
-    taken up to the first that overshoots it. Sums per source and key bin are pre-aggregated; the bin of that document is
-    found on those sums and only that bin is sorted, so no task gets a whole source. The next round goes on after
-    that document with what is then missing; a few rounds are usual, and there are never more than documents that overshoot. Nulls: a
-    null text has size 0; null sources are one source, last in order; a null doc_id has the key of an empty string.
-    Repeated rows are documents of their own and are all taken or none. An empty table gives an empty result. Documents of
-    size 0 are taken 0 words.
-    """
-    u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size"), (-F.log(u) / quality(F.col("text"))).alias("key"))
-    # Repeated rows are one row of their sizes' sum.
-    rows = written(each.groupBy("source", "doc_id", "size", "key").agg(F.count("*").alias("copies")).withColumn("all", F.col("size") * F.col("copies")), "mix-sizes").withColumn(
-        "bin", F.least(F.lit(BINS - 1), F.floor((1 - F.exp(-F.col("key"))) * BINS)).cast("int")
-    )
-    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    seed, doc_id and text, over its quality weight; in ascending order of key, documents are taken until R words are reached,
+    the last of them in part. So a source's taken words are the whole part of its target, unless the source has no words.
 
-    wanted = targets(rows.groupBy("source").agg(F.sum("all").alias("source_size")), weights, most)
-    epochs = F.coalesce(F.floor(F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size"))), F.lit(0)).cast("int")
-    plan = wanted.withColumn("epochs", epochs).select(F.col("source").alias("s"), "source_size", "target", "epochs", F.floor(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long").alias("gap"))
-    me = F.struct("bin", "key", "doc_id", "size")
-    place = "struct<bin:int,key:double,doc_id:bigint,size:bigint>"
-    # Spans: what each round took, which is all of `most` or less after one document and before another; null is no bound.
-    plan = written(plan.withColumn("at", F.lit(None).cast(place)).withColumn("spans", F.array().cast(f"array<struct<after:{place},before:{place},most:bigint>>")), "mix-plan")
-    while not plan.filter("gap > 0").isEmpty():
-        plan = written(_round(rows, plan, me, same), "mix-plan")
-
-    inside = lambda x: (F.col("all") <= x["most"]) & F.coalesce(me > x["after"], F.lit(True)) & F.coalesce(me < x["before"], F.lit(True))
-    times = F.col("epochs") + F.exists("spans", inside).cast("int")
+    Where R is reached is found on sums of key bins, so no task gets a whole source. Nulls: a
+    null text has size 0; null sources are one source, last in order; a null doc_id has the key of an empty string. Rows that agree in
+    source, doc_id and text are documents of their own that follow each other in the order, so the cut may fall between
+    them. Other columns are not read. An empty table gives an empty result. Documents of size 0 are taken 0 words.
+    """
+    size, key = _measured(F.col("text"), F.col("doc_id"), seed)
+    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), key.alias("key"))
+    rows = written(each.groupBy("source", *ME).agg(F.count("*").alias("copies")), "mix-sizes")
+    plan = _plan(rows, weights, most)
+    me, nth = F.struct(*ME), F.col("n")
+    at = F.when(F.col("left") >= nth * F.col("size"), F.col("size")).otherwise(F.greatest(F.lit(0), F.col("left") - (nth - 1) * F.col("size")))
+    sampled = F.when(F.col("cut").isNull(), F.lit(0)).when(me < F.col("cut"), F.col("size")).when(me == F.col("cut"), at).otherwise(F.lit(0))
     return (
-        rows.join(plan, same("source", "s"))
+        _by_source(plan)(rows, plan)
         .withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-        .select("doc_id", "source", "size", "source_size", "target", "epochs", (F.col("size") * times).cast("long").alias("taken"))
+        .select("doc_id", "source", "size", "source_size", "target", "epochs", (F.col("size") * F.col("epochs") + sampled).cast("long").alias("taken"))
     )
 
 
-def _round(rows: DataFrame, plan: DataFrame, me: Column, same: Callable[[str, str], Column]) -> DataFrame:
-    """The plan after one more round: a span for each source that has a gap, and the gap and place that remain."""
-    open_ = plan.filter("gap > 0").select("s", "gap", "at")
-    fitting = rows.join(open_, same("source", "s")).filter(F.col("all").between(1, F.col("gap")) & (F.col("at").isNull() | (me > F.col("at"))))
-    up = Window.partitionBy("s").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = fitting.groupBy("s", "gap", "bin").agg(F.sum("all").alias("size")).withColumn("sum", F.sum("size").over(up))
-    edge = written(
-        sums.filter(F.col("sum") > F.col("gap")).groupBy("s").agg(F.min_by(F.struct("bin", (F.col("sum") - F.col("size")).alias("before")), "bin").alias("e")).select(F.col("s").alias("e_s"), F.col("e.bin").alias("edge"), "e.before"),
-        "mix-edge",
-    )
-    order = Window.partitionBy("s").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at_edge = fitting.join(edge, same("s", "e_s") & (F.col("bin") == F.col("edge"))).withColumn("sum", F.col("before") + F.sum("all").over(order))
-    over = F.col("sum") > F.col("gap")
-    cut = at_edge.groupBy("s", "before").agg(F.min(F.when(over, me)).alias("next"), F.max(F.when(~over, F.col("sum"))).alias("got"))
-    cut = cut.select(F.col("s").alias("c"), "next", F.coalesce("got", "before").alias("got"))
-    took = F.array(F.struct(F.col("at").alias("after"), F.col("next").alias("before"), F.col("gap").alias("most")))
-    return plan.join(cut, same("s", "c"), "left").select(
-        "s", "source_size", "target", "epochs",
-        F.when(F.col("next").isNotNull(), F.col("gap") - F.col("got")).otherwise(0).alias("gap"),
-        F.col("next").alias("at"),
-        F.when(F.col("gap") > 0, F.concat("spans", took)).otherwise(F.col("spans")).alias("spans"),
-    )
-
-
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The documents that the mix takes, each as often as it is taken; the columns stay.
-
-    Rows that agree in doc_id and text are taken alike. Documents without words have nothing to take and go.
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = "mix-1") -> DataFrame:
+    """The documents that the mix takes, each as often as it is taken; the columns stay, whatever their names.
+
+    A document taken in part, one a source at most, is there once more as its first words, joined by a space. Of rows that agree
+    in source, doc_id and text and of which the cut takes some, any are taken. Nulls, ties, repeated rows and empty
+    tables are as in mix(). Documents without words have nothing to take and go.
     """
-    size = n_words(F.col("text"))
-    times = mix(docs, **how).filter("taken > 0").groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n")).agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("_t"))
-    found = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (size == F.col("_n")))
-    return found.withColumn("_t", F.explode(F.sequence(F.lit(1), F.col("_t")))).select(*[docs[c] for c in docs.columns])
+    size, key = _measured(F.col("text"), F.col("doc_id"), seed)
+    held = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    each = docs.select(held, F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), key.alias("key")).filter("size > 0")
+    rows = written(each.groupBy("source", *ME).agg(F.count("*").alias("copies")), "mix-sizes")
+    plan = _plan(rows, weights, most)
+    me = F.struct(*ME)
+    found = _by_source(plan)(each, plan)
+    whole = found.withColumn("times", F.col("epochs") + F.coalesce(me < F.col("cut"), F.lit(False)).cast("int")).filter("times > 0")
+    whole = whole.select(F.explode(F.sequence(F.lit(1), F.col("times"))), "row").select("row.*")
+    # At the cut all rows are alike. One of them stands for those that are taken, and its copies are dealt evenly.
+    last = found.filter(me == F.col("cut")).groupBy("source").agg(F.first("row").alias("row"), F.first("size").alias("size"), F.first("left").alias("left"))
+    full, part = F.floor(F.col("left") / F.col("size")), (F.col("left") % F.col("size")).cast("int")
+    chunks = last.filter(full > 0).select("row", full.alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((full - 1) / CHUNK))).alias("chunk"))
+    some = chunks.repartition("chunk").select("row", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least((F.col("chunk") + 1) * CHUNK, F.col("n")) - 1))).select("row.*")
+    cut = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(WORD), 0), 1, part), " ")
+    rest = last.filter(part > 0).select(*(cut.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    return whole.unionAll(some).unionAll(rest)

@@ -110,5 +110,35 @@ FROM o
 """
 
 
+MIX_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+    (CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496 AS u,
+    length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS solid, length(regexp_replace(text, '[\x20\x09-\x0D\pL]+', '', 'g')) AS marks
+  FROM documents
+), k AS (
+  SELECT doc_id, source, size, -ln(u) / greatest(0.05::DOUBLE, CASE WHEN solid > 0 THEN (solid - marks) / solid ELSE 0.05::DOUBLE END) AS key FROM d
+), z AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM k GROUP BY source
+), w AS (
+  SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS weight FROM z
+), c AS (
+  SELECT *, 3 * source_size AS cap, 3 * source_size / weight AS ratio FROM w
+), l AS (
+  SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY ratio, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT)
+    / CAST(sum(weight) OVER (ORDER BY ratio, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS own FROM c
+), m AS (
+  SELECT arg_min(own, ratio) FILTER (ratio > own) AS level FROM l
+), t AS (
+  SELECT source, source_size, CASE WHEN ratio > level THEN level * weight ELSE CAST(cap AS DOUBLE) END AS target FROM l, m
+), e AS (
+  SELECT k.*, source_size, target, CAST(CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS BIGINT) AS epochs FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source
+), s AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e
+)
+SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, floor(target - epochs * source_size) - before)) AS BIGINT) AS taken FROM s
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_top_k": TOP_K_SQL, "op7_chat_formats": CHAT_SQL}
+    return {"op1_exact_top_k": TOP_K_SQL, "op6_source_mix": MIX_SQL, "op7_chat_formats": CHAT_SQL}

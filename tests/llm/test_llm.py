@@ -12,6 +12,7 @@ import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import regex
 import sentencepiece
 import tokenizers
 from pyspark.sql import functions as F
@@ -331,48 +332,63 @@ def target_of(size, weights=(5, 2, 1), most=3):
     return t
 
 
-def test_mix(spark):
+def brute_mix(rows):
+    """Efraimidis and Spirakis document by document: (doc_id, source) -> words taken of each of its rows, in descending order."""
+    size = collections.Counter()
+    for d, t, s in rows:
+        size[s] += len(WORD.findall(t or ""))
+    target, out = target_of(size), collections.defaultdict(list)
+
+    def key(d, t):
+        solid = len(re.sub(r"[\x20\x09-\x0D]+", "", t or ""))
+        marks = len(regex.sub(r"[\x20\x09-\x0D\p{L}]+", "", t or ""))
+        u = (int(hashlib.md5(f"mix-1:{'' if d is None else d}:{t or ''}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+        return -math.log(u) / max(0.05, (solid - marks) / solid if solid else 0.05)
+
+    left = {s: math.floor(target[s] - (target[s] // n if n else 0) * n) for s, n in size.items()}
+    for d, t, s in sorted(rows, key=lambda r: (key(r[0], r[1]), r[0] is not None, r[0] or 0)):
+        n = len(WORD.findall(t or ""))
+        part = min(n, left[s])
+        left[s] -= part
+        out[d, s].append(n * int(target[s] // size[s] if size[s] else 0) + part)
+    return {k: sorted(v, reverse=True) for k, v in out.items()}, target
+
+
+def mix_rows(case):
     rng = np.random.default_rng(3)
     rows = []
-    for s, n in (("b", 400), ("a", 12), (None, 30), ("c", 90), ("ä", 5), ("d", 60)):
-        rows += [(len(rows) + k, " ".join(words(int(rng.integers(1, 80)), 1000 + len(rows) + k)), "en", s, 1) for k in range(n)]
-    docs = spark.createDataFrame(rows, DOCS)
-    got = mixing.mix(docs).toPandas()
-    size = collections.Counter()
-    for r in rows:
-        size[r[3]] += len(WORD.findall(r[1]))
-    want = target_of(size)
-    got["s"] = got.source.where(got.source.notna(), None)
-    for s, x in got.groupby("s", dropna=False):
-        key = s if isinstance(s, str) else None
-        assert (x.source_size == size[key]).all() and np.allclose(x.target, want[key])
-        assert abs(x.taken.sum() - want[key]) <= 40
-        assert (x.taken <= 3 * x["size"]).all() and (x.taken % x["size"] == 0).all()
-        assert (x.taken // x["size"]).max() - (x.taken // x["size"]).min() <= 1
-    again = mixing.mix(docs.repartition(7)).toPandas()
-    assert got.set_index("doc_id").taken.sort_index().equals(again.set_index("doc_id").taken.sort_index())
-    copies = mixing.mixed_documents(docs)
-    assert copies.columns == docs.columns and copies.count() == int((got.taken // got["size"]).sum())
-
-
-def test_mix_fills_whole_gap(spark):
-    """A very long document at the cut ends nothing: what a walk in order of key takes, document by document, is taken."""
-    key = lambda i: -math.log((int(hashlib.md5(f"mix-1:{i}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52))
-    order = sorted(range(300), key=key)
-    long_ids = [i for i in range(1000, 5000) if key(order[20]) < key(i) < key(order[30])][:1]
-    # One of the copies of a repeated row doesn't fit alone.
-    b = [(i, 5000, 1) for i in long_ids] + [(i, 15 + i % 11, 1 + (i % 50 == 0)) for i in range(300)]
-    rows = [(i, "wort " * n, "en", "b", 1) for i, n, k in b for _ in range(k)] + [(9000 + i, "wort " * 50, "en", "a", 1) for i in range(100)]
-    got = mixing.mix(spark.createDataFrame(rows, DOCS)).toPandas()
-    got = got[got.source == "b"]
-    size = collections.Counter({"a": 5000, "b": sum(n * k for _, n, k in b)})
-    left, want = math.floor(target_of(size)["b"]), set()
-    for i, n, k in sorted(b, key=lambda x: key(x[0])):
-        if n * k <= left:
-            left -= n * k
-            want.add(i)
-    assert set(got[got.taken > 0].doc_id) == want and len(got) == sum(k for _, _, k in b) and (got.epochs == 0).all()
-    assert sum(key(order[30]) < key(i) for i in want) > 64
+    if case == "many":
+        for s, n in (("b", 400), ("a", 12), (None, 30), ("c", 90), ("ä", 5), ("d", 60)):
+            rows += [(len(rows) + k, " ".join(words(int(rng.integers(1, 80)), 1000 + len(rows) + k)) + " 1.2 --" * (k % 3), s) for k in range(n)]
+    elif case == "large":  # few large documents among small ones
+        rows = [(i, "wort " * int(n), "b") for i, n in enumerate([5000, 7000, *rng.integers(5, 30, 200)])] + [(900 + i, "wort " * 450, "a") for i in range(4)] + [(990, None, "c"), (991, "", "d")]
+    else:  # one row a hundred times, without an id too
+        rows = [(7, "eins zwei drei vier fünf", "b")] * 100 + [(i, "wort " * 9, "b") for i in range(20, 40)] + [(None, "x y z", "a")] * 50 + [(7, "other text of the id", "b")]
+    return rows
+
+
+@pytest.mark.parametrize("case", ["many", "large", "repeated"])
+@pytest.mark.parametrize("step, edge", [(10, 1 << 17), (5, 2)])
+def test_mix(spark, monkeypatch, case, step, edge):
+    monkeypatch.setattr(mixing, "STEP", step)
+    monkeypatch.setattr(mixing, "EDGE", edge)
+    monkeypatch.setattr(mixing, "CHUNK", 7)
+    rows = mix_rows(case)
+    docs = spark.createDataFrame([(d, t, "en", s, 1) for d, t, s in rows], DOCS)
+    want, target = brute_mix(rows)
+    have, taken = collections.defaultdict(list), collections.Counter()
+    for r in mixing.mix(docs.repartition(7)).collect():
+        assert math.isclose(r["target"], target[r["source"]], rel_tol=1e-12)
+        have[r["doc_id"], r["source"]].append(r["taken"])
+        taken[r["source"]] += r["taken"]
+    assert {k: sorted(v, reverse=True) for k, v in have.items()} == want
+    assert all(taken[s] == math.floor(t + 1e-9) for s, t in target.items())
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    words_of = collections.Counter()
+    for r in mixed.collect():
+        words_of[r["doc_id"], r["source"]] += len(WORD.findall(r["text"]))
+    assert words_of == collections.Counter({k: sum(v) for k, v in want.items() if sum(v)})
 
 
 def test_mix_edges(spark, odd, none):
