@@ -54,7 +54,7 @@ def op7_chat_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.marked(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return substring.marked(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,6 +139,26 @@ WITH d AS (
 SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, floor(target - epochs * source_size) - before)) AS BIGINT) AS taken FROM s
 """
 
+#: Windows by their words, written out.
+SUBSTRING_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), p AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13
+), h AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS win FROM p
+), o AS (
+  SELECT win, min(doc_id) AS owner FROM h GROUP BY win HAVING min(doc_id) < max(doc_id)
+), g AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM h JOIN o USING (win) WHERE doc_id > owner
+), r AS (
+  SELECT doc_id, list(i) AS gone FROM g GROUP BY doc_id
+), k AS (
+  SELECT d.doc_id, w, coalesce(len(gone), 0) AS n, CASE WHEN gone IS NULL THEN w ELSE [w[i] FOR i IN list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i))] END AS kept FROM d LEFT JOIN r USING (doc_id)
+)
+SELECT doc_id, len(w) AS n_words, CAST(n AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_top_k": TOP_K_SQL, "op6_source_mix": MIX_SQL, "op7_chat_formats": CHAT_SQL}
+    return {"op1_exact_top_k": TOP_K_SQL, "op6_source_mix": MIX_SQL, "op7_chat_formats": CHAT_SQL, "op8_substring_dedup": SUBSTRING_SQL}

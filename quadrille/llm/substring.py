@@ -12,12 +12,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WORD, hashes, tasks, text_words, tidy, window_hashes
+from ._common import WORD, hashes, mixed, released, tasks, text_words, tidy, window_hashes, written
 
 #: Words a window.
 WINDOW = 13
-#: Rows of a slice of documents, and slices told apart by bounds on doc_id; further ones by even parts between bounds.
-SLICE_ROWS, BOUNDS = 2048, 512
+#: Rows of a slice of documents, bytes of text from which on a slice is cut further, and slices told apart by bounds on doc_id; further
+#: ones by even parts between bounds.
+SLICE_ROWS, SLICE_TEXT, BOUNDS = 2048, 16 << 20, 512
+#: Windows that one task brings together, and slices that one cut of a slice may make.
+PART_WINDOWS, CUTS = 2 << 20, 1 << 20
+#: Rows of the table of slices to cut up to which it is broadcast.
+PLANNED = 1 << 16
 #: Bounds of a reference that is broadcast as suffix automata.
 SHARD_WORDS, REFERENCE_BYTES = 200_000, 8 << 20
 _WORD = re.compile(WORD)
@@ -37,105 +42,146 @@ def _slice_of(docs: DataFrame, slices: int) -> Column:
         return last
     low = F.element_at(F.array(*map(F.lit, bounds)), F.greatest(last, F.lit(1)))
     high = F.element_at(F.array(*map(F.lit, [*bounds[1:], bounds[-1] + 1])), F.greatest(last, F.lit(1)))
-    inside = F.floor((doc - low).cast("double") / F.greatest(high - low, F.lit(1)) * parts)
+    inside = F.floor((doc.cast("double") - low) / F.greatest(high - low, F.lit(1)) * parts)
     return last * parts + F.greatest(F.lit(0), F.least(F.lit(parts - 1), inside))
 
 
-def _windows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """(window hashes, each text's first, first words, word codes, distinct words)."""
+def _sliced(rows: DataFrame) -> tuple[DataFrame, int]:
+    """(rows with their slice, windows there may be). A slice of more than SLICE_TEXT bytes is cut between its least and greatest doc_id."""
+    n = rows.select("doc_id").count()
+    first = rows.withColumn("slice", _slice_of(rows.select("doc_id"), max(tasks(rows.sparkSession), math.ceil(n / SLICE_ROWS))).cast("long") * CUTS)
+    doc = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).cast("double")
+    size = F.sum(F.octet_length("text"))
+    sizes = written(first.groupBy("slice").agg(size.alias("bytes"), F.min(doc).alias("lo"), F.max(doc).alias("hi")), "substring-slices")
+    heavy = sizes.filter((F.col("bytes") > SLICE_TEXT) & (F.col("lo") < F.col("hi"))).select(F.col("slice").alias("s"), "lo", "hi", F.ceil(F.col("bytes") / SLICE_TEXT).alias("cuts"))
+    # A word takes two bytes at least, its end counted.
+    windows = (sizes.agg(F.sum("bytes")).first()[0] or 0) // 2
+    count = heavy.count()
+    if not count:
+        return first, windows
+    joined = first.join(F.broadcast(heavy) if count <= PLANNED else heavy, F.col("slice") == F.col("s"), "left")
+    cut = F.least(F.floor((doc - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("cuts")), F.col("cuts") - 1, F.lit(CUTS - 1))
+    return joined.withColumn("slice", F.col("slice") + F.coalesce(cut, F.lit(0))).select(*first.columns), windows
+
+
+def _windows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(window hashes, 16 bits more of each, each text's first, first words, word codes, distinct words)."""
     starts, codes, words = text_words(texts)
-    windows, at = window_hashes(hashes(words)[codes] if len(words) else np.empty(0, np.uint64), starts, WINDOW)
-    return windows, at, starts, codes, words
+    each = hashes(words)
+    windows, at = window_hashes(each[codes] if len(words) else np.empty(0, np.uint64), starts, WINDOW)
+    more, _ = window_hashes(mixed(each ^ np.uint64(0xD6E8FEB86659FD93))[codes] if len(words) else np.empty(0, np.uint64), starts, WINDOW)
+    return windows, (more >> np.uint64(48)).astype(np.uint16), at, starts, codes, words
 
 
-def marked(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, text) -> doc_id, text, keep..., n_words, n_removed, kept (the words kept, joined by a space), cleaned (the text without them).
+def _ordered(windows: np.ndarray, more: np.ndarray, *then: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order by window, then by the other arrays, and where in that order a new window starts)."""
+    order = np.lexsort((*reversed(then), more, windows))
+    w, m = windows[order], more[order]
+    first = np.ones(len(order), bool)
+    first[1:] = (w[1:] != w[:-1]) | (m[1:] != m[:-1])
+    return order, first
 
-    A word goes if it is in a window of WINDOW words whose words also start in a document with a smaller doc_id.
-
-    Documents are dealt to slices in order of doc_id. Each slice sends the distinct hashes of its windows, dealt by hash;
-    where a hash comes from several slices, all but the lowest get it back. Within the lowest slice the least document
-    that has the window owns it. So neither a passage that many documents share nor a long document is ever gathered: a
-    slice sends a window once. Hashes have 64 bits.
 
-    A null text has no words. A null doc_id is smaller than any. Rows of one doc_id don't remove from each other. Texts are
-    read whole; texts under WINDOW words stay. An empty table gives an empty result. cleaned is the text itself where nothing is removed;
-    else the kept stretches of the text, with the white space between their words, joined by a space.
-    """
-    extra = [c for c in keep if c not in ("doc_id", "text")]
-    n = docs.select("doc_id").count()
-    parts = tasks(docs.sparkSession)
-    slices = max(parts, math.ceil(n / SLICE_ROWS))
-    rows = docs.select("doc_id", "text", *extra).withColumn("_slice", _slice_of(docs.select("doc_id"), slices).cast("int"))
+def _marked(docs: DataFrame, held: Column, columns: tuple[str, ...]) -> DataFrame:
+    """row (held), doc_id, n_words, n_removed and the wanted ones of kept and cleaned; see marked()."""
+    rows, total = _sliced(docs.select(held.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    parts = max(tasks(docs.sparkSession), math.ceil(total / PART_WINDOWS))
 
     def send(key: tuple, table: pa.Table) -> pa.Table:
-        windows, *_ = _windows(_whole(table.column("text")))
-        distinct = np.unique(windows)
-        part = (distinct % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        cuts = np.searchsorted(part[order], np.arange(parts + 1))
-        blobs = [_packed(distinct[order[a:b]]) for a, b in zip(cuts, cuts[1:])]
-        return pa.table({"part": pa.array(np.arange(parts), pa.int32()), "slice": pa.array(np.full(parts, key[0].as_py()), pa.int32()), "hashes": pa.array(blobs, pa.binary())})
+        windows, more, *_ = _windows(_whole(table.column("text")))
+        order, first = _ordered(windows, more)
+        order = order[first]
+        windows, more = windows[order], more[order]
+        # Parts are ranges of the upper 32 bits.
+        part = (((windows >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+        each, begin = np.unique(part, return_index=True)
+        blobs = [_packed(windows[a:b], more[a:b]) for a, b in zip(begin, [*begin[1:], len(part)])]
+        out = pa.table({"part": pa.array(each, pa.int32()), "slice": pa.array(np.full(len(each), key[0].as_py()), pa.int64()), "hashes": pa.array(blobs, pa.binary())})
+        del table, windows, more, order, first, part
+        released()
+        return out
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got, of = [], []
         for batch in batches:
             for s, blob in zip(batch.column("slice").to_pylist(), batch.column("hashes").to_pylist()):
                 got.append(_unpacked(blob))
-                of.append(np.full(len(got[-1]), s, np.int32))
+                of.append(np.full(len(got[-1][0]), s, np.int64))
         if not got:
             return
-        every, slice_ = np.concatenate(got), np.concatenate(of)
-        order = np.lexsort((slice_, every))
-        every, slice_ = every[order], slice_[order]
-        again = np.flatnonzero(every[1:] == every[:-1]) + 1
-        every, slice_ = every[again], slice_[again]
-        order = np.argsort(slice_, kind="stable")
-        every, slice_ = every[order], slice_[order]
-        each, first = np.unique(slice_, return_index=True)
-        blobs = [x.tobytes() for x in np.split(every, first[1:])] if len(each) else []
-        yield pa.RecordBatch.from_pydict({"_slice": pa.array(each, pa.int32()), "hashes": pa.array(blobs, pa.binary())})
-
-    sent = rows.select("doc_id", "text", *extra, "_slice").groupBy("_slice").applyInArrow(send, "part int, slice int, hashes binary")
-    back = sent.repartitionById(parts, F.col("part")).mapInArrow(tidy(meet), "_slice int, hashes binary")
-
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    held = ["doc_id", "text", *extra]
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in held) + ", n_words long, n_removed long, kept string, cleaned string"
+        windows, more = (np.concatenate([g[k] for g in got]) for k in (0, 1))
+        slice_ = np.concatenate(of)
+        got.clear()
+        of.clear()
+        # Only hashes that came twice go on.
+        order = np.argsort(windows)
+        twin = windows[order][1:] == windows[order][:-1]
+        some = order[np.concatenate([twin, [False]]) | np.concatenate([[False], twin])]
+        windows, more, slice_ = windows[some], more[some], slice_[some]
+        order, first = _ordered(windows, more, slice_)
+        # All but the lowest slice that has a window get it back.
+        again = order[~first]
+        again = again[np.argsort(slice_[again], kind="stable")]
+        each, begin = np.unique(slice_[again], return_index=True)
+        cuts = list(zip(begin, [*begin[1:], len(again)]))
+        yield pa.RecordBatch.from_pydict({
+            "slice": pa.array(each, pa.int64()),
+            "hashes": pa.array([windows[again[a:b]].tobytes() for a, b in cuts], pa.binary()),
+            "more": pa.array([more[again[a:b]].tobytes() for a, b in cuts], pa.binary()),
+        })
+
+    sent = rows.groupBy("slice").applyInArrow(send, "part int, slice long, hashes binary")
+    back = sent.repartitionById(parts, F.col("part")).mapInArrow(tidy(meet), "slice long, hashes binary, more binary")
 
     def remove(key: tuple, table: pa.Table, known: pa.Table) -> pa.Table:
         texts = _whole(table.column("text"))
-        docs_ = np.asarray(pc.fill_null(table.column("doc_id").cast(pa.int64()), -(1 << 63)))
-        windows, at, starts, codes, words = _windows(texts)
-        before = np.sort(np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(b, np.uint64) for b in known.column("hashes").to_pylist())]))
+        docs_ = np.asarray(pc.fill_null(table.column("doc_id"), -(1 << 63)))
+        windows, more, at, starts, codes, words = _windows(texts)
         owner = np.repeat(np.arange(len(docs_)), np.diff(at))
-        hit = np.zeros(len(windows), bool)
-        if len(before):
-            place = np.minimum(np.searchsorted(before, windows), len(before) - 1)
-            hit = before[place] == windows
-        order = np.lexsort((docs_[owner], windows))
-        same = np.concatenate([[False], windows[order][1:] == windows[order][:-1]]) if len(order) else np.empty(0, bool)
-        group = np.cumsum(~same) - 1
-        least = docs_[owner][order][np.flatnonzero(~same)]
-        hit[order] |= docs_[owner][order] > least[group]
+        hit = _among(windows, more, *(np.concatenate([np.empty(0, t), *(np.frombuffer(b, t) for b in known.column(c).to_pylist())]) for c, t in (("hashes", np.uint64), ("more", np.uint16))))
+        order, first = _ordered(windows, more, docs_[owner])
+        least = docs_[owner][order][np.flatnonzero(first)]
+        hit[order] |= docs_[owner][order] > least[np.cumsum(first) - 1]
         # Words that any window hit covers.
-        cover = np.zeros(len(codes) + 1, np.int64)
-        first = starts[owner[hit]] + (np.flatnonzero(hit) - at[owner[hit]])
-        np.add.at(cover, first, 1)
-        np.add.at(cover, first + WINDOW, -1)
+        cover = np.zeros(len(codes) + 1, np.int32)
+        begin = starts[owner[hit]] + (np.flatnonzero(hit) - at[owner[hit]])
+        np.add.at(cover, begin, 1)
+        np.add.at(cover, begin + WINDOW, -1)
         gone = np.cumsum(cover[:-1]) > 0
         of = np.repeat(np.arange(len(docs_)), np.diff(starts))
         removed = np.bincount(of[gone], minlength=len(docs_))
-        kept_at = np.concatenate([[0], np.cumsum(np.diff(starts) - removed)])
-        left = words.cast(pa.large_string()).take(pa.array(codes[~gone])).cast(pa.string()) if len(words) else pa.array([], pa.string())
-        kept = pc.binary_join(pa.ListArray.from_arrays(pa.array(kept_at, pa.int32()), left), " ")
-        cleaned = texts.to_pylist()
-        for i in np.flatnonzero(removed):
-            cleaned[i] = _cut(cleaned[i], gone[starts[i] : starts[i + 1]])
-        cols = [table.column(c) for c in held] + [pa.array(np.diff(starts)), pa.array(removed.astype(np.int64)), kept, pa.array(cleaned, pa.string())]
-        return pa.table(cols, names=[*held, "n_words", "n_removed", "kept", "cleaned"])
+        out = {"row": table.column("row"), "doc_id": table.column("doc_id"), "n_words": pa.array(np.diff(starts)), "n_removed": pa.array(removed.astype(np.int64))}
+        if "kept" in columns:
+            kept_at = np.concatenate([[0], np.cumsum(np.diff(starts) - removed)])
+            left = words.cast(pa.large_string()).take(pa.array(codes[~gone])).cast(pa.string()) if len(words) else pa.array([], pa.string())
+            out["kept"] = pc.binary_join(pa.ListArray.from_arrays(pa.array(kept_at, pa.int32()), left), " ")
+        if "cleaned" in columns:
+            cleaned = texts.to_pylist()
+            for i in np.flatnonzero(removed):
+                cleaned[i] = _cut(cleaned[i], gone[starts[i] : starts[i + 1]])
+            out["cleaned"] = pa.array(cleaned, pa.string())
+        del windows, more, owner, order, cover, of
+        released()
+        return pa.table(out)
+
+    schema = rows.select("row", "doc_id").withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long")} | {c: F.lit(None).cast("string") for c in columns}).schema
+    return rows.groupBy("slice").cogroup(back.groupBy("slice")).applyInArrow(remove, schema)
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) -> doc_id, n_words, n_removed, kept (the words kept, joined by a space).
 
-    return rows.select("doc_id", "text", *extra, "_slice").groupBy("_slice").cogroup(back.groupBy("_slice")).applyInArrow(remove, schema)
+    A word goes if it is in a window of WINDOW words whose words also start in a document with a smaller doc_id.
+
+    Documents are dealt to slices in order of doc_id, bounded in rows and bytes. Each slice sends the distinct hashes of its windows, dealt
+    by ranges of the hash; where a hash comes from several slices, all but the lowest get it back. Within the lowest slice the least document
+    that has the window owns it. So neither a passage that many documents share nor a long document is ever gathered: a
+    slice sends a window once. Windows are equal if 80 bits of their hashes, from two polynomials, are.
+
+    A null text has no words. A null doc_id is smaller than any. Rows of one doc_id, in one slice, don't remove from each other. Texts are
+    read whole; texts under WINDOW words stay. Other columns are not read. An empty table gives an empty result.
+    """
+    return _marked(docs, F.lit(None).cast("int"), ("kept",)).drop("row")
 
 
 class SuffixAutomaton:
@@ -260,18 +306,35 @@ def _whole(column: pa.ChunkedArray) -> pa.Array:
     return pa.concat_arrays(chunks) if chunks else pa.array([], pa.large_string())
 
 
-def _packed(ordered: np.ndarray) -> bytes:
-    """Ascending hashes as differences of seven bytes, or of eight where one needs them."""
-    steps = np.diff(ordered, prepend=np.uint64(0))
-    raw = steps.astype("<u8").view(np.uint8).reshape(-1, 8)
-    return b"\x08" + raw.tobytes() if len(raw) and raw[:, 7].any() else b"\x07" + np.ascontiguousarray(raw[:, :7]).tobytes()
+def _packed(windows: np.ndarray, more: np.ndarray) -> bytes:
+    """Ascending hashes, the first whole and then differences of as many bytes as the largest needs, and the 16 bits more of each."""
+    steps = np.diff(windows)
+    width = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
+    raw = np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
+    return bytes([width]) + windows[:1].astype("<u8").tobytes() + raw.tobytes() + more.astype("<u2").tobytes()
 
 
-def _unpacked(blob: bytes) -> np.ndarray:
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     width = blob[0]
-    raw = np.zeros(((len(blob) - 1) // width, 8), np.uint8)
-    raw[:, :width] = np.frombuffer(blob, np.uint8, offset=1).reshape(-1, width)
-    return np.cumsum(raw.reshape(-1).view("<u8"), dtype=np.uint64)
+    n = (len(blob) - 9 + width) // (width + 2)
+    raw = np.zeros((n, 8), np.uint8)
+    raw[0] = np.frombuffer(blob, np.uint8, 8, 1)
+    raw[1:, :width] = np.frombuffer(blob, np.uint8, (n - 1) * width, 9).reshape(-1, width)
+    return np.cumsum(raw.reshape(-1).view("<u8"), dtype=np.uint64), np.frombuffer(blob, "<u2", n, 9 + (n - 1) * width)
+
+
+def _among(windows: np.ndarray, more: np.ndarray, known: np.ndarray, known_more: np.ndarray) -> np.ndarray:
+    """Which windows are among the known ones."""
+    order = np.argsort(known)
+    known, known_more = known[order], known_more[order]
+    hit = np.zeros(len(windows), bool)
+    place = np.searchsorted(known, windows)
+    live = np.flatnonzero(place < len(known))
+    while len(live := live[known[place[live]] == windows[live]]):
+        hit[live] |= known_more[place[live]] == more[live]
+        place[live] += 1
+        live = live[place[live] < len(known)]
+    return hit
 
 
 def _cut(text: str, gone: np.ndarray) -> str:
@@ -281,6 +344,11 @@ def _cut(text: str, gone: np.ndarray) -> str:
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
-    """The documents without the passages; the columns stay. Documents of which no word is left go; those that had none stay."""
-    found = marked(docs, tuple(docs.columns))
-    return found.filter("n_removed = 0 or n_removed < n_words").select(*[F.col("cleaned").alias("text") if c == "text" else c for c in docs.columns])
+    """The documents without the passages that marked() finds; the columns stay, whatever their names.
+
+    A text of which nothing is removed stays as it is; of another the kept stretches stay, with the white space between their
+    words, joined by a space. Documents of which no word is left go; those that had none, null ones too, stay.
+    """
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
+    found = _marked(docs, row, ("cleaned",)).filter("n_removed = 0 or n_removed < n_words")
+    return found.select(*(F.col("cleaned").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

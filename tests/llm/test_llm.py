@@ -446,23 +446,51 @@ def test_substring(spark):
             parts += words(int(rng.integers(0, 30)), int(rng.integers(1 << 30)), 900) + (passages[rng.integers(12)] if rng.random() < 0.6 else [])
         rows.append((int(d), (" \n" if d % 3 else " ").join(parts)))
     rows += [(None, " ".join(passages[0])), (3, " ".join(passages[1])), (10**15, " ".join(passages[2] * 2)), (-5, " ".join(passages[3] * 3))]
-    got = substring.marked(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring.marked(docs).toPandas()
     key = lambda r: (str(r[0]), *r[1:])
     have = [(None if pd.isna(a) else int(a), int(b), int(c), d) for a, b, c, d in got[["doc_id", "n_words", "n_removed", "kept"]].itertuples(index=False)]
     assert sorted(have, key=key) == sorted(brute_substring(rows), key=key)
-    for r in got.itertuples():
-        assert WORD.findall(r.cleaned or "") == r.kept.split(" ") * bool(r.kept) if r.n_removed else r.cleaned is None or WORD.findall(r.cleaned) == WORD.findall(r.text)
+    left = sorted((str(r["doc_id"]), WORD.findall(r["text"] or "")) for r in substring.cleaned(docs).collect())
+    assert left == sorted((str(r[0]), r[3].split(" ") if r[3] else []) for r in have if r[2] == 0 or r[2] < r[1])
 
 
 def test_substring_slices(spark, monkeypatch):
     monkeypatch.setattr(substring, "SLICE_ROWS", 7)
     monkeypatch.setattr(substring, "BOUNDS", 3)
+    monkeypatch.setattr(substring, "SLICE_TEXT", 300)
+    monkeypatch.setattr(substring, "PART_WINDOWS", 50)
     passage = words(30, 1)
     rows = [(i * i, " ".join(words(5, i) + passage * (i % 3 == 0))) for i in range(100)]
     got = substring.marked(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
     assert sorted(got[["doc_id", "n_words", "n_removed", "kept"]].itertuples(index=False, name=None)) == sorted(brute_substring(rows))
 
 
+def test_substring_tells_hashes_apart(spark, monkeypatch):
+    """Windows whose first 64 bits are equal are told apart by the others, in one slice and over slices."""
+    real, calls = substring.window_hashes, []
+
+    def colliding(words, starts, width):
+        calls.append(1)
+        found, at = real(words, starts, width)
+        return (found % np.uint64(3) if len(calls) % 2 else found), at
+
+    monkeypatch.setattr(substring, "window_hashes", colliding)
+    monkeypatch.setattr(substring, "SLICE_ROWS", 5)
+    rows = [(i, " ".join(words(8, i) + words(20, i % 4))) for i in range(30)]
+    monkeypatch.setattr(substring, "tasks", lambda spark: 6)
+    got = substring.marked(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert sorted(got[["doc_id", "n_words", "n_removed", "kept"]].itertuples(index=False, name=None)) == sorted(brute_substring(rows))
+
+
+def test_packed_hashes():
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 1000):
+        h, m = np.sort(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)), rng.integers(0, 1 << 16, n).astype(np.uint16)
+        back = substring._unpacked(substring._packed(h, m))
+        assert (back[0] == h).all() and (back[1] == m).all()
+
+
 def test_substring_edges(spark, odd, none):
     left = substring.cleaned(odd)
     assert left.columns == odd.columns and left.count() == odd.count()
