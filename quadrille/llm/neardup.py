@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import dropped, hashes, lists_of, mixed, slices, text_words, tidy, window_hashes, written
@@ -17,12 +17,12 @@ from ._common import dropped, hashes, lists_of, mixed, slices, text_words, tidy,
 WORDS, SIMILAR = 5, 0.8
 #: Bands of rows: texts of similarity 0.8 share a band with probability 1 - (1 - 0.8**5)**32, all but 3 in a million.
 BANDS, ROWS = 32, 5
-#: In a bucket that verified links don't join and of up to so many texts, pairs are verified one by one; in a larger one, block by block.
+#: In a group of up to so many texts, pairs are verified one by one; in a larger one, block by block.
 FEW = 8
-#: Texts and bytes of a block, and texts from which on a bucket is first parted by second bands.
-BLOCK, BLOCK_BYTES, HUGE = 512, 16 << 20, 32_768
-#: A pair whose signatures agree in less than this share of places is not verified: 0.8 is over five standard errors above it.
-HOPELESS = 0.62
+#: Texts and bytes of a block.
+BLOCK, BLOCK_BYTES = 512, 16 << 20
+#: Counters, shared by hash, that tell common shingles from rare ones.
+COUNTERS = 1 << 18
 
 
 def signatures(elements: np.ndarray, counts: np.ndarray, starts: np.ndarray, m: int) -> np.ndarray:
@@ -94,8 +94,7 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> (doc_id, digest, bands, signature, size): 64-bit band keys, 16 bits of each place, none for texts without words;
-    size is the number of distinct shingles."""
+    """(doc_id, text) -> (doc_id, digest, bands): 64-bit band keys, none for texts without words."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,12 +108,9 @@ def sketched(docs: DataFrame) -> DataFrame:
                 sizes = np.zeros(part.num_rows, np.int64)
                 sizes[some] = BANDS
                 keys = lists_of(band.reshape(-1).view(np.int64), np.concatenate([[0], np.cumsum(sizes)]), pa.int64())
-                short = np.full(part.num_rows, b"", object)
-                short[some] = [x.tobytes() for x in (mixed(bits.reshape(len(some), BANDS * ROWS)) >> np.uint64(48)).astype("<u2")]
-                cols = [part.column("doc_id"), pa.array(digest, pa.binary()), keys, pa.array(short.tolist(), pa.binary()), pa.array(np.diff(starts), pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "digest", "bands", "signature", "size"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digest, pa.binary()), keys], ["doc_id", "digest", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(sketch), "doc_id long, digest binary, bands array<long>, signature binary, size long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(sketch), "doc_id long, digest binary, bands array<long>")
 
 
 def _bags(docs: DataFrame) -> DataFrame:
@@ -147,21 +143,7 @@ def similarity(a: bytes, b: bytes) -> float:
     return shared / total if total else 0.0
 
 
-def _agreeing(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """The pairs whose signatures agree in HOPELESS of their places or more."""
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(batch.num_rows, BANDS * ROWS) for c in ("sig_a", "sig_b"))
-            near = pa.array((a == b).sum(1) >= HOPELESS * BANDS * ROWS, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(near), batch.column("b").filter(near)], ["a", "b"])
-
-    left = members.select(F.col("doc_id").alias("a"), F.col("signature").alias("sig_a"))
-    right = members.select(F.col("doc_id").alias("b"), F.col("signature").alias("sig_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(tidy(compare), "a long, b long")
-
-
-def _verified(pairs: DataFrame, members: DataFrame, bags: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     """The pairs (a, b) whose bags are SIMILAR or more."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,77 +152,102 @@ def _verified(pairs: DataFrame, members: DataFrame, bags: DataFrame) -> DataFram
             close = pa.array([similarity(x, y) >= SIMILAR for x, y in zip(a, b)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(close), batch.column("b").filter(close)], ["a", "b"])
 
-    some = written(_agreeing(pairs, members), "near-pairs")
     left = bags.select(F.col("doc_id").alias("a"), F.col("bag").alias("bag_a"))
     right = bags.select(F.col("doc_id").alias("b"), F.col("bag").alias("bag_b"))
-    found = written(some.join(left, "a").join(right, "b").select("a", "b", "bag_a", "bag_b").mapInArrow(tidy(verify), "a long, b long"), "near-links")
-    dropped(some)
-    return found
+    return written(pairs.join(left, "a").join(right, "b").select("a", "b", "bag_a", "bag_b").mapInArrow(tidy(verify), "a long, b long"), "near-links")
 
 
 def linked(members: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id) of the members that have a link. members: doc_id, bands, signature, size; docs: doc_id, text, with distinct doc_ids.
+    """(doc_id, class_id) of the members that have a link. members: doc_id, bands; docs: doc_id, text, with distinct doc_ids.
 
     Every member of a bucket is verified against the bucket's first, which aggregation finds without a bucket ever meeting in one
-    task. What the links found so far join is a class, and a bucket within one class has nothing more to tell. In the others all
-    pairs of different classes are verified: one by one if the bucket has FEW members; else the members are dealt to blocks, each pair
-    of blocks is one task, and a task returns only links that join classes. A HUGE bucket is parted first: its members meet again
-    under each pair of bands, where similar texts still meet often and others hardly, and what the links found there leave open
-    goes to blocks like other buckets. So no pair that meets in a bucket stays
-    unverified unless other links join it or its signatures rule it out, and what is written grows with the rows, not with their square.
+    task. What the links found so far join is a class, and a bucket within one class has nothing more to tell. The members
+    of all others meet again by their rarest shingles: two texts that are SIMILAR share one of the first fifth of their
+    shingles in any order that holds for all texts, here from rare to common. So texts that share a bucket for what
+    very many texts have in common hardly meet, and no two similar texts of a bucket are left unverified, whatever its size, unless
+    links join them. What is written grows with the rows, not with their square.
     """
-    rows = members.select(F.col("doc_id").alias("b"), "size", F.explode("bands").alias("key"))
-    edges: DataFrame | None = None
-    joined: DataFrame | None = None
-    bags: DataFrame | None = None
-    late: DataFrame | None = None
-    parted = False
-    while True:
-        buckets = rows.groupBy("key").agg(F.min("b").alias("first"), F.count("*").alias("n")).filter("n > 1")
-        held = written(rows.join(buckets, "key"), "near-held")
-        if bags is None:
-            needed = held.select(F.col("b").alias("doc_id")).distinct()
-            bags = written(_bags(docs.join(needed, "doc_id", "left_semi")), "near-bags")
-        pairs = held.filter("first < b").select(F.col("first").alias("a"), "b").distinct()
-        if joined is not None:
-            pairs = _apart(pairs, joined)
-        edges, joined = _more(edges, _verified(pairs, members, bags))
-        rest = written(_open(held.filter("n > 2").select("key", "b", "n", "size"), joined), "near-rest")
-        dropped(held)
-        few = rest.filter(F.col("n") <= FEW).select("key", F.col("b").alias("x"), F.col("class_id").alias("cx"))
-        other = few.select("key", F.col("x").alias("y"), F.col("cx").alias("cy"))
-        pairs = few.join(other, "key").filter("x < y and cx <> cy").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-        found = _verified(pairs, members, bags)
-        huge = (F.col("n") > HUGE) & F.lit(not parted)
-        found = written(found.union(_joining(rest.filter((F.col("n") > FEW) & ~huge), bags)), "near-links")
-        # A huge bucket's members meet again under its key and each of their other bands.
-        again = rest.filter(huge).select("key", "b", "size").join(members.select(F.col("doc_id").alias("b"), "bands"), "b").select("b", "size", "key", F.explode("bands").alias("band")).filter("band <> key")
-        rows = written(again.select("b", "size", F.xxhash64(F.least("key", "band"), F.greatest("key", "band")).alias("key")).distinct(), "near-rows")
-        edges, joined = _more(edges, found)
-        if not parted:
-            late = written(rest.filter(huge).select("key", "b", "n", "size"), "near-late")
-        dropped(rest)
-        parted = True
-        if rows.isEmpty():
-            if not late.isEmpty():
-                edges, joined = _more(edges, written(_joining(written(_open(late, joined), "near-rest"), bags), "near-links"))
-            dropped(bags)
-            return joined
-
-
-def _open(rows: DataFrame, joined: DataFrame) -> DataFrame:
-    """(key, b, n, size) -> (key, b, class_id, n, size) of the buckets that aren't within one class."""
-    of = rows.join(joined.withColumnRenamed("doc_id", "b"), "b", "left").select("key", "b", F.coalesce("class_id", "b").alias("class_id"), "n", "size")
-    open_ = of.groupBy("key").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).filter("lo < hi").select("key")
-    return of.join(open_, "key")
+    rows = members.select(F.col("doc_id").alias("b"), F.explode("bands").alias("key"))
+    buckets = written(rows.groupBy("key").agg(F.min("b").alias("first"), F.count("*").alias("n")).filter("n > 1"), "near-buckets")
+    held = written(rows.join(buckets, "key"), "near-held")
+    bags = written(_bags(docs.join(held.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_semi")), "near-bags")
+    star = _verified(held.filter("first < b").select(F.col("first").alias("a"), "b").distinct(), bags)
+    joined = classes(star)
+    of = written(held.filter("n > 2").join(joined.withColumnRenamed("doc_id", "b"), "b", "left").select("key", "b", F.coalesce("class_id", "b").alias("class_id")), "near-held")
+    keys = written(of.groupBy("key").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).filter("lo < hi").select("key"), "near-keys")
+    open_ = written(of.join(keys, "key").select(F.col("b").alias("doc_id"), "class_id").distinct(), "near-open")
+    tokens = written(_rarest(open_.join(bags, "doc_id")), "near-rarest")
+    # Of shingles that the same texts have, one is enough.
+    same = [F.bit_xor(F.xxhash64("b", F.lit(k))).alias(f"h{k}") for k in (0, 1)]
+    groups = tokens.groupBy("key").agg(F.count("*").alias("n"), F.min("class_id").alias("lo"), F.max("class_id").alias("hi"), *same).filter("lo < hi")
+    groups = written(groups.groupBy("n", "h0", "h1").agg(F.min("key").alias("key")).select("key", "n"), "near-groups")
+    rest = written(tokens.join(groups, "key"), "near-rest")
+    few = rest.filter(F.col("n") <= FEW).select("key", F.col("b").alias("x"), F.col("class_id").alias("cx"))
+    other = few.select("key", F.col("x").alias("y"), F.col("cx").alias("cy"))
+    pairs = few.join(other, "key").filter("x < y and cx <> cy").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    found = _verified(pairs, bags)
+    more = written(_joining(rest.filter(F.col("n") > FEW), bags), "near-links")
+    for table in (buckets, held, bags, of, keys, open_, tokens, groups, rest):
+        dropped(table)
+    every = classes(star.union(found).union(more))
+    for table in (joined, star, found, more):
+        dropped(table)
+    return every
+
+
+def _commonness(bags: DataFrame) -> np.ndarray:
+    """How often shingles occur in the bags, counted in COUNTERS counters that shingles share by hash: a table of fixed size."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for blob in batch.column("bag").to_pylist():
+                total += np.bincount((_unpacked(blob)[0] % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"slot": pa.array(some), "n": pa.array(total[some])})
+
+    found = bags.mapInArrow(tidy(count), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTERS, np.int64)
+    out[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def _rarest(bags: DataFrame) -> DataFrame:
+    """(doc_id, class_id, bag) -> (key, b, class_id, size): as many of each bag's rarest shingles as similar bags must share one of.
+
+    A shingle of count c stands for c of count 1. Of w in all, a bag shares 0.8 w or more with a similar one, so one of the first
+    w - 0.8 w + 1, in an order that is the same for all bags: by commonness, then by hash.
+    """
+    common = bags.sparkSession.sparkContext.broadcast(_commonness(bags))
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blobs, got = batch.column("bag").to_pylist(), []
+            for blob in blobs:
+                shingle, count = _unpacked(blob)
+                order = np.lexsort((shingle, common.value[(shingle % np.uint64(COUNTERS)).astype(np.int64)]))
+                each = np.ones(len(shingle), np.int64) if count is None else count[order]
+                w = int(each.sum())
+                first = w - int(np.ceil(SIMILAR * w - 1e-6)) + 1
+                # Those of the first places, by shingle and how many of it came before.
+                take = min(len(order), first)
+                n = np.minimum(each[:take], np.maximum(first - (np.cumsum(each[:take]) - each[:take]), 0))
+                nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                got.append(mixed(np.repeat(shingle[order[:take]], n) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64))
+            sizes = list(map(len, got))
+            cols = [pa.array(np.concatenate([np.empty(0, np.int64), *got])), pa.array(np.repeat(batch.column("doc_id").to_numpy(), sizes)), pa.array(np.repeat(batch.column("class_id").to_numpy(), sizes)), pa.array(np.repeat(list(map(len, blobs)), sizes), pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["key", "b", "class_id", "size"])
+
+    return bags.select("doc_id", "class_id", "bag").mapInArrow(tidy(rarest), "key long, b long, class_id long, size long")
 
 
 def _joining(rest: DataFrame, bags: DataFrame) -> DataFrame:
-    """(key, b, class_id, size) -> (a, b): links that join classes, from all pairs of different classes within each bucket.
+    """(key, b, class_id, size) -> (a, b): links that join classes, from all pairs of different classes within each group of one key.
 
-    A bucket's members are dealt to blocks of about BLOCK texts and BLOCK_BYTES bytes; a group is a pair of blocks.
+    A group's members are dealt to blocks of about BLOCK texts and BLOCK_BYTES bytes; a task compares a pair of blocks and returns only
+    links that join classes.
     """
-    sizes = rest.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") * 12 / BLOCK_BYTES)).cast("int").alias("blocks"))
+    sizes = rest.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_BYTES)).cast("int").alias("blocks"))
     dealt = rest.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
     sized = dealt.join(bags.select(F.col("doc_id").alias("b"), "bag"), "b")
     own = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -303,18 +310,6 @@ def overlaps(bags: list[tuple[np.ndarray, np.ndarray | None]], columns: int = 40
     return shared.astype(np.int64), weight
 
 
-def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
-    """The pairs that are not in one class yet."""
-    x, y = (joined.select(F.col("doc_id").alias(c), F.col("class_id").alias(f"c{c}")) for c in "ab")
-    return pairs.join(x, "a", "left").join(y, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-
-def _more(edges: DataFrame | None, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(all links so far, the classes they make)."""
-    every = found if edges is None else edges.union(found)
-    return every, classes(every)
-
-
 def classes(edges: DataFrame) -> DataFrame:
     """(a, b) -> (doc_id, class_id) for all documents with a link: the least document it is linked to over any path.
 
@@ -349,24 +344,39 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = written(sketched(some), "near-sketches")
-    own = sketches.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("digest", "bands", "signature", "size")).alias("s")).select("doc_id", "s.*")
+    own = sketches.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("digest", "bands")).alias("s")).select("doc_id", "s.*")
     own = written(own, "near-own")
     real = own.filter(F.length("digest") > 0)
     # Written, so that the joins below deal both sides anew and a digest of very many copies can be split.
     firsts = written(real.groupBy("digest").agg(F.min("doc_id").alias("copy_of")), "near-firsts")
     copies = written(own.join(firsts, "digest", "left").select("doc_id", "digest", F.coalesce("copy_of", "doc_id").alias("copy_of")), "near-copies")
-    members = written(own.join(firsts, (own["doc_id"] == firsts["copy_of"]) & (own["digest"] == firsts["digest"])).select("doc_id", "bands", "signature", "size"), "near-members")
+    members = written(own.join(firsts, (own["doc_id"] == firsts["copy_of"]) & (own["digest"] == firsts["digest"])).select("doc_id", "bands"), "near-members")
     dropped(sketches)
     dropped(own)
     texts = some.filter("doc_id is not null and text is not null").join(members.select("doc_id"), "doc_id", "left_semi")
-    found = linked(members, texts)
-    found = found.withColumnRenamed("doc_id", "copy_of")
+    found = linked(members, texts).withColumnRenamed("doc_id", "copy_of")
+    dropped(members)
+    dropped(firsts)
     return copies.join(found, "copy_of", "left").select("doc_id", F.coalesce("class_id", "copy_of").alias("class_id"), "copy_of")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The first document of each class; the columns stay. Rows without a doc_id stay, of repeated rows one stays."""
-    firsts = near_duplicates(docs).filter("doc_id = class_id").select(F.col("doc_id").alias("_first"))
-    kept = docs.join(firsts, F.col("doc_id") == F.col("_first"), "left_semi")
-    once = kept.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter("_n = 1").drop("_n")
-    return once.unionByName(docs.filter("doc_id is null"))
+    """The first document of each class; the columns stay, whatever their names.
+
+    Rows without a doc_id stay. Of rows that agree in doc_id and text one stays. Rows of one doc_id with different texts are documents of
+    their own: that of the least hash has the doc_id, the others come after all doc_ids below 1 << 62 in the order that tells which is first.
+    Null texts and texts without words are like no others, and stay.
+    """
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = docs.filter("doc_id is not null").select(row, F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
+    again = written(rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("hash").alias("least")).filter("n > 1").select(F.col("doc_id").alias("id"), "least"), "near-repeated")
+    if again.isEmpty():
+        each = rows.select("row", "doc_id", "text")
+    else:
+        told = rows.join(again, F.col("doc_id") == F.col("id"), "left")
+        once = told.filter("id is not null").groupBy("doc_id", "hash", "least").agg(F.first("row").alias("row"), F.first("text").alias("text"))
+        late = F.shiftrightunsigned(F.xxhash64("doc_id", "hash"), 2) + F.lit(1 << 62)
+        own = once.select("row", F.when(F.col("hash") == F.col("least"), F.col("doc_id")).otherwise(late).alias("doc_id"), "text")
+        each = written(told.filter("id is null").select("row", "doc_id", "text").unionAll(own), "near-rows")
+    firsts = near_duplicates(each).filter("doc_id = class_id").select("doc_id")
+    return each.join(firsts, "doc_id", "left_semi").select("row.*").unionByName(docs.filter("doc_id is null"))

@@ -281,10 +281,10 @@ def test_overlaps():
     assert neardup.overlaps([])[0].shape == (0, 0)
 
 
-@pytest.mark.parametrize("few, block, huge", [(1, 4, 1 << 20), (1, 512, 10), (64, 512, 1 << 20)])
-def test_large_buckets_lose_no_link(spark, monkeypatch, few, block, huge):
-    """A chain of texts, each like the next but not like the first, in common buckets: pair by pair, by blocks, parted."""
-    for name, value in (("FEW", few), ("BLOCK", block), ("HUGE", huge), ("BANDS", 6), ("ROWS", 2), ("HOPELESS", 0.0)):
+@pytest.mark.parametrize("few, block, counters", [(1, 4, 1 << 18), (1, 512, 7), (64, 512, 1)])
+def test_large_buckets_lose_no_link(spark, monkeypatch, few, block, counters):
+    """A chain of texts, each like the next but not like the first, in common buckets: pair by pair, by blocks, in any order of shingles."""
+    for name, value in (("FEW", few), ("BLOCK", block), ("COUNTERS", counters), ("BANDS", 6), ("ROWS", 2)):
         monkeypatch.setattr(neardup, name, value)
     base, texts = words(300, 7, 5000), {}
     for k in range(30):
@@ -294,14 +294,57 @@ def test_large_buckets_lose_no_link(spark, monkeypatch, few, block, huge):
     assert set(got.class_id) == {0}
 
 
-def test_huge_bucket_verifies_pairs_without_second_band(spark, monkeypatch):
-    for name, value in (("FEW", 2), ("BLOCK", 2), ("HUGE", 4)):
+@pytest.mark.parametrize("few, block", [(2, 2), (2, 512), (64, 512)])
+def test_pairs_that_share_one_bucket_only(spark, monkeypatch, few, block):
+    """All texts share one bucket and half of their words; only similar ones, far from the bucket's first, are linked."""
+    for name, value in (("FEW", few), ("BLOCK", block)):
         monkeypatch.setattr(neardup, name, value)
-    texts = {i: " ".join(words(60, 50 + i, 5000)) for i in range(6)}
-    texts[4] = texts[3] + " more"
-    members = spark.createDataFrame([(i, [7, 100 + i], bytes(2 * neardup.BANDS * neardup.ROWS), 60) for i in texts], "doc_id long, bands array<long>, signature binary, size long")
-    got = neardup.linked(members, spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
-    assert {(r["doc_id"], r["class_id"]) for r in got.collect()} == {(3, 3), (4, 3)}
+    common = words(60, 1, 5000)
+    texts = {i: " ".join(common + words(60, 50 + i, 5000)) for i in range(400)}
+    for i in range(0, 400, 7):
+        texts[i + 1] = " ".join(edited(texts[i].split(" "), 0.01, i)) if i else texts[1]
+        texts[i + 2] = texts[i + 1] + " " + " ".join(words(12, i)) * (i % 2)
+    members = spark.createDataFrame([(i, [7, 1000 + i]) for i in texts], "doc_id long, bands array<long>")
+    got = {r["doc_id"]: r["class_id"] for r in neardup.linked(members, spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    bags, label = {d: bag(t) for d, t in texts.items()}, {d: d for d in texts}
+
+    def find(d):
+        while label[d] != d:
+            d = label[d]
+        return d
+
+    for a, b in itertools.combinations(texts, 2):
+        if weighted(bags[a], bags[b]) >= 0.8:
+            x, y = sorted((find(a), find(b)))
+            label[y] = x
+    assert {d: got.get(d, d) for d in texts} == {d: find(d) for d in texts} and len(got) > 50
+
+
+def test_repeated_shingles_in_prefix(spark):
+    """Bags with counts meet by their rarest shingles: brute force over all pairs."""
+    rng = np.random.default_rng(3)
+    bags = {}
+    for i in range(60):
+        x = np.unique(rng.integers(0, 30, 14)).astype(np.uint64)
+        bags[i] = (x, rng.integers(1, 6, len(x)))
+        if i % 3 == 1:
+            x, c = bags[i - 1]
+            bags[i] = (x, np.maximum(1, c - (rng.random(len(c)) < 0.15)))
+    blob = lambda x, c: x.tobytes() + b"\1" + c.astype("<u4").tobytes()
+    rows = neardup._rarest(spark.createDataFrame([(i, i, blob(*b)) for i, b in bags.items()], "doc_id long, class_id long, bag binary")).collect()
+    by = collections.defaultdict(set)
+    for r in rows:
+        by[r["key"]].add(r["b"])
+    meet = {p for g in by.values() for p in itertools.combinations(sorted(g), 2)}
+    alike = {(a, b) for a, b in itertools.combinations(bags, 2) if neardup.similarity(blob(*bags[a]), blob(*bags[b])) >= 0.8}
+    assert alike <= meet and len(alike) > 5
+
+
+def test_deduplicated_keeps_texts_of_one_id(spark):
+    long = words(100, 1)
+    rows = [(1, " ".join(long), "a"), (1, "another text of the same id", "b"), (1, "another text of the same id", "b"), (2, " ".join([*long, "more"]), "c"), (3, "another text of the same id", "d"), (4, None, "e"), (4, None, "e")]
+    got = [(r["doc_id"], r["text"]) for r in neardup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, row string")).collect()]
+    assert sorted("-" if t is None else t[:7] for _, t in got) == sorted(["-", "another", " ".join(long)[:7]])
 
 
 def test_near_duplicates_edges(spark, odd, none):
