@@ -21,6 +21,8 @@ BANDS, ROWS = 32, 5
 FEW = 8
 #: Texts and bytes of a block.
 BLOCK, BLOCK_BYTES = 512, 16 << 20
+#: Blocks up to which a component of texts that meet is compared as a whole; a larger one is compared shingle by shingle.
+WHOLE = 16
 #: Counters, shared by hash, that tell common shingles from rare ones.
 COUNTERS = 1 << 18
 
@@ -165,7 +167,8 @@ def linked(members: DataFrame, docs: DataFrame) -> DataFrame:
     of all others meet again by their rarest shingles: two texts that are SIMILAR share one of the first fifth of their
     shingles in any order that holds for all texts, here from rare to common. So texts that share a bucket for what
     very many texts have in common hardly meet, and no two similar texts of a bucket are left unverified, whatever its size, unless
-    links join them. What is written grows with the rows, not with their square.
+    links join them. Texts that meet make components; all pairs of different classes in a component are verified, in a very large one all pairs
+    that meet. What is written grows with the rows, not with their square.
     """
     rows = members.select(F.col("doc_id").alias("b"), F.explode("bands").alias("key"))
     buckets = written(rows.groupBy("key").agg(F.min("b").alias("first"), F.count("*").alias("n")).filter("n > 1"), "near-buckets")
@@ -179,15 +182,25 @@ def linked(members: DataFrame, docs: DataFrame) -> DataFrame:
     tokens = written(_rarest(open_.join(bags, "doc_id")), "near-rarest")
     # Of shingles that the same texts have, one is enough.
     same = [F.bit_xor(F.xxhash64("b", F.lit(k))).alias(f"h{k}") for k in (0, 1)]
-    groups = tokens.groupBy("key").agg(F.count("*").alias("n"), F.min("class_id").alias("lo"), F.max("class_id").alias("hi"), *same).filter("lo < hi")
-    groups = written(groups.groupBy("n", "h0", "h1").agg(F.min("key").alias("key")).select("key", "n"), "near-groups")
+    groups = tokens.groupBy("key").agg(F.count("*").alias("n"), F.min("class_id").alias("lo"), F.max("class_id").alias("hi"), F.min("b").alias("least"), *same).filter("lo < hi")
+    groups = written(groups.groupBy("n", "h0", "h1").agg(F.min("key").alias("key"), F.first("least").alias("least")).select("key", "least"), "near-groups")
     rest = written(tokens.join(groups, "key"), "near-rest")
-    few = rest.filter(F.col("n") <= FEW).select("key", F.col("b").alias("x"), F.col("class_id").alias("cx"))
+    meet = rest.filter("least < b").select(F.col("least").alias("a"), "b").distinct()
+    component = classes(meet).withColumnRenamed("doc_id", "b").withColumnRenamed("class_id", "component")
+    placed = rest.join(component, "b")
+    whole = placed.select(F.col("component").alias("key"), "b", "class_id", "size").distinct()
+    sizes = whole.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_BYTES)).alias("blocks"))
+    large = written(sizes.filter(F.col("blocks") > WHOLE).select("key"), "near-large")
+    small = written(whole.join(large, "key", "left_anti"), "near-whole")
+    by_shingle = placed.join(large.select(F.col("key").alias("component")), "component", "left_semi").select("key", "b", "class_id", "size")
+    parts = small.withColumn("key", F.xxhash64("key", F.lit("whole"))).unionByName(by_shingle)
+    parts = written(parts.join(parts.groupBy("key").agg(F.count("*").alias("texts")), "key"), "near-parts")
+    few = parts.filter(F.col("texts") <= FEW).select("key", F.col("b").alias("x"), F.col("class_id").alias("cx"))
     other = few.select("key", F.col("x").alias("y"), F.col("cx").alias("cy"))
     pairs = few.join(other, "key").filter("x < y and cx <> cy").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
     found = _verified(pairs, bags)
-    more = written(_joining(rest.filter(F.col("n") > FEW), bags), "near-links")
-    for table in (buckets, held, bags, of, keys, open_, tokens, groups, rest):
+    more = written(_joining(parts.filter(F.col("texts") > FEW), bags), "near-links")
+    for table in (buckets, held, bags, of, keys, open_, tokens, groups, rest, component, large, small, parts):
         dropped(table)
     every = classes(star.union(found).union(more))
     for table in (joined, star, found, more):
@@ -202,7 +215,7 @@ def _commonness(bags: DataFrame) -> np.ndarray:
         total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             for blob in batch.column("bag").to_pylist():
-                total += np.bincount((_unpacked(blob)[0] % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+                np.add.at(total, (_unpacked(blob)[0] % np.uint64(COUNTERS)).astype(np.int64), 1)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"slot": pa.array(some), "n": pa.array(total[some])})
 

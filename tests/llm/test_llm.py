@@ -281,10 +281,10 @@ def test_overlaps():
     assert neardup.overlaps([])[0].shape == (0, 0)
 
 
-@pytest.mark.parametrize("few, block, counters", [(1, 4, 1 << 18), (1, 512, 7), (64, 512, 1)])
-def test_large_buckets_lose_no_link(spark, monkeypatch, few, block, counters):
+@pytest.mark.parametrize("few, block, counters, whole", [(1, 4, 1 << 18, 16), (1, 512, 7, 0), (64, 512, 1, 16)])
+def test_large_buckets_lose_no_link(spark, monkeypatch, few, block, counters, whole):
     """A chain of texts, each like the next but not like the first, in common buckets: pair by pair, by blocks, in any order of shingles."""
-    for name, value in (("FEW", few), ("BLOCK", block), ("COUNTERS", counters), ("BANDS", 6), ("ROWS", 2)):
+    for name, value in (("FEW", few), ("BLOCK", block), ("WHOLE", whole), ("COUNTERS", counters), ("BANDS", 6), ("ROWS", 2)):
         monkeypatch.setattr(neardup, name, value)
     base, texts = words(300, 7, 5000), {}
     for k in range(30):
@@ -294,10 +294,10 @@ def test_large_buckets_lose_no_link(spark, monkeypatch, few, block, counters):
     assert set(got.class_id) == {0}
 
 
-@pytest.mark.parametrize("few, block", [(2, 2), (2, 512), (64, 512)])
-def test_pairs_that_share_one_bucket_only(spark, monkeypatch, few, block):
+@pytest.mark.parametrize("few, block, whole", [(2, 2, 16), (2, 2, 0), (2, 512, 0), (64, 512, 16)])
+def test_pairs_that_share_one_bucket_only(spark, monkeypatch, few, block, whole):
     """All texts share one bucket and half of their words; only similar ones, far from the bucket's first, are linked."""
-    for name, value in (("FEW", few), ("BLOCK", block)):
+    for name, value in (("FEW", few), ("BLOCK", block), ("WHOLE", whole)):
         monkeypatch.setattr(neardup, name, value)
     common = words(60, 1, 5000)
     texts = {i: " ".join(common + words(60, 50 + i, 5000)) for i in range(400)}
