@@ -13,14 +13,14 @@ def _rank(c: DataFrame) -> DataFrame:
     """Adds k, a turn's place in its dialogue from 0, without dealing a whole dialogue to one task.
 
     Turns are placed by (turn, role, text), nulls first. Numbers within a run of turn values are added to
-    the sizes of the runs before it.
+    the sizes of the runs before it; null turns are a run of their own, before all others.
     """
-    runs = c.withColumn("run", F.floor(F.coalesce("turn", F.lit(-1)) / RUN))
+    runs = c.withColumn("run", F.floor(F.col("turn") / RUN))
     before = Window.partitionBy("conv_id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     sizes = runs.groupBy("conv_id", "run").count().withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     inside = Window.partitionBy("conv_id", "run").orderBy("turn", "role", "text")
     k = runs.withColumn("k", F.row_number().over(inside) - 1)
-    same = k["conv_id"].eqNullSafe(sizes["conv_id"]) & (k["run"] == sizes["run"])
+    same = k["conv_id"].eqNullSafe(sizes["conv_id"]) & k["run"].eqNullSafe(sizes["run"])
     return k.join(sizes, same).select(*[k[x] for x in c.columns], (k["k"] + sizes["before"]).alias("k"))
 
 

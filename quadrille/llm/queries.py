@@ -33,7 +33,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return done.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
-        F.element_at("ends", -1).alias("n_bytes"),
+        F.element_at("ends", -1).alias("n_bytes"), F.xxhash64("begins", "ends").alias("spans_xxh64"),
     )
 
 
@@ -139,6 +139,38 @@ WITH d AS (
 SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, floor(target - epochs * source_size) - before)) AS BIGINT) AS taken FROM s
 """
 
+#: Rules from all subsets of each labelled page's tokens.
+URL_SQL = r"""
+WITH p AS (
+  SELECT page_id, url, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages
+), t AS (
+  SELECT *, list_sort(list_distinct(list_concat(['h:' || x FOR x IN string_split(host, '.') IF x <> ''],
+    ['p:' || regexp_replace(lower(x), '[0-9]+', '0', 'g') FOR x IN string_split(path, '/') IF x <> '']))) AS items FROM p
+), b AS (
+  SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id
+), s AS (
+  SELECT items, CAST(quality = 0 AS INTEGER) AS bad FROM t JOIN b ON page_id = doc_id WHERE url IS NOT NULL
+), u AS (
+  SELECT items, bad, unnest(range(1, CAST(1 << len(items) AS BIGINT))) AS m FROM s
+), i AS (
+  SELECT [items[k] FOR k IN range(1, len(items) + 1) IF (m >> (k - 1)) & 1 = 1] AS item_set, bad FROM u
+), r AS (
+  SELECT item_set, sum(bad) / count(*) AS c FROM i GROUP BY item_set
+  HAVING sum(bad) >= greatest(10, (SELECT ceil(0.002::DOUBLE * count(*)) FROM s)) AND sum(bad) / count(*) >= 0.6::DOUBLE
+), k AS (
+  SELECT item_set FROM r x WHERE NOT EXISTS (SELECT 1 FROM r y WHERE len(y.item_set) < len(x.item_set) AND list_has_all(x.item_set, y.item_set) AND y.c + 0.02::DOUBLE >= x.c)
+), f AS (
+  SELECT DISTINCT url FROM t JOIN k ON list_has_all(items, item_set)
+), g AS (
+  SELECT p.*, f.url IS NOT NULL AS fired, CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM p LEFT JOIN f ON p.url = f.url
+)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN fired THEN 'block' ELSE 'allow' END AS verdict FROM g
+"""
+
 #: Windows by their words, written out.
 SUBSTRING_SQL = r"""
 WITH d AS (
@@ -161,4 +193,4 @@ SELECT doc_id, len(w) AS n_words, CAST(n AS BIGINT) AS n_removed, sha256(array_t
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_top_k": TOP_K_SQL, "op6_source_mix": MIX_SQL, "op7_chat_formats": CHAT_SQL, "op8_substring_dedup": SUBSTRING_SQL}
+    return {"op1_exact_top_k": TOP_K_SQL, "op2_url_filters": URL_SQL, "op6_source_mix": MIX_SQL, "op7_chat_formats": CHAT_SQL, "op8_substring_dedup": SUBSTRING_SQL}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from ._common import written
 
 #: (host, path, verdict): a rule fits its host and all subdomains where the path starts with its path.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: An itemset counts from this share of the labelled pages on, and from so many of them; a rule from this confidence on.
+#: An itemset counts if this share of the labelled pages, and so many of them, are bad and have it; a rule from this confidence on.
 SUPPORT, PAGES, CONFIDENCE = 0.002, 10, 0.6
 #: A rule is dropped unless its confidence beats that of every shorter rule within it by so much.
 GAIN = 0.02
@@ -39,47 +40,56 @@ def tokens(host: Column, path: Column) -> Column:
 def mined(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """Association rules (rule_id, antecedent, size, confidence) whose consequent is a bad label.
 
-    pages: page_id, url. labels: doc_id, quality (0: bad); a page has the label of the same id. All labelled pages and all
-    their tokens count. The rules are those that FP-growth and the prune by GAIN leave, mined by levels, since FP-growth makes all
-    subsets of tokens that go together, 2 ** 30 for a host of 30 labels. An itemset that as many pages have as one of its
-    parts is never a rule, for the part has its confidence; nor is one with a part whose confidence no longer rule can beat by
-    GAIN. Both hold for all larger itemsets too, so none is made from these. The number of itemsets of a level is bounded by
-    itemsets a page / support.
+    pages: page_id, url. labels: doc_id, quality (0: bad; of repeated rows of one id the least counts); a page has the label of the
+    same id. All labelled pages and all their tokens count. Itemsets come from Spark's FP-growth over the bad pages, and the
+    confidence of each from all labelled pages. A rule goes if a shorter one within it is as confident but for GAIN.
+
+    Two things keep FP-growth from making all subsets of tokens that go together, without a change to the rules. Tokens that the same
+    labelled pages have are one item; a rule is written out for each of them at the end, and one with two of them would not
+    beat that with one. Tokens whose own rule no longer rule can beat by GAIN are no items. Null urls, ids and qualities take no
+    part. Without labels, or bad ones, there are no rules. Other columns are not read.
     """
     bad = labels.filter("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     seen = pages.filter("url is not null").join(bad, F.col("page_id") == F.col("doc_id")).select(
         tokens(host_of(F.col("url")), path_of(F.col("url"))).alias("items"), (F.col("quality") == 0).cast("long").alias("bad")
     )
-    seen = written(seen.groupBy(F.array_sort("items").alias("items")).agg(F.count("*").alias("n"), F.sum("bad").alias("bad")), "url-baskets")
-    total = seen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    need = max(1, math.ceil(min(1.0, max(support, PAGES / max(1, total))) * total))
-    counted = lambda sets: sets.groupBy("set").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).filter(F.col("bad") >= need)
-    rated = lambda sets: sets.withColumn("confidence", F.col("bad") / F.col("n")).withColumn("open", (F.col("confidence") < confidence) | (F.col("confidence") + GAIN < 1))
-
-    level = written(rated(counted(seen.select(F.explode(F.transform("items", lambda t: F.array(t))).alias("set"), "n", "bad"))), "url-sets")
-    # Baskets of tokens that may be in a longer rule, with the itemsets of the level that each has.
-    own = F.broadcast(level.filter("open").select(F.col("set")[0].alias("token")))
-    kept = seen.withColumn("id", F.monotonically_increasing_id()).select("id", "n", "bad", F.explode("items").alias("token")).join(own, "token")
-    baskets = kept.groupBy("id", "n", "bad").agg(F.array_sort(F.collect_list("token")).alias("kept")).groupBy("kept").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    held = written(baskets.withColumn("set", F.explode(F.transform("kept", lambda t: F.array(t)))), "url-held")
-    found = level
-    while not held.isEmpty():
-        longer = held.withColumn("token", F.explode(F.filter("kept", lambda t: t > F.element_at("set", -1)))).select("kept", "n", "bad", F.concat("set", F.array("token")).alias("set"))
-        sets = counted(longer)
-        parts = sets.withColumn("part", F.explode(F.transform("set", lambda t: F.array_remove("set", t))))
-        shorter = F.broadcast(level.filter("open").select(F.col("set").alias("part"), F.col("n").alias("of")))
-        free = parts.join(shorter, "part").groupBy("set", "n", "bad").agg(F.count("*").alias("parts"), F.min("of").alias("of")).filter((F.col("parts") == F.size("set")) & (F.col("of") > F.col("n")))
-        level = written(rated(free.select("set", "n", "bad")), "url-sets")
-        found = found.union(level)
-        held = written(longer.join(F.broadcast(level.filter("open").select("set")), "set", "left_semi"), "url-held")
-    found = found.filter(F.col("confidence") >= confidence).select(F.col("set").alias("antecedent"), "confidence", F.size("set").alias("size"))
-    short, long = found.alias("a"), found.alias("b")
-    covered = long.join(
-        short,
-        (F.col("a.size") < F.col("b.size")) & (F.size(F.array_except("a.antecedent", "b.antecedent")) == 0) & (F.col("a.confidence") + GAIN >= F.col("b.confidence")),
-        "left_anti",
-    )
-    return covered.select(F.sha2(F.concat_ws(" ", "antecedent"), 256).alias("rule_id"), "antecedent", "size", "confidence")
+    seen = seen.groupBy(F.array_sort("items").alias("items")).agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
+    seen = written(seen.withColumn("basket", F.xxhash64("items")), "url-baskets")
+    total = seen.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
+    need = max(PAGES, math.ceil(support * total["n"]))
+
+    each = seen.select("basket", "n", "bad", F.explode("items").alias("token"))
+    same = [F.bit_xor(F.xxhash64("basket", F.lit(k))).alias(f"h{k}") for k in (0, 1)]
+    alike = each.groupBy("token").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), *same).filter(F.col("bad") >= need)
+    alike = alike.groupBy("n", "bad", "h0", "h1").agg(F.min("token").alias("item"), F.array_sort(F.collect_list("token")).alias("members"))
+    items = written(alike.withColumn("confidence", F.col("bad") / F.col("n")).withColumn("open", (F.col("confidence") < confidence) | (F.col("confidence") + GAIN < 1)).select("item", "members", "n", "bad", "confidence", "open"), "url-items")
+    single = items.select(F.array("item").alias("set"), "confidence")
+    own = items.filter("open").select(F.col("item").alias("token"))
+    kept = written(each.join(own, "token"), "url-kept")
+    baskets = kept.filter("bad > 0").groupBy("basket", "bad").agg(F.collect_list("token").alias("items"))
+    rows = written(baskets.select("items", F.explode(F.sequence(F.lit(1).cast("long"), "bad"))).select("items"), "url-bad")
+    n_rows = rows.count()
+    if n_rows < need:
+        sets = single
+    else:
+        found = FPGrowth(itemsCol="items", minSupport=(need - 0.5) / n_rows).fit(rows).freqItemsets.filter(F.size("items") > 1)
+        found = written(found.select(F.array_sort("items").alias("set"), F.col("freq").alias("bad")), "url-sets")
+        # How many labelled pages have a set: baskets that as many of its tokens meet.
+        index = found.select("set", "bad", F.size("set").alias("size"), F.explode("set").alias("token"))
+        have = kept.select("basket", "n", "token").join(index, "token").groupBy("basket", "set", "n").agg(F.count("*").alias("met"), F.first("size").alias("size"), F.first("bad").alias("of"))
+        counted = have.filter("met = size").groupBy("set").agg(F.sum("n").alias("n"), F.first("of").alias("of"))
+        sets = single.unionAll(counted.select("set", F.col("of") / F.col("n")))
+    rules = written(sets.filter(F.col("confidence") >= confidence).withColumn("size", F.size("set")), "url-rules")
+    # Shorter rules within a rule: those of which it has all tokens.
+    short = rules.select(F.col("set").alias("s"), F.col("size").alias("s_size"), F.col("confidence").alias("s_confidence"), F.explode("set").alias("token"))
+    within = rules.select("set", "size", "confidence", F.explode("set").alias("token")).join(short, "token").filter((F.col("s_size") < F.col("size")) & (F.col("s_confidence") + GAIN >= F.col("confidence")))
+    covered = within.groupBy("set", "s", "s_size").count().filter("count = s_size").select("set").distinct()
+    best = rules.join(covered, "set", "left_anti")
+    # One rule for each choice of a token of each item.
+    of = best.withColumn("item", F.explode("set")).join(items.select("item", "members"), "item").groupBy("set", "confidence", "size").agg(F.collect_list("members").alias("m"))
+    choices = F.aggregate("m", F.array(F.array().cast("array<string>")), lambda a, m: F.flatten(F.transform(a, lambda x: F.transform(m, lambda t: F.concat(x, F.array(t))))))
+    out = of.select(F.explode(choices).alias("antecedent"), "size", "confidence").withColumn("antecedent", F.array_sort("antecedent"))
+    return out.select(F.sha2(F.concat_ws(" ", "antecedent"), 256).alias("rule_id"), "antecedent", "size", "confidence")
 
 
 def rule_column(host: Column, path: Column, rules=RULES) -> Column:
@@ -115,7 +125,9 @@ def judged(pages: DataFrame, found: DataFrame, rules=RULES) -> DataFrame:
     )
     host, path = host_of(url), path_of(url)
     given = rule_column(host, path, rules)
-    return pages.join(fired, F.col("url") == F.col("u"), "left").select(
+    # Null urls, which may be many, are no key of a join.
+    joined = pages.filter("url is not null").join(fired, F.col("url") == F.col("u"), "left").select("page_id", "url", "n_fired")
+    return joined.unionAll(pages.filter("url is null").select("page_id", "url", F.lit(None).cast("int"))).select(
         "page_id", host.alias("host"), path.alias("path"), given["rule"].alias("rule"),
         F.coalesce(given["verdict"], F.when(F.col("n_fired") > 0, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
         F.coalesce("n_fired", F.lit(0)).alias("n_fired"),

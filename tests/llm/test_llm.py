@@ -456,6 +456,9 @@ def test_chat(spark, monkeypatch):
         assert text[r["seg_start"] :].startswith(r["segment"])
         own = r["role"] == r["speaker"]
         assert text[r["mask_start"] : r["mask_end"]] == (r["segment"].split("\n", 1)[1] if own else "")
+    rows = [(1, t, "ann", x) for t, x in ((-1000, "a"), (None, "b"), (0, "c"), (None, "d"))]
+    got = chat.rotated(spark.createDataFrame([(*r, 7, 8) for r in rows], "conv_id long, turn long, role string, text string, k int, segment int"))
+    assert [r["segment"].split("\n")[1][0] for r in got.orderBy("k").collect()] == ["b", "d", "a", "c"]
     assert chat.rotated(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
