@@ -15,9 +15,9 @@ from .blocks import best, matrix, same_width, searched, usable
 #: The trees' planes are fitted on so many rows at most, those of the smallest hash of id. Every row is indexed.
 FIT_ROWS = 8192
 #: Trees, and sample rows up to which a node is a leaf.
-TREES, LEAF = 12, 24
+TREES, LEAF = 16, 6
 #: A query's search goes on until the leaves it has met hold this share of a tree's sample rows, counted over all trees.
-SHARE = 1.5
+SHARE = 1.2
 
 
 @dataclass
@@ -76,12 +76,12 @@ class Forest:
         most, out = share * self.leaf_rows[self.leaf_tree == 0].sum(), []
         rows, children, roots = self.leaf_rows.tolist(), self.children.tolist(), self.roots
         for margin in margins.tolist():
-            queue, met, held = [(-np.inf, r) for r in roots], [], 0
+            queue, met, held = sorted((0.0, r) for r in roots), [], 0
             while queue and held < most:
                 far, node = heapq.heappop(queue)
                 while node >= 0:
                     m = margin[node]
-                    heapq.heappush(queue, (max(far, abs(m)), children[node][m <= 0]))
+                    heapq.heappush(queue, (far + abs(m), children[node][m <= 0]))
                     node = children[node][m > 0]
                 met.append(-1 - node)
                 held += rows[-1 - node]
@@ -98,7 +98,7 @@ def nearest(vectors: DataFrame, is_query, k: int, id_col: str = "vec_id", vec_co
     """(query_id, rank, vec_id, score): for each query the k rows of largest inner product among those its search meets.
 
     Planes between two random sample rows, at the median, make the trees; all rows are indexed in all of them. A
-    query walks down every tree from one queue, in order of its distance to the planes it crossed, until the leaves met hold
+    query walks down every tree from one queue, in order of the sum of its distances to the planes it crossed, until the leaves met hold
     `share` of the sample's rows. The rows of these leaves in all shards are the candidates; each is scored
     exactly, in double precision, once. Products are brought to distances by one more component, from the largest norm.
 
