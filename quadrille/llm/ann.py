@@ -15,9 +15,9 @@ from .blocks import best, matrix, same_width, searched, usable
 #: The trees' planes are fitted on so many rows at most, those of the smallest hash of id. Every row is indexed.
 FIT_ROWS = 8192
 #: Trees, and sample rows up to which a node is a leaf.
-TREES, LEAF = 16, 6
+TREES, LEAF = 12, 12
 #: A query's search goes on until the leaves it has met hold this share of a tree's sample rows, counted over all trees.
-SHARE = 1.2
+SHARE = 1.1
 
 
 @dataclass
