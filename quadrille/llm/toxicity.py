@@ -18,8 +18,8 @@ from ._common import slices, text_words, tidy, worker_cache, written
 #: Labels are learned from so many rows at most, those of the smallest hash of doc_id; the only bound on what is learned from.
 TRAIN_ROWS = 20_000
 #: A term is learned if so many toxic training texts have it that no better term explains, or this share of all of them has it,
-#: and this share at least of the texts with it is toxic.
-LEAST, SHARE, PURE = 2, 0.05, 0.97
+#: and this share at least of the texts with it is toxic; and if no more than so many terms would be in as many by chance.
+LEAST, SHARE, PURE, CHANCE = 2, 0.05, 0.97, 0.5
 #: What a misspelt term counts before labels say more, as a share of a term.
 MISSPELT = 0.8
 #: Lengths of word beginnings that may become terms.
@@ -217,7 +217,7 @@ def _term_counts(train: DataFrame) -> DataFrame:
 
 
 def learned(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """Lexicon and weights from labelled texts.
+    """Lexicon and weights from labelled texts. Of repeated label rows of one id the larger label counts.
 
     Words and word beginnings that toxic texts have and clean ones don't become terms. Words of clean texts near a term are
     remembered as innocent. A logistic regression on the counts of
@@ -227,8 +227,10 @@ def learned(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
     train = _training(docs, labels, train_rows)
     total = {bool(r["toxic"]): r["count"] for r in train.groupBy("toxic").count().collect()}
     bad, clean = total.get(True, 0), total.get(False, 0)
-    rate = F.col("bad") / (F.col("bad") + F.col("clean"))
-    found = _term_counts(train).filter((F.col("bad") >= LEAST) & (rate >= PURE)).collect() if bad and clean else []
+    texts = F.col("bad") + F.col("clean")
+    counts = written(_term_counts(train).filter(texts >= LEAST), "toxicity-terms") if bad and clean else None
+    least = _least({r["n"]: r["count"] for r in counts.groupBy(texts.alias("n")).count().collect()}, bad / (bad + clean)) if counts else LEAST
+    found = counts.filter((F.col("bad") >= least) & (F.col("bad") / texts >= PURE)).collect() if counts else []
     words, stems = _chosen({(r["term"], r["stem"]): r["bad"] for r in found if r["stem"] or len(r["term"]) > 2}, train, bad)
     model = Model(words, stems)
     if not words and not stems:
@@ -266,6 +268,19 @@ def learned(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
     return model
 
 
+def _least(terms: dict[int, int], rate: float) -> int:
+    """So many toxic texts must have a term that less than CHANCE terms are in as many and in no other text by chance.
+
+    terms: how many terms are in n texts, for each n; rate: the share of texts that are toxic.
+    """
+    by_chance = 0.0
+    for n in sorted(terms, reverse=True):
+        by_chance += terms[n] * rate**n
+        if by_chance > CHANCE:
+            return max(LEAST, n + 1)
+    return LEAST
+
+
 def _chosen(uses: dict[tuple[str, bool], int], train: DataFrame, bad: int) -> tuple[set[str], set[str]]:
     """(words, stems) out of the candidates with the number of toxic training texts that have them.
 
@@ -348,3 +363,10 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     schema = kept.withColumn("score", F.lit(0.0)).schema
     return kept.mapInArrow(tidy(score), schema).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs that aren't predicted toxic; their columns stay, whatever their names. Null and empty texts are as in scored()."""
+    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row")
+    kept = scored(docs.select(others, "text"), model).filter("predicted = 0")
+    return kept.select(*("text" if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
