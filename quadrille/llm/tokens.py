@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import lists_of, slices, tasks, tidy, worker_cache
+from ._common import lists_of, slices, tasks, worker_cache
 
 #: Fixed values of the format. Frequencies of a segment add up to 1 << SCALE; a lane's state stays in [1 << 31, 1 << 63)
 #: and moves 32-bit words; a block of BLOCK ids is dealt to LANES lanes in turn.
@@ -23,7 +23,9 @@ SCALE, LOW, BLOCK, LANES = 20, 31, 16384, 32
 #: A segment, which shares one frequency table, ends with the document that brings it to so many ids.
 SEGMENT = 2 << 20
 #: Words whose ids a worker remembers, over all its tasks: some 200 bytes each.
-KNOWN = 400_000
+KNOWN = 1_000_000
+#: Text tokenised at a time: the more, the fewer distinct words a byte.
+SLICE = 8 << 20
 #: Unicode's white space, as in a regular expression's class.
 SPACES = "\\x09-\\x0d\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 #: A piece of its own at the end of a word; it and the letters are spelled as themselves.
@@ -201,13 +203,15 @@ class Tokenizer:
         length[whole] = list(map(len, rest))
         extra = int(end is not None)
         starts = np.concatenate([[0], np.cumsum(length + extra)])
-        out, body = np.full(starts[-1], end or 0, np.int64), np.ones(starts[-1], bool)
+        out, body = np.full(starts[-1], end or 0, np.uint32), np.ones(starts[-1], bool)
         if extra:
             body[starts[1:] - 1] = False
+        if not rest:
+            out[body] = some
+            return out, starts
         of_whole = np.repeat(whole, length + extra)
         out[body & ~of_whole] = some
-        if rest:
-            out[body & of_whole] = np.concatenate([np.asarray(x, np.int64) for x in rest])
+        out[body & of_whole] = np.concatenate([np.asarray(x, np.uint32) for x in rest])
         return out, starts
 
     def _piece(self, piece: bytes) -> bytes:
@@ -242,7 +246,7 @@ class Tokenizer:
         for i, ids in enumerate(got):
             if ids is None:
                 got[i] = known[words[i]] = self._word(words[i])
-        return np.frombuffer(b"".join(got), np.uint32).astype(np.int64), np.fromiter(map(len, got), np.int64, len(got)) // 4
+        return np.frombuffer(b"".join(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got)) // 4
 
 
 def encoded(docs: DataFrame, tokenizer_path: str, end: int | None = 0) -> DataFrame:
@@ -267,13 +271,13 @@ def encoded(docs: DataFrame, tokenizer_path: str, end: int | None = 0) -> DataFr
             return pa.RecordBatch.from_pylist([row], SCHEMA)
 
         for batch in batches:
-            for some in slices(batch, "text"):
+            for some in slices(batch, "text", SLICE):
                 if tokenizer is None:
                     cache, key = worker_cache("tokenizers"), hash(blob.value)
                     tokenizer = cache[key] = cache.get(key) or Tokenizer(blob.value)
                 ids, starts = tokenizer.ids(pc.fill_null(some.column("text"), "").cast(pa.large_string()), end)
                 # The null doc_id is kept as the least long.
-                kept.append((ids.astype(np.uint32), np.diff(starts).astype("<i8"), np.asarray(pc.fill_null(some.column("doc_id").cast(pa.int64()), -(1 << 63))).astype("<i8")))
+                kept.append((ids, np.diff(starts).astype("<i8"), np.asarray(pc.fill_null(some.column("doc_id").cast(pa.int64()), -(1 << 63))).astype("<i8")))
                 if sum(len(k[0]) for k in kept) >= SEGMENT:
                     yield segment()
                     kept, seq = [], seq + 1
@@ -282,7 +286,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, end: int | None = 0) -> DataFr
 
     order = (F.col("doc_id"), F.col("_h"))
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_h")).repartitionByRange(tasks(docs.sparkSession), *order).sortWithinPartitions(*order)
-    return rows.select("doc_id", "text").mapInArrow(tidy(encode), FORMAT)
+    return rows.select("doc_id", "text").mapInArrow(encode, FORMAT)
 
 
 SCHEMA = pa.schema([(n, {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[k]) for n, k in (x.split() for x in FORMAT.split(", "))])
@@ -317,7 +321,7 @@ def decoded(files: DataFrame, ids: bool = True) -> DataFrame:
                     out["ids"] = lists_of(values, starts, pa.int32())
                 yield pa.RecordBatch.from_pydict(out)
 
-    rows = files.mapInArrow(tidy(decode), "doc_id long, part int, seq long, local long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids)
+    rows = files.mapInArrow(decode, "doc_id long, part int, seq long, local long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids)
     return rows.join(begin, ["part", "seq"]).select(
         "doc_id", (F.col("offset") + F.col("at") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * ids
     )
