@@ -106,7 +106,26 @@ def reliability(branches: DataFrame, bins: int = 10) -> DataFrame:
     per = branches.groupBy("support").agg(F.sum(F.col("correct").cast("long")).alias("p"), F.sum((~F.col("correct")).cast("long")).alias("n"))
     below = Window.orderBy("support").rowsBetween(Window.unboundedPreceding, -1)
     ranked = per.withColumn("under", F.coalesce(F.sum("n").over(below), F.lit(0)))
-    auc = ranked.agg(F.sum("p").alias("P"), F.sum("n").alias("N"), F.sum(F.col("p") * (F.col("under") + F.col("n") / 2)).alias("u"))
+    auc = ranked.agg(F.sum("p").alias("right"), F.sum("n").alias("wrong"), F.sum(F.col("p") * (F.col("under") + F.col("n") / 2)).alias("u"))
     b = branches.withColumn("bin", F.least(F.lit(bins - 1), F.floor(F.col("support") * bins))).groupBy("bin").agg(F.count("*").alias("c"), F.avg("support").alias("s"), F.avg(F.col("correct").cast("double")).alias("a"))
     ece = b.agg(F.sum("c").alias("n"), (F.sum(F.col("c") * F.abs(F.col("s") - F.col("a"))) / F.sum("c")).alias("ece"))
-    return auc.crossJoin(ece).select("n", (F.col("u") / (F.col("P") * F.col("N"))).alias("auc"), "ece")
+    return auc.crossJoin(ece).select("n", (F.col("u") / (F.col("right") * F.col("wrong"))).alias("auc"), "ece")
+
+
+def tail_recall(branches: DataFrame, order: str, shares: tuple[float, ...] = (0.1, 0.2, 0.3)) -> DataFrame:
+    """(support, correct, order) -> (share, branches, recall): the part of the wrong branches among the share of all with least support.
+
+    Ties go by the column `order`. Where a share ends is found on counts per support, so only branches of one support are sorted.
+    """
+    per = branches.groupBy("support").agg(F.count("*").alias("here"), F.sum((~F.col("correct")).cast("long")).alias("wrong"))
+    below = Window.orderBy("support").rowsBetween(Window.unboundedPreceding, -1)
+    total = per.agg(F.sum("here").alias("n"), F.sum("wrong").alias("all_wrong"))
+    placed = per.withColumn("under", F.coalesce(F.sum("here").over(below), F.lit(0))).crossJoin(F.broadcast(total))
+    ends = placed.withColumn("share", F.explode(F.array(*map(F.lit, shares)))).withColumn("left", F.ceil(F.col("share") * F.col("n")) - F.col("under"))
+    full = ends.filter("left >= here").groupBy("share").agg(F.sum("here").alias("branches"), F.sum("wrong").alias("found"))
+    cut = ends.filter("left > 0 and left < here").select(F.col("support").alias("s"), "share", "left")
+    place = F.row_number().over(Window.partitionBy("share").orderBy(order))
+    part = branches.join(F.broadcast(cut), F.col("support") == F.col("s")).withColumn("place", place).filter("place <= left")
+    part = part.groupBy("share").agg(F.count("*").alias("branches"), F.sum((~F.col("correct")).cast("long")).alias("found"))
+    both = full.unionByName(part).groupBy("share").agg(F.sum("branches").alias("branches"), F.sum("found").alias("found"))
+    return both.crossJoin(F.broadcast(total)).select("share", "branches", (F.col("found") / F.when(F.col("all_wrong") > 0, F.col("all_wrong"))).alias("recall"))

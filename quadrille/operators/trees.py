@@ -152,6 +152,21 @@ def concordance(quartet_rows: DataFrame, one: DataFrame, two: DataFrame) -> Data
     return both.agg(F.count("*").alias("evaluated"), F.coalesce(F.sum((F.col("x") == F.col("cls")).cast("long")), F.lit(0)).alias("matches")).withColumn("concordance", F.col("matches") / F.when(F.col("evaluated") > 0, F.col("evaluated")))
 
 
+def total_weight(splits: DataFrame, tree: DataFrame) -> DataFrame:
+    """(shown, total): the weight of the splits that a tree shows, and of all."""
+    rows = splits.select(*(F.col(x).cast("string").alias(f"q{i}") for i, x in enumerate("abcd")), "w")
+    found = topologies(rows, leaf_closure(tree), tree)
+    return found.agg(F.coalesce(F.sum(F.when(F.col("cls") == 0, F.col("w"))), F.lit(0)).alias("shown"), F.coalesce(F.sum("w"), F.lit(0)).alias("total"))
+
+
+def mismatches(quartet_rows: DataFrame, one: DataFrame, two: DataFrame, n: int) -> DataFrame:
+    """(q0..q3, one, two): the first n quartets, in order of names, that two trees show as different classes."""
+    names = [c for c in quartet_rows.columns if c.startswith("q")]
+    a = topologies(quartet_rows, leaf_closure(one), one).withColumnRenamed("cls", "one")
+    both = topologies(a, leaf_closure(two), two).withColumnRenamed("cls", "two")
+    return both.filter("one <> two").select(*names, "one", "two").orderBy(*names).limit(n)
+
+
 def gene_tree_quartets(trees: DataFrame, weighting: str = "n") -> DataFrame:
     """(tree_id, newick) -> (tree_id, a, b, c, d, w): the resolved quartets of each tree."""
 

@@ -14,6 +14,8 @@ from ..sources.tables import written
 from . import newick
 from .newick import Node
 
+#: How the weight of a split is scaled that stands for a whole side: not at all, or by the side's size, which for quartets n1 and n2 both mean.
+NORMS = ("n0", "n1", "n2")
 #: Subproblems of up to so many splits are solved in one task, levels and all.
 LOCAL = 20_000
 
@@ -52,7 +54,7 @@ def solved(taxa: list[int], q: np.ndarray, w: np.ndarray, method: str = "qfm", n
         size_other = len(taxa) - len(own)
         same, three = k == 4 * x, k == (3 if x else 1)
         moved = np.where(s[three] != x, fresh, q[three])
-        weight = w[three] / (size_other if norm == "n2" else 1)
+        weight = w[three] / (1 if norm == "n0" else size_other)
         rows = np.vstack([q[same], moved]) if len(moved) or same.any() else np.empty((0, 4), np.int64)
         weights = np.concatenate([w[same], weight])
         rows, weights = _merged(rows, weights)
@@ -92,6 +94,8 @@ def assemble(splits: DataFrame, method: str = "qfm", norm: str = "n0", iter_limi
     tree as Newick text. Each level is written to the shared folder, so that lineage stays short and lost executors lose nothing. The trees
     are stitched on the driver, which holds as many nodes as there are taxa.
     """
+    if norm not in NORMS:
+        raise ValueError(f"norm is one of {', '.join(NORMS)}")
     spark = splits.sparkSession
     current = _written(splits.select(F.lit(0).cast("long").alias("sub_id"), *(F.col(x).cast("long").alias(x) for x in graph.SPLIT), F.col("w").cast("double").alias("w")).groupBy("sub_id", *graph.SPLIT).agg(F.sum("w").alias("w")), "level")
     every = current.select(F.explode(F.array(*graph.SPLIT)).alias("taxon")).distinct()
@@ -129,7 +133,7 @@ def assemble(splits: DataFrame, method: str = "qfm", norm: str = "n0", iter_limi
         step = spark.createDataFrame(plan, "sub_id long, artificial long, zero long, one long")
         live = some.join(F.broadcast(step), "sub_id")
         child = lambda side: F.when(side == 0, F.col("zero")).otherwise(F.col("one"))
-        after = graph.divided(live.select("sub_id", *graph.SPLIT, "w", "artificial", "zero", "one"), sides, F.col("artificial"), counts if norm == "n2" else None, ("sub_id",))
+        after = graph.divided(live.select("sub_id", *graph.SPLIT, "w", "artificial", "zero", "one"), sides, F.col("artificial"), None if norm == "n0" else counts, ("sub_id",))
         nxt = after.join(F.broadcast(step), "sub_id").select(child(F.col("side")).alias("sub_id"), *graph.SPLIT, "w")
         # Taxa that no split of the large problem holds any more stay on the side they fell to.
         kept = sides.join(F.broadcast(step), "sub_id").select(child(F.col("side")).alias("sub_id"), "taxon")

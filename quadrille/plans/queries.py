@@ -389,13 +389,6 @@ def newick_nodes(spark, sf_dir):
     return trees.parsed(characters.newicks(characters.groups(fixtures.event_characters(spark, sf_dir))))
 
 
-@query()
-def gene_tree_factors(spark, sf_dir):
-    """Concordance factors of the characters as trees."""
-    t = characters.newicks(characters.groups(fixtures.event_characters(spark, sf_dir)))
-    return trees.concordance_factors(trees.gene_tree_quartets(t))
-
-
 @query()
 def block_design(spark, sf_dir):
     """Blocks of 24 over all customers' nations and regions, 30 taxa."""
@@ -422,3 +415,6 @@ def infer_tree(spark, sf_dir):
     longest = aligned.agg(F.max(F.length("seq"))).first()[0]
     tree = infer(aligned.withColumn("seq", F.rpad("seq", longest, "-")), quartets.Config(compute_branch_support=True), block=8)
     return _table(spark, tree)
+
+
+from . import relations  # noqa: E402, F401
