@@ -78,14 +78,18 @@ def _statuses(side: np.ndarray) -> np.ndarray:
 
 def first_sides(quartets: np.ndarray, n: int) -> np.ndarray:
     """A bipartition to start from: splits in the order given place their unplaced taxa with their pair, else across; the rest balance."""
-    side = np.full(n, -1, np.int8)
+    side, missing = np.full(n, -1, np.int8), len(np.unique(quartets))
     for q in quartets:
+        if not missing:
+            break
         a, b, c, d = q
         placed = side[q] >= 0
         if placed.all():
             continue
-        if not placed.any():
+        before = int(placed.sum())
+        if not before:
             side[[a, b]], side[[c, d]] = 0, 1
+            missing -= 4
             continue
         for pair, other in (((a, b), (c, d)), ((c, d), (a, b))):
             for x, mate in (pair, pair[::-1]):
@@ -93,46 +97,57 @@ def first_sides(quartets: np.ndarray, n: int) -> np.ndarray:
                     side[x] = side[mate]
             if side[pair[0]] < 0 and (known := [y for y in other if side[y] >= 0]):
                 side[list(pair)] = 1 - side[known[0]]
+        missing -= int((side[q] >= 0).sum()) - before
     for x in np.flatnonzero(side < 0):
         zeros, ones = (side == 0).sum(), (side == 1).sum()
         side[x] = 0 if zeros < ones else 1
     return side
 
 
+#: By the sides of a split's four taxa, as bits, and the place of the taxon that moves: what its status gains, and whether it is satisfied then.
+_SIDES = np.arange(16)[:, None] >> np.arange(4) & 1
+_AFTER = np.stack([_statuses(np.where(np.arange(4) == i, 1 - _SIDES, _SIDES)) for i in range(4)], axis=1)
+_GAIN, _THEN = (_AFTER - _statuses(_SIDES)[:, None]).astype(float), (_AFTER == 1).astype(float)
+
+
 def refined(quartets: np.ndarray, weights: np.ndarray, side: np.ndarray) -> np.ndarray:
     """Passes of single moves. Each pass moves every taxon that may, best gain first, and keeps the best prefix of its moves.
 
     The score is the weight of satisfied minus violated splits. Ties go to the larger satisfied weight after the move, then to
-    the earlier taxon. A side keeps two taxa at least. Passes go on while they gain.
+    the earlier taxon. A side keeps two taxa at least. Passes go on while they gain. Gains are kept per taxon; a move
+    changes those of the taxa of the moved taxon's splits, by what these splits' patterns of sides gave before and give after it.
     """
     n = len(side)
-    of_taxon = [np.flatnonzero((quartets == t).any(1)) for t in range(n)]
-
-    def effect(t: int) -> tuple[float, float]:
-        rows = of_taxon[t]
-        now = side[quartets[rows]]
-        then = np.where(quartets[rows] == t, 1 - now, now)
-        before, after = _statuses(now), _statuses(then)
-        w = weights[rows]
-        return float((w * (after - before)).sum()), float(w[after == 1].sum())
+    order = np.argsort(quartets.ravel(), kind="stable")
+    starts = np.searchsorted(quartets.ravel()[order], np.arange(n + 1))
+    rows_of, place_of = order // 4, order % 4
 
     while True:
-        gains, free = {t: effect(t) for t in range(n)}, set(range(n))
+        pattern = (side[quartets].astype(np.int64) << np.arange(4)).sum(1)
+        sums = lambda table, rows, p: np.bincount(quartets[rows].ravel(), (weights[rows, None] * table[p]).ravel(), n)
+        every = slice(None)
+        gain, then = sums(_GAIN, every, pattern), sums(_THEN, every, pattern)
+        free, count = np.ones(n, bool), np.bincount(side, minlength=2)
         moves, total, best, keep = [], 0.0, 0.0, 0
-        while free:
-            room = [(side == s).sum() > 2 for s in (0, 1)]
-            able = [t for t in free if room[side[t]]]
-            if not able:
+        while free.any():
+            able = np.flatnonzero(free & (count > 2)[side])
+            if not len(able):
                 break
-            t = max(able, key=lambda x: (*gains[x], -x))
-            total += gains[t][0]
+            able = able[gain[able] == gain[able].max()]
+            t = int(able[np.argmax(then[able])])
+            total += gain[t]
+            count[side[t]] -= 1
             side[t] = 1 - side[t]
-            free.discard(t)
+            count[side[t]] += 1
+            free[t] = False
             moves.append(t)
             if total >= best and total >= 0:
                 best, keep = total, len(moves)
-            for u in set(quartets[of_taxon[t]].ravel().tolist()) & free:
-                gains[u] = effect(u)
+            rows, own = rows_of[starts[t] : starts[t + 1]], place_of[starts[t] : starts[t + 1]]
+            was = pattern[rows]
+            now = pattern[rows] = was ^ (1 << own)
+            gain += sums(_GAIN, rows, now) - sums(_GAIN, rows, was)
+            then += sums(_THEN, rows, now) - sums(_THEN, rows, was)
         for t in moves[keep:]:
             side[t] = 1 - side[t]
         if best <= 1e-9:
@@ -163,17 +178,21 @@ def max_cut(weight: np.ndarray, rng: np.random.Generator, tries: int) -> tuple[f
     best = (-np.inf, np.zeros(n, np.int8))
     for _ in range(max(1, tries)):
         x = rng.choice([-1.0, 1.0], n)
+        # pull: each taxon's weight to its own side less that to the other, which a move changes by one column.
+        pull = weight @ x
         for _ in range(20 * n):
-            gain = x * (weight @ x)
+            gain = x * pull
             t = int(np.argmax(gain))
-            if gain[t] > 1e-12:
+            if gain[t] > 1e-9:
                 x[t] = -x[t]
+                pull += 2 * x[t] * weight[:, t]
                 continue
             swap = np.where(x[:, None] != x[None, :], gain[:, None] + gain[None, :] + 2 * weight, -np.inf)
             i, j = np.unravel_index(int(np.argmax(swap)), swap.shape)
-            if swap[i, j] <= 1e-12:
+            if swap[i, j] <= 1e-9:
                 break
             x[[i, j]] = -x[[i, j]]
+            pull = weight @ x
         value = float((weight * (x[:, None] != x[None, :])).sum() / 2)
         if value > best[0] + 1e-12:
             best = value, (x > 0).astype(np.int8)
@@ -181,11 +200,16 @@ def max_cut(weight: np.ndarray, rng: np.random.Generator, tries: int) -> tuple[f
 
 
 def qmc_bipartition(quartets: np.ndarray, weights: np.ndarray, n: int, iter_limit: int = 3, seed: int = 1) -> np.ndarray | None:
+    """Sides of n taxa by max-cut of their splits' graph."""
+    return qmc_cut(*graph_matrices(quartets, weights.astype(float), n), iter_limit, seed)
+
+
+def qmc_cut(good: np.ndarray, bad: np.ndarray, iter_limit: int = 3, seed: int = 1) -> np.ndarray | None:
     """Sides by max-cut of (good - alpha * bad) over its mean size. alpha is bisected in [0, 6] to a width of 0.1.
 
     The last alpha with a cut of 0.001 or more and two taxa on either side counts; None if there is none.
     """
-    good, bad = graph_matrices(quartets, weights.astype(float), n)
+    n = len(good)
     low, high, found = 0.0, 6.0, None
     rng = np.random.default_rng(seed)
     while high - low > 0.1:
@@ -201,12 +225,25 @@ def qmc_bipartition(quartets: np.ndarray, weights: np.ndarray, n: int, iter_limi
 
 
 def bipartitions(splits: DataFrame, method: str = "qfm", iter_limit: int = 3, seed: int = 1) -> DataFrame:
-    """(sub_id, a, b, c, d, w) -> (sub_id, taxon, side): each subproblem's bipartition; none where max-cut finds no cut."""
+    """(sub_id, a, b, c, d, w) -> (sub_id, taxon, side): each subproblem's bipartition; none where max-cut finds no cut.
+
+    Max-cut needs a subproblem's graph only, whose edges are summed before they meet: taxa squared, however many splits. Moves of single
+    taxa need the splits themselves.
+    """
+    rows = splits.select("sub_id", *(F.col(x).cast("long").alias(x) for x in SPLIT), F.col("w").cast("double").alias("w"))
 
     def cut(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        taxa, at = np.unique(rows[list(SPLIT)].to_numpy(), return_inverse=True)
-        q, w = at.reshape(-1, 4), rows["w"].to_numpy(float)
-        side = fm_bipartition(q, w, len(taxa)) if method == "qfm" else qmc_bipartition(q, w, len(taxa), iter_limit, seed)
+        pair = ["i", "j"] if method == "qmc" else list(SPLIT)
+        taxa, at = np.unique(rows[pair].to_numpy(), return_inverse=True)
+        at = at.reshape(-1, len(pair))
+        if method == "qmc":
+            good, bad = np.zeros((2, len(taxa), len(taxa)))
+            for m, name in ((good, "good"), (bad, "bad")):
+                m[at[:, 0], at[:, 1]] = m[at[:, 1], at[:, 0]] = rows[name].to_numpy(float)
+            side = qmc_cut(good, bad, iter_limit, seed)
+        else:
+            side = fm_bipartition(at, rows["w"].to_numpy(float), len(taxa))
         return pd.DataFrame({"sub_id": key[0], "taxon": taxa if side is not None else [], "side": side if side is not None else []})
 
-    return splits.select("sub_id", *(F.col(x).cast("long").alias(x) for x in SPLIT), F.col("w").cast("double").alias("w")).groupBy("sub_id").applyInPandas(cut, "sub_id long, taxon long, side int")
+    each = quartet_graph(rows, ("sub_id",)) if method == "qmc" else rows
+    return each.groupBy("sub_id").applyInPandas(cut, "sub_id long, taxon long, side int")

@@ -17,7 +17,7 @@ from .newick import Node
 #: How the weight of a split is scaled that stands for a whole side: not at all, or by the side's size, which for quartets n1 and n2 both mean.
 NORMS = ("n0", "n1", "n2")
 #: Subproblems of up to so many splits are solved in one task, levels and all.
-LOCAL = 20_000
+LOCAL = 1 << 18
 
 
 def star(taxa: list[int]) -> Node:
@@ -41,8 +41,7 @@ def solved(taxa: list[int], q: np.ndarray, w: np.ndarray, method: str = "qfm", n
     taxa = sorted(taxa)
     if len(taxa) < 4 or not len(q):
         return star(taxa)
-    place = {t: i for i, t in enumerate(taxa)}
-    local = np.vectorize(place.__getitem__, otypes=[np.int64])(q)
+    local = np.searchsorted(np.array(taxa, np.int64), q)
     side = _side(local, w, method, len(taxa), iter_limit)
     if side is None or not 2 <= side.sum() <= len(taxa) - 2:
         return star(taxa)
@@ -65,11 +64,19 @@ def solved(taxa: list[int], q: np.ndarray, w: np.ndarray, method: str = "qfm", n
 def _merged(q: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(q):
         return q, w
-    pairs = np.sort(q.reshape(-1, 2, 2), axis=2)
-    swap = (pairs[:, 0, 0] > pairs[:, 1, 0]) | ((pairs[:, 0, 0] == pairs[:, 1, 0]) & (pairs[:, 0, 1] > pairs[:, 1, 1]))
+    taxa, at = np.unique(q, return_inverse=True)
+    pairs = np.sort(at.reshape(-1, 2, 2), axis=2)
+    swap = pairs[:, 0, 0] > pairs[:, 1, 0]
     pairs[swap] = pairs[swap][:, ::-1]
-    each, at = np.unique(pairs.reshape(-1, 4), axis=0, return_inverse=True)
-    return each, np.bincount(at.ravel(), w, len(each))
+    size = len(taxa)
+    if size**4 < 1 << 63:
+        # A split as one number, in the same order as its taxa.
+        key = np.ravel_multi_index(tuple(pairs.reshape(-1, 4).T), (size,) * 4)
+        each, first, where = np.unique(key, return_index=True, return_inverse=True)
+        rows = pairs.reshape(-1, 4)[first]
+    else:
+        rows, where = np.unique(pairs.reshape(-1, 4), axis=0, return_inverse=True)
+    return taxa[rows], np.bincount(where.ravel(), w, len(rows))
 
 
 def joined(a: Node, b: Node, link: str) -> Node:
@@ -110,8 +117,7 @@ def assemble(splits: DataFrame, method: str = "qfm", norm: str = "n0", iter_limi
             for r in _locally(current.filter(F.col("sub_id").isin(small)), method, norm, iter_limit).collect():
                 trees[r["sub_id"]] = newick.parse(r["newick"])
         large = [s for s, n in sizes.items() if n > local]
-        present = {s: [r["taxon"] for r in members.filter(F.col("sub_id") == s).collect()] for s in set(members_ids(members)) - set(large)}
-        for s, taxa in present.items():
+        for s, taxa in _taxa(members.filter(~F.col("sub_id").isin(large)) if large else members).items():
             trees[s] = _with_all(trees.get(s), taxa)
         if not large:
             break
@@ -119,8 +125,8 @@ def assemble(splits: DataFrame, method: str = "qfm", norm: str = "n0", iter_limi
         sides = _written(graph.bipartitions(some, method, iter_limit), "sides")
         counts = sides.groupBy("sub_id", "side").agg(F.count("*").cast("long").alias("n"))
         cut = {r["sub_id"] for r in counts.groupBy("sub_id").agg(F.count("*").alias("k"), F.min("n").alias("least")).filter("k = 2 and least >= 2").collect()}
-        for s in set(large) - cut:
-            trees[s] = star([r["taxon"] for r in members.filter(F.col("sub_id") == s).collect()])
+        if uncut := set(large) - cut:
+            trees |= {s: star(taxa) for s, taxa in _taxa(members.filter(F.col("sub_id").isin(*uncut))).items()}
         if not cut:
             break
         names, plan = {}, []
@@ -145,8 +151,9 @@ def assemble(splits: DataFrame, method: str = "qfm", norm: str = "n0", iter_limi
     return newick.unrooted(trees[0])
 
 
-def members_ids(members: DataFrame) -> list[int]:
-    return [r["sub_id"] for r in members.select("sub_id").distinct().collect()]
+def _taxa(members: DataFrame) -> dict[int, list[int]]:
+    """The taxa of each subproblem, in order; in one job, and never more than there are taxa in all."""
+    return {r["sub_id"]: sorted(r["taxa"]) for r in members.groupBy("sub_id").agg(F.collect_list("taxon").alias("taxa")).collect()}
 
 
 def _with_all(tree: Node | None, taxa: list[int]) -> Node:

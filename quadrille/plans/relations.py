@@ -12,6 +12,7 @@ from ..sources import alignments, quartets
 from ..sources.tables import shared_dir, written
 from ..streaming import aggregate
 from . import fixtures
+from .assemble import assemble
 from .infer import _table
 from .queries import GRAPH, GROUPS, WITH_SPLITS, _fixed_tree, _nation_tree, _splits, query
 
@@ -305,3 +306,19 @@ def stream_agg_off(spark, sf_dir):
     w = fixtures.weights(spark, sf_dir).select("block_id", *sites.Q, "w0", "w1", "w2")
     w.repartition(4, "block_id").write.parquet(f"{base}/in")
     return aggregate.run(aggregate.read(spark, f"{base}/in"), "off", f"{base}/out", f"{base}/state")
+
+
+def supplier_splits(spark, sf_dir):
+    """Splits over all suppliers, one or none from each line item: as a caterpillar in order of key shows them, but for every tenth part's."""
+    n = fixtures.table(spark, sf_dir, "supplier").count()
+    item = fixtures.table(spark, sf_dir, "lineitem")
+    ids = [F.pmod(F.xxhash64("l_orderkey", "l_linenumber", F.lit(k)), F.lit(n)) for k in range(4)]
+    four = item.select(F.array_sort(F.array_distinct(F.array(*ids))).alias("q"), (F.col("l_partkey") % 10 == 0).alias("odd"), F.col("l_quantity").alias("w")).filter(F.size("q") == 4)
+    b, c = F.when(F.col("odd"), F.col("q")[2]).otherwise(F.col("q")[1]), F.when(F.col("odd"), F.col("q")[1]).otherwise(F.col("q")[2])
+    return splits.summed(four.select(F.col("q")[0].alias("a"), b.alias("b"), c.alias("c"), F.col("q")[3].alias("d"), "w"))
+
+
+@query()
+def assemble_suppliers(spark, sf_dir):
+    """A tree of all suppliers from one split a line item."""
+    return _table(spark, assemble(supplier_splits(spark, sf_dir)))

@@ -26,7 +26,7 @@ def test_twin(spark, sf_dir, duck, name):
     assert rows(queries.FOUND[name](spark, sf_dir).toPandas()) == rows(duck.sql(queries.SQL[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.FOUND) - set(queries.SQL) - {"infer_tree"}))
+@pytest.mark.parametrize("name", sorted(set(queries.FOUND) - set(queries.SQL)))
 def test_runs(spark, sf_dir, name):
     assert queries.FOUND[name](spark, sf_dir).count() > 0
 
@@ -43,3 +43,40 @@ def test_block_design_holds_all_taxa(spark, sf_dir):
 
     rows = __spark_entry__.queries()["block_design"](spark, sf_dir).collect()
     assert {r["taxon"] for r in rows} == set(range(30)) and len({r["block_id"] for r in rows}) == 3
+
+
+@pytest.mark.parametrize("method", ["qfm", "qmc"])
+@pytest.mark.parametrize("local", [1 << 18, 200])
+def test_assembly_recovers_caterpillar(spark, sf_dir, method, local):
+    """A tenth of the splits is wrong; the tree is that of the others, in one task or level by level."""
+    from quadrille.operators import trees
+    from quadrille.plans.assemble import assemble
+    from quadrille.plans.infer import _table
+    from quadrille.plans.relations import supplier_splits
+
+    found = supplier_splits(spark, sf_dir)
+    taxa = sorted({t for r in found.collect() for t in tuple(r)[:4]})
+    got = trees.rf(_table(spark, assemble(found, method, local=local)), _table(spark, queries._fixed_tree(taxa))).first()
+    assert len(taxa) > 5 and got["rf"] <= (0 if method == "qfm" else 0.35)
+
+
+@pytest.mark.parametrize("method", ["qfm", "qmc"])
+def test_fixed_tree_from_its_quartets(spark, method):
+    """All quartets of a caterpillar of ten taxa, through both assemblers and all norms."""
+    import itertools
+
+    from quadrille.operators import trees
+    from quadrille.plans.assemble import assemble
+    from quadrille.plans.infer import _table
+
+    rows = spark.createDataFrame([(*q, 5) for q in itertools.combinations(range(10), 4)], "a long, b long, c long, d long, w long")
+    for norm in ("n0", "n1", "n2"):
+        assert trees.rf(_table(spark, assemble(rows, method, norm)), _table(spark, queries._fixed_tree(list(range(10))))).first()["rf"] == 0
+    with pytest.raises(ValueError, match="norm"):
+        assemble(rows, method, "n3")
+
+
+def test_infer_tree_holds_all_labels(spark, sf_dir):
+    leaves = {r["name"] for r in queries.FOUND["infer_tree"](spark, sf_dir).filter("is_leaf").collect()}
+    labels = {r["taxon"] for r in __import__("quadrille.plans.fixtures", fromlist=["x"]).label_sites(spark, sf_dir).select("taxon").distinct().collect()}
+    assert leaves == {f"label{t}" for t in labels}
