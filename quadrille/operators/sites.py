@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -12,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.scalar import GAP, pattern
 
 Q = ("q0", "q1", "q2", "q3")
-#: State matrices up to this many bytes are sent to every task; larger alignments are cut by position.
-BROADCAST_BYTES = 64 << 20
+#: States of a cut of the alignment, quartets of a tile, and bytes of pair codes that a task keeps.
+CUT_STATES, TILE, PAIR_BYTES = 16 << 20, 1 << 16, 64 << 20
 
 
 def informative(sites: DataFrame) -> DataFrame:
@@ -70,50 +68,64 @@ def site_patterns(quartet_rows: DataFrame, sites: DataFrame) -> DataFrame:
 
 
 def pattern_counts(quartet_rows: DataFrame, sites: DataFrame) -> DataFrame:
-    """site_patterns by an Arrow kernel: (q0..q3, pat, n).
+    """site_patterns by an Arrow kernel: (q0..q3, pat, n). quartet_rows are distinct; a site that a taxon lacks is a gap.
 
-    The state matrix is cut by position so that a cut has at most BROADCAST_BYTES; histograms of cuts add up. Within a cut
-    the pair codes 4 * s0 + s1 are made once for each pair and met two by two with one bincount a quartet.
+    The alignment is cut by position into cuts of CUT_STATES states, in which a taxon is one row of bytes, and the quartets are dealt to
+    tiles. Each cell of cuts and tiles is a task's work, and the cells' histograms add up: nothing passes through the driver.
     """
     extent = sites.agg(F.max("pos").alias("p"), F.count_distinct("taxon").alias("t")).first()
     if extent["p"] is None:
         return quartet_rows.select(*Q, F.lit(0).alias("pat"), F.lit(0).cast("long").alias("n")).limit(0)
-    width = max(1, BROADCAST_BYTES // max(1, extent["t"]))
-    parts = []
-    for start in range(0, extent["p"] + 1, width):
-        cut = sites.filter((F.col("pos") >= start) & (F.col("pos") < start + width)).select("taxon", (F.col("pos") - start).alias("pos"), "state").toArrow()
-        taxa, row = np.unique(np.asarray(cut.column("taxon")), return_inverse=True)
-        matrix = np.full((len(taxa), min(width, extent["p"] + 1 - start)), GAP, np.uint8)
-        matrix[row, np.asarray(cut.column("pos"))] = np.asarray(cut.column("state"))
-        parts.append(quartet_rows.select(*Q).mapInArrow(_kernel(taxa, matrix), "q0 long, q1 long, q2 long, q3 long, pat int, n long"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out.groupBy(*Q, "pat").agg(F.sum("n").alias("n")) if len(parts) > 1 else out
-
-
-def _kernel(taxa: np.ndarray, matrix: np.ndarray):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wide = matrix.astype(np.int16)
-        for batch in batches:
-            ids = np.stack([np.asarray(batch.column(q)) for q in Q], 1)
-            at = np.searchsorted(taxa, ids)
-            known = (at < len(taxa)).all(1)
-            known[known] = (taxa[at[known]] == ids[known]).all(1)
-            quartet, pats, counts = [], [], []
-            for k in np.flatnonzero(known):
-                a, b, c, d = wide[at[k]]
-                good = (a < GAP) & (b < GAP) & (c < GAP) & (d < GAP)
-                hist = np.bincount((a * 64 + b * 16 + c * 4 + d)[good], minlength=256)
-                some = np.flatnonzero(hist)
-                quartet.append(np.full(len(some), k))
-                pats.append(some)
-                counts.append(hist[some])
-            of = np.concatenate([np.empty(0, np.int64), *quartet]).astype(np.int64)
-            cols = {q: pa.array(ids[of, i].astype(np.int64)) for i, q in enumerate(Q)}
-            yield pa.RecordBatch.from_pydict(cols | {"pat": pa.array(np.concatenate([np.empty(0, int), *pats]).astype(np.int32)), "n": pa.array(np.concatenate([np.empty(0, int), *counts]).astype(np.int64))})
-
-    return count
+    width = min(extent["p"] + 1, max(1, CUT_STATES // max(1, extent["t"])))
+    cuts = -(-(extent["p"] + 1) // width)
+    quartets = quartet_rows.select(*(F.col(q).cast("long").alias(q) for q in Q))
+    tiles = max(-(-quartets.count() // TILE), -(-2 * sites.sparkSession.sparkContext.defaultParallelism // cuts))
+
+    def packed(key: tuple, rows: pa.Table) -> pa.Table:
+        states = np.full(width, GAP, np.uint8)
+        states[rows.column("at").to_numpy()] = rows.column("state").to_numpy()
+        return pa.table({"cut": pa.array([key[0].as_py()], pa.int32()), "taxon": pa.array([key[1].as_py()], pa.int64()), "states": pa.array([states.tobytes()], pa.binary())})
+
+    cut = F.floor(F.col("pos") / width).cast("int")
+    placed = sites.select(cut.alias("cut"), F.col("taxon").cast("long").alias("taxon"), (F.col("pos") - cut * width).cast("int").alias("at"), F.col("state").cast("int").alias("state"))
+    bands = placed.groupBy("cut", "taxon").applyInArrow(packed, "cut int, taxon long, states binary").withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    dealt = quartets.withColumn("tile", F.pmod(F.xxhash64(*Q), F.lit(tiles)).cast("int")).withColumn("cut", F.explode(F.sequence(F.lit(0), F.lit(cuts - 1))))
+    cells = dealt.groupBy("cut", "tile").cogroup(bands.groupBy("cut", "tile")).applyInArrow(_cell, "q0 long, q1 long, q2 long, q3 long, pat int, n long")
+    return cells.groupBy(*Q, "pat").agg(F.sum("n").alias("n"))
+
+
+#: Where the patterns of four bases are among all patterns of four states, gaps included.
+_BASES = np.array([125 * a + 25 * b + 5 * c + d for a in range(4) for b in range(4) for c in range(4) for d in range(4)])
+
+
+def _cell(quartets: pa.Table, bands: pa.Table) -> pa.Table:
+    """Histograms of a tile's quartets over a cut. Two taxa's states are one code, made once for the pairs that many quartets share."""
+    rows = {t: np.frombuffer(s, np.uint8) for t, s in zip(bands.column("taxon").to_pylist(), bands.column("states").to_pylist())}
+    ids = np.stack([quartets.column(q).to_numpy() for q in Q], 1) if quartets.num_rows else np.empty((0, 4), np.int64)
+    ids = ids[np.lexsort(ids.T[::-1])]
+    known: dict[tuple[int, int], np.ndarray] = {}
+    held, first, lead = 0, None, None
+    quartet, pats, counts = [], [], []
+    for k, (a, b, c, d) in enumerate(ids.tolist()):
+        if not (a in rows and b in rows and c in rows and d in rows):
+            continue
+        if first != (a, b):
+            first, lead = (a, b), 25 * (rows[a].astype(np.int16) * 5 + rows[b])
+        pair = known.get((c, d))
+        if pair is None:
+            pair = rows[c].astype(np.int16) * 5 + rows[d]
+            if held + pair.nbytes > PAIR_BYTES:
+                known.clear()
+                held = 0
+            known[c, d] = pair
+            held += pair.nbytes
+        hist = np.bincount(lead + pair, minlength=625)[_BASES]
+        some = np.flatnonzero(hist)
+        quartet.append(np.full(len(some), k))
+        pats.append(some)
+        counts.append(hist[some])
+    of, pat, n = (np.concatenate([np.empty(0, np.int64), *x]).astype(np.int64) for x in (quartet, pats, counts))
+    return pa.table({q: pa.array(ids[of, i]) for i, q in enumerate(Q)} | {"pat": pa.array(pat.astype(np.int32)), "n": pa.array(n)})
 
 
 def class_counts(patterns: DataFrame) -> DataFrame:

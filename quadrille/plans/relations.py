@@ -73,12 +73,12 @@ def node_annotations(spark, sf_dir):
 
 
 @query(
-    """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_partkey AS DOUBLE) / 10 END AS number, CASE l_returnflag WHEN 'N' THEN 0 END AS flag FROM lineitem"""
+    """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_partkey AS DOUBLE) / 10 END AS number, CASE l_returnflag WHEN 'N' THEN 'false' END AS flag FROM lineitem"""
 )
 def parsed_options(spark, sf_dir):
     """Numbers and booleans in text, null where the text is neither."""
     text = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit(" "), (F.col("l_partkey") / 10).cast("string"), F.lit(" "))).otherwise(F.col("l_returnflag"))
-    return fixtures.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", scalar.number(text).alias("number"), scalar.flag(F.col("l_returnflag")).cast("int").alias("flag"))
+    return fixtures.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", scalar.number(text).alias("number"), scalar.flag(F.col("l_returnflag")).cast("string").alias("flag"))
 
 
 @query(

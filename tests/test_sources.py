@@ -122,7 +122,8 @@ def test_kernel_agrees_over_cuts(spark, monkeypatch):
     s, q = spark.createDataFrame(s), sites.block_quartets(spark.createDataFrame([(0, list(range(6)))], "block_id long, members array<long>"))
     want = sorted(map(tuple, sites.site_patterns(q, s).select(*sites.Q, "pat", "n").collect()))
     assert sorted(map(tuple, sites.pattern_counts(q, s).collect())) == want
-    monkeypatch.setattr(sites, "BROADCAST_BYTES", 100)
+    for name, value in (("CUT_STATES", 100), ("TILE", 4), ("PAIR_BYTES", 200)):
+        monkeypatch.setattr(sites, name, value)
     assert sorted(map(tuple, sites.pattern_counts(q, s).collect())) == want
 
 
