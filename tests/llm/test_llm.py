@@ -732,6 +732,6 @@ def test_pipeline(spark, sf_dir):
     want = {d: kept for d, n, gone, kept in brute_substring(before) if not gone or gone < n}
     assert {r["doc_id"]: " ".join(WORD.findall(r["text"] or "")) for r in steps["substrings"].collect()} == want
     sp = sentencepiece.SentencePieceProcessor(model_file=SPM)
-    texts = {r["doc_id"]: r["text"] for r in steps["mix"].collect()}
-    for r in steps["sentencepiece"].limit(50).collect():
-        assert r["ids"] == sp.encode(texts[r["doc_id"]], add_eos=True) and r["n_tokens"] == len(r["ids"])
+    # The last document of a source is there in part too.
+    have = collections.Counter((r["doc_id"], tuple(r["ids"])) for r in steps["sentencepiece"].collect())
+    assert have == collections.Counter((r["doc_id"], tuple(sp.encode(r["text"], add_eos=True))) for r in steps["mix"].collect())
