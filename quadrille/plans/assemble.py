@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import graph
+from ..operators import genetrees, graph
 from ..sources.tables import written
 from . import newick
 from .newick import Node
@@ -151,6 +151,63 @@ def assemble(splits: DataFrame, method: str = "qfm", norm: str = "n0", iter_limi
     return newick.unrooted(trees[0])
 
 
+def assemble_gene_trees(trees: DataFrame, norm: str = "n2", iter_limit: int = 3, rename: dict[str, str] | None = None, metrics: list[dict] | None = None) -> Node:
+    """(tree_id, newick) -> species tree by max-cut of the gene trees' quartet graphs; no quartet is listed.
+
+    Level by level, all subproblems of a level in one pass over the trees. A side's taxa become one made-up taxon of the other side's
+    subproblem, whose leaves weigh as `norm` says: 1 (n0), 1 over its leaves (n1), or the product of 1 over numbers of kids (n2), counted in each tree. Trees may lack taxa; with
+    rename several leaves may be one taxon. Fewer than four taxa, no quartets or no cut give a star. The driver holds taxa squared at most.
+    metrics, a list, gets a row for each subproblem: id, parent, depth, size, artificial, subset.
+    """
+    if norm not in NORMS:
+        raise ValueError(f"norm is one of {', '.join(NORMS)}")
+    trees = _written(trees.select("tree_id", "newick"), "gene-trees")
+    problems: dict[int, list] = {0: genetrees.leaf_names(trees, rename)}
+    kids: dict[int, list] = {}
+    done: dict[int, Node] = {}
+    links: list[tuple[int, int, int]] = []
+    parent, depth, number = {0: None}, {0: 0}, 1
+    while problems:
+        if metrics is not None:
+            metrics += [{"id": s, "parent": parent[s], "depth": depth[s], "size": len(p), "artificial": sum(isinstance(t, int) for t in p), "subset": sorted(t for t in p if isinstance(t, str))} for s, p in problems.items()]
+        sides: dict[int, dict[int, int]] = {}
+        if wide := {s: p for s, p in problems.items() if len(p) >= 4}:
+            graphs = _written(genetrees.edges(trees, wide, kids, norm, rename), "gene-graph")
+            for r in genetrees.cuts(graphs, {s: len(p) for s, p in wide.items()}, iter_limit).collect():
+                sides.setdefault(r["sub_id"], {})[r["place"]] = r["side"]
+        following: dict[int, list] = {}
+        for s, p in problems.items():
+            if s not in sides:
+                done[s] = _named_star(p)
+                continue
+            parts = [[t for k, t in enumerate(p) if sides[s][k] == x] for x in (0, 1)]
+            for x in (0, 1):
+                # The number of the subproblem is that of the made-up taxon in it, which stands for the other side.
+                kids[number + x] = parts[1 - x]
+                following[number + x] = [*parts[x], number + x]
+                parent[number + x], depth[number + x] = s, depth[s] + 1
+            links.append((s, number, number + 1))
+            number += 2
+        problems = following
+    for s, zero, one in reversed(links):
+        # Both made-up taxa are the one edge between the sides.
+        newick.leaf_of(done[one], _made(one)).name = _made(zero)
+        done[s] = joined(done[zero], done[one], _made(zero))
+    return newick.unrooted(done[0])
+
+
+def _made(number: int) -> str:
+    """The name of a made-up taxon, which no taxon of a file can have."""
+    return f"\0{number}"
+
+
+def _named_star(taxa: list) -> Node:
+    root = Node()
+    for t in taxa:
+        root.add(Node(_made(t) if isinstance(t, int) else t))
+    return root
+
+
 def _taxa(members: DataFrame) -> dict[int, list[int]]:
     """The taxa of each subproblem, in order; in one job, and never more than there are taxa in all."""
     return {r["sub_id"]: sorted(r["taxa"]) for r in members.groupBy("sub_id").agg(F.collect_list("taxon").alias("taxa")).collect()}

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import characters, graph, sites, splits, support, trees
+from ..operators import characters, genetrees, graph, sites, splits, support, trees
 from ..sources import alignments, quartets
 from ..sources.tables import shared_dir, written
 from ..streaming import aggregate
@@ -233,7 +233,7 @@ SELECT least(i, j) AS i, greatest(i, j) AS j, CAST(sum(good) AS DOUBLE) AS good,
 def gene_tree_graph(spark, sf_dir):
     """Good and bad edges of the quartets that gene trees show, over all trees."""
     t = characters.newicks(characters.groups(fixtures.event_characters(spark, sf_dir)))
-    return graph.quartet_graph(trees.gene_tree_quartets(t)).select("i", "j", F.col("good").cast("double").alias("good"), F.col("bad").cast("double").alias("bad"))
+    return genetrees.tree_graph(t)
 
 
 @query(f"{WITH_SPLITS} SELECT CAST(sum(w) FILTER (a < b AND b < c AND c < d) AS BIGINT) AS shown, CAST(sum(w) AS BIGINT) AS total FROM splits")
