@@ -40,33 +40,63 @@ def mlp(weights: dict[str, np.ndarray], x: np.ndarray, prefix: str = "mlp") -> n
     return x
 
 
-def shared_mask(q: np.ndarray, least: int = 3) -> np.ndarray:
-    """Pairs of quartets with so many taxa in common."""
-    return (q[:, None, :, None] == q[None, :, None, :]).sum((2, 3)) >= least
-
-
-def attention(x: np.ndarray, mask: np.ndarray, weights: dict[str, np.ndarray], prefix: str, heads: int) -> np.ndarray:
-    """Multi-head attention over the pairs that mask allows; a row without any attends to itself."""
+def shared_tiles(q: np.ndarray, least: int = 3, tile: int = 256) -> dict[int, list[tuple[int, np.ndarray]]]:
+    """For each tile of rows the tiles of columns with pairs that share so many taxa, and which pairs these are.
+
+    Quartets in order of their taxa share most within a tile's neighbourhood, so most tiles are empty and none of their scores is made. A pair is
+    compared by its taxa as bits: a block has 64 taxa at most. Every quartet goes with itself.
+    """
+    taxa, at = np.unique(q, return_inverse=True)
+    if len(taxa) > 64:
+        raise ValueError("a block has more than 64 taxa")
+    bits = np.bitwise_or.reduce(np.uint64(1) << at.reshape(q.shape).astype(np.uint64), axis=1)
+    out: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for i in range(0, len(q), tile):
+        out[i] = []
+        for j in range(0, len(q), tile):
+            pairs = np.bitwise_count(bits[i : i + tile, None] & bits[None, j : j + tile]) >= least
+            if i == j:
+                pairs |= np.eye(len(pairs), dtype=bool)
+            if pairs.any():
+                out[i].append((j, pairs))
+    return out
+
+
+def attention(x: np.ndarray, tiles: dict[int, list[tuple[int, np.ndarray]]], weights: dict[str, np.ndarray], prefix: str, heads: int) -> np.ndarray:
+    """Multi-head attention over the pairs of the tiles.
+
+    A tile of rows goes over its tiles of columns once, with a running maximum, sum and mean, so no matrix of all pairs is held.
+    """
     q, k, v = (x @ weights[f"{prefix}.{n}.w"] + weights[f"{prefix}.{n}.b"] for n in "qkv")
     d = q.shape[-1] // heads
+    split = lambda y: y.reshape(len(y), heads, d).transpose(1, 0, 2)
+    q, k, v = split(q) / np.sqrt(d), split(k), split(v)
     out = np.empty_like(q)
-    allowed = mask | np.eye(len(x), dtype=bool)
-    for h in range(heads):
-        s = slice(h * d, (h + 1) * d)
-        scores = np.where(allowed, q[:, s] @ k[:, s].T / np.sqrt(d), -np.inf)
-        out[:, s] = softmax(scores) @ v[:, s]
-    return out @ weights[f"{prefix}.o.w"] + weights[f"{prefix}.o.b"]
+    for i, columns in tiles.items():
+        rows = q[:, i : i + len(columns[0][1])]
+        top, total, mean = np.full(rows.shape[:2], -np.inf), np.zeros(rows.shape[:2]), np.zeros(rows.shape)
+        for j, pairs in columns:
+            here = slice(j, j + pairs.shape[1])
+            scores = np.where(pairs, rows @ k[:, here].transpose(0, 2, 1), -np.inf)
+            high = np.maximum(top, scores.max(-1))
+            safe = np.where(np.isfinite(high), high, 0.0)
+            fade, part = np.exp(top - safe), np.exp(scores - safe[..., None])
+            total = total * fade + part.sum(-1)
+            mean = mean * fade[..., None] + part @ v[:, here]
+            top = high
+        out[:, i : i + rows.shape[1]] = mean / total[..., None]
+    return out.transpose(1, 0, 2).reshape(len(x), heads * d) @ weights[f"{prefix}.o.w"] + weights[f"{prefix}.o.b"]
 
 
 def transformer(weights: dict[str, np.ndarray], hist: np.ndarray, q: np.ndarray, members: np.ndarray, heads: int = 16) -> np.ndarray:
     """Class logits of a block's quartets: histograms through an MLP, joined with marks of the block's taxa, then layers of masked attention."""
     marks = (q[:, :, None] == members[None, None, :]).any(1).astype(float)
     x = np.concatenate([mlp(weights, hist, "embed"), marks], 1) @ weights["join.w"] + weights["join.b"]
-    mask = shared_mask(q)
+    tiles = shared_tiles(q)
     layer = 0
     while f"layer{layer}.q.w" in weights:
         p = f"layer{layer}"
-        x = layer_norm(x + attention(x, mask, weights, p, heads), weights[f"{p}.n1.g"], weights[f"{p}.n1.b"])
+        x = layer_norm(x + attention(x, tiles, weights, p, heads), weights[f"{p}.n1.g"], weights[f"{p}.n1.b"])
         x = layer_norm(x + mlp(weights, x, f"{p}.ff"), weights[f"{p}.n2.g"], weights[f"{p}.n2.b"])
         layer += 1
     return x @ weights["out.w"] + weights["out.b"]
