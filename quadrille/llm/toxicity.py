@@ -19,7 +19,7 @@ from ._common import slices, text_words, tidy, worker_cache, written
 TRAIN_ROWS = 20_000
 #: A term is learned if so many toxic training texts have it that no better term explains, or this share of all of them has it,
 #: and this share at least of the texts with it is toxic; and if no more than so many terms would be in as many by chance.
-LEAST, SHARE, PURE, CHANCE = 2, 0.05, 0.97, 0.5
+LEAST, SHARE, PURE, CHANCE = 2, 0.05, 0.9, 0.5
 #: What a misspelt term counts before labels say more, as a share of a term.
 MISSPELT = 0.8
 #: Lengths of word beginnings that may become terms.
@@ -286,7 +286,7 @@ def _chosen(uses: dict[tuple[str, bool], int], train: DataFrame, bad: int) -> tu
 
     Of a stem and a longer one, or a word, in nearly as many texts the longer is meant. Then the term is taken, again and again,
     that most toxic texts without a taken term have; frequent terms are taken in any case. So words that only copies of a
-    few texts share are left out.
+    few texts share are left out. Candidate words that begin with a taken stem stay, for stems match without edits and words with them.
     """
     near = lambda n, most: n >= 0.95 * most
     longer: dict[str, int] = {}
@@ -320,7 +320,7 @@ def _chosen(uses: dict[tuple[str, bool], int], train: DataFrame, bad: int) -> tu
         left = [t for t in left if term not in t]
     got = {t[:-1] for t in taken if t.endswith("*")}
     got = {s for s in got if not any(s != t and s.startswith(t) for t in got)}
-    return {t for t in taken if not t.endswith("*") and not any(t.startswith(s) for s in got)}, got
+    return {t for t in taken if not t.endswith("*")} | {w for w in words if any(w.startswith(s) for s in got)}, got
 
 
 def _fit(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 0.3, steps: int = 60) -> np.ndarray:

@@ -616,6 +616,24 @@ def test_toxicity_learns(spark):
     assert s.score[1] >= 0.3 > s.score[2] == s.score[3] == s.score[4] and (s.score.between(0, 1)).all()
 
 
+def test_toxicity_lexicon(spark):
+    """A term that a few clean texts quote is learned, and a word under a taken stem keeps its edits."""
+    rows, labels = [], []
+    for d in range(1600):
+        w, toxic = words(40, d, 3000), d % 5 == 0
+        if toxic:
+            w[7:7] = ["gromble"] if d % 10 else ["zarkolite" if d % 20 else "zarkonaut"]
+        elif d % 160 == 1:
+            w[7:7] = ['"gromble"']
+        rows.append((d, " ".join(w)))
+        labels.append((d, 1, int(toxic)))
+    model = toxicity.learned(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert "gromble" in model.words and any("zarko".startswith(s) or s.startswith("zarko") for s in model.stems | model.words)
+    some = spark.createDataFrame([(1, "you gromble"), (2, "a zarkolite here"), (3, "a zsrkolite here"), (4, "nothing of this")], "doc_id long, text string")
+    s = toxicity.scored(some, model).toPandas().set_index("doc_id").score
+    assert s[1] >= 0.3 and s[2] >= 0.3 and s[3] > s[4]
+
+
 def test_toxicity_edges(spark, odd, none):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.learned(odd, empty)
