@@ -198,7 +198,17 @@ def _quads(spark, sf_dir):
     return support.quadripartitions(table, trees.leaf_closure(table)).withColumn("taxon", F.col("taxon").cast("long"))
 
 
-@query()
+@query(
+    f"""{WITH_SPLITS}, t AS (SELECT taxon, row_number() OVER (ORDER BY taxon) - 1 AS r FROM (SELECT DISTINCT taxon FROM label_sites)),
+k AS (SELECT unnest(range(1, (SELECT count(*) - 2 FROM t))) AS k),
+p AS (SELECT k, taxon, CASE WHEN r > k + 1 THEN 1 WHEN r = k + 1 THEN 2 WHEN r = k THEN 4 ELSE 8 END AS code FROM k, t),
+x AS (SELECT pa.k, pa.code + pb.code AS pair, w FROM splits JOIN p pa ON a = pa.taxon JOIN p pb ON b = pb.taxon AND pb.k = pa.k JOIN p pc ON c = pc.taxon AND pc.k = pa.k JOIN p pd ON d = pd.taxon AND pd.k = pa.k
+  WHERE pa.code | pb.code | pc.code | pd.code = 15),
+f AS (SELECT k, CAST(coalesce(sum(w) FILTER (pair IN (3, 12)), 0) AS DOUBLE) AS f1, CAST(coalesce(sum(w) FILTER (pair IN (5, 10)), 0) AS DOUBLE) AS f2, CAST(coalesce(sum(w) FILTER (pair IN (6, 9)), 0) AS DOUBLE) AS f3 FROM k LEFT JOIN x USING (k) GROUP BY k),
+e AS (SELECT *, f1 + f2 + f3 AS en, CASE WHEN en > 0 THEN f1 / en ELSE 0 END AS q1 FROM f), j AS (SELECT *, unnest([1, 2, 3]) AS j FROM e)
+SELECT 'N' || k AS node, 't' || j AS tree, CASE j WHEN 1 THEN f1 WHEN 2 THEN f2 ELSE f3 END AS qfreq, en, CASE WHEN en > 0 THEN qfreq / en ELSE 0 END AS qsupp,
+  CASE WHEN j > 1 THEN 'NA' ELSE printf('%.6f', CASE WHEN q1 <= 1 / 3 THEN 0.0 WHEN q1 >= 1 THEN 9.0 ELSE -ln(1.5 * (1 - q1)) END) END AS brlen FROM j"""
+)
 def branch_support(spark, sf_dir):
     """Support around the branches of a caterpillar tree over the labels."""
     rows = support.support(support.frequencies(_splits(spark, sf_dir), _quads(spark, sf_dir)))

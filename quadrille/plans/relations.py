@@ -12,7 +12,7 @@ from ..sources import alignments, quartets
 from ..sources.tables import shared_dir, written
 from ..streaming import aggregate
 from . import fixtures
-from .assemble import assemble
+from .assemble import assemble, assemble_gene_trees
 from .infer import _table
 from .queries import GRAPH, GROUPS, WITH_SPLITS, _fixed_tree, _nation_tree, _splits, query
 
@@ -322,3 +322,10 @@ def supplier_splits(spark, sf_dir):
 def assemble_suppliers(spark, sf_dir):
     """A tree of all suppliers from one split a line item."""
     return _table(spark, assemble(supplier_splits(spark, sf_dir)))
+
+
+@query()
+def species_tree(spark, sf_dir):
+    """The tree that max-cut assembles from the characters as gene trees, none of whose quartets is listed."""
+    t = characters.newicks(characters.groups(fixtures.event_characters(spark, sf_dir)))
+    return _table(spark, assemble_gene_trees(t))
