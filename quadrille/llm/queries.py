@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, mixing, neardup, spm, substring, tokens, topk, toxicity, urls
+from . import ann, asof, chat, mixing, neardup, negatives, sharding, spm, substring, tokens, topk, toxicity, urls
 from ._common import written
 
 SPM_MODEL = "piece_bpe_32k.model"
@@ -68,12 +68,40 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.decoded(files, ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = sharding.sharded(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    crc = F.crc32(F.coalesce("document.text", F.lit("")).cast("binary"))
+    return done.select("document.doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", label), F.col("id") % 100 == 0)
+
+
+def op13_point_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    digits = lambda k: F.conv(F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 8 * k + 1, 8), 16, 10).cast("long")
+    event = F.pmod(digits(0), F.lit(50000))
+    versions = docs.select("doc_id", "source", "n_chars", "lang", event.alias("event"), (event - 60 + F.pmod(digits(1), F.lit(600))).alias("arrival"), (event + F.pmod(digits(2), F.lit(900))).alias("expiry"))
+    # A document's source; of rows that repeat an id, the least.
+    sources = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min("source").alias("source"))
+    known = labels.filter("doc_id is not null").select("doc_id").join(sources, "doc_id", "left")
+    asked = known.unionByName(labels.filter("doc_id is null").select("doc_id", F.lit(None).cast("string").alias("source"))).withColumn("t", F.pmod(digits(3), F.lit(50000)))
+    found = asof.point_in_time(asked, versions, "source", "t", "event", "arrival", "expiry", "doc_id", ("n_chars", "lang"))
+    age = F.col("question.t") - F.col("version.event")
+    state = asof.status(age, 120)
+    rows = found.select("question.doc_id", "question.t", F.col("version.id").alias("version_id"), age.alias("age"), state.alias("status"), "version.n_chars", "version.lang")
+    return rows.select("doc_id", "t", "version_id", "age", "status", *(F.when(F.col("status") == "fresh", F.col(c)).alias(c) for c in ("n_chars", "lang")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_exact_top_k, op2_url_filters, op3_sentencepiece, op4_nearest_neighbours, op5_near_duplicates, op6_source_mix, op7_chat_formats, op8_substring_dedup, op9_toxicity, op10_token_files, pipeline]
+    found = [op1_exact_top_k, op2_url_filters, op3_sentencepiece, op4_nearest_neighbours, op5_near_duplicates, op6_source_mix, op7_chat_formats, op8_substring_dedup, op9_toxicity, op10_token_files, op11_sharding, op12_hard_negatives, op13_point_in_time, pipeline]
     return {f.__name__: f for f in found}
 
 
@@ -191,6 +219,41 @@ WITH d AS (
 SELECT doc_id, len(w) AS n_words, CAST(n AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
 """
 
+NEGATIVES_SQL = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)::DOUBLE) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+  FROM e a JOIN e c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER w AS k FROM s WHERE same
+  WINDOW w AS (PARTITION BY anchor_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score, CAST(k AS INTEGER) AS positive_rank
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, k ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 5
+"""
+
+POINT_SQL = """
+WITH h AS (
+  SELECT *, sha256(CAST(doc_id AS VARCHAR)) AS x FROM documents
+), n AS (
+  SELECT *, CAST('0x' || substr(x, 1, 8) AS BIGINT) % 50000 AS event, CAST('0x' || substr(x, 9, 8) AS BIGINT) % 600 AS b, CAST('0x' || substr(x, 17, 8) AS BIGINT) % 900 AS c FROM h
+), v AS (
+  SELECT source, doc_id, n_chars, lang, event, event - 60 + b AS arrival, event + c AS expiry FROM n
+), q AS (
+  SELECT row_number() OVER () AS i, doc_id, source, CAST('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 25, 8) AS BIGINT) % 50000 AS t
+  FROM labels LEFT JOIN (SELECT doc_id, min(source) AS source FROM documents GROUP BY doc_id) USING (doc_id)
+), f AS (
+  SELECT q.i, q.doc_id, q.t, v.doc_id AS version_id, q.t - event AS age, CASE WHEN event IS NULL THEN 'none' WHEN q.t - event > 120 THEN 'stale' ELSE 'fresh' END AS status, n_chars, lang
+  FROM q LEFT JOIN v ON q.source = v.source AND event <= t AND arrival <= t AND t < expiry
+  QUALIFY row_number() OVER (PARTITION BY q.i ORDER BY event DESC NULLS LAST, arrival DESC, v.doc_id DESC) = 1
+)
+SELECT doc_id, t, version_id, age, status, CASE WHEN status = 'fresh' THEN n_chars END AS n_chars, CASE WHEN status = 'fresh' THEN lang END AS lang FROM f
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_top_k": TOP_K_SQL, "op2_url_filters": URL_SQL, "op6_source_mix": MIX_SQL, "op7_chat_formats": CHAT_SQL, "op8_substring_dedup": SUBSTRING_SQL}
+    return {"op1_exact_top_k": TOP_K_SQL, "op2_url_filters": URL_SQL, "op6_source_mix": MIX_SQL, "op7_chat_formats": CHAT_SQL, "op8_substring_dedup": SUBSTRING_SQL, "op12_hard_negatives": NEGATIVES_SQL, "op13_point_in_time": POINT_SQL}
