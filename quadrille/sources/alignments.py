@@ -2,45 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import states
+from .records import head, records
 
 #: Taxa that an inference run accepts.
 LEAST_TAXA, MOST_TAXA = 24, 65535
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(n, value): the lines of one text file in order."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n")).alias("n", "value"))
-
-
-def phylip_rows(lines: DataFrame) -> DataFrame:
-    """(n, value) -> (taxon_id, taxon, seq, n_taxa, n_sites): sequential PHYLIP, one line a taxon.
+def read_phylip(spark: SparkSession, path: str, renumber: bool = True) -> DataFrame:
+    """(taxon_id, taxon, seq) of sequential PHYLIP, one line a taxon, read in byte ranges. With renumber, names whose first numbers run from 0 to n - 1 give the ids.
 
     Longer rows are cut to the declared length and shorter ones filled up with gaps. A file whose number of rows differs
-    from its header raises an error.
+    from its header raises ValueError.
     """
-    real = lines.filter(F.trim("value") != "")
-    first = real.orderBy("n").limit(1).select(F.split(F.trim("value"), r"\s+").alias("h"), F.col("n").alias("n0"))
-    head = first.select("n0", F.col("h")[0].cast("int").alias("n_taxa"), F.col("h")[1].cast("int").alias("n_sites"))
-    rows = real.crossJoin(F.broadcast(head)).filter("n > n0")
+    lines, n = records(spark, path, "lines")
+    text = next((t for t in head(path) if re.search(rb"\S[^\n]*\n", t)), b"")
+    try:
+        n_taxa, n_sites = map(int, text.split(None, 2)[:2])
+    except ValueError as e:
+        raise ValueError(f"no header with the numbers of taxa and sites: {path}") from e
+    if n - 1 != n_taxa:
+        raise ValueError(f"rows differ from the header: {n - 1}")
     parts = F.split(F.trim("value"), r"\s+", 2)
     seq = F.regexp_replace(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), r"\s", "")
-    count = F.count("*").over(Window.partitionBy("n_taxa"))
-    # The check is part of the name, which no reader drops.
-    taxon = F.when(count == F.col("n_taxa"), F.get(parts, F.lit(0))).otherwise(F.raise_error(F.concat(F.lit("rows differ from the header: "), count.cast("string"))).cast("string"))
-    return rows.select(
-        (F.row_number().over(Window.partitionBy("n_taxa").orderBy("n")) - 1).alias("taxon_id"), taxon.alias("taxon"),
-        F.rpad(F.substring(seq, F.lit(1), F.col("n_sites")), F.col("n_sites"), F.lit("-")).alias("seq"), "n_taxa", "n_sites",
-    )
-
-
-def read_phylip(spark: SparkSession, path: str, renumber: bool = True) -> DataFrame:
-    """(taxon_id, taxon, seq). With renumber, names whose first numbers run from 0 to n - 1 give the ids."""
-    rows = phylip_rows(_lines(spark, path)).select("taxon_id", "taxon", "seq")
+    rows = lines.filter("n > 0").select((F.col("n") - 1).cast("int").alias("taxon_id"), F.get(parts, F.lit(0)).alias("taxon"), F.rpad(F.substring(seq, 1, n_sites), n_sites, "-").alias("seq"))
     return renumbered(rows) if renumber else rows
 
 
@@ -78,23 +68,29 @@ def unpacked(data: Column, length: Column) -> Column:
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(taxon_id, taxon, seq): a record's lines are joined."""
-    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"(?m)^>")).alias("k", "record")).filter("k > 0")
-    name = F.trim(F.regexp_extract("record", r"^([^\r\n]*)", 1))
-    seq = F.regexp_replace(F.regexp_replace("record", r"^[^\r\n]*", ""), r"\s", "")
-    return whole.select((F.col("k") - 1).alias("taxon_id"), name.alias("taxon"), seq.alias("seq"))
+    """(taxon_id, taxon, seq): a record's lines are joined. The file is read in byte ranges, cut at entries."""
+    entries, _ = records(spark, path, "fasta")
+    name = F.trim(F.regexp_extract("value", r"^([^\r\n]*)", 1))
+    seq = F.regexp_replace(F.regexp_replace("value", r"^[^\r\n]*", ""), r"\s", "")
+    return entries.select(F.col("n").cast("int").alias("taxon_id"), name.alias("taxon"), seq.alias("seq"))
 
 
 def read_nexus(spark: SparkSession, path: str) -> DataFrame:
-    """(taxon_id, taxon, seq) of the matrix block; counts that differ from ntax raise an error."""
-    whole = spark.read.text(path, wholetext=True)
-    matrix = F.regexp_extract("value", r"(?is)\bmatrix\b(.*?);", 1)
-    ntax = F.regexp_extract("value", r"(?i)ntax\s*=\s*(\d+)", 1).try_cast("int")
-    lines = F.filter(F.split(matrix, r"\r?\n"), lambda x: F.trim(x) != "")
-    fine = whole.select(F.when(ntax.isNull() | (F.size(lines) == ntax), lines).otherwise(F.raise_error(F.lit("rows differ from ntax")).cast("array<string>")).alias("lines"))
-    rows = fine.select(F.posexplode("lines").alias("taxon_id", "line"))
-    parts = F.split(F.trim("line"), r"\s+", 2)
-    return rows.select("taxon_id", F.regexp_replace(parts[0], "^['\"]|['\"]$", "").alias("taxon"), F.regexp_replace(F.get(parts, F.lit(1)), r"\s", "").alias("seq"))
+    """(taxon_id, taxon, seq) of the matrix block, read in byte ranges; counts that differ from ntax raise ValueError."""
+    for text in head(path):
+        # Comments count as blanks.
+        plain = re.sub(rb"\[[^\]]*\]", lambda m: b" " * len(m[0]), text)
+        block = re.search(rb"(?i)\bmatrix\b", plain)
+        if block:
+            break
+    else:
+        raise ValueError(f"no matrix: {path}")
+    lines, n = records(spark, path, "lines", block.end(), ";")
+    ntax = re.search(rb"(?i)ntax\s*=\s*(\d+)", plain[: block.start()])
+    if ntax and int(ntax[1]) != n:
+        raise ValueError(f"rows differ from ntax: {n}")
+    parts = F.split(F.trim("value"), r"\s+", 2)
+    return lines.select(F.col("n").cast("int").alias("taxon_id"), F.regexp_replace(parts[0], "^['\"]|['\"]$", "").alias("taxon"), F.regexp_replace(F.get(parts, F.lit(1)), r"\s", "").alias("seq"))
 
 
 def kind_of(spark: SparkSession, path: str) -> str:

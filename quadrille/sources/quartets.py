@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import canonical
+from ..operators.sites import Q, block_quartets
+from .records import RECORD, source
 
 #: Layouts of a quartet in text; ___ stands for a taxon, and the fifth for the weight.
 QMC, QFM, BARE = "___,___|___,___:___", "((___,___),(___,___));___", "___,___|___,___"
-#: A binary record: an unsigned key of four 16-bit ids, and a signed weight.
-RECORD = np.dtype([("key", "<u8"), ("w", "<i8")])
 
 
 def template_regex(template: str) -> str:
@@ -77,26 +77,31 @@ def read_concordance(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_binary(spark: SparkSession, path: str, positive_only: bool = False, int32: bool = False) -> DataFrame:
-    """(a, b, c, d, w) of 16-byte records. Zero weights are skipped, with positive_only negative ones too.
+    """(a, b, c, d, w) of 16-byte records, read in byte ranges. Zero weights are skipped, with positive_only negative ones too.
 
-    A file that ends within a record, or with int32 a weight of more bits, raises an error. Equal splits add up.
+    A file that ends within a record, or with int32 a weight, read or summed, of more bits, raises an error. Equal splits add up.
     """
+    options = {k: "true" for k, on in (("positive", positive_only), ("int32", int32)) if on}
+    rows = summed(source(spark, path, "binary", **options))
+    if int32:
+        fits = F.col("w").between(-(1 << 31) + 1, (1 << 31) - 1)
+        rows = rows.withColumn("w", F.when(fits, F.col("w")).otherwise(F.raise_error(F.lit("a weight of more than 32 bits")).cast("long")))
+    return rows
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content, name in zip(batch.column("content"), batch.column("path").to_pylist()):
-                raw = content.as_buffer()
-                if raw.size % RECORD.itemsize:
-                    raise ValueError(f"{name} ends within a record")
-                rows = np.frombuffer(raw, RECORD)
-                rows = rows[rows["w"] > 0] if positive_only else rows[rows["w"] != 0]
-                if int32 and len(rows) and np.abs(rows["w"]).max() >= 1 << 31:
-                    raise ValueError(f"{name} has a weight of more than 32 bits")
-                cols = {k: ((rows["key"] >> np.uint64(s)) & np.uint64(65535)).astype(np.int32) for k, s in zip("abcd", (48, 32, 16, 0))}
-                yield pa.RecordBatch.from_pydict(cols | {"w": rows["w"]})
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return summed(files.mapInArrow(parse, "a int, b int, c int, d int, w long"))
+
+def read_index(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
+    """(q0..q3) of an index of quartets in Parquet or CSV with a header: four columns q0..q3, or in block form block_id and members, of which every four are a quartet.
+
+    In CSV, members are numbers between blanks. Members of a quartet are put in order; rows that hold a taxon twice, or none, raise an error.
+    """
+    table = spark.read.option("header", True).format(form).load(path)
+    if "members" in table.columns:
+        members = F.split(F.trim("members"), r"\s+") if form == "csv" else F.col("members")
+        return block_quartets(table.select("block_id", members.cast("array<int>").alias("members"))).select(*Q)
+    q = F.array_sort(F.array(*(F.col(c).cast("int") for c in Q)))
+    fine = (F.size(F.array_distinct(q)) == 4) & ~F.exists(q, lambda x: x.isNull())
+    checked = table.select(F.when(fine, q).otherwise(F.raise_error(F.concat(F.lit("no quartet: "), F.to_json(F.array(*Q)))).cast("array<int>")).alias("q"))
+    return checked.select(*(F.col("q")[i].alias(c) for i, c in enumerate(Q)))
 
 
 def to_records(splits: DataFrame) -> DataFrame:
