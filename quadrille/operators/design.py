@@ -60,20 +60,21 @@ def design_quartets(spark: SparkSession, n: int, budget: int, block: int = BLOCK
     return block_quartets(spark.createDataFrame(pd.DataFrame({"block_id": np.arange(len(rows)), "members": rows.tolist()}), "block_id long, members array<long>"))
 
 
-def unranked(rank: int, n: int, k: int = 4) -> tuple[int, ...]:
-    """The rank-th of the k-combinations of range(n), in order."""
-    if not 0 <= rank < math.comb(n, k):
+def unranked(ranks: np.ndarray, n: int, k: int = 4) -> np.ndarray:
+    """Row by row the k-combination of range(n) with that rank in lexicographic order.
+
+    Counted from the other end, a rank is a sum of binomials whose tops fall: the largest C(t, k) within it, then the largest C(t, k - 1) within the
+    rest, and so on. Each is looked up in the sorted column of its binomials.
+    """
+    left = math.comb(n, k) - 1 - np.asarray(ranks, np.int64)
+    if len(left) and (left.min() < 0 or left.max() >= math.comb(n, k)):
         raise ValueError("no such rank")
-    out, start = [], 0
-    while k:
-        for x in range(start, n):
-            below = math.comb(n - x - 1, k - 1)
-            if rank < below:
-                out.append(x)
-                start, k = x + 1, k - 1
-                break
-            rank -= below
-    return tuple(out)
+    out = np.empty((len(left), k), np.int64)
+    for j in range(k):
+        column = np.array([math.comb(t, k - j) for t in range(n)])
+        top = np.searchsorted(column, left, "right") - 1
+        out[:, j], left = n - 1 - top, left - column[top]
+    return out
 
 
 def sampled_quartets(spark: SparkSession, n: int, size: int, seed: int = 0) -> DataFrame:
@@ -90,7 +91,7 @@ def sampled_quartets(spark: SparkSession, n: int, size: int, seed: int = 0) -> D
 
     def turn(batches):
         for batch in batches:
-            yield pd.DataFrame([unranked(int(r), n) for r in batch["id"]], columns=["q0", "q1", "q2", "q3"])
+            yield pd.DataFrame(unranked(batch["id"].to_numpy(), n), columns=["q0", "q1", "q2", "q3"])
 
     return ranks.mapInPandas(turn, "q0 long, q1 long, q2 long, q3 long")
 

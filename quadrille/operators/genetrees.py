@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..plans import newick
 from ..plans.newick import Node
 from . import graph
+from .ancestry import Ancestry, Branches
 
 #: Rows of branches that are multiplied at once.
 ROWS = 4096
@@ -247,25 +248,8 @@ def frequencies(trees: DataFrame, tree: Node, rename: dict[str, str] | None = No
 
 
 def quadripartitions(tree: Node) -> tuple[list[int], dict[str, np.ndarray]]:
-    """(branches by node_id, for each leaf's name its part of each branch): children 0 and 1, sibling 2, the rest 3."""
-    order = list(tree.walk())[::-1]
-    number = {id(x): i for i, x in enumerate(order)}
-    below = {}
-    for x in reversed(order):
-        below[id(x)] = {x.name} if x.is_leaf else set().union(*(below[id(c)] for c in x.children))
-    kids = lambda x: sorted(x.children, key=lambda c: number[id(c)])
-    branches, parts = [], []
-    for x in order:
-        if x.is_leaf or x.parent is None:
-            continue
-        if len(x.children) != 2 or len(x.parent.children) != 2:
-            raise ValueError("the tree is not binary")
-        sibling = next(c for c in x.parent.children if c is not x)
-        if x.parent is tree:
-            if sibling.is_leaf or kids(tree)[0] is not x:
-                continue
-            sibling = kids(sibling)[0]
-        branches.append(number[id(x)])
-        parts.append([below[id(c)] for c in kids(x)] + [below[id(sibling)]])
-    code = {n: np.array([next((k for k, p in enumerate(three) if n in p), 3) for three in parts], np.int64) for n in below[id(tree)]}
-    return branches, code
+    """(branches by node_id, for each leaf's name its part of each branch): children 0 and 1, sibling 2, the rest 3, as in ancestry.Branches."""
+    rows = newick.nodes(tree)
+    branches = Branches(Ancestry(*map(list, zip(*((r[0], r[1], r[2], r[-1]) for r in rows)))))
+    part = np.log2(branches.codes()).astype(np.int64)
+    return branches.ids, dict(zip(branches.tree.names.to_pylist(), part.T))

@@ -2,81 +2,103 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import coalescent_length
 from ..functions.statistics import biallelic_length
+from .ancestry import Branches, of
 
 SPLIT = ("a", "b", "c", "d")
 
 
-def quadripartitions(tree: DataFrame, leaves: DataFrame) -> DataFrame:
-    """(branch, taxon, code) of a binary tree's inner branches: 1 and 2 for a node's children, 4 for its sibling, 8 for the rest.
+def quadripartitions(tree: DataFrame) -> DataFrame:
+    """(branch, taxon, code) of a binary tree's inner branches, as in ancestry.Branches: each taxon's part of each branch, taxa squared rows, made on executors."""
+    branches = Branches(of(tree))
+    names = branches.tree.names
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for place, branch in zip(batch.column("place").to_pylist(), batch.column("branch")):
+                code = branches.parts(np.full(len(names), place), branches.tree.leaves)
+                yield pa.RecordBatch.from_arrays([pa.array([branch.as_py()] * len(names), branch.type), names, pa.array(code, pa.int32())], ["branch", "taxon", "code"])
+
+    kind = tree.schema["node_id"].dataType.simpleString()
+    rows = tree.sparkSession.createDataFrame(list(zip(branches.places.tolist(), branches.ids)), f"place long, branch {kind}")
+    return rows.mapInArrow(listed, f"branch {kind}, taxon string, code int")
+
 
-    Below the root, the second child's branch is the first's; the sibling's first child stands for the sibling, and a branch
-    whose sibling is a leaf is no branch. Children are in order of node_id.
+def _around(quartets: DataFrame, branches: Branches, kind: str, tree_id: bool = False) -> DataFrame:
+    """(branch, f1, f2, f3), for each tree_id if asked: the weights of quartets with their taxa in the four parts of a branch, as xy|zw, xz|yw, xw|yz.
+
+    A quartet is around one branch at most, found by its taxa's ancestors: no branches are joined. Each batch is added up before the shuffle.
     """
-    t = tree.select("node_id", "parent_id", "is_leaf")
-    kids = t.filter("parent_id is not null").groupBy("parent_id").agg(F.array_sort(F.collect_list("node_id")).alias("kids"))
-    inner = t.filter("not is_leaf and parent_id is not null").join(kids.select(F.col("parent_id").alias("node_id"), "kids"), "node_id")
-    root = t.filter("parent_id is null").select(F.col("node_id").alias("root"))
-    sib = inner.join(kids.select(F.col("parent_id"), F.col("kids").alias("both")), "parent_id").select("node_id", "parent_id", "kids", F.element_at(F.array_except("both", F.array("node_id")), 1).alias("sib"), F.element_at("both", 1).alias("first"))
-    own = kids.select(F.col("parent_id").alias("sib"), F.col("kids").alias("nephews"))
-    rows = sib.crossJoin(F.broadcast(root)).join(own, "sib", "left").withColumn("top", F.col("parent_id") == F.col("root"))
-    rows = rows.filter(~F.col("top") | (F.col("nephews").isNotNull() & (F.col("node_id") == F.col("first"))))
-    third = F.when(F.col("top"), F.element_at("nephews", 1)).otherwise(F.col("sib"))
-    part = F.array(*(F.struct(x.alias("at"), F.lit(c).alias("code")) for x, c in ((F.element_at("kids", 1), 1), (F.element_at("kids", 2), 2), (third, 4))))
-    some = rows.select(F.col("node_id").alias("branch"), F.explode(part).alias("p")).select("branch", "p.*")
-    placed = some.join(leaves.select(F.col("anc").alias("at"), "leaf"), "at").select("branch", F.col("leaf").alias("taxon"), "code")
-    every = some.select("branch").distinct().join(tree.filter("is_leaf").select(F.col("name").alias("taxon")))
-    return every.join(placed, ["branch", "taxon"], "left").select("branch", "taxon", F.coalesce("code", F.lit(8)).alias("code"))
-
-
-def _around(splits: DataFrame, quads: DataFrame) -> DataFrame:
-    """Splits with four taxa in the four parts of a branch, with k: 0 for xy|zw, 1 for xz|yw, 2 for xw|yz."""
-    out = splits
-    for i, x in enumerate(SPLIT):
-        side = quads.select(F.col("branch").alias(f"_b{i}"), F.col("taxon").alias("_t"), F.col("code").alias(f"c{i}"))
-        out = out.join(side, (F.col(x) == F.col("_t")) if i == 0 else (F.col(x) == F.col("_t")) & (F.col("_b0") == F.col(f"_b{i}"))).drop("_t")
-    codes = [F.col(f"c{i}") for i in range(4)]
-    bits = codes[0].bitwiseOR(codes[1]).bitwiseOR(codes[2]).bitwiseOR(codes[3])
-    first = F.when(codes[0].bitwiseOR(codes[1]).bitwiseAND(F.lit(1)) > 0, codes[0] + codes[1]).otherwise(codes[2] + codes[3])
-    return out.filter(bits == 15).withColumn("k", F.when(first == 3, 0).when(first == 5, 1).otherwise(2)).withColumnRenamed("_b0", "branch")
-
-
-def _sums(rows: DataFrame, *by: str) -> DataFrame:
-    return rows.groupBy(*by).agg(*(F.sum(F.when(F.col("k") == k, F.col("w")).otherwise(0.0)).alias(f"f{k + 1}") for k in range(3)))
-
-
-def frequencies(splits: DataFrame, quads: DataFrame) -> DataFrame:
-    """(branch, f1, f2, f3): weights of the three resolutions around each branch; branches without any have zeros."""
-    found = _sums(_around(splits.select(*SPLIT, F.col("w").cast("double").alias("w")), quads), "branch")
-    return quads.select("branch").distinct().join(found, "branch", "left").fillna(0.0, ["f1", "f2", "f3"])
-
-
-def gene_tree_frequencies(quartets: DataFrame, quads: DataFrame, weighted: bool = False) -> DataFrame:
+    keys = ["tree_id", "branch"] if tree_id else ["branch"]
+    ids = np.array(branches.ids, object)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            q = np.stack([branches.tree.numbers(batch.column(c)) for c in SPLIT], 1)
+            known = np.flatnonzero((q >= 0).all(1))
+            at, k = branches.around(q[known])
+            known, k, at = known[at >= 0], k[at >= 0], at[at >= 0]
+            w = np.asarray(batch.column("w")).astype(float)[known]
+            group = np.stack([np.asarray(batch.column("tree_id"))[known] if tree_id else np.zeros(len(at), np.int64), at])
+            some, of_row = np.unique(group, axis=1, return_inverse=True)
+            sums = np.bincount(of_row.ravel() * 3 + k, w, 3 * some.shape[1]).reshape(-1, 3)
+            places = np.searchsorted(branches.places, some[1])
+            cols = ([pa.array(some[0], pa.int64())] if tree_id else []) + [pa.array(ids[places].tolist(), types[0])] + [pa.array(sums[:, i], pa.float64()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays(cols, [*keys, "f1", "f2", "f3"])
+
+    types = [{"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[kind]]
+    rows = quartets.select(*(["tree_id"] if tree_id else []), *(F.col(c).cast("string").alias(c) for c in SPLIT), F.col("w").cast("double").alias("w"))
+    found = rows.mapInArrow(add_up, ("tree_id long, " if tree_id else "") + f"branch {kind}, f1 double, f2 double, f3 double")
+    return found.groupBy(*keys).agg(*(F.sum(f).alias(f) for f in ("f1", "f2", "f3")))
+
+
+def _all(found: DataFrame, branches: Branches, kind: str) -> DataFrame:
+    every = found.sparkSession.createDataFrame([(b,) for b in branches.ids], f"branch {kind}")
+    return every.join(found, "branch", "left").fillna(0.0, ["f1", "f2", "f3"])
+
+
+def frequencies(splits: DataFrame, tree: DataFrame) -> DataFrame:
+    """(branch, f1, f2, f3): weights of the three resolutions around each branch of a binary tree; branches without any have zeros. Splits with a taxon that
+    the tree lacks don't count."""
+    branches, kind = Branches(of(tree)), tree.schema["node_id"].dataType.simpleString()
+    return _all(_around(splits, branches, kind), branches, kind)
+
+
+def gene_tree_frequencies(quartets: DataFrame, tree: DataFrame, weighted: bool = False) -> DataFrame:
     """(tree_id, a, b, c, d, w) -> (branch, f1, f2, f3). Unweighted, each tree has one vote, shared out among its quartets.
 
     Weighted, sums over the trees are scaled by sqrt(trees / sum of squared totals), trees with a total over 1e-9 counting.
     """
-    each = _sums(_around(quartets, quads), "branch", "tree_id").withColumn("t", F.col("f1") + F.col("f2") + F.col("f3")).filter("t > 1e-9")
+    branches, kind = Branches(of(tree)), tree.schema["node_id"].dataType.simpleString()
+    return _all(votes(_around(quartets, branches, kind, True), weighted), branches, kind)
+
+
+def votes(each: DataFrame, weighted: bool) -> DataFrame:
+    """(tree_id, branch, f1, f2, f3) -> (branch, f1, f2, f3) over the trees, as gene_tree_frequencies has it."""
+    each = each.withColumn("t", F.col("f1") + F.col("f2") + F.col("f3")).filter("t > 1e-9")
     if not weighted:
-        found = each.groupBy("branch").agg(*(F.sum(F.col(f) / F.col("t")).alias(f) for f in ("f1", "f2", "f3")))
-    else:
-        scale = F.sqrt(F.count("*") / F.sum(F.col("t") * F.col("t")))
-        found = each.groupBy("branch").agg(*((F.sum(f) * scale).alias(f) for f in ("f1", "f2", "f3")))
-    return quads.select("branch").distinct().join(found, "branch", "left").fillna(0.0, ["f1", "f2", "f3"])
+        return each.groupBy("branch").agg(*(F.sum(F.col(f) / F.col("t")).alias(f) for f in ("f1", "f2", "f3")))
+    scale = F.sqrt(F.count("*") / F.sum(F.col("t") * F.col("t")))
+    return each.groupBy("branch").agg(*((F.sum(f) * scale).alias(f) for f in ("f1", "f2", "f3")))
 
 
-def partitioned_support(quartets: DataFrame, quads: DataFrame, branch) -> DataFrame:
+def partitioned_support(quartets: DataFrame, tree: DataFrame, branch) -> DataFrame:
     """(tree_id, f_xy_zw, f_xz_yw, f_xw_yz, f_xyzw, totalf): each tree's quartets around one branch; f_xyzw is what it leaves open.
 
-    quads must hold the taxa of the trees; the number of quartets a tree could show is the product of its taxa in the four parts.
+    The tree must hold the taxa of the quartets; the number of quartets that one could show is the product of its taxa in the four parts.
     """
-    q = quads.filter(F.col("branch") == branch)
-    shown = _sums(_around(quartets.withColumn("w", F.lit(1.0)), q), "tree_id")
-    taxa = quartets.select("tree_id", F.explode(F.array(*SPLIT)).alias("taxon")).distinct().join(q, "taxon")
+    branches, kind = Branches(of(tree)), tree.schema["node_id"].dataType.simpleString()
+    shown = _around(quartets.withColumn("w", F.lit(1.0)), branches, kind, True).filter(F.col("branch") == branch).drop("branch")
+    q = quadripartitions(tree).filter(F.col("branch") == branch).select("taxon", "code")
+    taxa = quartets.select("tree_id", F.explode(F.array(*(F.col(c).cast("string") for c in SPLIT))).alias("taxon")).distinct().join(q, "taxon")
     count = lambda c: F.sum((F.col("code") == c).cast("double"))
     could = taxa.groupBy("tree_id").agg((count(1) * count(2) * count(4) * count(8)).alias("totalf"))
     rows = could.join(shown, "tree_id", "left").fillna(0.0, ["f1", "f2", "f3"])

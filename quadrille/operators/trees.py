@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import canonical
 from ..plans import newick
 from ..sources.tables import written
+from . import ancestry
 
 NODES = "tree_id long, node_id long, parent_id long, name string, support double, length double, is_leaf boolean"
 
@@ -125,11 +127,19 @@ def rf(one: DataFrame, two: DataFrame) -> DataFrame:
     return s.select("only_1", "only_2", "shared", share(F.col("only_1") + F.col("only_2"), n1 + n2).alias("rf"), share(F.col("only_1"), n1).alias("fp_rate"), share(F.col("only_2"), n2).alias("fn_rate"))
 
 
-def topologies(quartet_rows: DataFrame, leaves: DataFrame, tree: DataFrame) -> DataFrame:
-    """(q0..q3 names) -> with cls, the class a tree shows, -1 where it is unresolved.
+def topologies(quartet_rows: DataFrame, tree: DataFrame, column: str = "cls") -> DataFrame:
+    """(q0..q3 names, ...) with the class a tree shows, -1 where it is unresolved; rows with a name that is no leaf go.
 
-    The class is that of the one pair whose lowest common ancestor is deeper than those of the other pairs, or whose partner pair's is.
+    The class is that of the one pair whose lowest common ancestor is deeper than those of the other pairs, or whose partner pair's is. Ancestors come from
+    a tree's arrays in each task; those of a tree too large for that from joins of its paths.
     """
+    if ancestry.fits(tree):
+        return ancestry.classes(quartet_rows, ancestry.of(tree), column)
+    return _topologies_by_paths(quartet_rows, leaf_closure(tree), column)
+
+
+def _topologies_by_paths(quartet_rows: DataFrame, leaves: DataFrame, column: str) -> DataFrame:
+    """The same from (anc, leaf, dist): two leaves have as many ancestors in common as their lowest one is deep."""
     depth = leaves.groupBy("leaf").agg(F.max("dist").alias("depth"))
     out = quartet_rows
     pairs = {"01": (0, 1), "02": (0, 2), "03": (0, 3), "12": (1, 2), "13": (1, 3), "23": (2, 3)}
@@ -142,29 +152,58 @@ def topologies(quartet_rows: DataFrame, leaves: DataFrame, tree: DataFrame) -> D
     top = F.greatest(*best)
     n = sum(((x == top).cast("int") for x in best[1:]), (best[0] == top).cast("int"))
     cls = F.when(n > 1, -1).when(best[0] == top, 0).when(best[1] == top, 1).otherwise(2)
-    return out.withColumn("cls", cls).drop(*(f"_p{i}" for i in range(4)))
+    return out.withColumn(column, cls).drop(*(f"_p{i}" for i in range(4)))
+
+
+def sampled(names: DataFrame, size: int, seed: int = 0) -> DataFrame:
+    """(name) -> (q0..q3): quartets of distinct names, drawn by a hash, fewer than `size` where a draw holds a name twice or draws agree; all quartets where there are no more.
+
+    Names are numbered in their order, so draws are the same in each run.
+    """
+    n = names.count()
+    if math.comb(n, 4) <= size:
+        out = names.select(F.col("name").alias("q0"))
+        for i in (1, 2, 3):
+            out = out.join(names.select(F.col("name").alias(f"q{i}")), F.col(f"q{i}") > F.col(f"q{i - 1}"))
+        return out
+    numbered = ranked(names, "name").select("name", F.col("new").alias("r"))
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "i", "j")), 1, 8), 16, 10).cast("long") % n
+    draws = names.sparkSession.range(size).withColumnRenamed("id", "i").withColumn("j", F.explode(F.array(*map(F.lit, range(4)))))
+    four = draws.select("i", draw.alias("r")).distinct().join(numbered, "r").groupBy("i").agg(F.array_sort(F.collect_list("name")).alias("q")).filter(F.size("q") == 4)
+    return four.select(*(F.col("q")[k].alias(f"q{k}") for k in range(4))).distinct()
+
+
+def ranked(values: DataFrame, column: str) -> DataFrame:
+    """Distinct values with new, their rank from 0: ranges of the order are numbered each in its task."""
+    runs = values.select(column).repartitionByRange(column).withColumn("_run", F.spark_partition_id())
+    runs = written(runs, "ranked")
+    before = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = runs.groupBy("_run").count().select("_run", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_run").orderBy(column)
+    return runs.withColumn("_n", F.row_number().over(inside) - 1).join(sizes, "_run").select(column, (F.col("_n") + F.col("_before")).alias("new"))
+
+
+def _both(quartet_rows: DataFrame, one: DataFrame, two: DataFrame) -> DataFrame:
+    return topologies(topologies(quartet_rows, one, "one"), two, "two")
 
 
 def concordance(quartet_rows: DataFrame, one: DataFrame, two: DataFrame) -> DataFrame:
     """(evaluated, matches, concordance) of two trees over quartets of leaf names."""
-    a = topologies(quartet_rows, leaf_closure(one), one).withColumnRenamed("cls", "x")
-    both = topologies(a, leaf_closure(two), two)
-    return both.agg(F.count("*").alias("evaluated"), F.coalesce(F.sum((F.col("x") == F.col("cls")).cast("long")), F.lit(0)).alias("matches")).withColumn("concordance", F.col("matches") / F.when(F.col("evaluated") > 0, F.col("evaluated")))
+    same = F.coalesce(F.sum((F.col("one") == F.col("two")).cast("long")), F.lit(0))
+    return _both(quartet_rows, one, two).agg(F.count("*").alias("evaluated"), same.alias("matches")).withColumn("concordance", F.col("matches") / F.when(F.col("evaluated") > 0, F.col("evaluated")))
 
 
 def total_weight(splits: DataFrame, tree: DataFrame) -> DataFrame:
     """(shown, total): the weight of the splits that a tree shows, and of all."""
     rows = splits.select(*(F.col(x).cast("string").alias(f"q{i}") for i, x in enumerate("abcd")), "w")
-    found = topologies(rows, leaf_closure(tree), tree)
+    found = topologies(rows, tree)
     return found.agg(F.coalesce(F.sum(F.when(F.col("cls") == 0, F.col("w"))), F.lit(0)).alias("shown"), F.coalesce(F.sum("w"), F.lit(0)).alias("total"))
 
 
 def mismatches(quartet_rows: DataFrame, one: DataFrame, two: DataFrame, n: int) -> DataFrame:
     """(q0..q3, one, two): the first n quartets, in order of names, that two trees show as different classes."""
     names = [c for c in quartet_rows.columns if c.startswith("q")]
-    a = topologies(quartet_rows, leaf_closure(one), one).withColumnRenamed("cls", "one")
-    both = topologies(a, leaf_closure(two), two).withColumnRenamed("cls", "two")
-    return both.filter("one <> two").select(*names, "one", "two").orderBy(*names).limit(n)
+    return _both(quartet_rows, one, two).filter("one <> two").select(*names, "one", "two").orderBy(*names).limit(n)
 
 
 def gene_tree_quartets(trees: DataFrame, weighting: str = "n") -> DataFrame:

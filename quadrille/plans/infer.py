@@ -80,9 +80,7 @@ def supported(tree: newick.Node, split_rows: DataFrame) -> newick.Node:
     spark = split_rows.sparkSession
     binary = newick.refined(tree.copy(), np.random.default_rng(1))
     table = _table(spark, binary)
-    quads = support.quadripartitions(table, tree_tables.leaf_closure(table))
-    typed = quads.withColumn("taxon", F.col("taxon").cast("long"))
-    found = {r["branch"]: r for r in support.support(support.frequencies(split_rows, typed)).collect()}
+    found = {r["branch"]: r for r in support.support(support.frequencies(split_rows, table)).collect()}
     order = list(binary.walk())[::-1]
     for i, x in enumerate(order):
         if i in found:

@@ -192,10 +192,9 @@ def _fixed_tree(taxa: list[int]) -> newick.Node:
     return newick.parse(f"(({taxa[0]},{taxa[1]}),{text});")
 
 
-def _quads(spark, sf_dir):
-    taxa = sorted(r["taxon"] for r in fixtures.label_sites(spark, sf_dir).select("taxon").distinct().collect())
-    table = _table(spark, _fixed_tree(taxa))
-    return support.quadripartitions(table, trees.leaf_closure(table)).withColumn("taxon", F.col("taxon").cast("long"))
+def _label_tree(spark, sf_dir):
+    taxa = sorted(r["label"] for r in fixtures.table(spark, sf_dir, "embeddings").select("label").distinct().collect())
+    return _table(spark, _fixed_tree(taxa))
 
 
 @query(
@@ -211,7 +210,7 @@ SELECT 'N' || k AS node, 't' || j AS tree, CASE j WHEN 1 THEN f1 WHEN 2 THEN f2
 )
 def branch_support(spark, sf_dir):
     """Support around the branches of a caterpillar tree over the labels."""
-    rows = support.support(support.frequencies(_splits(spark, sf_dir), _quads(spark, sf_dir)))
+    rows = support.support(support.frequencies(_splits(spark, sf_dir), _label_tree(spark, sf_dir)))
     return support.support_table(rows)
 
 
@@ -266,26 +265,31 @@ def rf_distance(spark, sf_dir):
     return r.select("only_1", "only_2", "shared", *(F.round(c, 9).alias(c) for c in ("rf", "fp_rate", "fn_rate")))
 
 
-def _nation_tree(spark, sf_dir, moved=False):
-    """The upper part of geo_tree, whose leaves are nations."""
-    t = fixtures.geo_tree(spark, sf_dir, moved).filter("not is_leaf")
-    return t.withColumn("is_leaf", F.col("node_id").startswith("n"))
+def _classes_sql() -> str:
+    """WITH items for quartets of customers drawn by a hash, and the classes that geo_tree and the moved one show of each: classes(q0..q3, one, two)."""
+    level = lambda r, a, b: f"CASE WHEN k[{a}] = k[{b}] THEN 2 WHEN {r}[{a}] = {r}[{b}] THEN 1 ELSE 0 END"
+    deepest = lambda r: "[" + ", ".join(f"greatest({level(r, *p[:2])}, {level(r, *p[2:])})" for p in ((1, 2, 3, 4), (1, 3, 2, 4), (1, 4, 2, 3))) + "]"
+    cls = lambda c: f"CAST(CASE WHEN len(list_filter({c}, lambda z: z = list_max({c}))) > 1 THEN -1 ELSE list_position({c}, list_max({c})) - 1 END AS INTEGER)"
+    return f"""c AS (SELECT c_name AS name, row_number() OVER (ORDER BY c_name) - 1 AS r, c_nationkey AS k, n_regionkey AS x, CASE WHEN n_nationkey = 0 THEN 4 ELSE n_regionkey END AS y FROM customer JOIN nation ON c_nationkey = n_nationkey),
+s AS (SELECT DISTINCT i, CAST('0x' || substr(md5('0:' || i || ':' || j), 1, 8) AS BIGINT) % (SELECT count(*) FROM c) AS r FROM range(40000) t(i), range(4) u(j)),
+g AS (SELECT list(name ORDER BY name) AS q, list(k ORDER BY name) AS k, list(x ORDER BY name) AS x, list(y ORDER BY name) AS y FROM s JOIN c USING (r) GROUP BY i HAVING count(*) = 4),
+d AS (SELECT q, {deepest('x')} AS u, {deepest('y')} AS v FROM (SELECT q, any_value(k) AS k, any_value(x) AS x, any_value(y) AS y FROM g GROUP BY q)),
+classes AS (SELECT q[1] AS q0, q[2] AS q1, q[3] AS q2, q[4] AS q3, {cls('u')} AS one, {cls('v')} AS two FROM d)"""
 
 
-@query(
-    """WITH n AS (SELECT n_name AS name, n_regionkey AS x, CASE WHEN n_nationkey = 0 THEN 4 ELSE n_regionkey END AS y FROM nation),
-q AS (SELECT [a.x, b.x, c.x, d.x] AS x, [a.y, b.y, c.y, d.y] AS y FROM n a JOIN n b ON a.name < b.name JOIN n c ON b.name < c.name JOIN n d ON c.name < d.name),
-p AS (SELECT [CAST(x[1] = x[2] OR x[3] = x[4] AS INT), CAST(x[1] = x[3] OR x[2] = x[4] AS INT), CAST(x[1] = x[4] OR x[2] = x[3] AS INT)] AS u,
-  [CAST(y[1] = y[2] OR y[3] = y[4] AS INT), CAST(y[1] = y[3] OR y[2] = y[4] AS INT), CAST(y[1] = y[4] OR y[2] = y[3] AS INT)] AS v FROM q),
-c AS (SELECT CASE WHEN list_sum(u) = 1 THEN list_position(u, 1) ELSE -1 END AS k, CASE WHEN list_sum(v) = 1 THEN list_position(v, 1) ELSE -1 END AS m FROM p)
-SELECT count(*) AS evaluated, count(*) FILTER (k = m) AS matches, round(count(*) FILTER (k = m) / count(*), 9) AS concordance FROM c"""
-)
+CLASSES = _classes_sql()
+
+
+def _two_trees(spark, sf_dir):
+    """(geo_tree, the one with a nation moved, some quartets of their leaves, which are all customers)."""
+    one, two = fixtures.geo_tree(spark, sf_dir), fixtures.geo_tree(spark, sf_dir, True)
+    return one, two, trees.sampled(one.filter("is_leaf").select("name"), 40_000)
+
+
+@query(f"WITH {CLASSES} SELECT count(*) AS evaluated, count(*) FILTER (one = two) AS matches, round(count(*) FILTER (one = two) / count(*), 9) AS concordance FROM classes")
 def quartet_concordance(spark, sf_dir):
-    one, two = _nation_tree(spark, sf_dir), _nation_tree(spark, sf_dir, True)
-    names = one.filter("is_leaf").select("name")
-    q = names.select(F.col("name").alias("q0"))
-    for i in (1, 2, 3):
-        q = q.join(names.select(F.col("name").alias(f"q{i}")), F.col(f"q{i}") > F.col(f"q{i - 1}"))
+    """Of 40 000 quartets of all customers, how many two trees resolve alike."""
+    one, two, q = _two_trees(spark, sf_dir)
     return trees.concordance(q, one, two).withColumn("concordance", F.round("concordance", 9))
 
 
@@ -338,7 +342,7 @@ def blob_search(spark, sf_dir):
     c = written(blobs.with_p(characters.concordance(fixtures.event_characters(spark, sf_dir))), "qcf")
     taxa = sorted(r["taxon"] for r in fixtures.event_characters(spark, sf_dir).select("taxon").distinct().collect())
     table = _table(spark, _fixed_tree(taxa))
-    quads = support.quadripartitions(table, trees.leaf_closure(table)).withColumn("taxon", F.col("taxon").cast("long"))
+    quads = support.quadripartitions(table).withColumn("taxon", F.col("taxon").cast("long"))
     return blobs.searched(c, written(quads, "quads"))
 
 

@@ -14,7 +14,7 @@ from ..streaming import aggregate
 from . import fixtures
 from .assemble import assemble, assemble_gene_trees
 from .infer import _table
-from .queries import GRAPH, GROUPS, WITH_SPLITS, _fixed_tree, _nation_tree, _splits, query
+from .queries import CLASSES, GRAPH, GROUPS, WITH_SPLITS, _fixed_tree, _label_tree, _splits, _two_trees, query
 
 FOUR = ("a", "b", "c", "d")
 
@@ -239,25 +239,13 @@ def gene_tree_graph(spark, sf_dir):
 @query(f"{WITH_SPLITS} SELECT CAST(sum(w) FILTER (a < b AND b < c AND c < d) AS BIGINT) AS shown, CAST(sum(w) AS BIGINT) AS total FROM splits")
 def tree_weight(spark, sf_dir):
     """Weight of the splits that a caterpillar tree over the labels shows, and of all."""
-    taxa = sorted(r["taxon"] for r in fixtures.label_sites(spark, sf_dir).select("taxon").distinct().collect())
-    return trees.total_weight(_splits(spark, sf_dir), _table(spark, _fixed_tree(taxa)))
+    return trees.total_weight(_splits(spark, sf_dir), _label_tree(spark, sf_dir))
 
 
-@query(
-    """WITH n AS (SELECT n_name AS name, n_regionkey AS x, CASE WHEN n_nationkey = 0 THEN 4 ELSE n_regionkey END AS y FROM nation),
-q AS (SELECT a.name AS q0, b.name AS q1, c.name AS q2, d.name AS q3, [a.x, b.x, c.x, d.x] AS x, [a.y, b.y, c.y, d.y] AS y FROM n a JOIN n b ON a.name < b.name JOIN n c ON b.name < c.name JOIN n d ON c.name < d.name),
-p AS (SELECT *, [CAST(x[1] = x[2] OR x[3] = x[4] AS INT), CAST(x[1] = x[3] OR x[2] = x[4] AS INT), CAST(x[1] = x[4] OR x[2] = x[3] AS INT)] AS u,
-  [CAST(y[1] = y[2] OR y[3] = y[4] AS INT), CAST(y[1] = y[3] OR y[2] = y[4] AS INT), CAST(y[1] = y[4] OR y[2] = y[3] AS INT)] AS v FROM q),
-c AS (SELECT q0, q1, q2, q3, CASE WHEN list_sum(u) = 1 THEN list_position(u, 1) - 1 ELSE -1 END AS one, CASE WHEN list_sum(v) = 1 THEN list_position(v, 1) - 1 ELSE -1 END AS two FROM p)
-SELECT q0, q1, q2, q3, CAST(one AS INTEGER) AS one, CAST(two AS INTEGER) AS two FROM c WHERE one <> two ORDER BY q0, q1, q2, q3 LIMIT 20"""
-)
+@query(f"WITH {CLASSES} SELECT * FROM classes WHERE one <> two ORDER BY q0, q1, q2, q3 LIMIT 20")
 def first_mismatches(spark, sf_dir):
-    """The first 20 quartets on which two trees of nations differ."""
-    one, two = _nation_tree(spark, sf_dir), _nation_tree(spark, sf_dir, True)
-    names = one.filter("is_leaf").select("name")
-    q = names.select(F.col("name").alias("q0"))
-    for i in (1, 2, 3):
-        q = q.join(names.select(F.col("name").alias(f"q{i}")), F.col(f"q{i}") > F.col(f"q{i - 1}"))
+    """Of 40 000 quartets of all customers, the first 20 on which two trees differ."""
+    one, two, q = _two_trees(spark, sf_dir)
     return trees.mismatches(q, one, two, 20)
 
 

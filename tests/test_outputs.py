@@ -15,9 +15,9 @@ from quadrille.sources.quartets import Config
 def test_annotations_round_trip(spark):
     tree = newick.parse("((a,b),(c,(d,e)));")
     table = _table(spark, tree)
-    quads = support.quadripartitions(table, trees.leaf_closure(table))
+    quads = support.quadripartitions(table)
     q = trees.gene_tree_quartets(spark.createDataFrame([(1, "((a,b),(c,(d,e)));"), (2, "((a,c),(b,(d,e)));")], "tree_id long, newick string"))
-    rows = [r.asDict() for r in support.support(support.gene_tree_frequencies(q, quads)).collect()]
+    rows = [r.asDict() for r in support.support(support.gene_tree_frequencies(q, table)).collect()]
     marked = newick.annotated(tree, rows)
     again = newick.parse(newick.write(marked, info=True))
     got = {newick.known(x)["q1"] for x in again.walk() if x.info}
@@ -48,16 +48,16 @@ def test_prepared():
 def test_support_and_partition_files(spark, tmp_path):
     tree = "((a,b),(c,(d,e)));"
     table = _table(spark, newick.parse(tree))
-    quads = support.quadripartitions(table, trees.leaf_closure(table))
+    quads = support.quadripartitions(table)
     q = trees.gene_tree_quartets(spark.createDataFrame([(i, tree) for i in range(12)], "tree_id long, newick string"))
-    rows = support.support_table(support.support(support.gene_tree_frequencies(q, quads)))
+    rows = support.support_table(support.support(support.gene_tree_frequencies(q, table)))
     sinks.write_support(rows, f"{tmp_path}/s")
     back = spark.read.csv(f"{tmp_path}/s", sep="\t", header=True, inferSchema=True, nullValue="NA")
     assert back.columns == ["node", "tree", "qfreq", "en", "qsupp", "brlen"] and back.count() == 6 and back.filter("brlen is null").count() == 4
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
         sinks.write_support(rows, f"{tmp_path}/s")
     branch = quads.agg({"branch": "min"}).first()[0]
-    lines = sinks.partitioned_lines(support.partitioned_support(q, quads, branch), quads, branch)
+    lines = sinks.partitioned_lines(support.partitioned_support(q, table, branch), quads, branch)
     for mode in ("errorifexists", "overwrite"):
         sinks.write_lines(lines, f"{tmp_path}/p", mode)
     text = [x for f in sorted((tmp_path / "p").glob("part-*")) for x in f.read_text().splitlines()]
@@ -94,6 +94,24 @@ def test_evaluation():
     assert evaluate.quartet_concordance(one, newick.parse("(x,y,z);"))["concordance"] is None
 
 
+@pytest.mark.parametrize("sample", [0, -1, None, 50])
+def test_evaluation_on_executors(spark, sample):
+    rng = np.random.default_rng(2)
+    one, two = (newick.random_tree([f"t{i}" for i in range(14)], rng) for _ in range(2))
+    want = evaluate.quartet_concordance(one, two, sample)
+    assert evaluate.quartet_concordance(one, two, sample, spark=spark) == want and want["evaluated"] == (50 if sample == 50 else 1001)
+    assert evaluate.evaluated(one, two, Config(metric="quartet", quartet_sample_size=sample or 0), spark)["evaluated"] == want["evaluated"]
+
+
+def test_sample_of_a_wide_tree(spark):
+    rng = np.random.default_rng(3)
+    one = newick.random_tree([f"t{i}" for i in range(1024)], rng)
+    two = newick.random_tree([f"t{i}" for i in range(1024)], rng)
+    got = evaluate.quartet_concordance(one, two, 40_000, spark=spark)
+    assert got == evaluate.quartet_concordance(one, two, 40_000) and got["evaluated"] == 40_000 and 0.25 < got["concordance"] < 0.45
+    assert evaluate.quartet_concordance(one, one, 0, spark=spark)["concordance"] == 1 and evaluate.quartet_concordance(one, one, 0)["evaluated"] == 10_000
+
+
 def test_tiled_attention_is_that_over_all_pairs():
     rng = np.random.default_rng(3)
     q = np.array(list(itertools.combinations(range(11), 4)))[rng.permutation(330)[:201]]
