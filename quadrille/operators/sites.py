@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -10,8 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.scalar import GAP, pattern
 
 Q = ("q0", "q1", "q2", "q3")
-#: States of a cut of the alignment, quartets of a tile, and bytes of pair codes that a task keeps.
-CUT_STATES, TILE, PAIR_BYTES = 16 << 20, 1 << 16, 64 << 20
+#: Sites of a cut of the alignment, quartets of a tile without a block, and words of planes that a kernel takes at a time, of one taxon and in all.
+CUT, TILE, PART, CHUNK_WORDS = 1 << 22, 1 << 14, 1 << 10, 1 << 18
 
 
 def informative(sites: DataFrame) -> DataFrame:
@@ -67,65 +70,106 @@ def site_patterns(quartet_rows: DataFrame, sites: DataFrame) -> DataFrame:
     return counted.join(total, same).select(*Q, "pat", "n", (F.col("n") / F.col("total")).alias("freq"))
 
 
-def pattern_counts(quartet_rows: DataFrame, sites: DataFrame) -> DataFrame:
-    """site_patterns by an Arrow kernel: (q0..q3, pat, n). quartet_rows are distinct; a site that a taxon lacks is a gap.
+def planes(sites: DataFrame) -> DataFrame:
+    """(taxon, pos, state) -> (cut, taxon, planes): for each base a bit for each site of a cut of CUT sites, 64 to a word; a gap has none."""
+    cut = F.floor(F.col("pos") / CUT).cast("int")
+    placed = sites.filter(F.col("state").between(0, GAP - 1)).select(cut.alias("cut"), F.col("taxon").cast("long").alias("taxon"), (F.col("pos") - cut * CUT).cast("int").alias("at"), F.col("state").cast("int").alias("state"))
+
+    def packed(key: tuple, rows: pa.Table) -> pa.Table:
+        at, state = rows.column("at").to_numpy(), rows.column("state").to_numpy()
+        bits = np.zeros((GAP, -(-(int(at.max()) + 1) // 64) * 64), bool)
+        bits[state, at] = True
+        return pa.table({"cut": pa.array([key[0].as_py()], pa.int32()), "taxon": pa.array([key[1].as_py()], pa.int64()), "planes": pa.array([np.packbits(bits, axis=1).tobytes()], pa.binary())})
+
+    return placed.groupBy("cut", "taxon").applyInArrow(packed, "cut int, taxon long, planes binary")
+
+
+def _words(rows: pa.Table, taxa: np.ndarray, at: slice) -> np.ndarray:
+    """(taxa, bases, words): a part of the planes of some taxa; what a taxon lacks, at the end or at all, is zero."""
+    held = {t: np.frombuffer(b.as_buffer(), np.uint64).reshape(GAP, -1)[:, at] for t, b in zip(rows.column("taxon").to_pylist(), rows.column("planes")) if b.is_valid}
+    out = np.zeros((len(taxa), GAP, max([x.shape[1] for x in held.values()], default=0)), np.uint64)
+    for i, t in enumerate(taxa.tolist()):
+        if t in held:
+            out[i, :, : held[t].shape[1]] = held[t]
+    return out
+
 
-    The alignment is cut by position into cuts of CUT_STATES states, in which a taxon is one row of bytes, and the quartets are dealt to
-    tiles. Each cell of cuts and tiles is a task's work, and the cells' histograms add up: nothing passes through the driver.
+def _parts(rows: pa.Table) -> Iterator[slice]:
+    longest = max((len(b.as_buffer()) // (8 * GAP) for b in rows.column("planes") if b.is_valid), default=0)
+    return (slice(k, k + PART) for k in range(0, longest, PART))
+
+
+def block_class_counts(blocks: DataFrame, sites: DataFrame) -> DataFrame:
+    """(block_id, members) and sites -> (block_id, q0..q3, c0, c1, c2): for every four members the sites that support each class by two states, two and two.
+
+    A block's taxa, and no others, are sent to its task, as bit planes of one cut of the alignment: half a byte a site. There each pair's sites of equal bases are
+    one plane, and a class is what two such planes have in common and a third has not, counted by words. Counts add up over the cuts.
     """
-    extent = sites.agg(F.max("pos").alias("p"), F.count_distinct("taxon").alias("t")).first()
-    if extent["p"] is None:
-        return quartet_rows.select(*Q, F.lit(0).alias("pat"), F.lit(0).cast("long").alias("n")).limit(0)
-    width = min(extent["p"] + 1, max(1, CUT_STATES // max(1, extent["t"])))
-    cuts = -(-(extent["p"] + 1) // width)
-    quartets = quartet_rows.select(*(F.col(q).cast("long").alias(q) for q in Q))
-    tiles = max(-(-quartets.count() // TILE), -(-2 * sites.sparkSession.sparkContext.defaultParallelism // cuts))
+    members = blocks.select("block_id", F.array_sort(F.transform("members", lambda x: x.cast("long"))).alias("members")).filter(F.size("members") >= 4)
+    sent = members.select("block_id", "members", F.explode("members").alias("taxon")).join(planes(sites), "taxon", "left").withColumn("cut", F.coalesce("cut", F.lit(0)))
+    kind = blocks.schema["block_id"].dataType.simpleString()
+    counted = sent.groupBy("block_id", "cut").applyInArrow(_classes, f"block_id {kind}, q0 long, q1 long, q2 long, q3 long, c0 long, c1 long, c2 long")
+    return counted.groupBy("block_id", *Q).agg(*(F.sum(c).alias(c) for c in ("c0", "c1", "c2")))
+
+
+def _classes(key: tuple, rows: pa.Table) -> pa.Table:
+    taxa = np.array(rows.column("members")[0].as_py(), np.int64)
+    q = np.array(list(itertools.combinations(range(len(taxa)), 4)))
+    pair = np.zeros((len(taxa), len(taxa)), np.int64)
+    i, j = np.triu_indices(len(taxa), 1)
+    pair[i, j] = np.arange(len(i))
+    ab, cd, ac, bd, ad, bc = (pair[q[:, x], q[:, y]] for x, y in ((0, 1), (2, 3), (0, 2), (1, 3), (0, 3), (1, 2)))
+    counts = np.zeros((3, len(q)), np.int64)
+    for part in _parts(rows):
+        bases = _words(rows, taxa, part)
+        equal = np.bitwise_or.reduce(bases[i] & bases[j], 1)
+        step = max(1, CHUNK_WORDS // max(1, equal.shape[1]))
+        for k in range(0, len(q), step):
+            some = slice(k, k + step)
+            for c, (x, y, other) in enumerate(((ab, cd, ac), (ac, bd, ab), (ad, bc, ab))):
+                counts[c, some] += np.bitwise_count(equal[x[some]] & equal[y[some]] & ~equal[other[some]]).sum(1, dtype=np.int64)
+    block = pa.array([key[0].as_py()] * len(q), rows.schema.field("block_id").type)
+    return pa.table({"block_id": block} | {c: pa.array(taxa[q[:, k]]) for k, c in enumerate(Q)} | {f"c{k}": pa.array(counts[k]) for k in range(3)})
 
-    def packed(key: tuple, rows: pa.Table) -> pa.Table:
-        states = np.full(width, GAP, np.uint8)
-        states[rows.column("at").to_numpy()] = rows.column("state").to_numpy()
-        return pa.table({"cut": pa.array([key[0].as_py()], pa.int32()), "taxon": pa.array([key[1].as_py()], pa.int64()), "states": pa.array([states.tobytes()], pa.binary())})
-
-    cut = F.floor(F.col("pos") / width).cast("int")
-    placed = sites.select(cut.alias("cut"), F.col("taxon").cast("long").alias("taxon"), (F.col("pos") - cut * width).cast("int").alias("at"), F.col("state").cast("int").alias("state"))
-    bands = placed.groupBy("cut", "taxon").applyInArrow(packed, "cut int, taxon long, states binary").withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
-    dealt = quartets.withColumn("tile", F.pmod(F.xxhash64(*Q), F.lit(tiles)).cast("int")).withColumn("cut", F.explode(F.sequence(F.lit(0), F.lit(cuts - 1))))
-    cells = dealt.groupBy("cut", "tile").cogroup(bands.groupBy("cut", "tile")).applyInArrow(_cell, "q0 long, q1 long, q2 long, q3 long, pat int, n long")
-    return cells.groupBy(*Q, "pat").agg(F.sum("n").alias("n"))
 
+def pattern_counts(quartet_rows: DataFrame, sites: DataFrame) -> DataFrame:
+    """site_patterns by an Arrow kernel: (q0..q3, pat, n). quartet_rows are distinct; a site that a taxon lacks is a gap.
 
-#: Where the patterns of four bases are among all patterns of four states, gaps included.
-_BASES = np.array([125 * a + 25 * b + 5 * c + d for a in range(4) for b in range(4) for c in range(4) for d in range(4)])
+    Quartets are dealt to tiles: by block_id, if they have it, else by hash. Each tile gets its own taxa's bit planes, cut by cut of the alignment. A pattern's
+    count is that of the bits that a plane of each of its taxa has; histograms add up over the cuts, and nothing passes through the driver.
+    """
+    if "block_id" in quartet_rows.columns:
+        tile = F.col("block_id").cast("long")
+    else:
+        count = quartet_rows.count()
+        tiles = max(-(-count // TILE), min(count, 2 * sites.sparkSession.sparkContext.defaultParallelism), 1)
+        tile = F.pmod(F.xxhash64("q0", "q1"), F.lit(tiles))
+    quartets = quartet_rows.select(tile.alias("tile"), *(F.col(q).cast("long").alias(q) for q in Q))
+    needed = quartets.select("tile", F.explode(F.array(*Q)).alias("taxon")).distinct()
+    sent = needed.join(planes(sites), "taxon")
+    cuts = (sites.agg(F.max("pos")).first()[0] or 0) // CUT + 1
+    dealt = quartets.withColumn("cut", F.explode(F.sequence(F.lit(0), F.lit(cuts - 1)))).select(*(F.col(c).alias(f"_{c}") for c in ("cut", "tile", *Q)))
+    cells = dealt.groupBy("_tile", "_cut").cogroup(sent.groupBy("tile", "cut")).applyInArrow(_patterns, "q0 long, q1 long, q2 long, q3 long, pat int, n long")
+    return cells.groupBy(*Q, "pat").agg(F.sum("n").alias("n"))
 
 
-def _cell(quartets: pa.Table, bands: pa.Table) -> pa.Table:
-    """Histograms of a tile's quartets over a cut. Two taxa's states are one code, made once for the pairs that many quartets share."""
-    rows = {t: np.frombuffer(s, np.uint8) for t, s in zip(bands.column("taxon").to_pylist(), bands.column("states").to_pylist())}
-    ids = np.stack([quartets.column(q).to_numpy() for q in Q], 1) if quartets.num_rows else np.empty((0, 4), np.int64)
+def _patterns(quartets: pa.Table, rows: pa.Table) -> pa.Table:
+    """Histograms of a tile's quartets over a cut; the planes of its first two taxa's bases are combined once for the quartets that begin alike."""
+    ids = np.stack([quartets.column(f"_{q}").to_numpy() for q in Q], 1) if quartets.num_rows else np.empty((0, 4), np.int64)
     ids = ids[np.lexsort(ids.T[::-1])]
-    known: dict[tuple[int, int], np.ndarray] = {}
-    held, first, lead = 0, None, None
-    quartet, pats, counts = [], [], []
-    for k, (a, b, c, d) in enumerate(ids.tolist()):
-        if not (a in rows and b in rows and c in rows and d in rows):
-            continue
-        if first != (a, b):
-            first, lead = (a, b), 25 * (rows[a].astype(np.int16) * 5 + rows[b])
-        pair = known.get((c, d))
-        if pair is None:
-            pair = rows[c].astype(np.int16) * 5 + rows[d]
-            if held + pair.nbytes > PAIR_BYTES:
-                known.clear()
-                held = 0
-            known[c, d] = pair
-            held += pair.nbytes
-        hist = np.bincount(lead + pair, minlength=625)[_BASES]
-        some = np.flatnonzero(hist)
-        quartet.append(np.full(len(some), k))
-        pats.append(some)
-        counts.append(hist[some])
-    of, pat, n = (np.concatenate([np.empty(0, np.int64), *x]).astype(np.int64) for x in (quartet, pats, counts))
-    return pa.table({q: pa.array(ids[of, i]) for i, q in enumerate(Q)} | {"pat": pa.array(pat.astype(np.int32)), "n": pa.array(n)})
+    taxa = np.unique(ids)
+    q = np.searchsorted(taxa, ids)
+    hist = np.zeros((len(q), 256), np.int64)
+    for part in _parts(rows) if rows.num_rows else ():
+        bases, first = _words(rows, taxa, part), None
+        for k, (a, b, c, d) in enumerate(q.tolist()):
+            if first != (a, b):
+                first, lead = (a, b), (bases[a][:, None] & bases[b][None]).reshape(16, -1)
+            pair = (bases[c][:, None] & bases[d][None]).reshape(16, -1)
+            for x in range(16):
+                hist[k, 16 * x : 16 * x + 16] += np.bitwise_count(lead[x] & pair).sum(1, dtype=np.int64)
+    of, pat = np.nonzero(hist)
+    return pa.table({c: pa.array(ids[of, i]) for i, c in enumerate(Q)} | {"pat": pa.array(pat.astype(np.int32)), "n": pa.array(hist[of, pat])})
 
 
 def class_counts(patterns: DataFrame) -> DataFrame:
@@ -135,10 +179,10 @@ def class_counts(patterns: DataFrame) -> DataFrame:
     return patterns.groupBy(*Q).agg(two(0, 1, 2, 3).alias("c0"), two(0, 2, 1, 3).alias("c1"), two(0, 3, 1, 2).alias("c2"))
 
 
-def scores(counts: DataFrame) -> DataFrame:
+def scores(counts: DataFrame, *keep: str) -> DataFrame:
     """The default scorer: w_k = 100 * (c_k + 1) / (c0 + c1 + c2 + 3), which adds up to 100."""
     total = F.col("c0") + F.col("c1") + F.col("c2") + 3
-    return counts.select(*Q, *((100.0 * (F.col(f"c{k}") + 1) / total).alias(f"w{k}") for k in range(3)))
+    return counts.select(*keep, *Q, *((100.0 * (F.col(f"c{k}") + 1) / total).alias(f"w{k}") for k in range(3)))
 
 
 def shared_taxon_pairs(quartet_rows: DataFrame, least: int = 3) -> DataFrame:

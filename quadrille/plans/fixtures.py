@@ -9,6 +9,10 @@ from ..operators import sites
 from .infer import block_weights
 
 
+#: Ids of vectors that are numbered in one task.
+RUN = 1 << 12
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -18,9 +22,13 @@ def label_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     States cut the components at 0 and +-0.1; what is within 0.005 of 0 is a gap.
     """
-    e = table(spark, sf_dir, "embeddings")
-    k = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    rows = e.select(F.col("label").cast("long").alias("taxon"), k.alias("k"), F.posexplode("embedding").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
+    e = table(spark, sf_dir, "embeddings").withColumn("run", F.floor(F.col("vec_id") / RUN))
+    # A label's vectors are numbered run by run, and runs by the sizes of those before.
+    before = Window.partitionBy("label").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    starts = e.groupBy("label", "run").count().select("label", "run", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    k = F.row_number().over(Window.partitionBy("label", "run").orderBy("vec_id")) - 1
+    numbered = e.withColumn("k", k).join(starts, ["label", "run"])
+    rows = numbered.select(F.col("label").cast("long").alias("taxon"), (F.col("before") + F.col("k")).alias("k"), F.posexplode("embedding").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
     state = F.when(F.abs("x") < 0.005, 4).when(F.col("x") < -0.1, 0).when(F.col("x") < 0, 1).when(F.col("x") < 0.1, 2).otherwise(3)
     return rows.select("taxon", (F.col("k") * 64 + F.col("i")).cast("long").alias("pos"), state.alias("state"))
 
@@ -35,9 +43,9 @@ label_sites AS (
 )"""
 
 
-def blocks(label_rows: DataFrame) -> DataFrame:
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(block_id, members): block k has all labels but the two from k on, so blocks overlap widely."""
-    taxa = label_rows.select("taxon").distinct().agg(F.array_sort(F.collect_set("taxon")).alias("all"))
+    taxa = table(spark, sf_dir, "embeddings").agg(F.array_sort(F.collect_set(F.col("label").cast("long"))).alias("all"))
     return taxa.select(F.explode("all").alias("block_id"), "all").select("block_id", F.array_except("all", F.array("block_id", F.col("block_id") + 1)).alias("members"))
 
 
@@ -54,7 +62,7 @@ block_quartets AS (
 def weights(spark: SparkSession, sf_dir: str, kernel: bool = True) -> DataFrame:
     """(block_id, q0..q3, w0..w2) of the blocks over the informative label sites."""
     rows = sites.informative(label_sites(spark, sf_dir))
-    return block_weights(blocks(label_sites(spark, sf_dir)), rows, kernel)
+    return block_weights(blocks(spark, sf_dir), rows, kernel)
 
 
 WEIGHTS = (

@@ -18,12 +18,13 @@ from .assemble import assemble, solved
 def block_weights(blocks: DataFrame, site_rows: DataFrame, kernel: bool = True) -> DataFrame:
     """(block_id, members) and sites -> (block_id, q0..q3, w0..w2).
 
-    Each distinct quartet is scored once and then joined to the blocks that have it.
+    The kernel counts classes block by block. Without it patterns are joined, each distinct quartet's once, and then to the blocks that have it.
     """
+    if kernel:
+        return sites.scores(sites.block_class_counts(blocks, site_rows), "block_id")
     quartets = sites.block_quartets(blocks)
     distinct = quartets.select(*sites.Q).distinct()
-    patterns = sites.pattern_counts(distinct, site_rows) if kernel else sites.site_patterns(distinct, site_rows)
-    counted = distinct.join(sites.class_counts(patterns), list(sites.Q), "left").fillna(0, ["c0", "c1", "c2"])
+    counted = distinct.join(sites.class_counts(sites.site_patterns(distinct, site_rows)), list(sites.Q), "left").fillna(0, ["c0", "c1", "c2"])
     return quartets.join(sites.scores(counted), list(sites.Q)).select("block_id", *sites.Q, "w0", "w1", "w2")
 
 

@@ -59,13 +59,13 @@ def drop_conserved(spark, sf_dir):
 
 @query(f"WITH {fixtures.BLOCKS} SELECT * FROM block_quartets")
 def quartets_all(spark, sf_dir):
-    return sites.block_quartets(fixtures.blocks(fixtures.label_sites(spark, sf_dir)))
+    return sites.block_quartets(fixtures.blocks(spark, sf_dir))
 
 
 @query(f"WITH {fixtures.BLOCKS} SELECT * FROM block_quartets")
 def quartets_joined(spark, sf_dir):
     """The same by joins of a members table."""
-    return sites.quartets(fixtures.blocks(fixtures.label_sites(spark, sf_dir)).select("block_id", F.explode("members").alias("taxon")))
+    return sites.quartets(fixtures.blocks(spark, sf_dir).select("block_id", F.explode("members").alias("taxon")))
 
 
 PATTERNS = f"WITH {fixtures.WEIGHTS} SELECT q0, q1, q2, q3, pat, n, round(n / sum(n) OVER (PARTITION BY q0, q1, q2, q3), 9) AS freq FROM patterns"
@@ -74,14 +74,14 @@ PATTERNS = f"WITH {fixtures.WEIGHTS} SELECT q0, q1, q2, q3, pat, n, round(n / su
 @query(PATTERNS)
 def site_patterns(spark, sf_dir):
     rows = sites.informative(fixtures.label_sites(spark, sf_dir))
-    q = sites.block_quartets(fixtures.blocks(fixtures.label_sites(spark, sf_dir))).select(*sites.Q).distinct()
+    q = sites.block_quartets(fixtures.blocks(spark, sf_dir)).select(*sites.Q).distinct()
     return sites.site_patterns(q, rows).withColumn("freq", F.round("freq", 9))
 
 
 @query(f"WITH {fixtures.WEIGHTS} SELECT * FROM patterns")
 def site_patterns_kernel(spark, sf_dir):
     rows = written(sites.informative(fixtures.label_sites(spark, sf_dir)), "sites")
-    q = sites.block_quartets(fixtures.blocks(fixtures.label_sites(spark, sf_dir))).select(*sites.Q).distinct()
+    q = sites.block_quartets(fixtures.blocks(spark, sf_dir)).select(*sites.Q).distinct()
     return sites.pattern_counts(q, rows)
 
 
@@ -359,7 +359,7 @@ def numbered_reorder(spark, sf_dir):
 SELECT a.qid AS l, b.qid AS r, count(*) AS shared FROM t a JOIN t b ON a.taxon = b.taxon AND a.qid < b.qid GROUP BY ALL HAVING count(*) >= 3"""
 )
 def shared_taxon_pairs(spark, sf_dir):
-    q = sites.block_quartets(fixtures.blocks(fixtures.label_sites(spark, sf_dir))).select(*sites.Q).distinct()
+    q = sites.block_quartets(fixtures.blocks(spark, sf_dir)).select(*sites.Q).distinct()
     return sites.shared_taxon_pairs(q.withColumn("qid", ((F.col("q0") * 100 + F.col("q1")) * 100 + F.col("q2")) * 100 + F.col("q3")))
 
 

@@ -94,7 +94,7 @@ def support_scales(spark, sf_dir):
 
 @query(f"WITH {fixtures.BLOCKS}, q AS (SELECT DISTINCT q0, q1, q2, q3 FROM block_quartets) SELECT *, array_to_string([CASE WHEN i IN (q0, q1, q2, q3) THEN '1' ELSE '0' END FOR i IN range(24)], '') AS hot FROM q")
 def one_hot_quartets(spark, sf_dir):
-    q = sites.block_quartets(fixtures.blocks(fixtures.label_sites(spark, sf_dir))).select(*sites.Q).distinct()
+    q = sites.block_quartets(fixtures.blocks(spark, sf_dir)).select(*sites.Q).distinct()
     return sites.one_hot(q).withColumn("hot", F.array_join(F.col("hot").cast("array<string>"), ""))
 
 

@@ -122,9 +122,40 @@ def test_kernel_agrees_over_cuts(spark, monkeypatch):
     s, q = spark.createDataFrame(s), sites.block_quartets(spark.createDataFrame([(0, list(range(6)))], "block_id long, members array<long>"))
     want = sorted(map(tuple, sites.site_patterns(q, s).select(*sites.Q, "pat", "n").collect()))
     assert sorted(map(tuple, sites.pattern_counts(q, s).collect())) == want
-    for name, value in (("CUT_STATES", 100), ("TILE", 4), ("PAIR_BYTES", 200)):
+    for name, value in (("CUT", 20), ("TILE", 4), ("PART", 1), ("CHUNK_WORDS", 3)):
         monkeypatch.setattr(sites, name, value)
     assert sorted(map(tuple, sites.pattern_counts(q, s).collect())) == want
+    assert sorted(map(tuple, sites.pattern_counts(q.drop("block_id"), s).collect())) == want
+
+
+@pytest.mark.parametrize("cut", [1 << 22, 70])
+def test_classes_by_block(spark, monkeypatch, cut):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(sites, "CUT", cut)
+    monkeypatch.setattr(sites, "PART", 1)
+    # Taxon 8 has no base at all, and 7 only few.
+    s = pd.DataFrame([(t, p, int(rng.integers(0, 5))) for t in range(8) for p in range(150 if t < 7 else 9)], columns=["taxon", "pos", "state"])
+    blocks = spark.createDataFrame([(3, [5, 1, 0, 2, 7]), (4, [1, 2, 3, 8, 5]), (5, [0, 1, 2])], "block_id long, members array<int>")
+    q = sites.block_quartets(blocks)
+    want = q.join(sites.class_counts(sites.site_patterns(q.select(*sites.Q).distinct(), spark.createDataFrame(s))), list(sites.Q), "left").fillna(0, ["c0", "c1", "c2"])
+    columns = ["block_id", *sites.Q, "c0", "c1", "c2"]
+    got = sites.block_class_counts(blocks, spark.createDataFrame(s)).select(*columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*columns).collect())) and got.count() == 10
+
+
+def test_a_tile_has_its_own_taxa_only(spark, monkeypatch):
+    """What a block's task gets are rows of its members, one for each cut."""
+    kernel = sites._classes
+
+    def watched(key, rows):
+        assert set(rows.column("taxon").to_pylist()) == set(rows.column("members")[0].as_py()) and rows.num_rows == 4
+        return kernel(key, rows)
+
+    monkeypatch.setattr(sites, "_classes", watched)
+    monkeypatch.setattr(sites, "CUT", 64)
+    s = spark.range(40 * 128).select((F.col("id") % 40).alias("taxon"), F.floor(F.col("id") / 40).alias("pos"), (F.xxhash64("id") % 5).alias("x")).select("taxon", "pos", F.pmod("x", F.lit(5)).alias("state"))
+    blocks = spark.createDataFrame([(b, [b, b + 1, b + 2, b + 3]) for b in range(0, 36, 4)], "block_id long, members array<long>")
+    assert sites.block_class_counts(blocks, s).count() == 9
 
 
 def test_network_scorers(spark):
