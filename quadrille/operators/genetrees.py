@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..plans import newick
 from ..plans.newick import Node
-from . import graph
+from . import graph, weights
 from .ancestry import Ancestry, Branches
 
 #: Rows of branches that are multiplied at once.
@@ -157,13 +157,15 @@ def _weights(problem: list, kids: dict[int, list], norm: str, counts: Counter) -
     return held
 
 
-def edges(trees: DataFrame, problems: dict[int, list], kids: dict[int, list] | None = None, norm: str = "n0", rename: dict[str, str] | None = None) -> DataFrame:
+def edges(trees: DataFrame, problems: dict[int, list], kids: dict[int, list] | None = None, norm: str = "n0", rename: dict[str, str] | None = None, weighting: str = "n") -> DataFrame:
     """(tree_id, newick) -> (sub_id, i, j, good, bad): the quartet graph of each subproblem over all trees; i < j are places in its taxa.
 
+    weighting: by what quartets weigh besides, as in weights: nothing (n), lengths (l), supports (s) or both (h).
     Each task adds up its trees before anything is shuffled: taxa squared, however many trees. The problems and the kids of their made-up taxa
     travel with the plan; they hold taxa squared at most, whatever the number of trees.
     """
     kids = kids or {}
+    weights.checked(weighting)
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, list[np.ndarray]] = {}
@@ -174,7 +176,8 @@ def edges(trees: DataFrame, problems: dict[int, list], kids: dict[int, list] | N
                 root = newick.parse(text, rename)
                 counts = Counter(x.name for x in root.leaves())
                 for s, problem in problems.items():
-                    found = edge_sums(root, _weights(problem, kids, norm, counts), len(problem))
+                    held = _weights(problem, kids, norm, counts)
+                    found = edge_sums(root, held, len(problem)) if weighting == "n" else weights.edge_sums(root, held, len(problem), weighting)
                     sums[s] = [a + b for a, b in zip(sums[s], found)] if s in sums else list(found)
         for s, (good, bad) in sums.items():
             i, j = np.triu_indices(len(good), 1)
@@ -200,12 +203,12 @@ def leaf_names(trees: DataFrame, rename: dict[str, str] | None = None) -> list[s
     return sorted(r["name"] for r in trees.select("newick").mapInArrow(names, "name string").distinct().collect())
 
 
-def tree_graph(trees: DataFrame, rename: dict[str, str] | None = None) -> DataFrame:
+def tree_graph(trees: DataFrame, rename: dict[str, str] | None = None, weighting: str = "n") -> DataFrame:
     """(tree_id, newick) -> (i, j, good, bad) by leaves' names, as quartet_graph has them of all quartets of the trees."""
     names = leaf_names(trees, rename)
     spark = trees.sparkSession
     named = spark.createDataFrame([(k, n) for k, n in enumerate(names)], "k long, name string")
-    one = edges(trees, {0: names}, rename=rename).drop("sub_id")
+    one = edges(trees, {0: names}, rename=rename, weighting=weighting).drop("sub_id")
     for x in ("i", "j"):
         one = one.join(F.broadcast(named.select(F.col("k").alias(x), F.col("name").alias(f"_{x}"))), x).drop(x).withColumnRenamed(f"_{x}", x)
     return one.select("i", "j", "good", "bad")
@@ -226,25 +229,42 @@ def cuts(graphs: DataFrame, sizes: dict[int, int], iter_limit: int = 3, seed: in
     return graphs.groupBy("sub_id").applyInPandas(cut, "sub_id long, place long, side int")
 
 
-def frequencies(trees: DataFrame, tree: Node, rename: dict[str, str] | None = None) -> DataFrame:
+def frequencies(trees: DataFrame, tree: Node, rename: dict[str, str] | None = None, weighting: str = "n") -> DataFrame:
     """(tree_id, newick) and a binary tree -> (branch, f1, f2, f3): each gene tree has one vote a branch, shared out among its quartets there.
 
-    Branches and their parts are those of support.quadripartitions over the table of the same tree. Trees are read once, added up in their task.
+    Branches and their parts are those of support.quadripartitions over the table of the same tree. Trees are read once, added up in their task. Weighted
+    (l, s, h), sums over the trees are scaled by sqrt(trees / sum of squared totals), trees with a total over 1e-9 counting.
     """
     branches, code = quadripartitions(tree)
+    weights.checked(weighting)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(branches), 3))
+        total = np.zeros((len(branches), 5))
         for batch in batches:
             for text in batch.column("newick").to_pylist():
                 if text and branches:
-                    found = around(newick.parse(text, rename), code, len(branches))
+                    root = newick.parse(text, rename)
+                    found = around(root, code, len(branches)) if weighting == "n" else weights.around(root, code, len(branches), weighting)
                     size = found.sum(1, keepdims=True)
-                    total += np.where(size > 1e-9, found / np.where(size > 1e-9, size, 1), 0)
-        yield pa.RecordBatch.from_pydict({"branch": pa.array(branches, pa.int64())} | {f"f{k + 1}": pa.array(total[:, k], pa.float64()) for k in range(3)})
+                    some = size > 1e-9
+                    total += np.where(some, np.hstack([found / np.where(some, size, 1) if weighting == "n" else found, size * size, some]), 0)
+        yield pa.RecordBatch.from_pydict({"branch": pa.array(branches, pa.int64())} | {c: pa.array(total[:, k], pa.float64()) for k, c in enumerate(("f1", "f2", "f3", "squares", "n"))})
 
-    rows = trees.select("newick").mapInArrow(count, "branch long, f1 double, f2 double, f3 double")
-    return rows.groupBy("branch").agg(*(F.sum(f).alias(f) for f in ("f1", "f2", "f3")))
+    rows = trees.select("newick").mapInArrow(count, "branch long, f1 double, f2 double, f3 double, squares double, n double")
+    scale = F.lit(1.0) if weighting == "n" else F.coalesce(F.sqrt(F.sum("n") / F.when(F.sum("squares") > 0, F.sum("squares"))), F.lit(0.0))
+    return rows.groupBy("branch").agg(*((F.sum(f) * scale).alias(f) for f in ("f1", "f2", "f3")))
+
+
+def total_weights(trees: DataFrame, weighting: str = "n", rename: dict[str, str] | None = None) -> DataFrame:
+    """(tree_id, newick) -> (tree_id, weight): what the quartets that each tree resolves weigh together."""
+    weights.checked(weighting)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [0.0 if not t else float(quartets_shown(newick.parse(t, rename))) if weighting == "n" else weights.total_weight(newick.parse(t, rename), weighting) for t in batch.column("newick").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("tree_id"), pa.array(found, pa.float64())], ["tree_id", "weight"])
+
+    return trees.select(F.col("tree_id").cast("long").alias("tree_id"), "newick").mapInArrow(weigh, "tree_id long, weight double")
 
 
 def quadripartitions(tree: Node) -> tuple[list[int], dict[str, np.ndarray]]:

@@ -151,13 +151,13 @@ def assemble(splits: DataFrame, method: str = "qfm", norm: str = "n0", iter_limi
     return newick.unrooted(trees[0])
 
 
-def assemble_gene_trees(trees: DataFrame, norm: str = "n2", iter_limit: int = 3, rename: dict[str, str] | None = None, metrics: list[dict] | None = None) -> Node:
+def assemble_gene_trees(trees: DataFrame, norm: str = "n2", iter_limit: int = 3, rename: dict[str, str] | None = None, metrics: list[dict] | None = None, weighting: str = "n") -> Node:
     """(tree_id, newick) -> species tree by max-cut of the gene trees' quartet graphs; no quartet is listed.
 
     Level by level, all subproblems of a level in one pass over the trees. A side's taxa become one made-up taxon of the other side's
     subproblem, whose leaves weigh as `norm` says: 1 (n0), 1 over its leaves (n1), or the product of 1 over numbers of kids (n2), counted in each tree. Trees may lack taxa; with
     rename several leaves may be one taxon. Fewer than four taxa, no quartets or no cut give a star. The driver holds taxa squared at most.
-    metrics, a list, gets a row for each subproblem: id, parent, depth, size, artificial, subset.
+    metrics, a list, gets a row for each subproblem: id, parent, depth, size, artificial, subset. weighting: what quartets weigh besides, as in operators.weights.
     """
     if norm not in NORMS:
         raise ValueError(f"norm is one of {', '.join(NORMS)}")
@@ -172,7 +172,7 @@ def assemble_gene_trees(trees: DataFrame, norm: str = "n2", iter_limit: int = 3,
             metrics += [{"id": s, "parent": parent[s], "depth": depth[s], "size": len(p), "artificial": sum(isinstance(t, int) for t in p), "subset": sorted(t for t in p if isinstance(t, str))} for s, p in problems.items()]
         sides: dict[int, dict[int, int]] = {}
         if wide := {s: p for s, p in problems.items() if len(p) >= 4}:
-            graphs = _written(genetrees.edges(trees, wide, kids, norm, rename), "gene-graph")
+            graphs = _written(genetrees.edges(trees, wide, kids, norm, rename, weighting), "gene-graph")
             for r in genetrees.cuts(graphs, {s: len(p) for s, p in wide.items()}, iter_limit).collect():
                 sides.setdefault(r["sub_id"], {})[r["place"]] = r["side"]
         following: dict[int, list] = {}

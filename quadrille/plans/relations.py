@@ -236,6 +236,39 @@ def gene_tree_graph(spark, sf_dir):
     return genetrees.tree_graph(t)
 
 
+def weighted_trees(spark, sf_dir):
+    """The characters as trees with lengths and supports: a leaf's length goes by its taxon, a clade's length and support by its size."""
+    g = characters.groups(fixtures.event_characters(spark, sf_dir))
+    leaf = F.transform("taxa", lambda t: F.concat(t.cast("string"), F.lit(":"), (t % 3 / 4).cast("string")))
+    clade = F.when(F.col("n") > 1, F.concat(F.lit("("), F.array_join(leaf, ","), F.lit(")"), (1 / (F.col("n") + 1)).cast("string"), F.lit(":"), (F.col("n") / 16).cast("string"))).otherwise(leaf[0])
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("state", clade.alias("c")))), lambda x: x["c"]), ",")
+    return g.groupBy(F.col("pos").cast("long").alias("tree_id")).agg(F.concat(F.lit("("), joined, F.lit(");")).alias("newick"))
+
+
+#: Quartets that weighted_trees show, a pair of one clade first, with weights by lengths and supports.
+WEIGHTED = """, k AS (SELECT pos, n, state, unnest(taxa) AS taxon FROM g WHERE pos IN (SELECT pos FROM good)),
+l AS (SELECT pos, state, CAST(taxon AS VARCHAR) AS taxon, taxon % 3 / 4.0::DOUBLE AS own, CASE WHEN n > 1 THEN n / 16.0::DOUBLE ELSE 0 END AS up, CASE WHEN n > 1 THEN 1 - 1 / (n + 1.0::DOUBLE) ELSE 1 END AS kept FROM k),
+p AS (SELECT a.pos, a.taxon AS i, b.taxon AS j, a.state AS s, b.state AS t, a.own + b.own + CASE WHEN a.state = b.state THEN 0 ELSE a.up + b.up END AS len, CASE WHEN a.state = b.state THEN a.kept ELSE 1 END AS kept FROM l a JOIN l b ON a.pos = b.pos AND a.taxon < b.taxon),
+q AS (SELECT x.pos, x.i AS a, x.j AS b, y.i AS c, y.j AS d, exp(-(x.len + y.len)) * (1 - x.kept * y.kept) AS w FROM p x JOIN p y ON x.pos = y.pos AND x.s = x.t AND y.s <> x.s AND y.t <> x.s AND (y.s <> y.t OR x.i < y.i))"""
+
+
+@query(
+    f"""WITH {fixtures.EVENT_CHARACTERS}{GROUPS}{WEIGHTED},
+x AS (SELECT a AS i, b AS j, 0 AS good, w FROM q UNION ALL SELECT c, d, 0, w FROM q UNION ALL SELECT a, c, 1, w FROM q UNION ALL SELECT a, d, 1, w FROM q UNION ALL SELECT b, c, 1, w FROM q UNION ALL SELECT b, d, 1, w FROM q)
+SELECT least(i, j) AS i, greatest(i, j) AS j, round(sum(good * w), 6) AS good, round(sum((1 - good) * w), 6) AS bad FROM x GROUP BY ALL"""
+)
+def weighted_tree_graph(spark, sf_dir):
+    """Good and bad edges of weighted quartets, over trees whose clades have lengths and supports."""
+    g = genetrees.tree_graph(weighted_trees(spark, sf_dir), weighting="h")
+    return g.select("i", "j", F.round("good", 6).alias("good"), F.round("bad", 6).alias("bad"))
+
+
+@query(f"WITH {fixtures.EVENT_CHARACTERS}{GROUPS}{WEIGHTED}, e AS (SELECT DISTINCT pos FROM k) SELECT CAST(e.pos AS BIGINT) AS tree_id, round(coalesce(sum(w), 0), 6) AS weight FROM e LEFT JOIN q USING (pos) GROUP BY ALL")
+def tree_weights(spark, sf_dir):
+    """The weight of all quartets of each of these trees."""
+    return genetrees.total_weights(weighted_trees(spark, sf_dir), "h").select("tree_id", F.round("weight", 6).alias("weight"))
+
+
 @query(f"{WITH_SPLITS} SELECT CAST(sum(w) FILTER (a < b AND b < c AND c < d) AS BIGINT) AS shown, CAST(sum(w) AS BIGINT) AS total FROM splits")
 def tree_weight(spark, sf_dir):
     """Weight of the splits that a caterpillar tree over the labels shows, and of all."""

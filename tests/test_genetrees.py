@@ -1,10 +1,12 @@
 """Sums over gene trees against listed quartets, and assembly from gene trees."""
 
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
 
-from quadrille.operators import genetrees, graph, support, trees
+from quadrille.operators import genetrees, graph, support, trees, weights
 from quadrille.plans import newick
 from quadrille.plans.assemble import assemble_gene_trees
 from quadrille.plans.infer import _table
@@ -21,15 +23,23 @@ def model(names, rng, loss=0.0):
     return root
 
 
-def listed(root, held, m):
+def dressed(root, rng):
+    """With lengths and supports, some of which are missing or more than 1."""
+    for x in root.walk():
+        x.length = float(rng.random()) if rng.random() < 0.9 else None
+        x.support = float(rng.random() * 1.1) if x.children and rng.random() < 0.9 else None
+    return root
+
+
+def listed(root, held, m, weighting="n"):
     root = root.copy()
     for k, x in enumerate(root.leaves()):
         x.name = f"{k}|{x.name}"
     good, bad = np.zeros((m, m)), np.zeros((m, m))
-    for *q, _ in newick.all_quartets(root):
+    for *q, own in newick.all_quartets(root, weighting):
         names = [s.split("|")[1] for s in q]
         if all(s in held for s in names) and len(g := [int(held[s][0][0]) for s in names]) == len(set(g)):
-            w = np.prod([held[s][1][0] for s in names])
+            w = own * np.prod([held[s][1][0] for s in names])
             for x, y, to in ((0, 1, bad), (2, 3, bad), (0, 2, good), (0, 3, good), (1, 2, good), (1, 3, good)):
                 to[g[x], g[y]] += w
                 to[g[y], g[x]] += w
@@ -117,3 +127,61 @@ def test_odd_gene_trees(spark):
     with pytest.raises(ValueError, match="norm"):
         assemble_gene_trees(star, "n4")
     assert pd.DataFrame(genetrees.edges(few.limit(0), {0: list("abcd")}).collect()).empty
+
+
+@pytest.mark.parametrize("weighting", ["n", "l", "s", "h"])
+@pytest.mark.parametrize("seed", range(8))
+def test_weighted_edge_sums(seed, weighting):
+    """Groups that leaves share, weights, polytomies, roots of two and of three children."""
+    rng = np.random.default_rng(seed)
+    names = [str(i % 10) for i in range(rng.integers(4, 14))]
+    root = dressed(model(names, rng, 0.4 * (seed % 3)), rng)
+    if seed % 4 == 1 and len(root.children) > 2:
+        root = newick.rerooted(root, root.children[0])
+    m = int(rng.integers(4, 9))
+    held = {str(i): (np.array([rng.integers(m)]), np.array([rng.random() + 0.1])) for i in range(10) if rng.random() < 0.9}
+    off = 1 - np.eye(m)
+    for got, want in zip(weights.edge_sums(root, held, m, weighting), listed(root, held, m, weighting)):
+        assert np.allclose(got * off, want)
+    if len(set(names)) == len(names):
+        assert np.isclose(weights.total_weight(root, weighting), sum(q[-1] for q in newick.all_quartets(root, weighting)))
+
+
+def test_weighted_sums_of_a_large_tree():
+    rng = np.random.default_rng(1)
+    root = dressed(newick.random_tree([str(i) for i in range(500)], rng), rng)
+    began = time.time()
+    good, bad = weights.edge_sums(root, {str(i): (np.array([i]), np.ones(1)) for i in range(500)}, 500)
+    assert time.time() - began < 30 and np.allclose(good, good.T) and np.isclose(good.sum(), 2 * bad.sum())
+
+
+@pytest.mark.parametrize("weighting", ["l", "s", "h"])
+def test_weighted_frequencies_agree_with_listed_quartets(spark, weighting):
+    rng = np.random.default_rng(6)
+    names = list("abcdefghi")
+    tree = newick.parse(newick.write(newick.rooted_at(model(names, rng), ["a"]), lengths=False))
+    rows = [(i, newick.write(dressed(model(rng.permutation(names)[: rng.integers(4, 10)].tolist(), rng, 0.3), rng), form="{!r}")) for i in range(12)]
+    df = spark.createDataFrame(rows, "tree_id long, newick string").repartition(3)
+    want = support.gene_tree_frequencies(trees.gene_tree_quartets(df, weighting), _table(spark, tree), True).toPandas().set_index("branch").sort_index()
+    got = genetrees.frequencies(df, tree, weighting=weighting).toPandas().set_index("branch").sort_index()
+    assert (got.index == want.index).all() and np.allclose(got, want) and got.to_numpy().sum() > 0
+    one = {r["tree_id"]: r["weight"] for r in genetrees.total_weights(df, weighting).collect()}
+    assert all(np.isclose(one[i], sum(q[-1] for q in newick.all_quartets(newick.parse(t), weighting))) for i, t in rows)
+    with pytest.raises(ValueError, match="weighting"):
+        genetrees.tree_graph(df, weighting="x")
+
+
+def test_species_tree_from_weighted_gene_trees(spark):
+    """Wrong clades of little support weigh little: what unweighted trees get wrong, weighted ones get right."""
+    rng = np.random.default_rng(9)
+    names = [f"s{i}" for i in range(10)]
+    tree, other = model(names, rng), model(names, rng)
+    rows = []
+    for i in range(30):
+        t = (tree if i % 3 == 0 else other).copy()
+        for x in t.walk():
+            x.support = (0.95 if i % 3 == 0 else 0.02) if x.children else None
+        rows.append((i, newick.write(t)))
+    df = spark.createDataFrame(rows, "tree_id long, newick string")
+    assert newick.splits(assemble_gene_trees(df, "n0", weighting="s")) == newick.splits(tree)
+    assert newick.splits(assemble_gene_trees(df, "n0")) == newick.splits(other)
