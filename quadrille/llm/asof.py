@@ -45,7 +45,7 @@ def _joined(questions: pa.Table, versions: pa.Table) -> pa.Table:
     columns = {n: pc.struct_field(version, n) for n in ("event", "arrival", "id")} | {"expiry": versions.column("expiry").combine_chunks()}
     priority[np.asarray(pc.sort_indices(pa.table(columns), sort_keys=[(n, "ascending") for n in columns], null_placement="at_start"))] = np.arange(len(version))
     with duckdb.connect(":memory:", config={"threads": 1, "temp_directory": ""}) as con:
-        # Without thresholds the join is the sorted one, however few rows there are.
+        # Without thresholds the join is the sorted one for a few rows, too.
         con.execute("SET merge_join_threshold = 0; SET nested_loop_join_threshold = 0")
         con.register("questions", pa.table({"i": np.arange(len(of_q)), "at": begin[of_q] + whole(questions, "at") - q_low}))
         con.register("versions", pa.table({

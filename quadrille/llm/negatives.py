@@ -105,7 +105,7 @@ def _negatives(k: int, low: int, high: int):
             a, la, b, lb, scores = _tile({c: tile.column(c)[0] for c in tile.column_names})
             anchor, positive, bound, nth = (np.asarray(wanted.column(c)).astype(np.int64) for c in ("p_anchor", "p_id", "p_score", "p_nth"))
             for i in range(len(a)):
-                at = np.flatnonzero(lb != la[i])
+                at = np.flatnonzero((lb != la[i]) & (b != a[i]))
                 at = at[np.argsort(-scores[i, at], kind="stable")]
                 down = -scores[i, at]
                 for j in np.flatnonzero(anchor == a[i]):
