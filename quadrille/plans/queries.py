@@ -346,6 +346,14 @@ def blob_search(spark, sf_dir):
     return blobs.searched(c, written(quads, "quads"))
 
 
+@query()
+def blob_descent(spark, sf_dir):
+    """The same p-value by descents, whose quartets are counted on demand in the characters as trees."""
+    t = characters.newicks(characters.groups(fixtures.event_characters(spark, sf_dir)))
+    taxa = sorted(r["taxon"] for r in fixtures.table(spark, sf_dir, "events").select((F.col("user_id") % 12).alias("taxon")).distinct().collect())
+    return blobs.descended(t, _table(spark, _fixed_tree(taxa)))[0]
+
+
 @query("""SELECT c_name AS taxon, CAST(CASE WHEN fits THEN k ELSE c_custkey END AS INTEGER) AS taxon_id FROM (
   SELECT c_name, c_custkey, CAST(regexp_extract(c_name, '(\\d+)', 1) AS BIGINT) AS k FROM customer),
   (SELECT count(*) = count(DISTINCT k) AND min(k) = 0 AND max(k) = count(*) - 1 AS fits FROM (SELECT CAST(regexp_extract(c_name, '(\\d+)', 1) AS BIGINT) AS k FROM customer))""")
