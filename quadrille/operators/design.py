@@ -25,22 +25,28 @@ def block_count(n: int, k: float, block: int = BLOCK) -> int:
 def pair_balanced(n: int, blocks: int, block: int = BLOCK, seed: int = 42, taxon_weight: float = 2.0) -> np.ndarray:
     """(blocks, block) taxa: each block starts with the pair that was together least often and grows by the taxon that adds least.
 
-    What a taxon adds is how often it was with the block's taxa, and taxon_weight times how often it was used. Ties are drawn.
+    What a taxon adds is how often it was with the block's taxa, and taxon_weight times how often it was used. Ties are drawn. Pairs of the least count wait
+    in one queue, drawn once in random order; a pair that has been together since is passed over, and an empty queue is filled with those of the next count.
+    So pairs are looked through once for each count and not once for each block.
     """
     rng = np.random.default_rng(seed)
     pairs, used = np.zeros((n, n)), np.zeros(n)
     out = np.empty((blocks, block), np.int64)
     upper = np.triu_indices(n, 1)
-    draw = lambda x: int(rng.choice(np.flatnonzero(x == x.min())))
+    waiting, level = iter(()), -1
     for b in range(blocks):
-        first = draw(pairs[upper])
+        while (first := next((k for k in waiting if pairs[upper[0][k], upper[1][k]] == level), None)) is None:
+            counts = pairs[upper]
+            level = counts.min()
+            waiting = iter(rng.permutation(np.flatnonzero(counts == level)))
         members = [int(upper[0][first]), int(upper[1][first])]
-        cost = pairs[members].sum(0) + taxon_weight * used
+        # A fraction for each taxon breaks ties between whole numbers.
+        cost = pairs[members].sum(0) + taxon_weight * used + rng.random(n) / 2 * min(1.0, taxon_weight or 1.0)
         cost[members] = np.inf
         while len(members) < block:
-            t = draw(cost)
+            t = int(cost.argmin())
             members.append(t)
-            cost = cost + pairs[t]
+            cost += pairs[t]
             cost[t] = np.inf
         out[b] = sorted(members)
         pairs[np.ix_(members, members)] += 1

@@ -40,10 +40,10 @@ def to_splits(aggregates: DataFrame) -> DataFrame:
     return aggregates.select(F.explode(F.array(*cases)).alias("r")).select("r.*").filter("w > 0")
 
 
-def repair_splits(weights: DataFrame) -> DataFrame:
+def repair_splits(weights: DataFrame, *keep: str) -> DataFrame:
     """(q0..q3, w0..w2) -> splits of a repair step: rounded weights, the largest at least 1."""
     cases = [F.struct(*(F.col(x).alias(n) for x, n in zip(pairing(k), "abcd")), w.alias("w")) for k, w in enumerate(guarded(*map(F.col, W)))]
-    return weights.select(F.explode(F.array(*cases)).alias("r")).select("r.*").filter("w > 0")
+    return weights.select(*keep, F.explode(F.array(*cases)).alias("r")).select(*keep, "r.*").filter("w > 0")
 
 
 def summed(splits: DataFrame) -> DataFrame:

@@ -114,7 +114,7 @@ def assemble(splits: DataFrame, method: str = "qfm", norm: str = "n0", iter_limi
         sizes = {r["sub_id"]: r["count"] for r in current.groupBy("sub_id").count().collect()}
         small = [s for s, n in sizes.items() if n <= local]
         if small:
-            for r in _locally(current.filter(F.col("sub_id").isin(small)), method, norm, iter_limit).collect():
+            for r in locally(current.filter(F.col("sub_id").isin(small)), method, norm, iter_limit).collect():
                 trees[r["sub_id"]] = newick.parse(r["newick"])
         large = [s for s, n in sizes.items() if n > local]
         for s, taxa in _taxa(members.filter(~F.col("sub_id").isin(large)) if large else members).items():
@@ -223,7 +223,9 @@ def _with_all(tree: Node | None, taxa: list[int]) -> Node:
     return tree
 
 
-def _locally(splits: DataFrame, method: str, norm: str, iter_limit: int) -> DataFrame:
+def locally(splits: DataFrame, method: str, norm: str, iter_limit: int) -> DataFrame:
+    """(sub_id, a, b, c, d, w) -> (sub_id, newick): each subproblem solved in one task."""
+
     def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         q = rows[list(graph.SPLIT)].to_numpy(np.int64)
         tree = solved(sorted(set(q.ravel().tolist())), q, rows["w"].to_numpy(float), method, norm, iter_limit, -(1 << 40) - int(key[0]) * (1 << 22))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from ..sources import alignments
 from ..sources.quartets import Config
 from ..sources.tables import written
 from . import newick
-from .assemble import assemble, solved
+from .assemble import LOCAL, assemble, locally
 
 
 def block_weights(blocks: DataFrame, site_rows: DataFrame, kernel: bool = True) -> DataFrame:
@@ -37,43 +39,65 @@ def weighted_splits(weights: DataFrame, config: Config) -> DataFrame:
 
 
 def repaired(tree: newick.Node, site_rows: DataFrame) -> tuple[newick.Node, list[DataFrame]]:
-    """Polytomies resolved one by one: the least leaf of each direction stands for it, all their quartets are scored, a
-    tree of the representatives is assembled by single moves, and the directions' clades take their places.
+    """Polytomies resolved, all of a round at once: the least leaf of each direction stands for it, the quartets of each polytomy's leaves are scored in one job, its
+    tree is assembled by single moves, one task a polytomy, and the directions' clades take the leaves' places.
 
-    Stops at a polytomy that stays as wide. Also returns the splits that each step added.
+    Which leaves lie in a direction doesn't depend on how others are resolved, so polytomies are problems of their own. Nodes that are still wide go to a
+    further round; those that stay as wide are left. Polytomies of more splits than one task takes are assembled level by level. Also returns the splits
+    that each round added.
     """
     added, stuck = [], set()
     tree = newick.unrooted(tree)
-    while True:
-        wide = [x for x in tree.walk() if newick.unrooted_degree(x) > 3 and id(x) not in stuck]
-        if not wide:
-            return tree, added
-        node = wide[0]
-        tree = newick.rerooted(tree, node) if node.parent is not None else tree
-        if node.parent is not None:
-            # The node's side above becomes one more child.
-            top = node.parent
-            other = next(c for c in top.children if c is not node)
-            node.add(other)
-            node.parent, tree = None, node
-        reps = {min(x.name for x in c.leaves()): c for c in node.children}
-        ids = sorted(map(int, reps))
-        spark = site_rows.sparkSession
-        quartets = sites.block_quartets(spark.createDataFrame([(0, ids)], "block_id long, members array<long>"))
-        counted = sites.class_counts(sites.pattern_counts(quartets, site_rows.filter(F.col("taxon").isin(ids))))
-        rows = written(splits.repair_splits(sites.scores(quartets.join(counted, list(sites.Q), "left").fillna(0, ["c0", "c1", "c2"]))), "repair")
-        added.append(rows)
-        got = rows.toPandas()
-        sub = newick.unrooted(solved(ids, got[["a", "b", "c", "d"]].to_numpy(np.int64), got["w"].to_numpy(float)))
-        if len(sub.children) >= len(node.children):
-            stuck.add(id(node))
-            continue
-        for leaf in sub.leaves():
-            clade = reps[leaf.name]
-            at = leaf.parent.children.index(leaf)
-            leaf.parent.children[at] = clade
-            clade.parent = leaf.parent
-        tree = sub
+    spark = site_rows.sparkSession
+    while wide := [x for x in tree.walk() if newick.unrooted_degree(x) > 3 and id(x) not in stuck]:
+        reps = _directions(tree, wide)
+        ids = [sorted(map(int, r)) for r in reps]
+        blocks = spark.createDataFrame(list(enumerate(ids)), "block_id long, members array<long>")
+        taxa = spark.createDataFrame([(t,) for t in sorted({t for i in ids for t in i})], "taxon long")
+        scored = sites.scores(sites.block_class_counts(blocks, site_rows.join(taxa, "taxon", "left_semi")), "block_id")
+        rows = written(splits.repair_splits(scored, "block_id"), "repair")
+        added.append(rows.drop("block_id"))
+        large = [k for k, i in enumerate(ids) if 3 * math.comb(len(i), 4) > LOCAL]
+        subs = {k: assemble(rows.filter(F.col("block_id") == k).drop("block_id")) for k in large}
+        small = rows.withColumnRenamed("block_id", "sub_id")
+        for r in locally(small.filter(~F.col("sub_id").isin(large)) if large else small, "qfm", "n0", 1).collect():
+            subs[r["sub_id"]] = newick.parse(r["newick"])
+        for k, node in enumerate(wide):
+            sub = subs.get(k)
+            have = {x.name for x in sub.leaves()} if sub else set()
+            if sub is None or len(newick.unrooted(sub).children) >= len(ids[k]) or have != set(map(str, ids[k])):
+                stuck.add(id(node))
+            else:
+                _grafted(node, sub, reps[k])
+    return tree, added
+
+
+def _directions(tree: newick.Node, nodes: list[newick.Node]) -> list[dict[str, newick.Node | None]]:
+    """For each node the least leaf of each direction, with the child it lies below, None for what lies beyond the parent."""
+    least: dict[int, str] = {}
+    order = list(tree.walk())
+    for x in order:
+        least[id(x)] = x.name if x.is_leaf else min(least[id(c)] for c in x.children)
+    beyond: dict[int, str] = {}
+    for x in reversed(order):
+        for c in x.children:
+            beyond[id(c)] = min([least[id(o)] for o in x.children if o is not c] + ([beyond[id(x)]] if id(x) in beyond else []))
+    return [{least[id(c)]: c for c in x.children} | ({beyond[id(x)]: None} if x.parent is not None else {}) for x in nodes]
+
+
+def _grafted(node: newick.Node, sub: newick.Node, reps: dict[str, newick.Node | None]) -> None:
+    """Puts a tree of the directions' leaves in the place of a node, rooted at what lies beyond the node's parent, with clades for leaves."""
+    above = next((name for name, clade in reps.items() if clade is None), None)
+    if above is not None:
+        top = newick.rerooted(sub, newick.leaf_of(sub, above))
+        sub = next(c for c in top.children if not (c.is_leaf and c.name == above))
+    for leaf in sub.leaves():
+        clade, parent = reps[leaf.name], leaf.parent
+        parent.children[parent.children.index(leaf)] = clade
+        clade.parent = parent
+    node.children = []
+    for c in list(sub.children):
+        node.add(c)
 
 
 def supported(tree: newick.Node, split_rows: DataFrame) -> newick.Node:

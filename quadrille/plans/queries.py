@@ -413,9 +413,11 @@ def newick_nodes(spark, sf_dir):
 
 @query()
 def block_design(spark, sf_dir):
-    """Blocks of 24 over all customers' nations and regions, 30 taxa."""
-    n = fixtures.table(spark, sf_dir, "nation").count() + fixtures.table(spark, sf_dir, "region").count()
-    return design.design(spark, n).select("block_id", F.explode("members").alias("taxon"))
+    """Blocks of 24 over all kinds of parts, which are brands of one size."""
+    kinds = written(fixtures.table(spark, sf_dir, "part").select(F.concat_ws("-", "p_brand", "p_size").alias("kind")).distinct(), "kinds")
+    numbered = trees.ranked(kinds, "kind").select(F.col("new").alias("place"), F.col("kind").alias("taxon"))
+    blocks = design.design(spark, kinds.count(), 2.5)
+    return blocks.select("block_id", F.explode("members").alias("place")).join(numbered, "place").select("block_id", "taxon")
 
 
 @query(f"{WITH_SPLITS} SELECT * FROM splits")

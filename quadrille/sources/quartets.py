@@ -179,13 +179,14 @@ class Config:
     def from_jsonc(cls, text: str) -> Config:
         """From an object with sections, with // and /* */ comments outside strings."""
         bare = re.sub(r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*.*?\*/', lambda m: m[1] or "", text, flags=re.S)
-        flat: dict = {}
+        flat, known = {}, {f.name for f in fields(cls)}
         for k, v in json.loads(bare).items():
-            flat |= v if isinstance(v, dict) else {k: v}
+            section = v if isinstance(v, dict) else {k: v}
+            flat |= section
+            # A scorer's name may stand before this option, where other options of a run stand beside it.
+            named = [x for x in section if re.fullmatch(r"[a-z0-9]+_top1_only", x)]
+            if len(named) == 1 and known & section.keys():
+                flat.setdefault("top1_only", section[named[0]])
         if "run_mode" in flat:
             flat.setdefault("quartet_assembler", flat["run_mode"])
-        # Options may have a scorer's name before them.
-        known = {f.name for f in fields(cls)}
-        for k in [k for k in flat if k.endswith("_top1_only")]:
-            flat.setdefault("top1_only", flat[k])
         return cls(**{k: v for k, v in flat.items() if k in known and v is not None})

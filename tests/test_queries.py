@@ -41,8 +41,18 @@ def test_entry(spark):
 def test_block_design_holds_all_taxa(spark, sf_dir):
     import __spark_entry__
 
-    rows = __spark_entry__.queries()["block_design"](spark, sf_dir).collect()
-    assert {r["taxon"] for r in rows} == set(range(30)) and len({r["block_id"] for r in rows}) == 3
+    import itertools
+    from collections import Counter, defaultdict
+
+    from quadrille.operators import design
+
+    kinds = {f"{r['p_brand']}-{r['p_size']}" for r in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_brand", "p_size").collect()}
+    blocks = defaultdict(set)
+    for r in __spark_entry__.queries()["block_design"](spark, sf_dir).collect():
+        blocks[r["block_id"]].add(r["taxon"])
+    assert set().union(*blocks.values()) == kinds and all(len(b) == 24 for b in blocks.values()) and len(blocks) == design.block_count(len(kinds), 2.5)
+    pairs = Counter(p for b in blocks.values() for p in itertools.combinations(sorted(b), 2))
+    assert max(pairs.values()) - min(pairs.get(p, 0) for p in itertools.combinations(sorted(kinds), 2)) <= 5
 
 
 @pytest.mark.parametrize("method", ["qfm", "qmc"])

@@ -193,3 +193,32 @@ def test_stream_modes(spark, tmp_path, mode):
     got = aggregate.run(aggregate.read(spark, f"{tmp_path}/in"), mode, f"{tmp_path}/out", f"{tmp_path}/state")
     want = splits.to_splits(splits.aggregated(df, mode))
     assert sorted(map(tuple, got.select(*"abcdw").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_stream_restarted(spark, tmp_path):
+    """A batch fails, the run begins anew from its checkpoint, more files come: sums are those of all rows, and a batch writes no more than it has."""
+    from quadrille.operators import splits
+    from quadrille.streaming import aggregate
+
+    rows = [(b, 0, 1, 2, 3 + b % 4, 10.0 * b, 5.0, 1.0) for b in range(8)] + [(b, 0, 1, 2, 9, 1.0, 2.0, 3.0) for b in range(8)]
+    df = spark.createDataFrame(rows, aggregate.SCHEMA)
+    one = lambda i: df.filter(F.col("block_id") == i).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    for i in range(4):
+        one(i)
+    blocked = aggregate.splits.aggregated
+    with pytest.raises(Exception, match="lost"):
+
+        def failing(*args, **kw):
+            return blocked(*args, **kw).withColumn("s0", F.when(F.col("q3") == 5, F.raise_error(F.lit("lost")).cast("double")).otherwise(F.col("s0")))
+
+        aggregate.splits.aggregated = failing
+        try:
+            aggregate.run(aggregate.read(spark, f"{tmp_path}/in"), "full", f"{tmp_path}/out", f"{tmp_path}/state")
+        finally:
+            aggregate.splits.aggregated = blocked
+    for i in range(4, 8):
+        one(i)
+    got = aggregate.run(aggregate.read(spark, f"{tmp_path}/in"), "full", f"{tmp_path}/out", f"{tmp_path}/state")
+    want = splits.to_splits(splits.aggregated(df, "full"))
+    assert sorted(map(tuple, got.select(*"abcdw").collect())) == sorted(map(tuple, want.collect()))
+    assert all(r["count"] <= 2 for r in spark.read.parquet(f"{tmp_path}/out").groupBy("batch").count().collect())
