@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import canonical
+from ..sources.tables import written
 
 SPLIT = ("a", "b", "c", "d")
 
@@ -76,9 +80,12 @@ def _statuses(side: np.ndarray) -> np.ndarray:
     return np.where(two, np.where(side[:, 0] == side[:, 1], 1, -1), 0)
 
 
-def first_sides(quartets: np.ndarray, n: int) -> np.ndarray:
-    """A bipartition to start from: splits in the order given place their unplaced taxa with their pair, else across; the rest balance."""
-    side, missing = np.full(n, -1, np.int8), len(np.unique(quartets))
+def first_sides(quartets: np.ndarray, n: int, whole: bool = True) -> np.ndarray | None:
+    """A bipartition to start from: splits in the order given place their unplaced taxa with their pair, else across; the rest balance.
+
+    Not whole: the splits are the first of more, which hold all taxa; None if they leave a taxon unplaced.
+    """
+    side, missing = np.full(n, -1, np.int8), len(np.unique(quartets)) if whole else n
     for q in quartets:
         if not missing:
             break
@@ -98,6 +105,8 @@ def first_sides(quartets: np.ndarray, n: int) -> np.ndarray:
             if side[pair[0]] < 0 and (known := [y for y in other if side[y] >= 0]):
                 side[list(pair)] = 1 - side[known[0]]
         missing -= int((side[q] >= 0).sum()) - before
+    if missing and not whole:
+        return None
     for x in np.flatnonzero(side < 0):
         zeros, ones = (side == 0).sum(), (side == 1).sum()
         side[x] = 0 if zeros < ones else 1
@@ -110,23 +119,11 @@ _AFTER = np.stack([_statuses(np.where(np.arange(4) == i, 1 - _SIDES, _SIDES)) fo
 _GAIN, _THEN = (_AFTER - _statuses(_SIDES)[:, None]).astype(float), (_AFTER == 1).astype(float)
 
 
-def refined(quartets: np.ndarray, weights: np.ndarray, side: np.ndarray) -> np.ndarray:
-    """Passes of single moves. Each pass moves every taxon that may, best gain first, and keeps the best prefix of its moves.
-
-    The score is the weight of satisfied minus violated splits. Ties go to the larger satisfied weight after the move, then to
-    the earlier taxon. A side keeps two taxa at least. Passes go on while they gain. Gains are kept per taxon; a move
-    changes those of the taxa of the moved taxon's splits, by what these splits' patterns of sides gave before and give after it.
-    """
+def _passes(side: np.ndarray, begin, change) -> np.ndarray:
+    """The rule of refined(). begin(side): what each taxon's move gains, and how much is satisfied then; change(side, t): how these change by the move of t."""
     n = len(side)
-    order = np.argsort(quartets.ravel(), kind="stable")
-    starts = np.searchsorted(quartets.ravel()[order], np.arange(n + 1))
-    rows_of, place_of = order // 4, order % 4
-
     while True:
-        pattern = (side[quartets].astype(np.int64) << np.arange(4)).sum(1)
-        sums = lambda table, rows, p: np.bincount(quartets[rows].ravel(), (weights[rows, None] * table[p]).ravel(), n)
-        every = slice(None)
-        gain, then = sums(_GAIN, every, pattern), sums(_THEN, every, pattern)
+        gain, then = begin(side)
         free, count = np.ones(n, bool), np.bincount(side, minlength=2)
         moves, total, best, keep = [], 0.0, 0.0, 0
         while free.any():
@@ -136,6 +133,7 @@ def refined(quartets: np.ndarray, weights: np.ndarray, side: np.ndarray) -> np.n
             able = able[gain[able] == gain[able].max()]
             t = int(able[np.argmax(then[able])])
             total += gain[t]
+            more = change(side, t)
             count[side[t]] -= 1
             side[t] = 1 - side[t]
             count[side[t]] += 1
@@ -143,26 +141,102 @@ def refined(quartets: np.ndarray, weights: np.ndarray, side: np.ndarray) -> np.n
             moves.append(t)
             if total >= best and total >= 0:
                 best, keep = total, len(moves)
-            rows, own = rows_of[starts[t] : starts[t + 1]], place_of[starts[t] : starts[t + 1]]
-            was = pattern[rows]
-            now = pattern[rows] = was ^ (1 << own)
-            gain += sums(_GAIN, rows, now) - sums(_GAIN, rows, was)
-            then += sums(_THEN, rows, now) - sums(_THEN, rows, was)
+            gain, then = gain + more[0], then + more[1]
         for t in moves[keep:]:
             side[t] = 1 - side[t]
         if best <= 1e-9:
             return side
 
 
+def refined(quartets: np.ndarray, weights: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Passes of single moves. Each pass moves every taxon that may, best gain first, and keeps the best prefix of its moves.
+
+    The score is the weight of satisfied minus violated splits. Ties go to the larger satisfied weight after the move, then to
+    the earlier taxon. A side keeps two taxa at least. Passes go on while they gain. Gains are kept per taxon; a move
+    changes those of the taxa of the moved taxon's splits, by what these splits' patterns of sides gave before and give after it.
+    """
+    n = len(side)
+    order = np.argsort(quartets.ravel(), kind="stable")
+    starts = np.searchsorted(quartets.ravel()[order], np.arange(n + 1))
+    rows_of, place_of = order // 4, order % 4
+    pattern = np.empty(len(quartets), np.int64)
+    sums = lambda table, rows, p: np.bincount(quartets[rows].ravel(), (weights[rows, None] * table[p]).ravel(), n)
+
+    def begin(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        pattern[:] = (side[quartets].astype(np.int64) << np.arange(4)).sum(1)
+        every = slice(None)
+        return sums(_GAIN, every, pattern), sums(_THEN, every, pattern)
+
+    def change(side: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+        rows, own = rows_of[starts[t] : starts[t + 1]], place_of[starts[t] : starts[t + 1]]
+        was = pattern[rows]
+        now = pattern[rows] = was ^ (1 << own)
+        return tuple(sums(table, rows, now) - sums(table, rows, was) for table in (_GAIN, _THEN))
+
+    return _passes(side, begin, change)
+
+
+def _summed(rows: DataFrame, side: np.ndarray, t: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over splits that lie in many tasks: of gains, or of their changes by the move of t. A task adds up its own, and only these sums, one a taxon, are merged."""
+    n = len(side)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, n))
+        for batch in batches:
+            q = np.stack([batch.column(x).to_numpy() for x in SPLIT], 1).astype(np.int64)
+            w = batch.column("w").to_numpy()[:, None]
+            pattern = (side[q].astype(np.int64) << np.arange(4)).sum(1)
+            after = pattern if t is None else pattern ^ ((q == t) << np.arange(4)).sum(1)
+            for k, table in enumerate((_GAIN, _THEN)):
+                value = table[pattern] if t is None else table[after] - table[pattern]
+                total[k] += np.bincount(q.ravel(), (w * value).ravel(), n)
+        some = np.flatnonzero(total.any(0))
+        yield pa.RecordBatch.from_pydict({"taxon": pa.array(some, pa.int32()), "gain": pa.array(total[0, some]), "then": pa.array(total[1, some])})
+
+    found = rows.mapInArrow(add_up, "taxon int, gain double, then double").groupBy("taxon").agg(F.sum("gain").alias("gain"), F.sum("then").alias("then")).toPandas()
+    out = np.zeros((2, n))
+    out[:, found["taxon"]] = found[["gain", "then"]].to_numpy().T
+    return out[0], out[1]
+
+
+def sides_by_moves(splits: DataFrame, first: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+    """(taxa, sides) of one subproblem by fm_bipartition's rule, with its splits (a, b, c, d, w) left in many tasks.
+
+    The heaviest splits place the taxa, as many as that takes. Splits are kept once as they are and once for each of their taxa, in order of that taxon: a move reads
+    those of the taxon that moves, and the driver merges sums, as many as there are taxa. A pass reads all splits five times, whatever the number of moves.
+    """
+    taxa = np.array(sorted(r["taxon"] for r in splits.select(F.explode(F.array(*SPLIT)).alias("taxon")).distinct().collect()), np.int64)
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.searchsorted(taxa, batch.column(x).to_numpy()).astype(np.int32)) for x in SPLIT), batch.column("w")], [*SPLIT, "w"])
+
+    rows = splits.select(*(F.col(x).cast("long").alias(x) for x in SPLIT), F.col("w").cast("double").alias("w"))
+    rows = written(rows.mapInArrow(numbered, "a int, b int, c int, d int, w double"), "moves-splits")
+    held = rows.withColumn("taxon", F.explode(F.array(*SPLIT))).repartitionByRange("taxon", F.xxhash64(*SPLIT)).sortWithinPartitions("taxon")
+    held = written(held, "moves-held")
+    side, total = None, rows.count()
+    while side is None:
+        top = rows.orderBy(F.desc("w"), *SPLIT).limit(first).toPandas()
+        side = first_sides(top[list(SPLIT)].to_numpy(np.int64), len(taxa), first >= total)
+        first *= 4
+    _at_least_two(side)
+    return taxa, _passes(side, lambda side: _summed(rows, side.copy(), None), lambda side, t: _summed(held.filter(F.col("taxon") == t), side.copy(), t))
+
+
 def fm_bipartition(quartets: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
     """Sides of n taxa. quartets: (splits, 4) of taxon numbers."""
     order = np.lexsort((*quartets.T[::-1], -weights))
     quartets, weights = quartets[order], weights[order].astype(float)
     side = first_sides(quartets, n)
+    _at_least_two(side)
+    return refined(quartets, weights, side)
+
+
+def _at_least_two(side: np.ndarray) -> None:
     for s in (0, 1):
-        while n >= 4 and (side == s).sum() < 2:
+        while len(side) >= 4 and (side == s).sum() < 2:
             side[np.flatnonzero(side != s)[-1]] = s
-    return refined(quartets, weights, side)
 
 
 def graph_matrices(quartets: np.ndarray, weights: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

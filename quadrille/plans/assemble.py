@@ -18,6 +18,8 @@ from .newick import Node
 NORMS = ("n0", "n1", "n2")
 #: Subproblems of up to so many splits are solved in one task, levels and all.
 LOCAL = 1 << 18
+#: A subproblem of more splits is divided by moves over many tasks, where a cut by single moves is asked for.
+APART = 1 << 24
 
 
 def star(taxa: list[int]) -> Node:
@@ -96,7 +98,7 @@ def joined(a: Node, b: Node, link: str) -> Node:
 def assemble(splits: DataFrame, method: str = "qfm", norm: str = "n0", iter_limit: int = 3, local: int = LOCAL) -> Node:
     """(a, b, c, d, w) with whole-number taxa -> tree.
 
-    Level by level: each subproblem's bipartition is found by one task, from its splits; all subproblems of a level divide at
+    Level by level: each subproblem's bipartition is found by one task, from its splits, or, of more than APART splits, by moves over many tasks; all subproblems of a level divide at
     once, by joins on (sub_id, taxon). Subproblems of up to `local` splits go to one task each, which returns their
     tree as Newick text. Each level is written to the shared folder, so that lineage stays short and lost executors lose nothing. The trees
     are stitched on the driver, which holds as many nodes as there are taxa.
@@ -122,7 +124,12 @@ def assemble(splits: DataFrame, method: str = "qfm", norm: str = "n0", iter_limi
         if not large:
             break
         some = current.filter(F.col("sub_id").isin(large))
-        sides = _written(graph.bipartitions(some, method, iter_limit), "sides")
+        apart = [s for s in large if sizes[s] > APART] if method == "qfm" else []
+        sides = graph.bipartitions(some.filter(~F.col("sub_id").isin(apart)) if apart else some, method, iter_limit)
+        for s in apart:
+            taxa, own = graph.sides_by_moves(some.filter(F.col("sub_id") == s))
+            sides = sides.unionByName(spark.createDataFrame([(s, int(t), int(x)) for t, x in zip(taxa, own)], "sub_id long, taxon long, side int"))
+        sides = _written(sides, "sides")
         counts = sides.groupBy("sub_id", "side").agg(F.count("*").cast("long").alias("n"))
         cut = {r["sub_id"] for r in counts.groupBy("sub_id").agg(F.count("*").alias("k"), F.min("n").alias("least")).filter("k = 2 and least >= 2").collect()}
         if uncut := set(large) - cut:
@@ -137,14 +144,14 @@ def assemble(splits: DataFrame, method: str = "qfm", norm: str = "n0", iter_limi
             fresh, number = fresh - 1, number + 2
         # One row a subproblem of this level.
         step = spark.createDataFrame(plan, "sub_id long, artificial long, zero long, one long")
-        live = some.join(F.broadcast(step), "sub_id")
+        live = some.join(step, "sub_id")
         child = lambda side: F.when(side == 0, F.col("zero")).otherwise(F.col("one"))
         after = graph.divided(live.select("sub_id", *graph.SPLIT, "w", "artificial", "zero", "one"), sides, F.col("artificial"), None if norm == "n0" else counts, ("sub_id",))
-        nxt = after.join(F.broadcast(step), "sub_id").select(child(F.col("side")).alias("sub_id"), *graph.SPLIT, "w")
+        nxt = after.join(step, "sub_id").select(child(F.col("side")).alias("sub_id"), *graph.SPLIT, "w")
         # Taxa that no split of the large problem holds any more stay on the side they fell to.
-        kept = sides.join(F.broadcast(step), "sub_id").select(child(F.col("side")).alias("sub_id"), "taxon")
+        kept = sides.join(step, "sub_id").select(child(F.col("side")).alias("sub_id"), "taxon")
         made = step.select(F.explode(F.array("zero", "one")).alias("sub_id"), F.col("artificial").alias("taxon"))
-        lost = members.join(sides.select("sub_id", "taxon"), ["sub_id", "taxon"], "left_anti").join(F.broadcast(step), "sub_id").select(F.col("one").alias("sub_id"), "taxon")
+        lost = members.join(sides.select("sub_id", "taxon"), ["sub_id", "taxon"], "left_anti").join(step, "sub_id").select(F.col("one").alias("sub_id"), "taxon")
         current, members = _written(nxt, "level"), _written(kept.union(made).union(lost), "members")
     for parent, zero, one, link in reversed(links):
         trees[parent] = joined(trees[zero], trees[one], link)
