@@ -53,6 +53,10 @@ class Ancestry:
             width *= 2
         self.table = np.stack(rows)
 
+    def intervals(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each node the run of self.leaves that lies below it: first, and behind the last."""
+        return np.searchsorted(self.leaves, np.arange(len(self.parent))), np.searchsorted(self.leaves, self.end)
+
     def kids(self, x: int) -> list[int]:
         found, at = [], x + 1
         while at < self.end[x]:
@@ -171,3 +175,58 @@ class Branches:
         code = self.parts(branch[:, None].repeat(4, 1), q)
         pair = code[:, 0] + code[:, 1]
         return branch, np.where((pair == 3) | (pair == 12), 0, np.where((pair == 5) | (pair == 10), 1, 2))
+
+
+def polytomies(tree: Ancestry) -> list[tuple]:
+    """(node, degree, direction, rep): nodes of unrooted degree over 3 with the least leaf name of each direction, that beyond the parent last.
+
+    Of runs of leaves in preorder: what lies beyond a node is what comes before its run and behind it.
+    """
+    names = np.array(tree.names.to_pylist(), object)
+    order = np.argsort(names, kind="stable")
+    rank = np.empty(len(names), np.int64)
+    rank[order] = np.arange(len(names))
+    first, last = tree.intervals()
+    none = len(names)
+    before, behind = np.minimum.accumulate([none, *rank]), np.minimum.accumulate([none, *rank[::-1]])[::-1]
+    count = np.bincount(tree.parent[1:], minlength=len(tree.parent))
+    out = []
+    for x in np.flatnonzero(count + (tree.parent >= 0) > 3):
+        degree = int(count[x] + (tree.parent[x] >= 0))
+        out += [(tree.ids[x], degree, tree.ids[k], names[order[rank[first[k] : last[k]].min()]]) for k in tree.kids(int(x)) if last[k] > first[k]]
+        beyond = min(before[first[x]], behind[last[x]])
+        if tree.parent[x] >= 0 and beyond < none:
+            out.append((tree.ids[x], degree, None, names[order[beyond]]))
+    return out
+
+
+def inner_edges(tree: Ancestry) -> list[tuple[int, int, int, bool]]:
+    """(node's number, first and behind the last of its run of leaves, whether the least leaf name is in it) of edges with two leaves or more on either side."""
+    first, last = tree.intervals()
+    size = last - first
+    least = int(np.argmin(np.array(tree.names.to_pylist(), object))) if len(tree.names) else -1
+    some = np.flatnonzero((size >= 2) & (len(tree.names) - size >= 2))
+    return [(int(x), int(first[x]), int(last[x]), bool(first[x] <= least < last[x])) for x in some]
+
+
+def bipartitions(spark, tree: Ancestry, kind: str) -> DataFrame:
+    """(node_id, n, side): the leaf set of each inner edge on the side without the least leaf, in order: a run of leaves, or all but a run, made on executors."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = np.array(tree.names.to_pylist(), object)
+        for batch in batches:
+            for node, a, b, flip in zip(*(batch.column(k) for k in range(4))):
+                a, b = a.as_py(), b.as_py()
+                side = np.sort(np.concatenate([names[:a], names[b:]]) if flip.as_py() else names[a:b]).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array([node.as_py()], node.type), pa.array([len(side)], pa.int64()), pa.array([side], pa.list_(pa.string()))], ["node_id", "n", "side"])
+
+    rows = [(tree.ids[x], a, b, flip) for x, a, b, flip in inner_edges(tree)]
+    return spark.createDataFrame(rows, f"node_id {kind}, a int, b int, flip boolean").mapInArrow(listed, f"node_id {kind}, n long, side array<string>")
+
+
+def split_keys(tree: Ancestry, hashes) -> list[tuple[int, int, int]]:
+    """(n, h0, h1): distinct bipartitions as sums of leaf hashes of the side without the least leaf, from running sums over the leaves. hashes(name): two numbers."""
+    h = np.array([hashes(n) for n in tree.names.to_pylist()], np.int64).reshape(-1, 2)
+    upto = np.vstack([np.zeros((1, 2), np.int64), np.cumsum(h, 0)])
+    whole, n = upto[-1], len(h)
+    return sorted({(n - (b - a), *(whole - (upto[b] - upto[a])).tolist()) if flip else (b - a, *(upto[b] - upto[a]).tolist()) for _, a, b, flip in inner_edges(tree)})

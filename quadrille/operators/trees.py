@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,8 +69,11 @@ def leaf_closure(tree: DataFrame, reach: DataFrame | None = None) -> DataFrame:
 def polytomies(tree: DataFrame, leaves: DataFrame | None = None) -> DataFrame:
     """(node_id, degree, direction, rep): nodes of unrooted degree over 3, with the least leaf name of each direction.
 
-    direction is the child's id; null stands for what lies beyond the parent.
+    direction is the child's id; null stands for what lies beyond the parent. From runs of leaves, for a tree whose arrays fit; else from joins of its paths.
     """
+    kind = tree.schema["node_id"].dataType.simpleString()
+    if leaves is None and ancestry.fits(tree):
+        return tree.sparkSession.createDataFrame(ancestry.polytomies(ancestry.of(tree)), f"node_id {kind}, degree long, direction {kind}, rep string")
     down = leaf_closure(tree) if leaves is None else leaves
     kids = tree.filter("parent_id is not null").groupBy(F.col("parent_id").alias("node_id")).count()
     wide = tree.join(kids, "node_id").select("node_id", F.col("parent_id").isNotNull().alias("_up"), (F.col("count") + F.col("parent_id").isNotNull().cast("int")).alias("degree")).filter("degree > 3")
@@ -93,7 +98,12 @@ def _least_outside(tree: DataFrame, down: DataFrame, at: DataFrame) -> DataFrame
 
 
 def bipartitions(tree: DataFrame, leaves: DataFrame | None = None) -> DataFrame:
-    """(node_id, n, side): inner edges by the leaf set on the side without the least leaf of the tree, in order; both sides of two leaves or more."""
+    """(node_id, n, side): inner edges by the leaf set on the side without the least leaf of the tree, in order; both sides of two leaves or more.
+
+    From runs of leaves, for a tree whose arrays fit; else from joins of its paths.
+    """
+    if leaves is None and ancestry.fits(tree):
+        return ancestry.bipartitions(tree.sparkSession, ancestry.of(tree), tree.schema["node_id"].dataType.simpleString())
     down = leaf_closure(tree) if leaves is None else leaves
     total = tree.filter("is_leaf").agg(F.count("*").alias("total"), F.min("name").alias("least"))
     sets = down.groupBy(F.col("anc").alias("node_id")).agg(F.array_sort(F.collect_set("leaf")).alias("s"), F.count("*").alias("k"))
@@ -105,6 +115,9 @@ def bipartitions(tree: DataFrame, leaves: DataFrame | None = None) -> DataFrame:
 
 def split_keys(tree: DataFrame, leaves: DataFrame | None = None) -> DataFrame:
     """(n, key): distinct bipartitions as sums of leaf hashes of the side without the least leaf, which no set of leaves is collected for."""
+    if leaves is None and ancestry.fits(tree):
+        hashes = lambda name: [int(hashlib.md5((x + name).encode()).hexdigest()[:12], 16) for x in ("a", "b")]
+        return tree.sparkSession.createDataFrame(ancestry.split_keys(ancestry.of(tree), hashes), "n long, h0 long, h1 long")
     down = leaf_closure(tree) if leaves is None else leaves
     h = [F.md5(F.concat(F.lit(x), F.col("leaf"))) for x in ("a", "b")]
     part = [F.conv(F.substring(x, 1, 12), 16, 10).cast("long") for x in h]
@@ -206,6 +219,20 @@ def mismatches(quartet_rows: DataFrame, one: DataFrame, two: DataFrame, n: int)
     return _both(quartet_rows, one, two).filter("one <> two").select(*names, "one", "two").orderBy(*names).limit(n)
 
 
+def refined_gene_trees(trees: DataFrame, seed: int = 0, low: float = 0.0, rename: dict[str, str] | None = None) -> DataFrame:
+    """(tree_id, newick) -> (tree_id, newick): gene trees with nodes of many children resolved at random, by seed and tree_id; the nodes made have the least support."""
+
+    def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = []
+            for tree_id, text in zip(batch.column("tree_id").to_pylist(), batch.column("newick").to_pylist()):
+                rng = np.random.default_rng([seed, (tree_id or 0) % (1 << 64)])
+                done.append(newick.write(newick.refined(newick.parse(text, rename), rng, low)) if text else text)
+            yield pa.RecordBatch.from_arrays([batch.column("tree_id"), pa.array(done, pa.string())], ["tree_id", "newick"])
+
+    return trees.select(F.col("tree_id").cast("long").alias("tree_id"), "newick").mapInArrow(refine, "tree_id long, newick string")
+
+
 def gene_tree_quartets(trees: DataFrame, weighting: str = "n") -> DataFrame:
     """(tree_id, newick) -> (tree_id, a, b, c, d, w): the resolved quartets of each tree."""
 

@@ -382,14 +382,25 @@ def parse_split_lines(spark, sf_dir):
     return quartets.summed(quartets.parse_quartets(quartets.split_lines(_splits(spark, sf_dir), "qfm"), quartets.QFM))
 
 
+def _part_splits(spark, sf_dir):
+    """Splits over the ten residues of suppliers, one or none from each line item, in a subproblem for each size of parts."""
+    item = fixtures.table(spark, sf_dir, "lineitem")
+    part = fixtures.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").cast("long").alias("sub_id"))
+    ids = [F.pmod(F.xxhash64("l_orderkey", "l_linenumber", F.lit(k)), F.lit(10)) for k in range(4)]
+    four = item.join(part, "l_partkey").select("sub_id", F.array_sort(F.array_distinct(F.array(*ids))).alias("q"), F.col("l_quantity").alias("w")).filter(F.size("q") == 4)
+    return four.groupBy("sub_id", *(F.col("q")[k].alias(x) for k, x in enumerate("abcd"))).agg(F.sum("w").alias("w"))
+
+
 @query()
 def fm_partition(spark, sf_dir):
-    return graph.bipartitions(_splits(spark, sf_dir).withColumn("sub_id", F.lit(0)), "qfm")
+    """Bipartitions by single moves, one subproblem for each size of parts."""
+    return graph.bipartitions(_part_splits(spark, sf_dir), "qfm")
 
 
 @query()
 def maxcut_partition(spark, sf_dir):
-    return graph.bipartitions(_splits(spark, sf_dir).withColumn("sub_id", F.lit(0)), "qmc")
+    """The same by max-cut."""
+    return graph.bipartitions(_part_splits(spark, sf_dir), "qmc")
 
 
 @query()

@@ -115,10 +115,11 @@ def characters(rows: DataFrame) -> DataFrame:
 
 def supermatrix(parts: DataFrame) -> DataFrame:
     """(part, taxon, seq) -> (taxon, seq): parts joined in order; a taxon missing from a part has gaps there."""
-    lengths = parts.groupBy("part").agg(F.max(F.length("seq")).alias("len"))
-    every = parts.select("taxon").distinct().join(lengths)
-    whole = every.join(parts, ["part", "taxon"], "left").select("taxon", "part", F.rpad(F.coalesce("seq", F.lit("")), F.col("len"), F.lit("-")).alias("seq"))
-    return whole.groupBy("taxon").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "seq"))), lambda x: x["seq"]), "").alias("seq"))
+    lengths = parts.groupBy("part").agg(F.max(F.length("seq")).alias("len")).agg(F.array_sort(F.collect_list(F.struct("part", "len"))).alias("lengths"))
+    own = parts.groupBy("taxon").agg(F.map_from_entries(F.collect_list(F.struct("part", "seq"))).alias("own"))
+    # One row with the number of sites of each part goes to every taxon; what a taxon lacks is made there.
+    filled = F.transform("lengths", lambda p: F.rpad(F.coalesce(F.try_element_at("own", p["part"]), F.lit("")), p["len"], F.lit("-")))
+    return own.join(lengths).select("taxon", F.array_join(filled, "").alias("seq"))
 
 
 def nexus_text(rows: DataFrame) -> DataFrame:

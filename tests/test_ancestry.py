@@ -123,3 +123,24 @@ def test_support_of_many_quartets(spark):
     b = Branches(arrays(t))
     at, k = b.around(b.tree.numbers(pa.array(q.ravel().astype(str))).reshape(-1, 4))
     assert len(got) == 497 and got[["f1", "f2", "f3"]].sum().tolist() == [float(((at >= 0) & (k == j)).sum()) for j in range(3)] and took < 30
+
+
+@pytest.mark.parametrize("kind", ["unrooted", "rooted", "wide"])
+def test_runs_of_leaves_agree_with_paths(spark, kind):
+    """Polytomies, bipartitions and their keys, from arrays and from joins."""
+    for seed in range(2):
+        table = _table(spark, shaped(seed, kind))
+        down = trees.leaf_closure(table)
+        rows = lambda df: sorted((tuple(map(str, r)) for r in df.collect()))
+        assert rows(trees.polytomies(table)) == rows(trees.polytomies(table, down))
+        assert rows(trees.bipartitions(table).selectExpr("node_id", "n", "side")) == rows(trees.bipartitions(table, down).selectExpr("node_id", "cast(n as long) n", "side"))
+        assert rows(trees.split_keys(table)) == rows(trees.split_keys(table, down))
+
+
+def test_refined_gene_trees(spark):
+    df = spark.createDataFrame([(1, "(a,b,c,d,(e,f,g)0.5);"), (2, "(a,b,c,d,(e,f,g)0.5);"), (3, None), (4, "")], "tree_id long, newick string")
+    got = {r["tree_id"]: r["newick"] for r in trees.refined_gene_trees(df, 7).collect()}
+    assert got == {r["tree_id"]: r["newick"] for r in trees.refined_gene_trees(df.repartition(3), 7).collect()} and got[3] is None and got[4] == ""
+    for i in (1, 2):
+        t = newick.parse(got[i])
+        assert sorted(x.name for x in t.leaves()) == list("abcdefg") and len(newick.splits(t)) == 4 and newick.splits(newick.parse("(a,b,c,d,(e,f,g));")) <= newick.splits(t)
