@@ -26,7 +26,8 @@ def states(seq: Column) -> Column:
 
 def state_counts(rows: DataFrame, column: str, *keep: str) -> DataFrame:
     """(keep, state, n): how often each state occurs in a sequence, without making a row a site."""
-    found = [F.length(column) - F.length(F.translate(column, c + c.lower(), "")) for c in STATES]
+    without = lambda c: F.replace(F.replace(F.col(column), F.lit(c), F.lit("")), F.lit(c.lower()), F.lit(""))
+    found = [F.length(column) - F.length(without(c)) for c in STATES]
     gaps = F.length(column) - sum(found[1:], found[0])
     each = F.array(*(F.struct(F.lit(k).alias("state"), n.cast("long").alias("n")) for k, n in enumerate([*found, gaps])))
     return rows.select(*keep, F.explode(each).alias("s")).select(*keep, "s.*").filter("n > 0")

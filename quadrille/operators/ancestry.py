@@ -99,16 +99,18 @@ class Ancestry:
         return np.where((best == best.max(0)).sum(0) > 1, -1, cls), u, v
 
 
-def of(tree: DataFrame) -> Ancestry:
-    """The arrays of a table (node_id, parent_id, name, is_leaf), whose size is checked."""
+def held(tree: DataFrame) -> Ancestry | None:
+    """The arrays of a table (node_id, parent_id, name, is_leaf); None for a tree of more than MOST_NODES nodes."""
     rows = tree.select("node_id", "parent_id", "name", "is_leaf").limit(MOST_NODES + 1).toArrow()
-    if rows.num_rows > MOST_NODES:
-        raise ValueError(f"more than {MOST_NODES} nodes")
-    return Ancestry(*(rows.column(c).to_pylist() for c in rows.column_names))
+    return None if rows.num_rows > MOST_NODES else Ancestry(*(rows.column(c).to_pylist() for c in rows.column_names))
 
 
-def fits(tree: DataFrame) -> bool:
-    return tree.limit(MOST_NODES + 1).count() <= MOST_NODES
+def of(tree: DataFrame) -> Ancestry:
+    """The arrays of a tree whose size is checked."""
+    found = held(tree)
+    if found is None:
+        raise ValueError(f"more than {MOST_NODES} nodes")
+    return found
 
 
 def classes(quartet_rows: DataFrame, tree: Ancestry, column: str = "cls") -> DataFrame:

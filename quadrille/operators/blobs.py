@@ -127,6 +127,7 @@ def descended(trees: DataFrame, tree: DataFrame, limit: int | None = None, start
     some n^2 are on executors at a time. p_star is the star p-value of the best quartet. star: the largest star p-value is sought instead.
     """
     spark, index = trees.sparkSession, of(tree)
+    trees = written(trees.select("tree_id", "newick"), "gene-trees")
     names = sorted(index.names.to_pylist())
     places = np.searchsorted(names, index.names.to_pylist())
     branches, rng = Branches(index), np.random.default_rng(seed)

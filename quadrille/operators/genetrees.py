@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..plans import newick
 from ..plans.newick import Node
+from ..sources.tables import written
 from . import graph, weights
 from .ancestry import Ancestry, Branches
 
@@ -205,6 +206,7 @@ def leaf_names(trees: DataFrame, rename: dict[str, str] | None = None) -> list[s
 
 def tree_graph(trees: DataFrame, rename: dict[str, str] | None = None, weighting: str = "n") -> DataFrame:
     """(tree_id, newick) -> (i, j, good, bad) by leaves' names, as quartet_graph has them of all quartets of the trees."""
+    trees = written(trees.select("newick"), "gene-trees")
     names = leaf_names(trees, rename)
     spark = trees.sparkSession
     named = spark.createDataFrame([(k, n) for k, n in enumerate(names)], "k long, name string")

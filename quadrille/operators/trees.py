@@ -72,8 +72,8 @@ def polytomies(tree: DataFrame, leaves: DataFrame | None = None) -> DataFrame:
     direction is the child's id; null stands for what lies beyond the parent. From runs of leaves, for a tree whose arrays fit; else from joins of its paths.
     """
     kind = tree.schema["node_id"].dataType.simpleString()
-    if leaves is None and ancestry.fits(tree):
-        return tree.sparkSession.createDataFrame(ancestry.polytomies(ancestry.of(tree)), f"node_id {kind}, degree long, direction {kind}, rep string")
+    if leaves is None and (found := ancestry.held(tree)):
+        return tree.sparkSession.createDataFrame(ancestry.polytomies(found), f"node_id {kind}, degree long, direction {kind}, rep string")
     down = leaf_closure(tree) if leaves is None else leaves
     kids = tree.filter("parent_id is not null").groupBy(F.col("parent_id").alias("node_id")).count()
     wide = tree.join(kids, "node_id").select("node_id", F.col("parent_id").isNotNull().alias("_up"), (F.col("count") + F.col("parent_id").isNotNull().cast("int")).alias("degree")).filter("degree > 3")
@@ -102,8 +102,8 @@ def bipartitions(tree: DataFrame, leaves: DataFrame | None = None) -> DataFrame:
 
     From runs of leaves, for a tree whose arrays fit; else from joins of its paths.
     """
-    if leaves is None and ancestry.fits(tree):
-        return ancestry.bipartitions(tree.sparkSession, ancestry.of(tree), tree.schema["node_id"].dataType.simpleString())
+    if leaves is None and (found := ancestry.held(tree)):
+        return ancestry.bipartitions(tree.sparkSession, found, tree.schema["node_id"].dataType.simpleString())
     down = leaf_closure(tree) if leaves is None else leaves
     total = tree.filter("is_leaf").agg(F.count("*").alias("total"), F.min("name").alias("least"))
     sets = down.groupBy(F.col("anc").alias("node_id")).agg(F.array_sort(F.collect_set("leaf")).alias("s"), F.count("*").alias("k"))
@@ -115,9 +115,9 @@ def bipartitions(tree: DataFrame, leaves: DataFrame | None = None) -> DataFrame:
 
 def split_keys(tree: DataFrame, leaves: DataFrame | None = None) -> DataFrame:
     """(n, key): distinct bipartitions as sums of leaf hashes of the side without the least leaf, which no set of leaves is collected for."""
-    if leaves is None and ancestry.fits(tree):
+    if leaves is None and (found := ancestry.held(tree)):
         hashes = lambda name: [int(hashlib.md5((x + name).encode()).hexdigest()[:12], 16) for x in ("a", "b")]
-        return tree.sparkSession.createDataFrame(ancestry.split_keys(ancestry.of(tree), hashes), "n long, h0 long, h1 long")
+        return tree.sparkSession.createDataFrame(ancestry.split_keys(found, hashes), "n long, h0 long, h1 long")
     down = leaf_closure(tree) if leaves is None else leaves
     h = [F.md5(F.concat(F.lit(x), F.col("leaf"))) for x in ("a", "b")]
     part = [F.conv(F.substring(x, 1, 12), 16, 10).cast("long") for x in h]
@@ -146,8 +146,8 @@ def topologies(quartet_rows: DataFrame, tree: DataFrame, column: str = "cls") ->
     The class is that of the one pair whose lowest common ancestor is deeper than those of the other pairs, or whose partner pair's is. Ancestors come from
     a tree's arrays in each task; those of a tree too large for that from joins of its paths.
     """
-    if ancestry.fits(tree):
-        return ancestry.classes(quartet_rows, ancestry.of(tree), column)
+    if found := ancestry.held(tree):
+        return ancestry.classes(quartet_rows, found, column)
     return _topologies_by_paths(quartet_rows, leaf_closure(tree), column)
 
 

@@ -20,6 +20,8 @@ NORMS = ("n0", "n1", "n2")
 LOCAL = 1 << 18
 #: A subproblem of more splits is divided by moves over many tasks, where a cut by single moves is asked for.
 APART = 1 << 24
+#: Subproblems of a level whose plan, a row of four numbers each, goes to every task; of more it is joined by shuffle.
+FEW = 1 << 16
 
 
 def star(taxa: list[int]) -> Node:
@@ -144,6 +146,7 @@ def assemble(splits: DataFrame, method: str = "qfm", norm: str = "n0", iter_limi
             fresh, number = fresh - 1, number + 2
         # One row a subproblem of this level.
         step = spark.createDataFrame(plan, "sub_id long, artificial long, zero long, one long")
+        step = F.broadcast(step) if len(plan) <= FEW else step
         live = some.join(step, "sub_id")
         child = lambda side: F.when(side == 0, F.col("zero")).otherwise(F.col("one"))
         after = graph.divided(live.select("sub_id", *graph.SPLIT, "w", "artificial", "zero", "one"), sides, F.col("artificial"), None if norm == "n0" else counts, ("sub_id",))
