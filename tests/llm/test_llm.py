@@ -171,6 +171,39 @@ def test_mined_rules_against_all_itemsets(spark):
     assert got == want and max(map(len, want)) > 1
 
 
+def test_rules_of_interchangeable_tokens(spark):
+    """Three groups of 30 tokens that go together, 30^3 choices: one rule of three items; URLs with a part of a group count choices."""
+    rng = np.random.default_rng(4)
+    part = lambda t, n: [f"{t}{chr(97 + k // 6)}{chr(97 + k % 6)}" for k in range(n)]
+    rows = []
+    for _ in range(160):
+        have = rng.random(3) < 0.7
+        rows.append(("http:///" + "/".join(x for t, h in zip("xyz", have) if h for x in part(t, 30)), bool(have.all())))
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)] + [(900, "http:///" + "/".join(part("x", 2) + part("y", 3) + part("z", 4))), (901, "http:///xaa/yaa")], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0 if bad else 1, 0) for i, (_, bad) in enumerate(rows)], "doc_id long, quality int, toxic int")
+    found = urls.rules_of(pages, labels).collect()
+    assert [sorted(len(i["members"]) for i in r["items"]) for r in found] == [[30, 30, 30]]
+    got = {r["page_id"]: (r["verdict"], r["n_fired"]) for r in urls.filtered(spark, pages, labels).collect()}
+    want = {i: ("block", 27_000) if bad else ("allow", 0) for i, (_, bad) in enumerate(rows)}
+    assert got == want | {900: ("block", 24), 901: ("allow", 0)}
+
+
+def test_rules_of_many_frequent_tokens(spark):
+    """Nine tokens, each in seven of ten URLs, whatever the label: all their sets are frequent, and counted right."""
+    rng = np.random.default_rng(5)
+    rows = [([t for t in "abcdefghi" if rng.random() < 0.7], bool(rng.random() < 0.5)) for _ in range(400)]
+    pages = spark.createDataFrame([(i, "http:///" + "/".join(x)) for i, (x, _) in enumerate(rows)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0 if bad else 1, 0) for i, (_, bad) in enumerate(rows)], "doc_id long, quality int, toxic int")
+    sure = {}
+    for k in range(1, 10):
+        for s in itertools.combinations("abcdefghi", k):
+            has = [bad for x, bad in rows if set(s) <= set(x)]
+            if sum(has) >= 10 and sum(has) / len(has) >= 0.55:
+                sure[frozenset(s)] = sum(has) / len(has)
+    want = {s: c for s, c in sure.items() if not any(r < s and d + urls.GAIN >= c for r, d in sure.items())}
+    assert {frozenset(t[2:] for t in r["antecedent"]): r["confidence"] for r in urls.mined(pages, labels, confidence=0.55).collect()} == want and want
+
+
 # ---- 3: SentencePiece
 
 
