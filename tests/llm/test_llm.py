@@ -173,12 +173,11 @@ def test_mined_rules_against_all_itemsets(spark):
 
 def test_rules_of_interchangeable_tokens(spark):
     """Three groups of 30 tokens that go together, 30^3 choices: one rule of three items; URLs with a part of a group count choices."""
-    rng = np.random.default_rng(4)
     part = lambda t, n: [f"{t}{chr(97 + k // 6)}{chr(97 + k % 6)}" for k in range(n)]
     rows = []
-    for _ in range(160):
-        have = rng.random(3) < 0.7
-        rows.append(("http:///" + "/".join(x for t, h in zip("xyz", have) if h for x in part(t, 30)), bool(have.all())))
+    for i in range(160):
+        have = [bool(i >> k & 1) for k in range(3)]
+        rows.append(("http:///" + "/".join(x for t, h in zip("xyz", have) if h for x in part(t, 30)), all(have)))
     pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)] + [(900, "http:///" + "/".join(part("x", 2) + part("y", 3) + part("z", 4))), (901, "http:///xaa/yaa")], "page_id long, url string")
     labels = spark.createDataFrame([(i, 0 if bad else 1, 0) for i, (_, bad) in enumerate(rows)], "doc_id long, quality int, toxic int")
     found = urls.rules_of(pages, labels).collect()
