@@ -20,6 +20,8 @@ TRAIN_ROWS = 20_000
 #: A term is learned if so many toxic training texts have it that no better term explains, or this share of all of them has it,
 #: and this share at least of the texts with it is toxic; and if no more than so many terms would be in as many by chance.
 LEAST, SHARE, PURE, CHANCE = 2, 0.05, 0.9, 0.5
+#: Parts of the training rows, by crc32 of doc_id mod 4, that by_folds() leaves out in turn; 2 are the held-out rows.
+FOLDS = (0, 1, 3)
 #: What a misspelt term counts before labels say more, as a share of a term.
 MISSPELT = 0.8
 #: Lengths of word beginnings that may become terms.
@@ -36,6 +38,15 @@ OPEN, CLOSE, BOTH = "“«„‹", "”»‟›", '"'
 _RUN = re.compile(r"[^\W_]+")
 
 
+@dataclass(frozen=True)
+class Settings:
+    """What may be a term; by_folds() compares settings."""
+
+    least: int = LEAST
+    pure: float = PURE
+    stems: range = STEMS
+
+
 class Trie:
     """Terms as a trie, intersected with Levenshtein automata of up to two edits.
 
@@ -185,8 +196,12 @@ def quoted(left: str, word: str, right: str) -> bool:
     return opened and any(c in after for c in CLOSE)
 
 
+def _part(doc_id: Column) -> Column:
+    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4))
+
+
 def held_out(doc_id: Column) -> Column:
-    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+    return F.coalesce(_part(doc_id) == 2, F.lit(False))
 
 
 def _training(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
@@ -197,7 +212,7 @@ def _training(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     return written(found.groupBy(F.xxhash64("text").alias("h")).agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic"), "toxicity-train")
 
 
-def _term_counts(train: DataFrame) -> DataFrame:
+def _term_counts(train: DataFrame, lengths: range) -> DataFrame:
     """(term, stem, bad, clean): how many toxic and clean training texts have a word, or a word that begins so."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +222,7 @@ def _term_counts(train: DataFrame) -> DataFrame:
                 for text, toxic in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist()):
                     words = set(_RUN.findall(text.lower()))
                     seen.update((w, False, bool(toxic)) for w in words)
-                    seen.update((s, True, bool(toxic)) for s in {w[:n] for w in words for n in STEMS if len(w) >= n})
+                    seen.update((s, True, bool(toxic)) for s in {w[:n] for w in words for n in lengths if len(w) >= n})
                 terms, stems, toxics = zip(*seen) if seen else ((), (), ())
                 n = np.fromiter(seen.values(), np.int64, len(seen))
                 bad = np.array(toxics, bool)
@@ -216,7 +231,7 @@ def _term_counts(train: DataFrame) -> DataFrame:
     return train.mapInArrow(tidy(count), "term string, stem boolean, bad long, clean long").groupBy("term", "stem").agg(F.sum("bad").alias("bad"), F.sum("clean").alias("clean"))
 
 
-def learned(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
+def learned(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, settings: Settings = Settings()) -> Model:
     """Lexicon and weights from labelled texts. Of repeated label rows of one id the larger label counts.
 
     Words and word beginnings that toxic texts have and clean ones don't become terms. Words of clean texts near a term are
@@ -228,10 +243,10 @@ def learned(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
     total = {bool(r["toxic"]): r["count"] for r in train.groupBy("toxic").count().collect()}
     bad, clean = total.get(True, 0), total.get(False, 0)
     texts = F.col("bad") + F.col("clean")
-    counts = written(_term_counts(train).filter(texts >= LEAST), "toxicity-terms") if bad and clean else None
-    least = _least({r["n"]: r["count"] for r in counts.groupBy(texts.alias("n")).count().collect()}, bad / (bad + clean)) if counts else LEAST
-    found = counts.filter((F.col("bad") >= least) & (F.col("bad") / texts >= PURE)).collect() if counts else []
-    words, stems = _chosen({(r["term"], r["stem"]): r["bad"] for r in found if r["stem"] or len(r["term"]) > 2}, train, bad)
+    counts = written(_term_counts(train, settings.stems).filter(texts >= settings.least), "toxicity-terms") if bad and clean else None
+    least = _least({r["n"]: r["count"] for r in counts.groupBy(texts.alias("n")).count().collect()}, bad / (bad + clean), settings.least) if counts else settings.least
+    found = counts.filter((F.col("bad") >= least) & (F.col("bad") / texts >= settings.pure)).collect() if counts else []
+    words, stems = _chosen({(r["term"], r["stem"]): r["bad"] for r in found if r["stem"] or len(r["term"]) > 2}, train, bad, settings)
     model = Model(words, stems)
     if not words and not stems:
         model.weights[0] = -3.0
@@ -268,7 +283,30 @@ def learned(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
     return model
 
 
-def _least(terms: dict[int, int], rate: float) -> int:
+def by_folds(docs: DataFrame, labels: DataFrame, settings: list[Settings], train_rows: int = TRAIN_ROWS) -> list[dict]:
+    """How well each setting tells the labels of training rows that it has not seen; held-out rows take no part.
+
+    One dict a setting: setting, rows, log_loss (mean), found (toxic and predicted), false (clean and predicted), missed.
+    Each of FOLDS is left out in turn: what is learned from the others scores it. Labels of null ids, and null labels, take
+    no part; of repeated label rows of one id the larger counts.
+    """
+    known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    out = []
+    for setting in settings:
+        sums = dict.fromkeys(("rows", "log_loss", "found", "false", "missed"), 0.0)
+        for fold in FOLDS:
+            model = learned(docs, known.filter(_part(F.col("doc_id")) != fold), train_rows, setting)
+            asked = docs.select("doc_id", "text").join(known.filter(_part(F.col("doc_id")) == fold), "doc_id")
+            p, toxic, said = F.least(F.greatest("score", F.lit(1e-6)), F.lit(1 - 1e-6)), F.col("toxic") > 0, F.col("predicted") > 0
+            got = scored(asked, model).agg(
+                F.count("*").alias("rows"), F.sum(-F.log(F.when(toxic, p).otherwise(1 - p))).alias("log_loss"), F.count_if(toxic & said).alias("found"), F.count_if(~toxic & said).alias("false"), F.count_if(toxic & ~said).alias("missed")
+            ).first()
+            sums = {k: v + (got[k] or 0) for k, v in sums.items()}
+        out.append({"setting": setting} | sums | {"log_loss": sums["log_loss"] / max(1.0, sums["rows"])})
+    return out
+
+
+def _least(terms: dict[int, int], rate: float, least: int = LEAST) -> int:
     """So many toxic texts must have a term that less than CHANCE terms are in as many and in no other text by chance.
 
     terms: how many terms are in n texts, for each n; rate: the share of texts that are toxic.
@@ -277,21 +315,22 @@ def _least(terms: dict[int, int], rate: float) -> int:
     for n in sorted(terms, reverse=True):
         by_chance += terms[n] * rate**n
         if by_chance > CHANCE:
-            return max(LEAST, n + 1)
-    return LEAST
+            return max(least, n + 1)
+    return least
 
 
-def _chosen(uses: dict[tuple[str, bool], int], train: DataFrame, bad: int) -> tuple[set[str], set[str]]:
+def _chosen(uses: dict[tuple[str, bool], int], train: DataFrame, bad: int, settings: Settings = Settings()) -> tuple[set[str], set[str]]:
     """(words, stems) out of the candidates with the number of toxic training texts that have them.
 
     Of a stem and a longer one, or a word, in nearly as many texts the longer is meant. Then the term is taken, again and again,
     that most toxic texts without a taken term have; frequent terms are taken in any case. So words that only copies of a
     few texts share are left out. Candidate words that begin with a taken stem stay, for stems match without edits and words with them.
     """
+    lengths, least = settings.stems, settings.least
     near = lambda n, most: n >= 0.95 * most
     longer: dict[str, int] = {}
     for (term, stem), n in uses.items():
-        for k in STEMS:
+        for k in lengths:
             if k < len(term) or (k == len(term) and not stem):
                 longer[term[:k]] = max(n, longer.get(term[:k], 0))
     uses = {t: n for t, n in uses.items() if not t[1] or not near(longer.get(t[0], 0), n)}
@@ -302,19 +341,19 @@ def _chosen(uses: dict[tuple[str, bool], int], train: DataFrame, bad: int) -> tu
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 runs = set(_RUN.findall(text.lower()))
-                got = sorted(runs & words) + sorted({f"{r[:k]}*" for r in runs for k in STEMS if r[:k] in stems})
+                got = sorted(runs & words) + sorted({f"{r[:k]}*" for r in runs for k in lengths if r[:k] in stems})
                 yield pa.RecordBatch.from_pydict({"terms": pa.array([got], pa.list_(pa.string()))})
 
     texts = [set(r["terms"]) for r in train.filter("toxic > 0").select("text").mapInArrow(tidy(having), "terms array<string>").collect()] if uses else []
     name = lambda t: f"{t[0]}*" if t[1] else t[0]
     total = {name(t): n for t, n in uses.items()}
-    taken = {t for t, n in total.items() if n >= max(LEAST + 1, SHARE * bad)}
+    taken = {t for t, n in total.items() if n >= max(least + 1, SHARE * bad)}
     left = [t for t in texts if not t & taken]
     while left:
         counts = Counter(term for t in left for term in t)
         # Ties go to the term with more uses, then to the shorter, a stem.
         term, gain = max(counts.items(), key=lambda x: (x[1], total[x[0]], -len(x[0]), x[0]), default=("", 0))
-        if gain < LEAST:
+        if gain < least:
             break
         taken.add(term)
         left = [t for t in left if term not in t]

@@ -3,6 +3,7 @@
 import collections
 import itertools
 import math
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -148,3 +149,30 @@ def test_toxicity_held_out(spark):
 
 def test_terms_by_chance():
     assert toxicity._least({2: 10_000, 3: 500, 40: 3}, 0.1) == 4 and toxicity._least({2: 3}, 0.1) == 2
+
+
+def test_toxicity_folds(spark):
+    """Settings are compared on training rows alone: labels of held-out rows change neither the figures nor the model."""
+    part = lambda d: zlib.crc32(str(d).encode()) % 4
+    rows = [(d, f"plain words number {d} here" + (" with zorgblat and more" if d % 3 == 0 else "")) for d in range(120)]
+    docs = spark.createDataFrame([*rows, (None, "zorgblat"), (500, None)], "doc_id long, text string")
+    of = lambda turned: spark.createDataFrame([(d, int((d % 3 == 0) != (turned and part(d) == 2))) for d, _ in rows] + [(500, 0), (None, 1), (3, None)], "doc_id long, toxic int")
+    settings = [toxicity.Settings(), toxicity.Settings(stems=range(0))]
+    got = toxicity.by_folds(docs, of(False), settings)
+    kept = [d for d, _ in rows if part(d) != 2]
+    toxic = sum(d % 3 == 0 for d in kept)
+    for setting, g in zip(settings, got):
+        assert g["setting"] == setting and g["rows"] == len(kept) + (part(500) != 2)
+        assert (g["found"], g["missed"], g["false"]) == (toxic, 0, 0) and 0 < g["log_loss"] < 0.2
+    one, two = (toxicity.learned(docs, of(turned)) for turned in (False, True))
+    assert one.words == two.words and one.stems == two.stems and one.innocent == two.innocent and list(one.weights) == list(two.weights)
+    assert toxicity.by_folds(docs, of(False).limit(0), settings[:1])[0]["rows"] == 0
+
+
+def test_chosen_terms_cover(spark):
+    """Terms in many texts are taken, then those that most texts without a taken term have; a text whose terms no other such text has is left."""
+    texts = ["aaa", "aaa", "aaa bbb", "bbb ccc", "bbb ccc", "ddd", "ddd", "eee"] + ["fff"] * 12
+    train = spark.createDataFrame([(f"{t} {i:05d}", 1) for i, t in enumerate(texts)], "text string, toxic int")
+    uses = {(w, False): sum(w in t for t in texts) for w in ("aaa", "bbb", "ccc", "ddd", "eee", "fff")}
+    assert toxicity._chosen(uses, train, len(texts)) == ({"aaa", "bbb", "ddd", "fff"}, set())
+    assert toxicity._chosen(uses, train, len(texts), toxicity.Settings(least=3)) == ({"fff", "bbb"}, set())
