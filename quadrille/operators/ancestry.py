@@ -13,6 +13,8 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 #: Nodes up to which a tree goes to every task: some 90 bytes for each.
 MOST_NODES = 1 << 18
+#: Sums of leaf hashes are kept modulo this.
+KEYS = 1 << 48
 
 
 class Ancestry:
@@ -227,8 +229,9 @@ def bipartitions(spark, tree: Ancestry, kind: str) -> DataFrame:
 
 
 def split_keys(tree: Ancestry, hashes) -> list[tuple[int, int, int]]:
-    """(n, h0, h1): distinct bipartitions as sums of leaf hashes of the side without the least leaf, from running sums over the leaves. hashes(name): two numbers."""
+    """(n, h0, h1): distinct bipartitions as sums, modulo KEYS, of leaf hashes of the side without the least leaf, from running sums over the leaves. hashes(name): two numbers."""
     h = np.array([hashes(n) for n in tree.names.to_pylist()], np.int64).reshape(-1, 2)
     upto = np.vstack([np.zeros((1, 2), np.int64), np.cumsum(h, 0)])
     whole, n = upto[-1], len(h)
-    return sorted({(n - (b - a), *(whole - (upto[b] - upto[a])).tolist()) if flip else (b - a, *(upto[b] - upto[a]).tolist()) for _, a, b, flip in inner_edges(tree)})
+    # Where running sums overflow they are still right modulo KEYS.
+    return sorted({(n - (b - a), *(whole - (upto[b] - upto[a]) & KEYS - 1).tolist()) if flip else (b - a, *(upto[b] - upto[a] & KEYS - 1).tolist()) for _, a, b, flip in inner_edges(tree)})

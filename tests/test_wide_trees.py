@@ -19,6 +19,15 @@ def rows(df):
     return sorted(tuple(map(str, r)) for r in df.collect())
 
 
+def test_keys_of_more_leaves_than_a_sum_holds(spark, monkeypatch):
+    """Sums of 48 bits over 120 000 leaves pass 63 bits."""
+    one, two = wide(spark, 120_000), wide(spark, 120_000, True)
+    want, distance = rows(trees.split_keys(one)), rows(trees.rf(one, two))
+    monkeypatch.setattr(ancestry, "MOST_NODES", 1000)
+    assert rows(trees.split_keys(one)) == want and len(want) == 13
+    assert rows(trees.rf(one, two)) == distance and distance[0][:3] == ("2", "2", "11")
+
+
 @pytest.mark.parametrize("few", [0, 1 << 16])
 def test_polytomies_by_joins(spark, monkeypatch, few):
     """The same as from arrays; what has more than FEW rows goes to no task whole, however small its files are."""
