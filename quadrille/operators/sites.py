@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import GAP, pattern
+from ..sources.tables import written
 
 Q = ("q0", "q1", "q2", "q3")
 #: Sites of a cut of the alignment, quartets of a tile without a block, and words of planes that a kernel takes at a time, of one taxon and in all.
 CUT, TILE, PART, CHUNK_WORDS = 1 << 22, 1 << 14, 1 << 10, 1 << 18
+#: Taxa whose states in a column are one whole number.
+WORD = 21
 
 
 def informative(sites: DataFrame) -> DataFrame:
@@ -53,18 +56,32 @@ def block_quartets(blocks: DataFrame) -> DataFrame:
     return level.select("block_id", *(F.get("m", F.col(f"i{k}")).alias(f"q{k}") for k in range(4)))
 
 
+def columns(sites: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(taxon, pos, state) -> (col, sites): the distinct columns of the alignment, each with the number of its positions. ranks: taxon, new.
+
+    A column is a list of (word, bits), WORD taxa to a word, three bits for each: 1 more than its base, 0 for a gap or where the taxon has no row.
+    """
+    bits = F.expr(f"shiftleft(cast(state + 1 as bigint), cast(3 * (new % {WORD}) as int))")
+    placed = sites.filter(F.col("state") < GAP).join(ranks, "taxon").select("pos", F.floor(F.col("new") / WORD).cast("int").alias("word"), bits.alias("bits"))
+    words = placed.groupBy("pos", "word").agg(F.bit_or("bits").alias("bits"))
+    return words.groupBy("pos").agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("col")).groupBy("col").agg(F.count("*").alias("sites"))
+
+
 def site_patterns(quartet_rows: DataFrame, sites: DataFrame) -> DataFrame:
     """(q0..q3) and (taxon, pos, state) -> (q0..q3, pat, n, freq): how often each pattern of four bases occurs.
 
-    Gaps go before the join; counts are partly aggregated before they are shuffled. Each quartet should be given once.
+    Sites meet by position alone, once, and columns that are alike are counted before quartets meet them, so no row of a quartet and a position is shuffled: quartets
+    go to the columns, and counts are partly aggregated there. Each quartet should be given once, and each taxon once a position.
     """
-    s = sites.filter(F.col("state") < GAP)
-    out = quartet_rows.select(*Q)
+    ranks = written(renumbered(sites.select("taxon").distinct(), "taxon"), "ranks")
+    quartets = quartet_rows.select(*Q)
+    few = quartets.limit(TILE + 1).count() <= TILE
     for i, q in enumerate(Q):
-        one = s.select(F.col("taxon").alias(f"_t{i}"), F.col("pos").alias(f"_p{i}"), F.col("state").alias(f"s{i}"))
-        same = F.col(q) == F.col(f"_t{i}")
-        out = out.join(one, same if i == 0 else same & (F.col("_p0") == F.col(f"_p{i}")))
-    counted = out.groupBy(*Q, pattern(*(F.col(f"s{i}") for i in range(4))).cast("int").alias("pat")).agg(F.count("*").alias("n"))
+        quartets = quartets.join(ranks.select(F.col("taxon").alias("_t"), F.floor(F.col("new") / WORD).cast("int").alias(f"_w{i}"), (3 * (F.col("new") % WORD)).cast("int").alias(f"_b{i}")), F.col(q) == F.col("_t")).drop("_t")
+    met = columns(sites, ranks).select(F.map_from_entries("col").alias("_at"), "sites").crossJoin(F.broadcast(quartets) if few else quartets)
+    state = [F.expr(f"cast(shiftright(_at[_w{i}], _b{i}) & 7 as int) - 1").alias(f"s{i}") for i in range(4)]
+    out = met.select(*Q, "sites", *state).filter(" and ".join(f"s{i} >= 0" for i in range(4)))
+    counted = out.groupBy(*Q, pattern(*(F.col(f"s{i}") for i in range(4))).cast("int").alias("pat")).agg(F.sum("sites").alias("n"))
     total = counted.groupBy(*(F.col(q).alias(f"_{q}") for q in Q)).agg(F.sum("n").alias("total"))
     same = [F.col(q) == F.col(f"_{q}") for q in Q]
     return counted.join(total, same).select(*Q, "pat", "n", (F.col("n") / F.col("total")).alias("freq"))
